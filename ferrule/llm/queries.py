@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_topk, url_filter
+from . import common, decontaminate, exact_topk, jaccard_join, mixing, quality, storage, tokens, url_filter, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,5 +40,95 @@ WITH fine AS (
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 10
 """
 
-QUERIES = {"op3_url_filter": op3_url_filter, "op10_exact_topk": op10_exact_topk}
-ORACLES = {"op10_exact_topk": OP10_SQL}
+#: Source weights of the contract, repeating in the order of the sources' names.
+MIX_WEIGHTS = [3.0, 1.0, 2.0]
+END_ID = 2
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed, _ = mixing.mix(table(spark, sf_dir, "documents"), MIX_WEIGHTS, share=1.5, repeat=2.0)
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
+
+
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    digest = F.sha2(F.array_join("items", ","), 256)
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"), decontaminate.contaminated().alias("contaminated"))
+
+
+OP4_SQL = r"""
+WITH abc AS (SELECT 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' AS u, 'abcdefghijklmnopqrstuvwxyz' AS l),
+item_words AS (
+  SELECT CAST(item_id AS VARCHAR) AS item, list_filter(regexp_split_to_array(translate(coalesce(text, ''), u, l), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS w FROM benchmark, abc
+), windows AS (
+  SELECT DISTINCT item, least(len(w), 13) AS n, array_to_string(w[i : i + least(len(w), 13) - 1], ' ') AS s
+  FROM (SELECT item, w, unnest(range(1, len(w) - least(len(w), 13) + 2)) AS i FROM item_words WHERE len(w) > 0)
+), docs AS (
+  SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), u, l), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS w FROM documents, abc
+), doc_windows AS (
+  SELECT r, n, i, array_to_string(w[i : i + n - 1], ' ') AS s
+  FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM docs, (SELECT DISTINCT n FROM windows))
+), hits AS (SELECT d.r, d.i, d.n, x.item FROM doc_windows d JOIN windows x ON d.n = x.n AND d.s = x.s),
+covered AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS p FROM hits) GROUP BY r),
+items AS (SELECT r, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM hits GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM docs LEFT JOIN covered USING (r) LEFT JOIN items USING (r)
+"""
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    held = (quality.fold(F.col("doc_id")) == 0).alias("held_out")
+    score = F.col("quality_score")
+    return quality.score(docs, model, ("doc_id",)).select("doc_id", held, score.alias("score"), (score >= quality.CUT).cast("int").alias("predicted"))
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    common.prepare(spark)
+    folder = storage.make_folder(common.shared_path(spark, "warc"))
+    warc.write(warc.with_types(table(spark, sf_dir, "pages")), folder).agg(F.sum("records")).collect()
+    back = warc.read(spark, folder, payload=False)
+    return back.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP6_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, strlen(coalesce(html, '')) AS n FROM pages),
+g AS (SELECT h, max(page_id) AS chief FROM p WHERE n >= 1000 GROUP BY h)
+SELECT page_id, n AS payload_bytes, sha1(p.h) AS payload_digest,
+       CASE WHEN n >= 1000 AND page_id IS DISTINCT FROM chief THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 1000 AND page_id IS DISTINCT FROM chief THEN chief END AS refers_to
+FROM p LEFT JOIN g ON p.h = g.h
+"""
+
+
+def op7_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    common.prepare(spark)
+    folder = storage.make_folder(common.shared_path(spark, "tokens"))
+    manifest = tokens.write(table(spark, sf_dir, "documents"), folder, tokenizer_path(), END_ID)
+    return tokens.documents_of(spark, manifest)
+
+
+QUERIES = {
+    "op1_mixing": op1_mixing,
+    "op2_jaccard_join": op2_jaccard_join,
+    "op3_url_filter": op3_url_filter,
+    "op4_decontaminate": op4_decontaminate,
+    "op5_quality": op5_quality,
+    "op6_warc": op6_warc,
+    "op7_token_codes": op7_token_codes,
+    "op10_exact_topk": op10_exact_topk,
+}
+ORACLES = {"op4_decontaminate": OP4_SQL, "op6_warc": OP6_SQL, "op10_exact_topk": OP10_SQL}
