@@ -6,12 +6,17 @@ and hashes of spans come from one prefix polynomial. Two multipliers give 128 bi
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 
 MULTIPLIERS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
+#: Bytes of text a task works on at a time.
+SLICE_BYTES = 4 << 20
+
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 
@@ -28,6 +33,18 @@ def utf8(column) -> tuple[np.ndarray, np.ndarray]:
     return raw[lo : int(offsets[-1])], offsets - lo
 
 
+def slices(batch: pa.RecordBatch, column: int, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch whose texts have about limit bytes; a longer text is a part of its own."""
+    if not batch.num_rows:
+        return
+    _, offsets = utf8(batch.column(column))
+    at = 0
+    while at < batch.num_rows:
+        stop = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, "right")) - 1)
+        yield batch.slice(at, stop - at)
+        at = stop
+
+
 def words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(starts, ends, document index) of the runs of non-space bytes; none crosses documents."""
     if not len(raw):

@@ -3,10 +3,12 @@
 Benchmark items are cut into windows of `width` normalised words (an item of fewer
 words is one window). Their hashes are broadcast as a hash table while they are at
 most BROADCAST_WINDOWS; a larger benchmark is joined by shuffled hash instead. Every
-window of every document is hashed with a 64-bit hash and looked up; a hit is
-verified by a second, independent 64-bit hash of the same words. Verified hits give
-covered words, spans and items per document; contaminated documents, or the covered
-spans alone, can then be removed.
+run of 13 words holds just one 7-gram that starts at a multiple of seven words, so a
+document is scanned by the hashes of these 7-grams (shorter windows likewise). Where
+one is a benchmark 7-gram, all windows around it are hashed and looked up with two
+independent 64-bit hashes, which verifies the hit. Verified hits give covered words,
+spans and items per document; contaminated documents, or the covered spans alone, can
+then be removed.
 
 Words are what is left between characters that are neither digits, letters a-z after
 lower-casing A-Z, nor beyond ASCII.
@@ -40,52 +42,80 @@ def _hashes(words: Column, start: Column, length: Column | int) -> tuple[Column,
 
 
 def benchmark_windows(benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
-    """h1, h2, length, items: the distinct windows with the sorted distinct ids of their items."""
+    """h1, h2, length, items, words: the distinct windows with the sorted distinct ids of their items."""
     rows = benchmark.select(F.col("item_id").cast("string").alias("item"), normal_words(F.col("text")).alias("words")).where(F.size("words") > 0)
     rows = rows.withColumn("length", F.least(F.size("words"), F.lit(width)))
     rows = rows.withColumn("start", F.explode(F.sequence(F.lit(1), F.size("words") - F.col("length") + 1)))
     h1, h2 = _hashes(F.col("words"), F.col("start"), F.col("length"))
-    return rows.select("item", h1.alias("h1"), h2.alias("h2"), "length").groupBy("h1", "h2", "length").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    rows = rows.select("item", h1.alias("h1"), h2.alias("h2"), "length", F.slice("words", F.col("start"), F.col("length")).alias("words"))
+    return rows.groupBy("h1", "h2", "length").agg(F.array_sort(F.collect_set("item")).alias("items"), F.first("words").alias("words"))
 
 
-def _windows(words: Column, lengths: list[int]) -> Column:
-    """Array of (start, length, h1, h2, n_words): every window, after one row that has start -1 and no hashes."""
+def _anchor(length: int) -> tuple[int, int]:
+    """(k, stride): every run of `length` words holds just one k-gram that starts at a multiple of stride."""
+    k = (length + 1) // 2
+    return k, length - k + 1
+
+
+def _anchors(words: Column, lengths: list[int]) -> Column:
+    """Array of (at, length, anchor, from, near, n_words): one entry with at -1 for the row itself, then
+    the anchors of each length with the words of all windows that may hold them; positions count from 1."""
     null, total = F.lit(None).cast("long"), F.size(words).cast("long")
-    out = [F.array(F.struct(F.lit(-1).alias("start"), F.lit(0).alias("length"), null.alias("h1"), null.alias("h2"), total.alias("n_words")))]
+    field = lambda at, length, anchor, first, near, n: F.struct(at.alias("at"), F.lit(length).alias("length"), anchor.alias("anchor"), first.alias("from"), near.alias("near"), n.alias("n_words"))
+    out = [F.array(field(F.lit(-1), 0, null, F.lit(0), F.slice(words, 1, 0), total))]
     for length in lengths:
+        k, stride = _anchor(length)
 
-        def window(i: Column) -> Column:
-            h1, h2 = _hashes(words, i, length)
-            return F.struct((i - 1).alias("start"), F.lit(length).alias("length"), h1.alias("h1"), h2.alias("h2"), null.alias("n_words"))
+        def one(i: Column, length: int = length, k: int = k, stride: int = stride) -> Column:
+            first = F.greatest(i - (stride - 1), F.lit(1))
+            return field(i, length, F.xxhash64(F.lit(length), F.slice(words, i, k)), first, F.slice(words, first, i - first + length), null)
 
-        starts = F.filter(F.sequence(F.lit(1), F.greatest(F.size(words) - length + 1, F.lit(1))), lambda i: i <= F.size(words) - length + 1)
-        out.append(F.transform(starts, window))
+        starts = F.sequence(F.lit(1), F.greatest(F.size(words) - k + 1, F.lit(1)), F.lit(stride))
+        out.append(F.transform(starts, _unary(one)))
     return F.concat(*out)
 
 
+def _unary(f):
+    """f as a lambda of one argument: Spark would take defaults for further arguments."""
+    return lambda i: f(i)
+
+
 def find(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, keep: tuple[str, ...] = ("doc_id",), broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
-    """The keep columns with n_words, n_hit, items (sorted ids) and hits, one row a document row.
+    """The keep columns with __row, __key, n_words, n_hit, items (sorted ids) and hits, one row a document row.
 
     hits is an array of (start, length) of verified windows, start counted from 0.
     """
     windows = common.cut(benchmark_windows(benchmark, width))
     lengths = sorted(r["length"] for r in windows.groupBy("length").count().collect())  # at most `width` numbers
-    few = windows.count() <= broadcast_windows
-    if few:
-        windows = F.broadcast(windows)
+    anchors = None
+    for length in lengths:
+        k, _ = _anchor(length)
+        grams = windows.where(F.col("length") == length).select(F.explode(F.transform(F.sequence(F.lit(1), F.lit(length - k + 1)), _unary(lambda i, length=length, k=k: F.xxhash64(F.lit(length), F.slice("words", i, k))))).alias("b_anchor"))
+        anchors = grams if anchors is None else anchors.unionByName(grams)
+    anchors = docs.sparkSession.createDataFrame([], "b_anchor long") if anchors is None else common.cut(anchors.distinct())
+    wanted = windows.select(F.col("h1").alias("b1"), F.col("h2").alias("b2"), F.col("length").alias("b_length"), "items")
+    if windows.count() <= broadcast_windows:  # an item has fewer anchors than seven a window
+        anchors, wanted = F.broadcast(anchors), F.broadcast(wanted)
     kept = [F.col(f"`{c}`").alias(f"__k{i}") for i, c in enumerate(keep)]
     names = [f"__k{i}" for i in range(len(keep))]
+    own = [*names, "__row", "__key"]
     key = F.coalesce(common.row_key(docs), F.lit(0)) if "doc_id" in docs.columns else F.xxhash64("text")
-    rows = docs.select(*kept, F.monotonically_increasing_id().alias("__row"), key.alias("__key"), F.explode(F.array(F.struct(normal_words(F.col("text")).alias("words")))).alias("__d"))
-    found = rows.select(*names, "__row", "__key", F.inline(F.element_at(F.transform(F.array("__d.words"), lambda words: _windows(words, lengths)), 1)))
-    wanted = windows.select(F.col("h1").alias("b1"), F.col("h2").alias("b2"), F.col("length").alias("b_length"), "items")
-    found = found.join(wanted, (found["h1"] == wanted["b1"]) & (found["h2"] == wanted["b2"]) & (found["length"] == wanted["b_length"]), "left")
-    found = found.where("start < 0 or b1 is not null")
-    hit = F.col("start") >= 0
+    rows = docs.select(*kept, F.monotonically_increasing_id().alias("__row"), key.alias("__key"), F.array(normal_words(F.col("text"))).alias("__words"))
+    # the words are bound once as the element of a one-element array
+    near = rows.select(*own, F.inline(F.element_at(F.transform("__words", lambda words: _anchors(words, lengths)), 1)))
+    near = near.join(anchors, F.col("anchor") == F.col("b_anchor"), "left").where("at < 0 or b_anchor is not null")
+    hashes = lambda i: _hashes(F.col("near"), i, F.col("length"))
+    blank = F.array(F.struct(F.lit(-1).alias("start"), F.lit(None).cast("long").alias("h1"), F.lit(None).cast("long").alias("h2")))
+    last = F.least(F.col("at") - F.col("from") + 1, F.size("near") - F.col("length") + 1)
+    window = lambda i: F.struct((i + F.col("from") - 2).alias("start"), hashes(i)[0].alias("h1"), hashes(i)[1].alias("h2"))
+    near = near.withColumn("w", F.when((F.col("at") < 0) | (last < 1), blank).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), window)))
+    found = near.select(*own, "n_words", "length", "at", F.inline("w"))
+    found = found.join(wanted, (F.col("h1") == F.col("b1")) & (F.col("h2") == F.col("b2")) & (F.col("length") == F.col("b_length")), "left")
+    found = found.where("at < 0 or b1 is not null")
     per_row = found.groupBy("__row", "__key").agg(
         *[F.first(n).alias(n) for n in names],
         F.max("n_words").alias("n_words"),
-        F.sort_array(F.collect_list(F.when(hit, F.struct("start", "length")))).alias("hits"),
+        F.sort_array(F.collect_set(F.when(F.col("at") >= 0, F.struct("start", "length")))).alias("hits"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
     )
     covered = F.size(F.array_distinct(F.flatten(F.transform("hits", lambda h: F.sequence(h["start"], h["start"] + h["length"] - 1)))))

@@ -90,9 +90,7 @@ def sketched(docs: DataFrame, width: int) -> DataFrame:
     """doc_id, key, sig, n, sk (array<int>, null for an empty bin): one row a document."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in (part for whole in batches for part in bw.slices(whole, 2)):
             sig, n, rows = sketch(shingle_sets(*bw.utf8(batch.column(2)), width))
             empty = (rows == NONE).reshape(-1)
             value = bw.mix(rows.reshape(-1)).astype(np.uint32).view(np.int32)
@@ -156,7 +154,7 @@ def with_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     rows = common.small_join(texts, wanted, ["key"], "inner", F.xxhash64("text")).select("sig", "slots", "copies", "text")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in bw.slices(whole, 3)):
             sets = shingle_sets(*bw.utf8(batch.column(3)), width)
             slots = batch.column(1).to_pylist()
             out = [(slot, i) for i, s in enumerate(slots) for slot in s]

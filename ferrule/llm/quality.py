@@ -152,7 +152,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", train_rows
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "__y", F.xxhash64("doc_id", "text").alias("h"))
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in bw.slices(whole, 0)):
             doc, col, value = features(*bw.utf8(batch.column(0)))
             cut = np.searchsorted(doc, np.arange(batch.num_rows + 1)).astype(np.int32)
             yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.ListArray.from_arrays(cut, col.astype(np.int32)), pa.ListArray.from_arrays(cut, value.astype(np.float32))], ["y", "h", "col", "value"])
@@ -172,7 +172,7 @@ def score(docs: DataFrame, model: dict, keep: tuple[str, ...] | None = None) ->
     model = {"b": model["b"], "w": model["w"].astype(np.float32), "v": model["v"].astype(np.float32)}
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in bw.slices(whole, 0)):
             raw, offsets = bw.utf8(batch.column(0))
             p = predict(*features(raw, offsets), batch.num_rows, model) if batch.num_rows else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(p, pa.float64())], [*batch.schema.names[1:], "quality_score"])

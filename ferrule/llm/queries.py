@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, decontaminate, exact_topk, jaccard_join, mixing, quality, storage, tokens, url_filter, warc
+from . import bwt_dedup, common, decontaminate, exact_topk, jaccard_join, mixing, quality, storage, substring_dedup, tokens, url_filter, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,30 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias("vec_id"), "score")
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = substring_dedup.remove(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return left.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP8_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents
+), win AS (
+  SELECT r, i, sha256(array_to_string(w[i : i + 34], ' ')) AS s FROM (SELECT r, w, unnest(range(1, len(w) - 33)) AS i FROM d)
+), again AS (SELECT s FROM win GROUP BY s HAVING count(*) > 1),
+gone AS (SELECT r, list(DISTINCT p) AS ps FROM (SELECT r, unnest(range(i, i + 35)) AS p FROM win SEMI JOIN again USING (s)) GROUP BY r),
+merged AS (SELECT doc_id, w, coalesce(ps, []) AS ps FROM d LEFT JOIN gone USING (r))
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(ps) AS BIGINT) AS n_removed,
+       sha256(array_to_string(list_filter(w, lambda x, i: NOT list_contains(ps, i)), ' ')) AS kept_sha256
+FROM merged
+"""
+
+
+def op9_bwt_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = bwt_dedup.remove(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 OP10_SQL = """
 WITH fine AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
@@ -129,6 +153,8 @@ QUERIES = {
     "op5_quality": op5_quality,
     "op6_warc": op6_warc,
     "op7_token_codes": op7_token_codes,
+    "op8_substring_dedup": op8_substring_dedup,
+    "op9_bwt_dedup": op9_bwt_dedup,
     "op10_exact_topk": op10_exact_topk,
 }
-ORACLES = {"op4_decontaminate": OP4_SQL, "op6_warc": OP6_SQL, "op10_exact_topk": OP10_SQL}
+ORACLES = {"op4_decontaminate": OP4_SQL, "op6_warc": OP6_SQL, "op8_substring_dedup": OP8_SQL, "op10_exact_topk": OP10_SQL}

@@ -27,6 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import bytewise as bw
 from . import common, dac, storage
 
 SEGMENT = 1 << 22
@@ -113,7 +114,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, parts: int
                 entries.append(entry)
                 held, size = [], 0
 
-        for batch in batches:
+        for batch in (part for whole in batches for part in bw.slices(whole, 1)):
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             if ids and stream is None:
                 stream, commit = storage.open_new(path)
