@@ -53,13 +53,11 @@ def ship(docs: DataFrame, width: int, buckets: int) -> DataFrame:
                 at = np.arange(len(raw) - MER + 1)
                 mers = bw.span_hash(raw, at, at + MER)
                 counts = np.diff(offsets)
-                doc, lo, last, least = sk.windows(mers, offsets[:-1], counts, width, MER)
+                doc, lo, last, least, again = sk.windows(mers, offsets[:-1], counts, width, MER)
                 if not len(doc):
                     continue
                 hi = last + width
                 first = lo - offsets[doc]
-                # a run longer than a window's minimisers, or cut off by the document, may repeat inside itself
-                again = (last - lo > width - MER) | (first == 0) | (hi == offsets[doc + 1])
                 rank = np.lexsort((first, key[doc], doc_id[doc]))
                 a, b = bw.span_hash(raw, lo, hi), bw.span_hash(raw, lo, hi, 1)
                 order, begin = sk.equal_groups(a[rank], b[rank])

@@ -61,7 +61,7 @@ def ship(docs: DataFrame, width: int, buckets: int) -> DataFrame:
                 h = bw.span_hash(text, at, stop)
                 item = np.arange(len(h) - MER + 1)
                 mers = bw.span_hash(h, item, item + MER)
-                doc, lo, last, least = sk.windows(mers, firsts, counts, width, MER)
+                doc, lo, last, least, _ = sk.windows(mers, firsts, counts, width, MER)
                 if not len(doc):
                     continue
                 hi = last + width

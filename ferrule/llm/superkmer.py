@@ -19,6 +19,7 @@ from .bytewise import slices  # noqa: F401
 
 #: Bytes of packed strings in a bucket.
 BUCKET_BYTES = 12 << 20
+PLACE = np.uint64((1 << 24) - 1)
 _CODEC = "zstd"
 
 
@@ -26,20 +27,26 @@ def windows(mers: np.ndarray, firsts: np.ndarray, counts: np.ndarray, w: int, k:
     """Runs of windows of a batch of sequences laid end to end.
 
     mers: hash of the k-mer at each item (junk across borders); firsts and counts: place
-    and length of each sequence. Returns (sequence, first window, last window, minimiser).
+    and length of each sequence. Returns (sequence, first window, last window, minimiser,
+    moves). A minimiser is the upper 40 bits of the least hash; the lower bits hold its
+    place, so that ties go to the left. moves: the place changes inside the run, without
+    which no window can repeat inside it; always set where places do not fit.
     """
-    least = bw.window_min(mers, w - k + 1)
+    place = np.arange(len(mers), dtype=np.uint64) & PLACE
+    least = bw.window_min(mers & ~PLACE | place, w - k + 1)
     n = np.maximum(counts - w + 1, 0)
     at = bw.runs(firsts, n)
     if not len(at):
         z = np.zeros(0, np.int64)
-        return z, z, z, np.zeros(0, np.uint64)
+        return z, z, z, np.zeros(0, np.uint64), np.zeros(0, bool)
     owner = np.repeat(np.arange(len(firsts)), n)
-    value = least[at]
+    full = least[at]
+    value = full >> np.uint64(24)
     change = np.concatenate(([True], (value[1:] != value[:-1]) | (owner[1:] != owner[:-1])))
     begin = np.flatnonzero(change)
     end = np.concatenate((begin[1:], [len(at)])) - 1
-    return owner[begin], at[begin], at[end], value[begin]
+    moves = (full[begin] != full[end]) | (len(mers) > int(PLACE))
+    return owner[begin], at[begin], at[end], value[begin], moves
 
 
 def take_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
