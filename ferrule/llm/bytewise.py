@@ -15,7 +15,9 @@ MULTIPLIERS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 #: Bytes of text a task works on at a time.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 3 << 20
+#: Values whose prefixes span_hash holds at once.
+STRETCH = 1 << 18
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 9, 10, 11, 12, 13]] = True
@@ -79,21 +81,45 @@ def mix(h: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every input bit moves every output bit."""
     with np.errstate(over="ignore"):
         h = h ^ (h >> np.uint64(33))
-        h = h * np.uint64(0xFF51AFD7ED558CCD)
-        h = h ^ (h >> np.uint64(33))
-        h = h * np.uint64(0xC4CEB9FE1A85EC53)
-        return h ^ (h >> np.uint64(33))
+        h *= np.uint64(0xFF51AFD7ED558CCD)
+        h ^= h >> np.uint64(33)
+        h *= np.uint64(0xC4CEB9FE1A85EC53)
+        h ^= h >> np.uint64(33)
+        return h
 
 
 def span_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
-    """64-bit hashes of values[start:end] (bytes or 64-bit words) for many spans at once."""
+    """64-bit hashes of values[start:end] (bytes or 64-bit words) for many spans at once.
+
+    Spans in ascending order are hashed a stretch of values at a time, so that the
+    64-bit prefixes of a long buffer are never held whole.
+    """
+    if len(values) <= 2 * STRETCH or not len(starts) or (starts[1:] < starts[:-1]).any():
+        return _span_hash(values, starts, ends, which)
+    out = np.empty(len(starts), np.uint64)
+    i = 0
+    while i < len(starts):
+        j = max(i + 1, int(np.searchsorted(starts, starts[i] + STRETCH)))
+        base = starts[i]
+        out[i:j] = _span_hash(values[base : ends[i:j].max()], starts[i:j] - base, ends[i:j] - base, which)
+        i = j
+    return out
+
+
+def _span_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int) -> np.ndarray:
     n = len(values)
     up, down = _powers(n + 1, which)
     with np.errstate(over="ignore"):
         prefix = np.zeros(n + 1, np.uint64)
-        np.cumsum((values.astype(np.uint64) + np.uint64(1)) * up[:n], out=prefix[1:])
-        h = (prefix[ends] - prefix[starts]) * down[starts]
-        return mix(h + (ends - starts).astype(np.uint64) * MULTIPLIERS[1 - which])
+        part = values.astype(np.uint64)
+        part += np.uint64(1)
+        part *= up[:n]
+        np.cumsum(part, out=prefix[1:])
+        h = prefix[ends]
+        h -= prefix[starts]
+        h *= down[starts]
+        h += (ends - starts).astype(np.uint64) * MULTIPLIERS[1 - which]
+        return mix(h)
 
 
 def runs(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:

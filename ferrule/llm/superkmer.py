@@ -18,7 +18,7 @@ from . import bytewise as bw
 from .bytewise import slices  # noqa: F401
 
 #: Bytes of packed strings in a bucket.
-BUCKET_BYTES = 12 << 20
+BUCKET_BYTES = 6 << 20
 PLACE = np.uint64((1 << 24) - 1)
 _CODEC = "zstd"
 
