@@ -1,0 +1,180 @@
+"""Rule evaluation: rules are rows, compiled to Column expressions over rows of values.
+
+Values are columns, or a map<string,double> column; a missing or unreadable value is 0.
+"""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+OPERATORS: dict[str, Callable[[Column, Column], Column]] = {
+    ">": lambda a, b: a > b,
+    "<": lambda a, b: a < b,
+    ">=": lambda a, b: a >= b,
+    "<=": lambda a, b: a <= b,
+    "==": lambda a, b: a == b,
+    "!=": lambda a, b: a != b,
+}
+
+
+def number(value: Column) -> Column:
+    """A double, 0 where the value is null or unreadable."""
+    return F.coalesce(value.try_cast("double"), F.lit(0.0))
+
+
+def compare(op: Column, a: Column, b: Column) -> Column:
+    """a op b with the operator as data; an unknown operator is false."""
+    out = F.lit(False)
+    for name, f in OPERATORS.items():
+        out = F.when(op == name, f(a, b)).otherwise(out)
+    return out
+
+
+def lookup(values: str, key: Column) -> Column:
+    return number(F.try_element_at(F.col(values), key))
+
+
+def threshold(rows: DataFrame, rules: DataFrame, values: str = "values") -> DataFrame:
+    """Each row against each rule (rule_id, field, operator, bound): fired and a message where it did.
+
+    rules is a small table of definitions and is broadcast; rows are not shuffled.
+    """
+    joined = rows.join(F.broadcast(rules), F.lit(True))
+    value = lookup(values, F.col("field"))
+    fired = compare(F.col("operator"), value, F.col("bound"))
+    message = F.when(fired, F.concat_ws(" ", "field", "operator", F.col("bound").cast("int").cast("string")))
+    return joined.select("row_id", "rule_id", value.alias("value"), fired.alias("fired"), message.alias("message"))
+
+
+def variables(formula: str) -> list[str]:
+    return [v for v in re.split(r"[^A-Za-z_0-9一-鿿]+", formula) if v and not v[0].isdigit()]
+
+
+def formula(text: str, value: Callable[[str], Column]) -> Column:
+    """Two-variable formula: the first of * + - / that occurs in the text decides; /0 is null; other arities are null."""
+    names = variables(text)
+    if len(names) != 2:
+        return F.lit(None).cast("double")
+    a, b = (value(n) for n in names)
+    for sign, f in (("*", lambda: a * b), ("+", lambda: a + b), ("-", lambda: a - b), ("/", lambda: F.try_divide(a, b))):
+        if sign in text:
+            return f()
+    return F.lit(None).cast("double")
+
+
+def condition(text: str, value: Callable[[str], Column], names: list[str]) -> Column:
+    """`field op number`, split at spaces; the last known field that occurs in the text is compared."""
+    parts = text.split(" ")
+    known = [n for n in names if n in text]
+    if len(parts) != 3 or not known or parts[1] not in OPERATORS:
+        return F.lit(False)
+    try:
+        bound = float(parts[2])
+    except ValueError:
+        return F.lit(False)
+    return OPERATORS[parts[1]](value(known[-1]), F.lit(bound))
+
+
+def freeform(text: str, value: Callable[[str], Column], constraint: str | None = None) -> Column:
+    """Relation formula: a²bc with a square and three names, (a-b)/c, a/b as a percentage, or a product of two."""
+    names = variables(text.replace("²", " ² "))
+    v = [value(n) for n in names]
+    if "²" in text and len(v) == 3:
+        return v[0] * v[0] * v[1] * v[2]
+    if "-" in text and "/" in text and len(v) == 3:
+        return F.try_divide(v[0] - v[1], v[2])
+    if "/" in text and ("×" in text or "100" in text) and len(v) == 2:
+        return F.try_divide(v[0], v[1]) * 100
+    return v[0] * v[1] if len(v) == 2 else F.lit(None).cast("double")
+
+
+def categorical(category: str, text: str, value: Callable[[str], Column], reference: str | None = None, tolerance: float = 0.0) -> tuple[Column, Column]:
+    """(result, passed) of a rule by its category.
+
+    PHYSICAL_FORMULA multiplies all where × or * occurs, even beside a square or a slash;
+    BUSINESS_RULE knows only >, with 万 read as four zeros; anything else there is an error (null).
+    """
+    names = variables(text.replace("²", " ² "))
+    v = [value(n) for n in names]
+    none, yes = F.lit(None).cast("double"), F.lit(True)
+    if category == "PHYSICAL_FORMULA":
+        if "×" in text or "*" in text:
+            out = v[0]
+            for x in v[1:]:
+                out = out * x
+            return out, yes
+        if "/" in text:
+            return (F.try_divide(v[0] - v[1], v[2]) if "-" in text and len(v) == 3 else F.try_divide(v[0], v[1])), yes
+        return (v[0] * v[0] if "²" in text else none), yes
+    if category == "BUSINESS_RULE":
+        field, sign, bound = text.partition(">")
+        try:
+            limit = float(bound.replace("万", "0000").replace(",", ""))
+        except ValueError:
+            return none, F.lit(None).cast("boolean")
+        got = value(field.strip())
+        return got, (got > limit if sign else F.lit(None).cast("boolean"))
+    if category == "THRESHOLD":
+        got, base = v[0], value(reference or names[-1])
+        over = F.coalesce(F.round(F.try_divide(got - base, base) * 100, 1), F.lit(0.0))
+        return over, (got <= base * (1 + tolerance)) & (got >= base * (1 - tolerance))
+    if category == "DERIVED_CALC":
+        return F.round(F.try_divide(v[0], v[1]) * 100, 1), yes
+    return none, F.lit(None).cast("boolean")
+
+
+def chain(rows: DataFrame, steps: list[tuple[str, str, str]], value: Callable[[str], Column]) -> DataFrame:
+    """An ordered cascade of formulas: (kind, text, result name) steps, FORMULA or CONDITION.
+
+    Later steps see earlier results as step<n>_result and by name; triggered counts the
+    conditions that held. The fold happens when the plan is built; at run time it is one projection.
+    """
+    known: dict[str, Column] = {}
+    get = lambda n: known[n] if n in known else value(n)
+    fired = []
+    out = rows
+    for i, (kind, text, name) in enumerate(steps, 1):
+        if kind == "CONDITION":
+            held = condition(text, get, [*known, *rows.columns])
+            fired.append(F.coalesce(held, F.lit(False)).cast("int"))
+            result = held.cast("int").cast("double")
+        else:
+            result = formula(text, get)
+        out = out.withColumn(f"step{i}_result", result)
+        known[f"step{i}_result"] = known[name] = F.coalesce(F.col(f"step{i}_result"), F.lit(0.0))
+    total = fired[0] if fired else F.lit(0)
+    for x in fired[1:]:
+        total = total + x
+    return out.withColumn("triggered", total)
+
+
+def with_eav(values: DataFrame, manual: DataFrame) -> DataFrame:
+    """object_id, values: attribute numbers of each entity, overridden by manual ones."""
+    eav = values.groupBy("object_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", "number")))).alias("eav"))
+    hand = manual.groupBy("object_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", "number")))).alias("hand"))
+    empty = F.create_map().cast("map<string,double>")
+    joined = eav.join(hand, "object_id", "full_outer")
+    hand_map, eav_map = F.coalesce("hand", empty), F.coalesce("eav", empty)
+    kept = F.map_filter(eav_map, lambda k, v: ~F.map_contains_key(hand_map, k))
+    return joined.select("object_id", F.map_concat(kept, hand_map).alias("values"))
+
+
+def alert_scan(values: DataFrame, rules: DataFrame, per_rule: int = 100) -> DataFrame:
+    """Alerts of threshold rules over attribute values whose name contains the rule's field.
+
+    At most per_rule values of a rule are looked at, the smallest entity ids first; the
+    window keeps per_rule rows a task before the shuffle.
+    """
+    hit = values.join(F.broadcast(rules), F.col("name").contains(F.col("field")))
+    w = Window.partitionBy("rule_id").orderBy("entity_id", "name")
+    hit = hit.withColumn("seen", F.row_number().over(w)).where(F.col("seen") <= per_rule)
+    return hit.where(compare(F.col("operator"), number(F.col("raw")), F.col("bound"))).select("rule_id", "entity_id", "name", "level", number(F.col("raw")).alias("value"))
+
+
+def alert_summary(alerts: DataFrame) -> DataFrame:
+    open_ = ~F.col("resolved")
+    return alerts.groupBy("level").agg(F.count(F.lit(1)).alias("total"), F.count_if(open_).alias("unresolved"))

@@ -1,6 +1,11 @@
-"""All registered queries of the reference's operators, with their SQL twins."""
+"""All registered queries of the engine's own operators, with their SQL twins."""
 
 from __future__ import annotations
 
+from . import analytics, dedup, eav, lifecycle, mining, rules, sources
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+for module in (analytics, dedup, eav, lifecycle, mining, rules, sources):
+    QUERIES |= module.QUERIES
+    ORACLES |= module.ORACLES
