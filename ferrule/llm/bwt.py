@@ -2,12 +2,13 @@
 
 A shard is a collection of byte strings, each closed by a terminator that sorts before
 all bytes and differs from every other terminator. Its suffixes are sorted once, to a
-fixed depth. Shards are merged without sorting their suffixes again: the interleave, which
-says from which shard each merged position comes, starts as the shards side by side
-and is refined depth times by a stable distribution of its transform's symbols; after
-k rounds it is right for the first k symbols. A border that first appears between two
-positions in round k + 1 means a common prefix of k symbols, so the positions without a
-border after `depth` rounds are the intervals of equal prefixes of that length.
+fixed depth. Shards are merged without sorting their suffixes again: the interleave, the
+merged order of the shards' rows, starts as the shards side by side and is refined depth
+times by a stable distribution of its transform's symbols; after k rounds it is right
+for the first k symbols. A border that first appears between two rows in round k + 1
+means a common prefix of k symbols, so the rows without a border after `depth` rounds
+are the intervals of equal prefixes of that length. A row with borders on both sides
+stays alone in every later round and is dropped from the interleave.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from __future__ import annotations
 import numpy as np
 
 
-def _pack8(symbols: np.ndarray) -> np.ndarray:
+def _pack7(symbols: np.ndarray) -> np.ndarray:
     """The first seven 9-bit symbols at each place as one integer."""
     n = len(symbols)
     key = np.zeros(n, np.uint64)
@@ -30,25 +31,35 @@ def _pack8(symbols: np.ndarray) -> np.ndarray:
 def suffix_array(symbols: np.ndarray, depth: int) -> np.ndarray:
     """Places of symbols in the order of their suffixes' first `depth` symbols, ties by place.
 
-    Symbols are byte + 1, terminators 0; ranks of prefixes are doubled until depth.
+    Symbols are byte + 1, terminators 0. Prefixes are doubled until depth; only suffixes
+    whose prefix is still shared are sorted again.
     """
     n = len(symbols)
     # what stands behind a terminator must not count: distance to the terminator bounds a prefix
     place = np.arange(n)
     stops = np.flatnonzero(symbols == 0)
     left = stops[np.searchsorted(stops, place)] - place
-    key = _pack8(symbols)
-    short = np.minimum(left + 1, 7).astype(np.uint64)
-    key = key >> (np.uint64(9) * (np.uint64(7) - short)) << (np.uint64(9) * (np.uint64(7) - short))
+    key = _pack7(symbols)
+    short = np.uint64(9) * (np.uint64(7) - np.minimum(left + 1, 7).astype(np.uint64))
+    key = key >> short << short
     order = np.argsort(key, kind="stable")
-    rank = np.zeros(n, np.int64)
-    rank[order] = np.concatenate(([0], np.cumsum(key[order][1:] != key[order][:-1])))
+    key = key[order]
+    new = np.concatenate(([True], key[1:] != key[:-1]))
+    rank = np.empty(n, np.int64)
+    rank[order] = np.maximum.accumulate(np.where(new, place, 0))
     have = 7
     while have < depth:
-        after = np.where(left >= have, rank[np.minimum(place + have, n - 1)] + 1, 0)
-        pair = rank * (n + 1) + after
-        order = np.argsort(pair, kind="stable")
-        rank[order] = np.concatenate(([0], np.cumsum(pair[order][1:] != pair[order][:-1])))
+        slots = np.flatnonzero(~(new & np.concatenate((new[1:], [True]))))
+        if not len(slots):
+            break
+        sub = order[slots]
+        after = np.where(left[sub] >= have, rank[np.minimum(sub + have, n - 1)] + 1, 0)
+        pair = rank[sub] * (n + 1) + after
+        by = np.argsort(pair, kind="stable")
+        sub, pair = sub[by], pair[by]
+        fresh = np.concatenate(([True], pair[1:] != pair[:-1]))
+        order[slots], new[slots] = sub, fresh
+        rank[sub] = slots[np.maximum.accumulate(np.where(fresh, np.arange(len(slots)), 0))]
         have *= 2
     return order
 
@@ -60,34 +71,32 @@ def transform(symbols: np.ndarray, places: np.ndarray) -> np.ndarray:
 
 
 def merge(transforms: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """(shard of each merged position, border flags) after `depth` rounds of refinement.
+    """(row, group) of the rows, over the shards side by side, that share `depth` symbols with another row.
 
-    A border before a position means that its first `depth` symbols differ from those
-    of the position before, or a terminator comes among them.
+    Rows come in merged order, group by group.
     """
-    sizes = [len(t) for t in transforms]
-    n = sum(sizes)
-    shard = np.repeat(np.arange(len(sizes), dtype=np.uint8), sizes)
-    group = np.zeros(n, np.int32)
-    ends = np.array([int((t == 0).sum()) for t in transforms])
-    m = int(ends.sum())
-    top = np.repeat(np.arange(len(sizes), dtype=np.uint8), ends)
-    symbol = np.empty(n, np.uint16)
-    border = np.zeros(n, bool)
-    for _ in range(depth):
-        for s, t in enumerate(transforms):
-            symbol[shard == s] = t
-        order = np.argsort(symbol, kind="stable")[m:]
-        source = group[order]
-        c = symbol[order]
-        border[: m + 1] = True  # terminators all differ
-        border[m + 1 :] = (c[1:] != c[:-1]) | (source[1:] != source[:-1])
-        shard = np.concatenate((top, shard[order]))
-        fresh = np.cumsum(border, dtype=np.int32)
-        if fresh[-1] == n:
-            break  # no two prefixes are equal any more
-        group = fresh
-    return shard, border
+    symbol = np.concatenate(transforms)
+    step = np.empty(len(symbol), np.int32)  # row of the suffix that has one symbol more in front
+    at = 0
+    for t in transforms:
+        step[at + np.argsort(t, kind="stable")] = np.arange(at, at + len(t), dtype=np.int32)
+        at += len(t)
+    row = np.arange(len(symbol), dtype=np.int32)
+    group = np.zeros(len(symbol), np.int32)
+    for k in range(depth):
+        c = symbol[row]
+        by = np.argsort(c, kind="stable")
+        by = by[int((c == 0).sum()) :]  # terminators all differ
+        c, row, group = c[by], step[row[by]], group[by]
+        border = np.empty(len(by) + 1, bool)
+        border[0] = border[-1] = True
+        np.not_equal(c[1:], c[:-1], out=border[1:-1])
+        border[1:-1] |= group[1:] != group[:-1]
+        group = np.cumsum(border[:-1], dtype=np.int32)
+        if k % 3 == 2 or k == depth - 1:
+            shared = ~(border[:-1] & border[1:])
+            row, group = row[shared], group[shared]
+    return row, group
 
 
 def equal_prefixes(shards: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -98,11 +107,10 @@ def equal_prefixes(shards: list[np.ndarray], depth: int) -> tuple[np.ndarray, np
     shards = [s for s in shards if len(s)]
     if not shards:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    if max(int(s.max()) for s in shards) < 256:  # text: no byte above 0xF4, and one-byte symbols sort faster
+        shards = [s.astype(np.uint8) for s in shards]
     places = [suffix_array(s, depth) for s in shards]
-    came, border = merge([transform(s, p) for s, p in zip(shards, places)], depth)
-    first = np.cumsum([0, *[len(s) for s in shards]])
-    where = np.empty(len(came), np.int64)
-    for i, p in enumerate(places):
-        where[came == i] = p + first[i]
-    alone = border & np.concatenate((border[1:], [True]))
-    return where[~alone], np.cumsum(border)[~alone]
+    row, group = merge([transform(s, p) for s, p in zip(shards, places)], depth)
+    first = np.cumsum([0, *[len(s) for s in shards[:-1]]])
+    every = np.concatenate([p + f for p, f in zip(places, first)])
+    return every[row], group.astype(np.int64)

@@ -32,7 +32,7 @@ from . import superkmer as sk
 from .substring_dedup import _rows, count_buckets
 
 WIDTH, MER = 100, 16
-SHARDS = 4
+SHARDS = 3
 NAMES = ["text", "length", "doc", "key", "first", "least", "again"]
 EXPANSION = 3.4
 NULL_ID = np.iinfo(np.int64).min
@@ -68,9 +68,13 @@ def ship(docs: DataFrame, width: int, buckets: int) -> DataFrame:
                 later[order[begin]] = False
                 head = order[begin]
                 send = np.ones(len(head), bool)
-                for g in np.flatnonzero(size > 1) if not hot else range(len(head)):
+                names = np.stack([a[head], b[head]], 1).view("S16").ravel()
+                met = size > 1
+                if hot:
+                    met |= np.isin(names, np.array(list(hot), "S16"))
+                for g in np.flatnonzero(met):
                     i = head[g]
-                    name = a[i].tobytes() + b[i].tobytes()
+                    name = bytes(names[g])  # without trailing zero bytes, on both sides
                     own = (int(doc_id[doc[i]]), int(key[doc[i]]), int(first[i]))
                     best = hot.get(name)
                     if best is not None and best <= own:
