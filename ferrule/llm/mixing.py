@@ -62,7 +62,8 @@ def targets(sizes: DataFrame, weights: list[float], share: float, repeat: float)
     rows = rows.withColumn("all", F.lit(float(share)) * F.sum("source_size").over(everything)).withColumn("all_w", F.sum("w").over(everything))
     rows = rows.withColumn("level", (F.col("all") - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / (F.col("all_w") - F.coalesce(F.sum("w").over(before), F.lit(0.0))))
     # the first source whose own level stays under its ratio sets the level of all later ones
-    level = F.min(F.when(F.col("level") <= F.col("ratio"), F.struct("ratio", "level"))).over(everything)["level"]
+    rows = rows.withColumn("place", F.row_number().over(Window.orderBy("ratio", F.col("source").asc_nulls_last())))
+    level = F.min(F.when(F.col("level") <= F.col("ratio"), F.struct("place", "level"))).over(everything)["level"]
     return rows.withColumn("final", level).select("source", "source_size", F.when(F.col("final").isNull() | (F.col("ratio") <= F.col("final")), F.col("cap")).otherwise(F.col("w") * F.col("final")).alias("target"))
 
 
