@@ -345,10 +345,19 @@ def join(docs: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD, reca
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """docs with one document of each class: the one with the least id (ties: the least row key)."""
-    classes = join(docs, **options)
-    alone = classes.where("n_links = 0").select("doc_id", "key")
-    first = classes.where("n_links > 0").groupBy("class_id").agg(F.min(F.struct("doc_id", "key")).alias("f")).select("f.doc_id", "f.key")
-    kept = alone.unionByName(first).select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"))
-    rows = docs.withColumn("__k", common.row_key(docs))
-    return rows.join(kept, (rows["__k"] == kept["__key"]) & rows["doc_id"].eqNullSafe(kept["__id"]), "left_semi").drop("__k")
+    """docs with one document of each class: the one with the least id (ties: the least row key).
+
+    Only the rows that go are looked up; of rows identical in id and text one stays.
+    """
+    classes = common.cut(join(docs, **options).where("n_links > 0").select("doc_id", "key", "class_id"))
+    first = classes.groupBy("class_id").agg(F.min(F.struct("doc_id", "key")).alias("f")).select(F.col("f.doc_id").alias("doc_id"), F.col("f.key").alias("__k"))
+    first = common.cut(first)
+    seen = classes.groupBy("doc_id", F.col("key").alias("__k")).agg(F.count(F.lit(1)).alias("n"))
+    same = (F.col("__k") == F.col("__f")) & F.col("doc_id").eqNullSafe(F.col("__i"))
+    gone = seen.join(first.select(F.col("doc_id").alias("__i"), F.col("__k").alias("__f")), same, "left_anti")
+    again = common.cut(seen.where("n > 1").join(first.select(F.col("doc_id").alias("__i"), F.col("__k").alias("__f")), same, "left_semi").select("doc_id", "__k"))
+    rows = common.small_join(docs.withColumn("__k", common.row_key(docs)), common.cut(gone.select("doc_id", "__k")), ["doc_id", "__k"], "left_anti", F.col("__k"))
+    if not again.isEmpty():
+        twice = common.small_join(rows, again, ["doc_id", "__k"], "left_semi", F.col("__k")).dropDuplicates(["doc_id", "__k"])
+        rows = common.small_join(rows, again, ["doc_id", "__k"], "left_anti", F.col("__k")).unionByName(twice)
+    return rows.drop("__k")
