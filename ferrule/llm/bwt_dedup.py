@@ -97,7 +97,7 @@ def ship(docs: DataFrame, width: int, buckets: int) -> DataFrame:
                 bucket = (bw.mix(least[head]) % np.uint64(buckets)).astype(np.int64)
                 for which, i in sk.by_bucket(bucket):
                     g = head[i]
-                    blobs.append(sk.pack({"text": sk.take_spans(raw, lo[g], hi[g]), "length": (hi - lo)[g].astype(np.uint32), "doc": doc_id[doc[g]], "key": key[doc[g]], "first": first[g].astype(np.int64), "least": least[g], "again": again[g]}))
+                    blobs.append(sk.pack({"text": sk.take_spans(raw, lo[g], hi[g]), "length": (hi - lo)[g].astype(np.uint32), "doc": doc_id[doc[g]], "key": key[doc[g]], "first": first[g].astype(np.int32), "least": least[g].astype(np.uint32), "again": again[g]}))
                     where.append(which)
                 if where:
                     none = [None] * len(where)
@@ -110,7 +110,7 @@ def later_windows(bucket: list[dict[str, np.ndarray]], width: int) -> tuple[np.n
     """(key, lo, hi) of the byte spans of a bucket covered by windows that also start earlier."""
     join = lambda name: np.concatenate([x[name] for x in bucket])
     text, length, doc, key, first, least, again = (join(n) for n in NAMES)
-    length = length.astype(np.int64)
+    length, first = length.astype(np.int64), first.astype(np.int64)
     shard = np.repeat(np.arange(len(bucket)) % SHARDS, [len(x["length"]) for x in bucket])
     lo = np.cumsum(length) - length
     rank = np.lexsort((first, key, doc))

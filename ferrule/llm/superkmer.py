@@ -60,7 +60,7 @@ def pack(arrays: dict[str, np.ndarray]) -> bytes:
         a = np.ascontiguousarray(arrays[name])
         out.write(a.dtype.str.encode().ljust(8) + len(a).to_bytes(8, "little") + a.tobytes())
     raw = out.getvalue()
-    return len(raw).to_bytes(8, "little") + pa.Codec(_CODEC, 1).compress(raw, asbytes=True)
+    return len(raw).to_bytes(8, "little") + pa.Codec(_CODEC, 3).compress(raw, asbytes=True)
 
 
 def unpack(data: bytes, names: list[str]) -> dict[str, np.ndarray]:
