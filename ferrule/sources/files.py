@@ -110,9 +110,16 @@ def probe_encoding(head: bytes) -> str:
 
 
 def read_csv(spark: SparkSession, path: str, probe_bytes: int = 1 << 16) -> DataFrame:
-    """A CSV with a header, all columns strings; the encoding is probed on its first bytes through Spark."""
+    """A CSV with a header, all columns strings; the encoding is probed on its first bytes through Spark.
+
+    GB18030 is none of the character sets Spark reads by default; the session setting that
+    admits all of Java's is turned on when such a file is met.
+    """
     head = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, probe_bytes).alias("h")).first()["h"]
-    return spark.read.option("header", True).option("inferSchema", False).option("encoding", probe_encoding(bytes(head))).csv(path)
+    encoding = probe_encoding(bytes(head))
+    if encoding != "UTF-8":
+        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+    return spark.read.option("header", True).option("inferSchema", False).option("encoding", encoding).csv(path)
 
 
 def read_extractions(spark: SparkSession, path: str, skip: tuple[str, ...] = ("global_extraction", "sample_join")) -> DataFrame:
