@@ -7,8 +7,9 @@ probability of their Jaccard similarity. A run splits all sets recursively: a se
 about SPLIT of its tokens by a hash of the path so far, and meets the sets that chose the
 same token. Buckets of at most SMALL sets are compared by brute force; larger ones are
 split again. Runs are repeated until the chance of missing a pair at the threshold is
-below 1 - recall. Buckets still large after DEPTH splits are groups of near copies: they
-are compared block against block. Candidates are verified on the whole sets exactly.
+below 1 - recall. Large buckets whose sets are alike on average are groups of near copies,
+which no split can part; these, and what is still large after DEPTH splits, are compared
+block against block. Candidates are verified on the whole sets exactly.
 
 What is returned grows with documents: counts of links and a class per document. Large
 groups send counts and spanning edges, never their pairs.
@@ -23,6 +24,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +36,10 @@ from . import common
 from .components import components
 
 WIDTH, THRESHOLD, RECALL = 5, 0.8, 0.9995
-BINS, SPLIT, SMALL, DEPTH = 64, 1.5, 40, 4
-BLOCK = 384
+BINS, SPLIT, SMALL, DEPTH = 64, 2.0, 40, 3
+BLOCK = 1024
+#: A large bucket of at least this mean similarity is split no further.
+COHERENT = 0.5
 #: Candidates whose sketches agree in less than this share are not verified: four
 #: standard deviations below the threshold.
 SKETCH_MARGIN = 0.2
@@ -86,8 +90,18 @@ def sketch(sets: list[np.ndarray]) -> tuple[list[bytes | None], np.ndarray, np.n
     return [both[i].tobytes() if size[i] else None for i in range(len(sets))], size, rows
 
 
+def bits_of(rows: np.ndarray) -> np.ndarray:
+    """One bit of each bin of sketches as a 64-bit code; empty bins get bits that agree by chance only."""
+    bit = bw.mix(rows.reshape(-1)).reshape(rows.shape) & np.uint64(1)
+    with np.errstate(over="ignore"):
+        own = bw.mix(rows.sum(1, dtype=np.uint64))
+    chance = own[:, None] >> np.arange(BINS, dtype=np.uint64)[None] & np.uint64(1)
+    bit = np.where(rows == NONE, chance, bit)
+    return np.bitwise_or.reduce(bit << np.arange(BINS, dtype=np.uint64)[None], axis=1).view(np.int64)
+
+
 def sketched(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, key, sig, n, sk (array<int>, null for an empty bin): one row a document."""
+    """doc_id, key, sig, n, sk (array<int>, null for an empty bin), code (see bits_of): one row a document."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in bw.slices(whole, 2)):
@@ -95,37 +109,65 @@ def sketched(docs: DataFrame, width: int) -> DataFrame:
             empty = (rows == NONE).reshape(-1)
             value = bw.mix(rows.reshape(-1)).astype(np.uint32).view(np.int32)
             sk = pa.ListArray.from_arrays(np.arange(0, len(value) + 1, BINS, dtype=np.int32), pa.array(value, mask=empty))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sig, pa.binary()), pa.array(n, pa.int32()), sk], ["doc_id", "key", "sig", "n", "sk"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sig, pa.binary()), pa.array(n, pa.int32()), sk, pa.array(bits_of(rows), pa.int64())], ["doc_id", "key", "sig", "n", "sk", "code"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.row_key(docs).alias("key"), "text").mapInArrow(task, "doc_id long, key long, sig binary, n int, sk array<int>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.row_key(docs).alias("key"), "text").mapInArrow(task, "doc_id long, key long, sig binary, n int, sk array<int>, code long")
 
 
 def split(frontier: DataFrame, sketches: DataFrame) -> DataFrame:
-    """The buckets after one more choice: path, sig for each chosen token of each (path, sig)."""
-    rows = frontier.join(sketches.select("sig", "sk"), "sig")
+    """The buckets after one more choice: path, sig, code for each chosen token of each (path, sig)."""
+    rows = frontier.join(sketches.select("sig", "sk", "code"), "sig")
     full = F.size(F.filter("sk", lambda v: v.isNotNull()))
     limit = F.lit(float(1 << 32)) * SPLIT / full
     tokens = F.transform("sk", lambda v, i: F.struct(v.alias("v"), i.alias("i"), F.pmod(F.xxhash64("path", i), F.lit(1 << 32)).alias("h")))
     chosen = F.filter(tokens, lambda t: t["v"].isNotNull() & (t["h"] < limit))
-    return rows.select("sig", F.explode(chosen).alias("t"), "path").select(F.xxhash64("path", "t.i", "t.v").alias("path"), "sig")
+    return rows.select("sig", "code", F.explode(chosen).alias("t"), "path").select(F.xxhash64("path", "t.i", "t.v").alias("path"), "sig", "code")
+
+
+def coherent(frontier: DataFrame) -> DataFrame:
+    """path of the buckets whose mean pairwise similarity is at least COHERENT, by the counts of each bit.
+
+    With a share p of ones, two random members agree in a bit with p^2 + (1 - p)^2, and
+    in (1 + similarity) / 2 of all bits. Counts are partial sums of 64 numbers a bucket.
+    """
+    ones = [F.avg(F.getbit("code", F.lit(i))).alias(f"p{i}") for i in range(BINS)]
+    agree = [F.pow(F.col(f"p{i}"), 2) + F.pow(1 - F.col(f"p{i}"), 2) for i in range(BINS)]
+    mean = F.aggregate(F.array(*agree), F.lit(0.0), lambda acc, v: acc + v) / BINS
+    return frontier.groupBy("path").agg(*ones).where(2 * mean - 1 >= COHERENT).select("path")
 
 
 def leaves(sketches: DataFrame, runs: int) -> tuple[DataFrame, DataFrame]:
-    """(small, large): (path, sig) of buckets of 2 to SMALL sets, and of those still larger after DEPTH splits."""
+    """(small, large): (path, sig) of buckets of 2 to SMALL sets, and of larger ones that are coherent or left after DEPTH splits."""
     frontier = sketches.select("sig", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(runs).cast("long"))).alias("path"))
-    small = None
+    small, large = [], []
     for depth in range(DEPTH):
         rows = common.cut(split(frontier, sketches))
-        sizes = rows.groupBy("path").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-        sizes = common.cut(sizes)
-        hot = sizes.where(F.col("m") > SMALL).select("path")
-        pairs = sizes.where(F.col("m") <= SMALL).select("path")
-        cold = rows.join(pairs, "path", "left_semi")
-        small = cold if small is None else small.unionByName(cold)
-        frontier = common.cut(common.small_join(rows, hot, ["path"], "inner", F.xxhash64("sig")))
-        if depth == DEPTH - 1 or frontier.isEmpty():
+        sizes = common.cut(rows.groupBy("path").agg(F.count(F.lit(1)).alias("m")).where("m > 1"))
+        small.append(rows.join(sizes.where(F.col("m") <= SMALL).select("path"), "path", "left_semi"))
+        hot = common.cut(common.small_join(rows, sizes.where(F.col("m") > SMALL).select("path"), ["path"], "inner", F.xxhash64("sig")))
+        if depth == DEPTH - 1:
+            large.append(hot)
+            break
+        done = common.cut(coherent(hot).withColumn("done", F.lit(True)))
+        hot = common.cut(common.small_join(hot, done, ["path"], "left", F.xxhash64("sig")))
+        large.append(hot.where("done"))
+        frontier = hot.where("done is null").select("path", "sig")
+        if frontier.isEmpty():
             break
-    return small, frontier
+    union = lambda parts: reduce(DataFrame.unionByName, [x.select("path", "sig") for x in parts])
+    return union(small), common.cut(union(large))
+
+
+def groups(large: DataFrame) -> DataFrame:
+    """sig, gid: the sets of large buckets, those of connected buckets in one group.
+
+    Only buckets are joined: each set links its buckets to the least of them, and equal
+    links of many sets are one.
+    """
+    own = common.cut(large.groupBy("sig").agg(F.sort_array(F.collect_set("path")).alias("paths")).withColumn("hub", F.element_at("paths", 1)))
+    links = own.select(F.col("hub").alias("a"), F.explode("paths").alias("b")).where("a <> b").distinct()
+    label = common.cut(components(links).select(F.col("node").alias("hub"), "label"))
+    return common.small_join(own.select("sig", "hub"), label, ["hub"], "left", F.xxhash64("sig")).select("sig", F.xxhash64(F.coalesce("label", "hub")).alias("gid"))
 
 
 def candidates(small: DataFrame, reps: DataFrame) -> DataFrame:
@@ -293,10 +335,13 @@ def compare_blocks(members: DataFrame, threshold: float) -> DataFrame:
                 diff = [np.frombuffer(x, np.uint64) for x in t["diff"].to_pylist()]
                 left = t["block"].to_numpy() == t["lo"].to_numpy()
                 same = t["lo"][0].as_py() == t["hi"][0].as_py()
-                both = t["whole"].to_numpy()[:, None] - gone[:, None] - gone[None] + overlaps(diff)
-                linked = both >= threshold * (size[:, None] + size[None] - both)
-                np.fill_diagonal(linked, False)
-                count = linked if same else linked & (left[:, None] ^ left[None])
+                l, r = (np.arange(len(sig)), np.arange(len(sig))) if same else (np.flatnonzero(left), np.flatnonzero(~left))
+                both = overlaps(diff) if same else overlaps([diff[i] for i in l], [diff[i] for i in r])
+                both += t["whole"].to_numpy()[l, None] - gone[l, None] - gone[None, r]
+                count = np.zeros((len(sig), len(sig)), bool)
+                count[np.ix_(l, r)] = both >= threshold * (size[l, None] + size[None, r] - both)
+                count |= count.T
+                np.fill_diagonal(count, False)
                 links = count @ copies
                 tree = spanning(count)
                 yield pa.RecordBatch.from_arrays([pa.array([*sig, *(sig[i] for i, _ in tree)], pa.binary()), pa.array([*[None] * len(sig), *(sig[j] for _, j in tree)], pa.binary()), pa.array([*links.tolist(), *[None] * len(tree)], pa.int64())], ["sig", "other", "links"])
@@ -315,15 +360,10 @@ def join(docs: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD, reca
     """doc_id, key, class_id (least id of the class), n_links and n_shingles, one row a document row."""
     common.prepare(docs.sparkSession)
     rows = common.cut(sketched(docs, width))
-    reps = rows.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("least"), F.min("key").alias("key"), F.count(F.lit(1)).alias("copies"), F.max("n").alias("n"), F.first("sk").alias("sk"))
+    reps = rows.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("least"), F.min("key").alias("key"), F.count(F.lit(1)).alias("copies"), F.max("n").alias("n"), F.first("sk").alias("sk"), F.first("code").alias("code"))
     reps = common.cut(reps)
-    small, large = leaves(reps.select("sig", "sk"), runs_for(recall, threshold))
-    if large.isEmpty():
-        member = large.select("sig", F.lit(0).cast("long").alias("gid"))
-    else:
-        as_node = large.select(F.sha2(F.col("path").cast("string"), 256).cast("binary").alias("a"), F.col("sig").alias("b"))
-        member = components(as_node).select(F.col("node").alias("sig"), F.xxhash64("label").alias("gid")).join(large.select("sig").distinct(), "sig", "left_semi")
-    member = common.cut(member)
+    small, large = leaves(reps.select("sig", "sk", "code"), runs_for(recall, threshold))
+    member = common.cut(groups(large))
     known = common.cut(common.small_join(reps.select("sig", "n", "key", "copies"), member, ["sig"], "left", F.xxhash64("sig")))
     pairs = common.cut(alike(candidates(small, known), reps))
     slots = pairs.select("path", F.explode(F.array("a", "b")).alias("sig")).groupBy("sig").agg(F.collect_set("path").alias("slots"))
