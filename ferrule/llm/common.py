@@ -16,15 +16,18 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of a side that may be broadcast; larger sides take the salted join.
 BROADCAST_ROWS = 200_000
 SALTS = 32
+#: Bytes of an Arrow batch: what a task holds beside the slice that it works on.
+BATCH_BYTES = 8 << 20
 
 
 def prepare(spark: SparkSession) -> None:
-    """Let Python workers import this package, and give the session a checkpoint folder.
+    """Let Python workers import this package, bound Arrow batches by bytes, and give the session a checkpoint folder.
 
     The folder is the one named by spark.checkpoint.dir; a local one is made only
     where that setting is absent (single-machine sessions, tests).
     """
     workers_import(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(shared_root(spark))

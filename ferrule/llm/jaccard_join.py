@@ -40,6 +40,8 @@ BINS, SPLIT, SMALL, DEPTH = 64, 2.0, 40, 3
 BLOCK = 1024
 #: A large bucket of at least this mean similarity is split no further.
 COHERENT = 0.5
+#: Bytes of text a worker cuts into n-grams at a time.
+SLICE = 1 << 20
 #: Candidates whose sketches agree in less than this share are not verified: four
 #: standard deviations below the threshold.
 SKETCH_MARGIN = 0.2
@@ -104,7 +106,7 @@ def sketched(docs: DataFrame, width: int) -> DataFrame:
     """doc_id, key, sig, n, sk (array<int>, null for an empty bin), code (see bits_of): one row a document."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for whole in batches for part in bw.slices(whole, 2)):
+        for batch in (part for whole in batches for part in bw.slices(whole, 2, SLICE)):
             sig, n, rows = sketch(shingle_sets(*bw.utf8(batch.column(2)), width))
             empty = (rows == NONE).reshape(-1)
             value = bw.mix(rows.reshape(-1)).astype(np.uint32).view(np.int32)
@@ -196,7 +198,7 @@ def with_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     rows = common.small_join(texts, wanted, ["key"], "inner", F.xxhash64("text")).select("sig", "slots", "copies", "text")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for whole in batches for part in bw.slices(whole, 3)):
+        for batch in (part for whole in batches for part in bw.slices(whole, 3, SLICE)):
             sets = shingle_sets(*bw.utf8(batch.column(3)), width)
             slots = batch.column(1).to_pylist()
             out = [(slot, i) for i, s in enumerate(slots) for slot in s]

@@ -150,11 +150,14 @@ def mixed_texts(docs: DataFrame, mixed: DataFrame, repeat: float = 2.0) -> DataF
     rows = docs.withColumn("__k", common.row_key(docs))
     joined = rows.join(took, (rows["doc_id"].eqNullSafe(took["__id"])) & (rows["__k"] == took["__key"]))
     words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    joined = joined.withColumn("__words", words)
     laps = F.sequence(F.lit(1), F.lit(int(-(-repeat // 1))))
-    one = lambda lap: F.flatten(F.transform(F.filter("pieces", lambda p: p["times"] >= lap), lambda p: F.slice("__words", (p["start"] + 1).cast("int"), p["length"].cast("int"))))
-    text = F.array_join(F.flatten(F.transform(laps, one)), " ")
-    out = joined.withColumn("text", text)
+
+    def taken(words: Column) -> Column:
+        one = lambda lap: F.flatten(F.transform(F.filter("pieces", lambda p: p["times"] >= lap), lambda p: F.slice(words, (p["start"] + 1).cast("int"), p["length"].cast("int"))))
+        return F.array_join(F.flatten(F.transform(laps, one)), " ")
+
+    # the words are bound once as the element of a one-element array, else each piece splits the text again
+    out = joined.withColumn("text", F.element_at(F.transform(F.array(words), taken), 1))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast("long"))
     return out.select(*docs.columns)

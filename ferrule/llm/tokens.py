@@ -32,7 +32,7 @@ from . import common, dac, storage
 
 SEGMENT = 1 << 22
 #: Entries of a worker's table of pieces before it starts anew.
-KNOWN_PIECES = 1_500_000
+KNOWN_PIECES = 400_000
 _STATE: dict = {}
 
 
