@@ -157,44 +157,3 @@ def linkage(v: np.ndarray, k: int | None = None, distance: float | None = None)
 
 def target_clusters(n: int, target: int | None = 15) -> int:
     return max(1, min(target or max(5, min(20, n // 20)), max(5, n // 10), 20))
-
-
-def agglomerate(vectors: DataFrame, group: str, target: int | None = 15, distance: float | None = None, limit: int = 20_000) -> DataFrame:
-    """(group, id, cluster) by average linkage inside each group; groups are checked to be at most limit."""
-    workers_import(vectors.sparkSession)
-    largest = vectors.groupBy(group).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
-    if largest > limit:
-        raise ValueError(f"a group of {largest} vectors is over {limit}")
-    kind = vectors.schema[group].dataType.simpleString()
-
-    def one(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("id")
-        v = np.stack(frame["v"].to_numpy()).astype(float)
-        k = target_clusters(len(frame), target) if distance is None else None
-        return pd.DataFrame({group: frame[group], "id": frame["id"], "cluster": linkage(v, k, distance)})
-
-    return vectors.select(group, "id", "v").groupBy(group).applyInPandas(one, f"{group} {kind}, id long, cluster int")
-
-
-def split_oversized(clusters: DataFrame, vectors: DataFrame, group: str, share: float = 0.4, levels: int = 3) -> DataFrame:
-    """Clusters above a share of their group are split again, at most `levels` times; new numbers follow the largest."""
-
-    def one(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("id")
-        v, label = np.stack(frame["v"].to_numpy()).astype(float), frame["cluster"].to_numpy().copy()
-        for _ in range(levels):
-            names, counts = np.unique(label, return_counts=True)
-            big = names[counts > share * len(frame)]
-            if not len(big) or len(frame) < 3:
-                break
-            for c in big:
-                mine = np.flatnonzero(label == c)
-                part = linkage(v[mine], max(3, min(5, len(mine) // 50)))
-                top = label.max()
-                label[mine] = np.where(part == 0, c, top + part)
-        return pd.DataFrame({group: frame[group], "id": frame["id"], "cluster": label})
-
-    workers_import(clusters.sparkSession)
-    kind = clusters.schema[group].dataType.simpleString()
-    joined = clusters.join(vectors.select("id", "v"), "id")
-    return joined.groupBy(group).applyInPandas(one, f"{group} {kind}, id long, cluster int")

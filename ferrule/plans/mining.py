@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ferrule.operators import clustering as cl
 from ferrule.operators import extract as ex
 from ferrule.operators import vector as ve
 
@@ -96,18 +97,18 @@ def tfidf_vectors(spark, sf_dir):
 
 @query()
 def agglomerative(spark, sf_dir):
-    return ve.agglomerate(vectors(spark, sf_dir).where("label < 3"), "label", 15)
+    return cl.agglomerate(vectors(spark, sf_dir), "label", 15)
 
 
 @query()
 def split_oversized(spark, sf_dir):
-    v = vectors(spark, sf_dir).where("label < 3")
-    return ve.split_oversized(ve.agglomerate(v, "label", 2), v, "label")
+    v = vectors(spark, sf_dir)
+    return cl.split_oversized(cl.agglomerate(v, "label", 2), v, "label")
 
 
 @query()
 def semantic_groups(spark, sf_dir):
-    return ve.agglomerate(vectors(spark, sf_dir).where("label < 3").withColumn("label", F.lit(0)), "label", distance=0.85)
+    return cl.agglomerate(vectors(spark, sf_dir).withColumn("label", F.lit(0)), "label", distance=0.15)
 
 
 KEYWORDS = [("ring", "OBJ_RING"), ("rod", "OBJ_ROD"), ("blue", "OBJ_BLUE"), ("widget", "OBJ_WIDGET"), ("steel", "OBJ_ROD"), ("hot", "OBJ_HEAT")]
