@@ -105,17 +105,44 @@ def intra_similarity(vectors: DataFrame, group: str) -> DataFrame:
     return total.join(n, group).select(group, "n", F.round(value, 6).alias("mean_similarity"))
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int, limit: int = 1000) -> DataFrame:
-    """The k largest cosines of each query; queries are a checked, broadcast block of at most limit rows."""
-    if queries.limit(limit + 1).count() > limit:
-        raise ValueError(f"more than {limit} queries in a block")
-    q = F.broadcast(queries.select(F.col("id").alias("query_id"), normalized(F.col("v")).alias("q")))
-    pairs = vectors.select("id", normalized(F.col("v")).alias("v")).join(q, F.col("id") != F.col("query_id"))
-    scored = pairs.select("query_id", "id", F.round(dot(F.col("v"), F.col("q")), 6).alias("score"))
+def nearest(vectors: DataFrame, queries: DataFrame, k: int, limit: int = 1000, slice_rows: int = 4096) -> DataFrame:
+    """The k largest cosines of each query; up to limit queries are broadcast, more are dealt in blocks of about limit."""
+    n = queries.count()
+    if n > limit:
+        scored = _block_nearest(vectors, queries, k, -(-n // limit), max(1, -(-vectors.count() // slice_rows)))
+    else:
+        q = F.broadcast(queries.select(F.col("id").alias("query_id"), normalized(F.col("v")).alias("q")))
+        pairs = vectors.select("id", normalized(F.col("v")).alias("v")).join(q, F.col("id") != F.col("query_id"))
+        scored = pairs.select("query_id", "id", F.round(dot(F.col("v"), F.col("q")), 6).alias("score"))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def _block_nearest(vectors: DataFrame, queries: DataFrame, k: int, blocks: int, slices: int) -> DataFrame:
+    """(query_id, id, score): the k best of each query in each slice of vectors; a block of queries and a slice are one group."""
+    workers_import(vectors.sparkSession)
+
+    def dealt(df: DataFrame, own: str, own_n: int, other: str, other_n: int, query: bool) -> DataFrame:
+        rows = df.select("id", normalized(F.col("v")).alias("v"), F.lit(query).alias("query"), F.pmod(F.xxhash64("id"), F.lit(own_n).cast("long")).alias(own))
+        return rows.withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(other_n - 1).cast("long"))))
+
+    def best(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("id")
+        is_query = frame["query"].to_numpy()
+        ids, v = frame["id"].to_numpy(), np.stack(frame["v"].to_numpy())
+        q_ids, q, x_ids, x = ids[is_query], v[is_query], ids[~is_query], v[~is_query]
+        out = []
+        for i in range(len(q) if len(x) else 0):
+            score = np.round(x @ q[i], 6)
+            top = np.argsort(-score, kind="stable")[: k + 1]
+            top = top[x_ids[top] != q_ids[i]][:k]
+            out.append(pd.DataFrame({"query_id": q_ids[i], "id": x_ids[top], "score": score[top]}))
+        return pd.concat(out) if out else pd.DataFrame({"query_id": ids[:0], "id": ids[:0], "score": np.zeros(0)})
+
+    both = dealt(queries, "block", blocks, "slice", slices, True).unionByName(dealt(vectors, "slice", slices, "block", blocks, False))
+    return both.groupBy("block", "slice").applyInPandas(best, "query_id long, id long, score double")
+
+
 def tfidf(texts: DataFrame, sizes: tuple[int, ...] = (2, 3, 4)) -> DataFrame:
     """(id, gram, weight): character n-grams inside padded words, smoothed idf, unit length."""
     words = texts.select("id", F.explode(F.split("text", r"\s+")).alias("w")).where("w <> ''").select("id", F.concat(F.lit(" "), "w", F.lit(" ")).alias("w"))
