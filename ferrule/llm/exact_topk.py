@@ -116,6 +116,7 @@ def _search(rows: DataFrame, part: list, table: np.ndarray, top: float, k: int)
     q_piv = _distances(flat, lifted)
     slack = 1e-6 * np.sqrt(top + (q_norm.max() if len(q) else 0)) + 1e-3
 
+    @common.frees
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:

@@ -105,6 +105,7 @@ def bits_of(rows: np.ndarray) -> np.ndarray:
 def sketched(docs: DataFrame, width: int) -> DataFrame:
     """doc_id, key, sig, n, sk (array<int>, null for an empty bin), code (see bits_of): one row a document."""
 
+    @common.frees
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in bw.slices(whole, 2, SLICE)):
             sig, n, rows = sketch(shingle_sets(*bw.utf8(batch.column(2)), width))
@@ -146,12 +147,12 @@ def leaves(sketches: DataFrame, runs: int) -> tuple[DataFrame, DataFrame]:
         rows = common.cut(split(frontier, sketches))
         sizes = common.cut(rows.groupBy("path").agg(F.count(F.lit(1)).alias("m")).where("m > 1"))
         small.append(rows.join(sizes.where(F.col("m") <= SMALL).select("path"), "path", "left_semi"))
-        hot = common.cut(common.small_join(rows, sizes.where(F.col("m") > SMALL).select("path"), ["path"], "inner", F.xxhash64("sig")))
+        hot = common.cut(common.small_join(rows, sizes.where(F.col("m") > SMALL).select("path"), ["path"], "inner"))
         if depth == DEPTH - 1:
             large.append(hot)
             break
         done = common.cut(coherent(hot).withColumn("done", F.lit(True)))
-        hot = common.cut(common.small_join(hot, done, ["path"], "left", F.xxhash64("sig")))
+        hot = common.cut(common.small_join(hot, done, ["path"], "left"))
         large.append(hot.where("done"))
         frontier = hot.where("done is null").select("path", "sig")
         if frontier.isEmpty():
@@ -169,7 +170,7 @@ def groups(large: DataFrame) -> DataFrame:
     own = common.cut(large.groupBy("sig").agg(F.sort_array(F.collect_set("path")).alias("paths")).withColumn("hub", F.element_at("paths", 1)))
     links = own.select(F.col("hub").alias("a"), F.explode("paths").alias("b")).where("a <> b").distinct()
     label = common.cut(components(links).select(F.col("node").alias("hub"), "label"))
-    return common.small_join(own.select("sig", "hub"), label, ["hub"], "left", F.xxhash64("sig")).select("sig", F.xxhash64(F.coalesce("label", "hub")).alias("gid"))
+    return common.small_join(own.select("sig", "hub"), label, ["hub"], "left").select("sig", F.xxhash64(F.coalesce("label", "hub")).alias("gid"))
 
 
 def candidates(small: DataFrame, reps: DataFrame) -> DataFrame:
@@ -195,8 +196,9 @@ def alike(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
 def with_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """wanted (key, sig, slots array<long>, ...) with the whole set of its text, one row a slot."""
     texts = docs.select(common.row_key(docs).alias("key"), "text")
-    rows = common.small_join(texts, wanted, ["key"], "inner", F.xxhash64("text")).select("sig", "slots", "copies", "text")
+    rows = common.small_join(texts, wanted, ["key"], "inner").select("sig", "slots", "copies", "text")
 
+    @common.frees
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in bw.slices(whole, 3, SLICE)):
             sets = shingle_sets(*bw.utf8(batch.column(3)), width)
@@ -254,6 +256,7 @@ def overlaps(sets: list[np.ndarray], other: list[np.ndarray] | None = None) -> n
 def verify(rows: DataFrame, threshold: float) -> DataFrame:
     """a, b, ca, cb of the pairs of each slot with a similarity of at least the threshold, exactly."""
 
+    @common.frees
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in groups_of(batches):
             slot = table["slot"].to_numpy()
@@ -308,8 +311,9 @@ def compare_blocks(members: DataFrame, threshold: float) -> DataFrame:
     least = members.groupBy("slot").agg(F.min("sig").alias("sig"))
     core = common.cut(members.join(least, ["slot", "sig"], "left_semi").select("slot", F.col("set").alias("core")).dropDuplicates(["slot"]))
     sizes = common.cut(members.groupBy("slot").agg(F.count(F.lit(1)).alias("m")))
-    rows = common.small_join(common.small_join(members, core, ["slot"], "inner", F.xxhash64("sig")), sizes, ["slot"], "inner", F.xxhash64("sig"))
+    rows = common.small_join(common.small_join(members, core, ["slot"], "inner"), sizes, ["slot"], "inner")
 
+    @common.frees
     def differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             size, gone, diff = [], [], []
@@ -328,6 +332,7 @@ def compare_blocks(members: DataFrame, threshold: float) -> DataFrame:
     dealt = short.withColumn("other", other).withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
     dealt = dealt.withColumn("task", F.xxhash64("slot", "lo", "hi"))
 
+    @common.frees
     def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in groups_of(batches):
             keys = table["task"].to_numpy()
@@ -366,7 +371,7 @@ def join(docs: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD, reca
     reps = common.cut(reps)
     small, large = leaves(reps.select("sig", "sk", "code"), runs_for(recall, threshold))
     member = common.cut(groups(large))
-    known = common.cut(common.small_join(reps.select("sig", "n", "key", "copies"), member, ["sig"], "left", F.xxhash64("sig")))
+    known = common.cut(common.small_join(reps.select("sig", "n", "key", "copies"), member, ["sig"], "left"))
     pairs = common.cut(alike(candidates(small, known), reps))
     slots = pairs.select("path", F.explode(F.array("a", "b")).alias("sig")).groupBy("sig").agg(F.collect_set("path").alias("slots"))
     wanted = common.cut(known.join(slots, "sig").select("sig", "key", "copies", "slots"))
@@ -382,7 +387,7 @@ def join(docs: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD, reca
     classed = classed.join(ids, "label").join(links, "sig", "left").select("sig", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     # only texts with links or copies are joined back: the others are their own class
     special = common.cut(classed.where("n_links > 0"))
-    out = common.small_join(rows.select("doc_id", "key", "sig", "n"), special, ["sig"], "left", F.xxhash64("doc_id", "key"))
+    out = common.small_join(rows.select("doc_id", "key", "sig", "n"), special, ["sig"], "left")
     return out.select("doc_id", "key", F.when(F.col("n_links").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.col("n").alias("n_shingles"))
 
 
@@ -398,8 +403,8 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     same = (F.col("__k") == F.col("__f")) & F.col("doc_id").eqNullSafe(F.col("__i"))
     gone = seen.join(first.select(F.col("doc_id").alias("__i"), F.col("__k").alias("__f")), same, "left_anti")
     again = common.cut(seen.where("n > 1").join(first.select(F.col("doc_id").alias("__i"), F.col("__k").alias("__f")), same, "left_semi").select("doc_id", "__k"))
-    rows = common.small_join(docs.withColumn("__k", common.row_key(docs)), common.cut(gone.select("doc_id", "__k")), ["doc_id", "__k"], "left_anti", F.col("__k"))
+    rows = common.small_join(docs.withColumn("__k", common.row_key(docs)), common.cut(gone.select("doc_id", "__k")), ["doc_id", "__k"], "left_anti")
     if not again.isEmpty():
-        twice = common.small_join(rows, again, ["doc_id", "__k"], "left_semi", F.col("__k")).dropDuplicates(["doc_id", "__k"])
-        rows = common.small_join(rows, again, ["doc_id", "__k"], "left_anti", F.col("__k")).unionByName(twice)
+        twice = common.small_join(rows, again, ["doc_id", "__k"], "left_semi").dropDuplicates(["doc_id", "__k"])
+        rows = common.small_join(rows, again, ["doc_id", "__k"], "left_anti").unionByName(twice)
     return rows.drop("__k")

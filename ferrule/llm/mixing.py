@@ -12,10 +12,14 @@ that no block is used twice before all were used once. Blocks are joined by inde
 Permutations are swap-or-not networks on [0, n): hash-driven exchanges of x and
 key - x, computed per row for any n. Nothing depends on partitioning, so reruns agree.
 
+Sources are one small row each and are ordered by name in one task; documents and slots
+never are.
+
 Defined cases: a null source is a source of its own, ordered last; a null text has no
 words; documents without words take none; rows that repeat an id are separate
-documents, and rows identical in id and text have neighbouring places that may swap;
-an empty table gives no rows.
+documents, and rows identical in id and text have neighbouring places that may swap; a
+very long text is many blocks; further columns keep their values, whatever their names
+(none may begin with two underscores); an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,6 +32,8 @@ from . import common
 BLOCK = 128
 #: Output slots a shard holds.
 SHARD_SLOTS = 4096
+#: Output slots a task draws, about.
+TASK_SLOTS = 1 << 17
 #: Rows of one ordered run of documents; a source of any size is many runs.
 RUN_ROWS = 4000
 ROUNDS = 16
@@ -80,8 +86,8 @@ def place(sized: DataFrame, sources: DataFrame) -> DataFrame:
     totals = rows.groupBy("source", "run").agg(F.sum("size").alias("run_size"))
     earlier = Window.partitionBy("source").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
     firsts = common.cut(totals.select("source", "run", F.coalesce(F.sum("run_size").over(earlier), F.lit(0)).alias("run_first")))
-    rows = common.small_join(rows, firsts, ["source", "run"], "left", F.col("key"))
-    rows = common.small_join(rows, sources, ["source"], "left", F.col("key"))
+    rows = common.small_join(rows, firsts, ["source", "run"], "left")
+    rows = common.small_join(rows, sources, ["source"], "left")
     return rows.withColumn("first", F.col("run_first") + F.col("inside"))
 
 
@@ -98,16 +104,20 @@ def slots(sources: DataFrame, block: int, seed: int) -> DataFrame:
     plan = plan.withColumn("before", F.coalesce(F.sum("draws").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     plan = plan.withColumn("total", F.sum("draws").over(Window.partitionBy()))
     chunk = F.explode(F.sequence(F.lit(0).cast("long"), F.col("draws") - 1, F.lit(SHARD_SLOTS).cast("long")))
-    chunks = plan.withColumn("from", chunk).repartition("source", "from")
+    plan = common.cut(plan)
+    total = plan.agg(F.sum("draws")).first()[0] or 0
+    parts = max(int(plan.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // TASK_SLOTS))
+    # with a number, adaptive execution doesn't merge the few rows that become many
+    chunks = plan.withColumn("from", chunk).repartition(parts, "source", "from")
     draws = chunks.withColumn("draw", F.explode(F.sequence(F.col("from"), F.least(F.col("from") + SHARD_SLOTS, F.col("draws")) - 1)))
     draws = draws.withColumn("slot", permute(F.col("before") + F.col("draw"), F.col("total"), F.lit(seed)))
-    draws = draws.withColumn("shard", F.floor(F.col("slot") / SHARD_SLOTS).cast("long"))
+    draws = common.cut(draws.select("source", "blocks", "slot", F.floor(F.col("slot") / SHARD_SLOTS).cast("long").alias("shard")))
     # multinomial counts a shard, then the number of each slot among its source's
     counts = draws.groupBy("source", "shard").agg(F.count(F.lit(1)).alias("drawn"))
     earlier = Window.partitionBy("source").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     firsts = common.cut(counts.select("source", "shard", F.coalesce(F.sum("drawn").over(earlier), F.lit(0)).alias("shard_first")))
     inside = F.row_number().over(Window.partitionBy("source", "shard").orderBy("slot")) - 1
-    numbered = common.small_join(draws.withColumn("inside", inside), firsts, ["source", "shard"], "left", F.col("slot"))
+    numbered = common.small_join(draws.withColumn("inside", inside), firsts, ["source", "shard"], "left")
     j = F.col("shard_first") + F.col("inside")
     lap = F.floor(j / F.col("blocks"))
     index = permute(F.pmod(j, F.col("blocks")), F.col("blocks"), F.xxhash64(F.lit(seed), F.coalesce(F.col("source"), F.lit("\0null")), lap))
@@ -146,18 +156,28 @@ def mixed_texts(docs: DataFrame, mixed: DataFrame, repeat: float = 2.0) -> DataF
 
     n_chars follows the new text; the other columns stay.
     """
-    took = mixed.where("taken > 0").select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), "pieces").dropDuplicates(["__id", "__key"])
+    took = mixed.select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), "taken", F.col("pieces").alias("__pieces"))
     rows = docs.withColumn("__k", common.row_key(docs))
-    joined = rows.join(took, (rows["doc_id"].eqNullSafe(took["__id"])) & (rows["__k"] == took["__key"]))
+    twins = common.cut(took.groupBy("__id", "__key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("__id").alias("__t"), F.col("__key").alias("__u")))
+    same = lambda i, k: F.col(i).eqNullSafe(F.col("__t")) & (F.col(k) == F.col("__u"))
+    meets = rows["doc_id"].eqNullSafe(F.col("__id")) & (F.col("__k") == F.col("__key"))
+    if twins.isEmpty():
+        joined = rows.join(took.where("taken > 0"), meets)
+    else:  # identical rows are numbered on both sides, so that each gets its own pieces
+        one = rows.join(twins, same("doc_id", "__k"), "left_anti").join(took.where("taken > 0"), meets)
+        left = common.numbered(rows.join(twins, same("doc_id", "__k"), "left_semi"), ["doc_id", "__k"], "__n")
+        right = common.numbered(took.join(twins, same("__id", "__key"), "left_semi"), ["__id", "__key"], "__m")
+        many = left.join(right.where("taken > 0"), left["doc_id"].eqNullSafe(F.col("__id")) & (F.col("__k") == F.col("__key")) & (F.col("__n") == F.col("__m")))
+        joined = one.unionByName(many.drop("__n", "__m"))
     words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
     laps = F.sequence(F.lit(1), F.lit(int(-(-repeat // 1))))
 
     def taken(words: Column) -> Column:
-        one = lambda lap: F.flatten(F.transform(F.filter("pieces", lambda p: p["times"] >= lap), lambda p: F.slice(words, (p["start"] + 1).cast("int"), p["length"].cast("int"))))
+        one = lambda lap: F.flatten(F.transform(F.filter("__pieces", lambda p: p["times"] >= lap), lambda p: F.slice(words, (p["start"] + 1).cast("int"), p["length"].cast("int"))))
         return F.array_join(F.flatten(F.transform(laps, one)), " ")
 
     # the words are bound once as the element of a one-element array, else each piece splits the text again
     out = joined.withColumn("text", F.element_at(F.transform(F.array(words), taken), 1))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast("long"))
-    return out.select(*docs.columns)
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -161,6 +161,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", train_rows
     # at most train_rows ids and labels: a fixed bound
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "__y", F.xxhash64("doc_id", "text").alias("h"))
 
+    @common.frees
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in bw.slices(whole, 0)):
             doc, col, value = features(*bw.utf8(batch.column(0)))
@@ -181,6 +182,7 @@ def score(docs: DataFrame, model: dict, keep: tuple[str, ...] | None = None) ->
     keep = tuple(docs.columns) if keep is None else keep
     model = {"b": model["b"], "w": model["w"].astype(np.float32), "v": model["v"].astype(np.float32)}
 
+    @common.frees
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in bw.slices(whole, 0)):
             raw, offsets = bw.utf8(batch.column(0))

@@ -77,7 +77,7 @@ def with_types(pages: DataFrame, page_id: str = "page_id", payload: str = "html"
     # partial aggregates: a row for each digest and task
     groups = large.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("chief")).where("n > 1").select("digest", "chief")
     rows = rows.withColumn("size", F.octet_length("payload"))
-    joined = common.small_join(rows, common.cut(groups), ["digest"], "left", F.xxhash64("id", "url"))
+    joined = common.small_join(rows, common.cut(groups), ["digest"], "left")
     again = F.coalesce((F.col("size") >= min_revisit) & F.col("chief").isNotNull() & ~F.col("id").eqNullSafe(F.col("chief")), F.lit(False))
     return joined.select("id", "url", "payload", "digest", "size", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("chief")).alias("refers_to"))
 
@@ -85,6 +85,7 @@ def with_types(pages: DataFrame, page_id: str = "page_id", payload: str = "html"
 def write(records: DataFrame, folder: str) -> DataFrame:
     """Archives in folder, one a partition; returns path and records of each, written when the result is."""
 
+    @common.frees
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         path = f"{folder}/part-{TaskContext.get().partitionId():06d}.warc.gz"
         stream, commit = None, None
@@ -161,6 +162,7 @@ def read(spark: SparkSession, folder: str, range_bytes: int = RANGE_BYTES, kinds
     names = [x.split()[0] for x in READ_SCHEMA.split(", ")]
     types = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary()]
 
+    @common.frees
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, held = [], 0
         batch_of = lambda: pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], t) for n, t in zip(names, types)], names)

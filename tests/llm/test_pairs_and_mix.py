@@ -112,8 +112,16 @@ def test_mix(spark):
     assert sorted(r["slot"] for r in slots) == list(range(len(slots)))
     uses = Counter((r["source"], r["block"]) for r in slots)
     assert max(uses.values()) <= 2 and all(0 <= b < -(-sizes[s] // 8) for s, b in uses)
-    texts = {(r["doc_id"], r["text"]) for r in mixing.mixed_texts(docs, mixed).collect()}
-    assert sum(len(words(t)) for _, t in texts) <= sum(taken.values())
+    texts = mixing.mixed_texts(docs, mixed).collect()
+    assert Counter((r["doc_id"], len(words(r["text"]))) for r in texts) == Counter((r["doc_id"], r["taken"]) for r in got if r["taken"])
+
+
+def test_identical_rows_take_their_own_words(spark):
+    rows = [(7, "a b c d e f g h i j k l", None, "s")] * 3 + [(i, "q r s t u", None, "s") for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    mixed, _ = mixing.mix(docs, [1.0], share=0.6, block=8)
+    got = Counter((r["doc_id"], r["taken"]) for r in mixed.collect() if r["taken"])
+    assert Counter((r["doc_id"], len(words(r["text"]))) for r in mixing.mixed_texts(docs, mixed).collect()) == got
 
 
 def test_shard_counts_vary_like_draws(spark):
