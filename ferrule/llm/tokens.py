@@ -3,23 +3,19 @@
 Documents are range-partitioned by id; a task encodes its range in order and writes
 one file (see dac). Each document ends with the end id. Files carry the number of
 their range, so the ids before a document are those of earlier files and of earlier
-documents in its own file.
-
-Encoding goes by white-space separated pieces, each encoded once per worker and kept
-in a bounded table: the tokenizer drops white space and never joins across it, so this
-equals encoding the text in one go. Texts that hold a special token's name are encoded
-in one go.
+documents in its own file. Encoding is in `units`: by units of the text where the
+tokenizer's file says that its units stand alone, by whole texts else.
 
 Defined cases: a null text is empty and has the end id only; null ids come first;
-rows that repeat an id stand side by side, ordered by their text's hash; an empty table
-writes no file and gives no rows.
+rows that repeat an id stand side by side, ordered by their text's hash; a very long
+text is encoded in one go by its task; further columns, whatever their names, are not
+read; an empty table writes no file and gives no rows.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,66 +24,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bytewise as bw
-from . import common, dac, storage
+from . import common, dac, storage, units
 
 SEGMENT = 1 << 22
-#: Entries of a worker's table of pieces before it starts anew.
-KNOWN_PIECES = 1_500_000
-_STATE: dict = {}
-
-
-def _tokenizer(path: str):
-    if _STATE.get("path") != path:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        t = Tokenizer.from_file(path)
-        names = [x.content for x in t.get_added_tokens_decoder().values()]
-        _STATE.update(path=path, tokenizer=t, names=names, known={"": b""}, units={})
-    return _STATE
-
-
-def encode_texts(texts: list[str], path: str, pieces: bool = True) -> list[np.ndarray]:
-    """Ids (uint32) of whole texts, equal to the tokenizer's own."""
-    state = _tokenizer(path)
-    t, known = state["tokenizer"], state["known"]
-    whole = lambda s: np.array(t.encode(s, add_special_tokens=False).ids, "<u4")
-    plain = [pieces and not any(n in s for n in state["names"]) for s in texts]
-    split = [s.replace("\n", " ").split(" ") if p else [] for s, p in zip(texts, plain)]
-    new = list(set(chain.from_iterable(split)).difference(known))
-    if new:
-        if len(known) + len(new) > KNOWN_PIECES:
-            known.clear()
-            state["units"].clear()
-            new = list(set(chain.from_iterable(split)))
-        _learn(new, state)
-    return [np.frombuffer(b"".join(map(known.__getitem__, w)), "<u4") if p else whole(s) for s, w, p in zip(texts, split, plain)]
-
-
-def _learn(new: list[str], state: dict) -> None:
-    """Encode new pieces. An ASCII piece is a letter run with ASCII marks around it: runs are encoded once."""
-    t, known, units = state["tokenizer"], state["known"], state["units"]
-    strip = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
-    parts, need = [], set()
-    for piece in new:
-        core = piece.strip(strip)
-        low = core.lower() if core.isascii() else core
-        if core and core.isalpha():
-            at = piece.find(core)
-            three = (piece[:at], low, piece[at + len(core) :])
-        else:
-            three = (piece, "", "")
-        parts.append(three)
-        need.update(three)
-    need = [x for x in need if x not in units]
-    for at in range(0, len(need), 10_000):
-        chunk = need[at : at + 10_000]
-        for x, e in zip(chunk, t.encode_batch_fast(chunk, add_special_tokens=False)):
-            units[x] = np.array(e.ids, "<u4").tobytes()
-    for piece, (a, b, c) in zip(new, parts):
-        known[piece] = units[a] + units[b] + units[c]
+#: Bytes of text encoded at a time.
+SLICE = 2 << 20
 
 
 def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, parts: int | None = None) -> DataFrame:
@@ -98,6 +39,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, parts: int
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("tie"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.repartitionByRange(parts, "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
 
+    @common.frees
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = TaskContext.get().partitionId()
         path = f"{folder}/shard-{shard:06d}.dac"
@@ -114,11 +56,11 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, parts: int
                 entries.append(entry)
                 held, size = [], 0
 
-        for batch in (part for whole in batches for part in bw.slices(whole, 1)):
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        for batch in (part for whole in batches for part in bw.slices(whole, 1, SLICE)):
+            ids = batch.column(0).to_pylist()
             if ids and stream is None:
                 stream, commit = storage.open_new(path)
-            for doc_id, code in zip(ids, encode_texts(texts, tokenizer)):
+            for doc_id, code in zip(ids, units.encoder(tokenizer).texts(*bw.utf8(batch.column(1)))):
                 code = np.append(code, np.uint32(end_id))
                 index.append([doc_id, total, len(code)])
                 held.append(code)
@@ -146,6 +88,7 @@ def documents_of(spark: SparkSession, manifest: DataFrame) -> DataFrame:
         before += r["n_tokens"]
     files = spark.createDataFrame(rows, "path string, bytes long, before long").repartition(max(1, len(rows)), "path")
 
+    @common.frees
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for file in batch.to_pylist():
