@@ -3,12 +3,13 @@
 A shard is a collection of byte strings, each closed by a terminator that sorts before
 all bytes and differs from every other terminator. Its suffixes are sorted once, to a
 fixed depth. Shards are merged without sorting their suffixes again: the interleave, the
-merged order of the shards' rows, starts as the shards side by side and is refined depth
-times by a stable distribution of its transform's symbols; after k rounds it is right
-for the first k symbols. A border that first appears between two rows in round k + 1
-means a common prefix of k symbols, so the rows without a border after `depth` rounds
-are the intervals of equal prefixes of that length. A row with borders on both sides
-stays alone in every later round and is dropped from the interleave.
+merged order of the shards' rows, starts as a merge of the shards' sorted first symbols
+and is refined by stable distributions of its transform's symbols, two in a round; an
+interleave that is right for the first k symbols becomes right for k + 2. A border that
+first appears between two rows when k grows means a common prefix that ends there, so
+the rows without a border at `depth` are the intervals of equal prefixes of that length.
+A row with borders on both sides stays alone in every later round and is dropped from
+the interleave.
 """
 
 from __future__ import annotations
@@ -28,8 +29,9 @@ def _pack7(symbols: np.ndarray) -> np.ndarray:
     return key
 
 
-def suffix_array(symbols: np.ndarray, depth: int) -> np.ndarray:
-    """Places of symbols in the order of their suffixes' first `depth` symbols, ties by place.
+def suffix_array(symbols: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places, keys): places of symbols in the order of their suffixes' first `depth` symbols, ties by
+    place, and the first seven symbols of each suffix in that order, 0 where a terminator is among them.
 
     Symbols are byte + 1, terminators 0. Prefixes are doubled until depth; only suffixes
     whose prefix is still shared are sorted again.
@@ -44,6 +46,7 @@ def suffix_array(symbols: np.ndarray, depth: int) -> np.ndarray:
     key = key >> short << short
     order = np.argsort(key, kind="stable")
     key = key[order]
+    whole = np.where(left[order] >= 7, key, np.uint64(0))
     new = np.concatenate(([True], key[1:] != key[:-1]))
     rank = np.empty(n, np.int64)
     rank[order] = np.maximum.accumulate(np.where(new, place, 0))
@@ -61,7 +64,7 @@ def suffix_array(symbols: np.ndarray, depth: int) -> np.ndarray:
         order[slots], new[slots] = sub, fresh
         rank[sub] = slots[np.maximum.accumulate(np.where(fresh, np.arange(len(slots)), 0))]
         have *= 2
-    return order
+    return order, whole
 
 
 def transform(symbols: np.ndarray, places: np.ndarray) -> np.ndarray:
@@ -70,9 +73,25 @@ def transform(symbols: np.ndarray, places: np.ndarray) -> np.ndarray:
     return before[places]
 
 
-def merge(transforms: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray]:
+def _grouped(border: np.ndarray, *rows: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The group of each row that is not alone between two borders, and those rows' values."""
+    group = np.cumsum(border[:-1], dtype=np.int32)
+    shared = ~(border[:-1] & border[1:])
+    return (group[shared], *(x[shared] for x in rows))
+
+
+def _borders(*values: np.ndarray) -> np.ndarray:
+    border = np.ones(len(values[0]) + 1, bool)
+    border[1:-1] = values[0][1:] != values[0][:-1]
+    for v in values[1:]:
+        border[1:-1] |= v[1:] != v[:-1]
+    return border
+
+
+def merge(transforms: list[np.ndarray], keys: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray]:
     """(row, group) of the rows, over the shards side by side, that share `depth` symbols with another row.
 
+    keys: the first seven symbols of each row, 0 for a row that a terminator cuts short.
     Rows come in merged order, group by group.
     """
     symbol = np.concatenate(transforms)
@@ -81,21 +100,26 @@ def merge(transforms: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndar
     for t in transforms:
         step[at + np.argsort(t, kind="stable")] = np.arange(at, at + len(t), dtype=np.int32)
         at += len(t)
-    row = np.arange(len(symbol), dtype=np.int32)
-    group = np.zeros(len(symbol), np.int32)
-    for k in range(depth):
-        c = symbol[row]
+    if depth >= 7:
+        key = np.concatenate(keys)
+        have, row = 7, np.flatnonzero(key).astype(np.int32)
+        row = row[np.argsort(key[row], kind="stable")]  # sorted runs: a merge
+        group, row = _grouped(_borders(key[row]), row)
+    else:
+        have, row, group = 0, np.arange(len(symbol), dtype=np.int32), np.zeros(len(symbol), np.int32)
+    wide = np.uint16 if symbol.dtype == np.uint8 else np.uint32
+    pair = (symbol[step].astype(wide) << (8 * symbol.itemsize)) | symbol  # the symbol two in front, then the one in front
+    stop = (symbol == 0) | (symbol[step] == 0)  # terminators all differ
+    step2 = step[step]
+    while have < depth and len(row):
+        two = depth - have >= 2
+        row_kept = ~(stop[row] if two else symbol[row] == 0)
+        row, group = row[row_kept], group[row_kept]
+        c = (pair if two else symbol)[row]
         by = np.argsort(c, kind="stable")
-        by = by[int((c == 0).sum()) :]  # terminators all differ
-        c, row, group = c[by], step[row[by]], group[by]
-        border = np.empty(len(by) + 1, bool)
-        border[0] = border[-1] = True
-        np.not_equal(c[1:], c[:-1], out=border[1:-1])
-        border[1:-1] |= group[1:] != group[:-1]
-        group = np.cumsum(border[:-1], dtype=np.int32)
-        if k % 3 == 2 or k == depth - 1:
-            shared = ~(border[:-1] & border[1:])
-            row, group = row[shared], group[shared]
+        c, row, group = c[by], (step2 if two else step)[row[by]], group[by]
+        group, row = _grouped(_borders(c, group), row)
+        have += 2 if two else 1
     return row, group
 
 
@@ -109,8 +133,8 @@ def equal_prefixes(shards: list[np.ndarray], depth: int) -> tuple[np.ndarray, np
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     if max(int(s.max()) for s in shards) < 256:  # text: no byte above 0xF4, and one-byte symbols sort faster
         shards = [s.astype(np.uint8) for s in shards]
-    places = [suffix_array(s, depth) for s in shards]
-    row, group = merge([transform(s, p) for s, p in zip(shards, places)], depth)
+    sorted_ = [suffix_array(s, depth) for s in shards]
+    row, group = merge([transform(s, p) for s, (p, _) in zip(shards, sorted_)], [k for _, k in sorted_], depth)
     first = np.cumsum([0, *[len(s) for s in shards[:-1]]])
-    every = np.concatenate([p + f for p, f in zip(places, first)])
+    every = np.concatenate([p + f for (p, _), f in zip(sorted_, first)])
     return every[row], group.astype(np.int64)

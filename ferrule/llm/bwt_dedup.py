@@ -3,11 +3,13 @@
 Bytes covered by a `width`-byte string that also starts earlier (smaller id, or the
 same document at an earlier place) are removed. Byte super-k-mers (see superkmer) bring
 all windows that can be equal to one bucket. There, equal strings are one string of
-their earliest place; the strings that share a minimiser with another, or may repeat
-inside themselves, form shards by the task slice they came from. The shards' transforms
+their earliest place, found by hash; the strings that share what surrounds their
+minimiser with another, or may repeat inside themselves, form SHARDS shards by the task
+slices they came from (slices are dealt to the shards in turn). The shards' transforms
 are merged by interleave refinement (see bwt), and the intervals of equal prefixes of
 `width` symbols are the repeated windows: all but the earliest place of an interval
-are removed.
+are removed. Whole strings that are equal are thus decided by hash, parts of strings by
+the merged transforms.
 
 Strings that occur twice or more in one slice keep their earliest place there; the
 task remembers it, and only an earlier place of the same string travels again.
@@ -29,23 +31,23 @@ from pyspark.sql import functions as F
 from . import bwt, common
 from . import bytewise as bw
 from . import superkmer as sk
-from .substring_dedup import _rows, count_buckets
+from .substring_dedup import count_buckets
 
 WIDTH, MER = 100, 16
 SHARDS = 3
-NAMES = ["text", "length", "doc", "key", "first", "least", "again"]
+NAMES = ["text", "length", "doc", "key", "first", "least", "again", "at"]
 EXPANSION = 3.4
-NULL_ID = np.iinfo(np.int64).min
 
 
 def ship(docs: DataFrame, width: int, buckets: int) -> DataFrame:
     """bucket, blob of packed strings with their places; rows without a blob are places that are not the earliest."""
 
+    @common.frees
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot: dict[bytes, tuple] = {}
         for batch in batches:
             for part in sk.slices(batch, 2):
-                doc_id = part.column(0).fill_null(NULL_ID).to_numpy()
+                doc_id = part.column(0).to_numpy()
                 key = part.column(1).to_numpy()
                 raw, offsets = bw.utf8(part.column(2))
                 if len(raw) < width:
@@ -53,7 +55,7 @@ def ship(docs: DataFrame, width: int, buckets: int) -> DataFrame:
                 at = np.arange(len(raw) - MER + 1)
                 mers = bw.span_hash(raw, at, at + MER)
                 counts = np.diff(offsets)
-                doc, lo, last, least, again = sk.windows(mers, offsets[:-1], counts, width, MER)
+                doc, lo, last, least, again, place = sk.windows(mers, offsets[:-1], counts, width, MER)
                 if not len(doc):
                     continue
                 hi = last + width
@@ -91,25 +93,47 @@ def ship(docs: DataFrame, width: int, buckets: int) -> DataFrame:
                 gone = later & ~twin
                 if gone.any():
                     k = key[doc[gone]]
-                    yield _rows((bw.mix(k.view(np.uint64)) % np.uint64(buckets)).astype(np.int64), [None] * len(k), k, first[gone], first[gone] + hi[gone] - lo[gone])
+                    yield sk.rows_of((bw.mix(k.view(np.uint64)) % np.uint64(buckets)).astype(np.int64), [None] * len(k), doc_id[doc[gone]], k, first[gone], first[gone] + hi[gone] - lo[gone])
                 head = head[send]
                 where, blobs = [], []
                 bucket = (bw.mix(least[head]) % np.uint64(buckets)).astype(np.int64)
                 for which, i in sk.by_bucket(bucket):
                     g = head[i]
-                    blobs.append(sk.pack({"text": sk.take_spans(raw, lo[g], hi[g]), "length": (hi - lo)[g].astype(np.uint32), "doc": doc_id[doc[g]], "key": key[doc[g]], "first": first[g].astype(np.int32), "least": least[g].astype(np.uint32), "again": again[g]}))
+                    blobs.append(sk.pack({"text": sk.take_spans(raw, lo[g], hi[g]), "length": (hi - lo)[g].astype(np.uint32), "doc": doc_id[doc[g]], "key": key[doc[g]], "first": first[g].astype(np.int32), "least": least[g].astype(np.uint32), "again": again[g], "at": place[g].astype(np.uint8)}))
                     where.append(which)
                 if where:
                     none = [None] * len(where)
-                    yield _rows(where, blobs, none, none, none)
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.row_key(docs).alias("key"), "text").mapInArrow(task, "bucket int, blob binary, key long, lo int, hi int")
-
-
-def later_windows(bucket: list[dict[str, np.ndarray]], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(key, lo, hi) of the byte spans of a bucket covered by windows that also start earlier."""
+                    yield sk.rows_of(where, blobs, none, none, none, none)
+
+    return sk.identified(docs).mapInArrow(task, sk.SHIPPED)
+
+
+def may_share(text, lo, length, least, again, at, width: int) -> np.ndarray:
+    """Which of a bucket's distinct strings may share a window with another or hold one twice.
+
+    Equal windows have their minimiser at the same place, so they share at least half of
+    what is left of the window on one side of it, and the minimiser. Strings whose
+    minimiser moves are compared with all others of that minimiser.
+    """
+    _, group = np.unique(least, return_inverse=True)
+    moving = np.bincount(group, again) > 0
+    side = (width - MER + 1) // 2
+    mer = lo + at
+    met = np.bincount(group)[group] > 1
+    out = again | (moving[group] & met)
+    for begin, stop in ((mer - side, mer + MER), (mer, mer + MER + side)):
+        fits = np.flatnonzero(met & (begin >= lo) & (stop <= lo + length))
+        if len(fits):
+            name = bw.fixed_hash(text, begin[fits], side + MER)
+            _, same, count = np.unique(name, return_inverse=True, return_counts=True)
+            out[fits[count[same] > 1]] = True
+    return out
+
+
+def later_windows(bucket: list[dict[str, np.ndarray]], width: int) -> tuple[np.ndarray, ...]:
+    """(doc, key, lo, hi) of the byte spans of a bucket covered by windows that also start earlier."""
     join = lambda name: np.concatenate([x[name] for x in bucket])
-    text, length, doc, key, first, least, again = (join(n) for n in NAMES)
+    text, length, doc, key, first, least, again, at = (join(n) for n in NAMES)
     length, first = length.astype(np.int64), first.astype(np.int64)
     shard = np.repeat(np.arange(len(bucket)) % SHARDS, [len(x["length"]) for x in bucket])
     lo = np.cumsum(length) - length
@@ -120,10 +144,8 @@ def later_windows(bucket: list[dict[str, np.ndarray]], width: int) -> tuple[np.n
     lead = np.repeat(head, np.diff(np.concatenate((begin, [len(order)]))))
     differs = (doc[order] != doc[lead]) | (key[order] != key[lead]) | (first[order] != first[lead])
     gone = order[differs]
-    out = [(key[gone], first[gone], first[gone] + length[gone])]
-    # of the distinct strings, those that may share a window
-    _, inverse, count = np.unique(least[head], return_inverse=True, return_counts=True)
-    some = head[(count[inverse] > 1) | again[head]]
+    out = [(doc[gone], key[gone], first[gone], first[gone] + length[gone])]
+    some = head[may_share(text, lo[head], length[head], least[head], again[head], at[head].astype(np.int64), width)]
     some = some[np.argsort(shard[some], kind="stable")]
     if len(some):
         n = length[some]
@@ -145,24 +167,27 @@ def later_windows(bucket: list[dict[str, np.ndarray]], width: int) -> tuple[np.n
         owner = np.repeat(np.arange(len(some)), n + 1)
         f, l = sk.spans_of(flags, owner)
         w = owner[f] if len(f) else np.zeros(0, np.int64)
-        out.append((key[some][w], first[some][w] + f - begin[w], first[some][w] + l - begin[w] + width))
-    return tuple(np.concatenate([x[i] for x in out]) for i in range(3))
+        out.append((doc[some][w], key[some][w], first[some][w] + f - begin[w], first[some][w] + l - begin[w] + width))
+    return tuple(np.concatenate([x[i] for x in out]) for i in range(4))
 
 
 def repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """key, lo, hi: half-open byte spans covered by windows that start earlier too."""
+    """doc, key, lo, hi: half-open byte spans covered by windows that start earlier too."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(4 * parts, int(size * EXPANSION / sk.BUCKET_BYTES))
     return count_buckets(ship(docs, width, buckets), max(parts, buckets // 4), lambda x: later_windows(x, width), NAMES)
 
 
+RESULT = ["kept", "n_bytes", "n_removed", "n_spans"]
+
+
 def remove(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """docs with kept (binary), n_bytes, n_removed and n_spans, one row a document row."""
     common.prepare(docs.sparkSession)
-    spans = common.cut(repeats(docs, width).groupBy("key").agg(F.collect_list(F.struct("lo", "hi")).alias("__spans")))
-    rows = common.small_join(docs.withColumn("key", common.row_key(docs)), spans, ["key"], "left", F.col("key")).drop("key")
+    rows = sk.with_spans(docs, sk.spans_by_row(repeats(docs, width)), RESULT)
 
+    @common.frees
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names = batch.schema.names
@@ -172,18 +197,12 @@ def remove(docs: DataFrame, width: int = WIDTH) -> DataFrame:
                 kept, n, gone, cuts = [], [], [], []
                 for i, spans in enumerate(part.column(names.index("__spans")).to_pylist()):
                     lo, hi = int(offsets[i]), int(offsets[i + 1])
+                    spans = spans or []
                     n.append(hi - lo)
-                    if not spans:
-                        kept.append(body[lo:hi])
-                        gone.append(0)
-                        cuts.append(0)
-                        continue
-                    mask = sk.covered(spans, hi - lo)
-                    one = np.zeros(hi - lo, np.int64)
-                    kept.append(raw[lo:hi][~mask].tobytes())
-                    gone.append(int(mask.sum()))
-                    cuts.append(len(sk.spans_of(mask, one)[0]))
-                yield pa.RecordBatch.from_arrays([*[c for c, name in zip(part.columns, names) if name != "__spans"], pa.array(kept, pa.binary()), *(pa.array(x, pa.int64()) for x in (n, gone, cuts))], [*[x for x in names if x != "__spans"], "kept", "n_bytes", "n_removed", "n_spans"])
-
-    own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+                    kept.append(b"".join(body[lo + x : lo + y] for x, y in sk.gaps(spans, hi - lo)))
+                    gone.append(sum(s["hi"] - s["lo"] for s in spans))
+                    cuts.append(len(spans))
+                yield pa.RecordBatch.from_arrays([*[c for c, name in zip(part.columns, names) if name != "__spans"], pa.array(kept, pa.binary()), *(pa.array(x, pa.int64()) for x in (n, gone, cuts))], [*[x for x in names if x != "__spans"], *RESULT])
+
+    own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "__spans")
     return rows.mapInArrow(task, f"{own}, kept binary, n_bytes long, n_removed long, n_spans long")

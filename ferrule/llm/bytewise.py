@@ -122,6 +122,17 @@ def _span_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, which:
         return mix(h)
 
 
+def fixed_hash(values: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
+    """64-bit hashes of values[start:start + width], a few spans at a time."""
+    powers = _powers(width, 0)[0][:width]
+    out = np.empty(len(starts), np.uint64)
+    for at in range(0, len(starts), 1 << 13):
+        part = values[starts[at : at + (1 << 13), None] + np.arange(width)].astype(np.uint64)
+        with np.errstate(over="ignore"):
+            out[at : at + (1 << 13)] = (part + np.uint64(1)) @ powers
+    return mix(out)
+
+
 def runs(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Concatenated ranges start, start + 1, ... of the given lengths."""
     total = int(counts.sum())

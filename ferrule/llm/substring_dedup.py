@@ -16,7 +16,6 @@ gives no rows.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +30,8 @@ from . import superkmer as sk
 from .jaccard_join import groups_of
 
 WIDTH, MER = 35, 5
-NAMES = ["text", "length", "count", "key", "first"]
+NAMES = ["text", "length", "count", "doc", "key", "first"]
+RESULT = ["kept", "n_words", "n_removed"]
 EXPANSION = 3.2
 
 
@@ -48,12 +48,13 @@ def _words(raw: np.ndarray, offsets: np.ndarray):
 def ship(docs: DataFrame, width: int, buckets: int) -> DataFrame:
     """bucket, blob of packed strings; and rows without a blob, which are places known to repeat (key, lo, hi)."""
 
+    @common.frees
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot: set[bytes] = set()
         for batch in batches:
-            for part in sk.slices(batch, 1):
-                key = part.column(0).to_numpy()
-                text, at, stop, owner = _words(*bw.utf8(part.column(1)))
+            for part in sk.slices(batch, 2):
+                ids, key = part.column(0).to_numpy(), part.column(1).to_numpy()
+                text, at, stop, owner = _words(*bw.utf8(part.column(2)))
                 if len(at) < width:
                     continue
                 counts = np.bincount(owner, minlength=part.num_rows)
@@ -61,7 +62,7 @@ def ship(docs: DataFrame, width: int, buckets: int) -> DataFrame:
                 h = bw.span_hash(text, at, stop)
                 item = np.arange(len(h) - MER + 1)
                 mers = bw.span_hash(h, item, item + MER)
-                doc, lo, last, least, _ = sk.windows(mers, firsts, counts, width, MER)
+                doc, lo, last, least, _, _ = sk.windows(mers, firsts, counts, width, MER)
                 if not len(doc):
                     continue
                 hi = last + width
@@ -84,29 +85,25 @@ def ship(docs: DataFrame, width: int, buckets: int) -> DataFrame:
                 if known.any():
                     d = doc[known]
                     keys, los, his = key[d], lo[known] - firsts[d], hi[known] - firsts[d]
-                    yield _rows((bw.mix(keys.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64), [None] * len(keys), keys, los, his)
+                    yield sk.rows_of((bw.mix(keys.view(np.uint64)) % np.uint64(buckets)).astype(np.int64), [None] * len(keys), ids[d], keys, los, his)
                 head, count = head[send], count[send]
                 bucket = (bw.mix(least[head]) % np.uint64(buckets)).astype(np.int64)
                 for which, i in sk.by_bucket(bucket):
                     g = head[i]
                     s, e = at[lo[g]], stop[hi[g] - 1]
-                    blobs.append(sk.pack({"text": sk.take_spans(text, s, e), "length": (e - s).astype(np.uint32), "count": count[i], "key": key[doc[g]], "first": np.where(count[i] > 1, -1, lo[g] - firsts[doc[g]]).astype(np.int32)}))
+                    blobs.append(sk.pack({"text": sk.take_spans(text, s, e), "length": (e - s).astype(np.uint32), "count": count[i], "doc": ids[doc[g]], "key": key[doc[g]], "first": np.where(count[i] > 1, -1, lo[g] - firsts[doc[g]]).astype(np.int32)}))
                     where.append(which)
                 if where:
                     none = [None] * len(where)
-                    yield _rows(where, blobs, none, none, none)
+                    yield sk.rows_of(where, blobs, none, none, none, none)
 
-    return docs.select(common.row_key(docs).alias("key"), "text").mapInArrow(task, "bucket int, blob binary, key long, lo int, hi int")
+    return sk.identified(docs).mapInArrow(task, sk.SHIPPED)
 
 
-def _rows(bucket, blob, key, lo, hi) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array(blob, pa.binary()), pa.array(key, pa.int64()), pa.array(lo, pa.int32()), pa.array(hi, pa.int32())], ["bucket", "blob", "key", "lo", "hi"])
-
-
-def count_windows(bucket: list[dict[str, np.ndarray]], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(key, lo, hi) of the word spans that repeated windows of a bucket cover, for strings that carry a place."""
+def count_windows(bucket: list[dict[str, np.ndarray]], width: int) -> tuple[np.ndarray, ...]:
+    """(doc, key, lo, hi) of the word spans that repeated windows of a bucket cover, for strings that carry a place."""
     join = lambda name: np.concatenate([x[name] for x in bucket])
-    text, length, count, key, first = (join(n) for n in NAMES)
+    text, length, count, doc, key, first = (join(n) for n in NAMES)
     offsets = np.concatenate(([0], np.cumsum(length.astype(np.int64))))
     starts, ends, owner = bw.words(text, offsets)
     h = bw.span_hash(text, starts, ends)
@@ -121,11 +118,11 @@ def count_windows(bucket: list[dict[str, np.ndarray]], width: int) -> tuple[np.n
     lo, hi = sk.spans_of(flags, string)
     base = np.cumsum(n - width + 1) - (n - width + 1)
     s = string[lo]
-    return key[s], first[s] + lo - base[s], first[s] + hi - base[s] + width
+    return doc[s], key[s], first[s] + lo - base[s], first[s] + hi - base[s] + width
 
 
 def repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """key, lo, hi: half-open word spans covered by repeated windows."""
+    """doc, key, lo, hi: half-open word spans covered by repeated windows."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(4 * parts, int(size * EXPANSION / sk.BUCKET_BYTES))
@@ -133,31 +130,31 @@ def repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 
 
 def count_buckets(shipped: DataFrame, parts: int, count, names: list[str]) -> DataFrame:
-    """(key, lo, hi) of count() over the strings of each bucket, and of the rows without a blob as they are."""
+    """(doc, key, lo, hi) of count() over the strings of each bucket, and of the rows without a blob as they are."""
 
+    @common.frees
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in groups_of(batches):
             plain = table.filter(pc.is_null(table["blob"]))
             if plain.num_rows:
-                yield from plain.select(["key", "lo", "hi"]).to_batches()
+                yield from plain.select(["doc", "key", "lo", "hi"]).to_batches()
             table = table.filter(pc.is_valid(table["blob"]))
             which = table["bucket"].to_numpy()
             edge = np.concatenate(([0], np.flatnonzero(which[1:] != which[:-1]) + 1, [len(which)]))
             for lo, hi in zip(edge[:-1], edge[1:]):
                 if hi > lo:
                     found = count([sk.unpack(x, names) for x in table["blob"].slice(lo, hi - lo).to_pylist()])
-                    yield pa.RecordBatch.from_arrays([pa.array(found[0], pa.int64()), *(pa.array(x, pa.int32()) for x in found[1:])], ["key", "lo", "hi"])
+                    yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in found[:2]), *(pa.array(x, pa.int32()) for x in found[2:])], ["doc", "key", "lo", "hi"])
 
-    return shipped.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(task, "key long, lo int, hi int")
+    return shipped.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(task, "doc long, key long, lo int, hi int")
 
 
 def remove(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """docs with kept (the words left, joined by one space), n_words and n_removed, one row a document row."""
     common.prepare(docs.sparkSession)
-    spans = repeats(docs, width).groupBy("key").agg(F.collect_list(F.struct("lo", "hi")).alias("__spans"))
-    spans = common.cut(spans)
-    rows = common.small_join(docs.withColumn("key", common.row_key(docs)), spans, ["key"], "left", F.col("key")).drop("key")
+    rows = sk.with_spans(docs, sk.spans_by_row(repeats(docs, width)), RESULT)
 
+    @common.frees
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names = batch.schema.names
@@ -170,15 +167,10 @@ def remove(docs: DataFrame, width: int = WIDTH) -> DataFrame:
                 for i, spans in enumerate(part.column(names.index("__spans")).to_pylist()):
                     lo, hi = edge[i], edge[i + 1]
                     n.append(int(hi - lo))
-                    if not spans:
-                        kept.append(body[start[lo] : stop[hi - 1]] if hi > lo else b"")
-                        gone.append(0)
-                        continue
-                    mask = sk.covered(spans, int(hi - lo))
-                    gone.append(int(mask.sum()))
-                    first, last = sk.spans_of(~mask, np.zeros(len(mask), np.int64))
-                    kept.append(b" ".join(body[start[lo + x] : stop[lo + y]] for x, y in zip(first, last)))
-                yield pa.RecordBatch.from_arrays([*[c for c, name in zip(part.columns, names) if name != "__spans"], pa.array(kept, pa.binary()).cast(pa.string()), pa.array(n, pa.int64()), pa.array(gone, pa.int64())], [*[x for x in names if x != "__spans"], "kept", "n_words", "n_removed"])
-
-    own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+                    spans = spans or []
+                    gone.append(sum(x["hi"] - x["lo"] for x in spans))
+                    kept.append(b" ".join(body[start[lo + x] : stop[lo + y - 1]] for x, y in sk.gaps(spans, int(hi - lo))))
+                yield pa.RecordBatch.from_arrays([*[c for c, name in zip(part.columns, names) if name != "__spans"], pa.array(kept, pa.binary()).cast(pa.string()), pa.array(n, pa.int64()), pa.array(gone, pa.int64())], [*[x for x in names if x != "__spans"], *RESULT])
+
+    own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "__spans")
     return rows.mapInArrow(task, f"{own}, kept string, n_words long, n_removed long")

@@ -14,13 +14,20 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 from . import bytewise as bw
+from . import common
 from .bytewise import slices  # noqa: F401
 
 #: Bytes of packed strings in a bucket.
 BUCKET_BYTES = 6 << 20
 PLACE = np.uint64((1 << 24) - 1)
 _CODEC = "zstd"
+#: What stands for a null id.
+NULL_ID = np.iinfo(np.int64).min
+SHIPPED = "bucket int, blob binary, doc long, key long, lo int, hi int"
 
 
 def windows(mers: np.ndarray, firsts: np.ndarray, counts: np.ndarray, w: int, k: int) -> tuple[np.ndarray, ...]:
@@ -28,9 +35,10 @@ def windows(mers: np.ndarray, firsts: np.ndarray, counts: np.ndarray, w: int, k:
 
     mers: hash of the k-mer at each item (junk across borders); firsts and counts: place
     and length of each sequence. Returns (sequence, first window, last window, minimiser,
-    moves). A minimiser is the upper 40 bits of the least hash; the lower bits hold its
-    place, so that ties go to the left. moves: the place changes inside the run, without
-    which no window can repeat inside it; always set where places do not fit.
+    moves, at). A minimiser is the upper 40 bits of the least hash; the lower bits hold
+    its place, so that ties go to the left. moves: the place changes inside the run,
+    without which no window can repeat inside it; always set where places do not fit.
+    at: the place, counted from the run's first window, 0 where it moves.
     """
     place = np.arange(len(mers), dtype=np.uint64) & PLACE
     least = bw.window_min(mers & ~PLACE | place, w - k + 1)
@@ -38,7 +46,7 @@ def windows(mers: np.ndarray, firsts: np.ndarray, counts: np.ndarray, w: int, k:
     at = bw.runs(firsts, n)
     if not len(at):
         z = np.zeros(0, np.int64)
-        return z, z, z, np.zeros(0, np.uint64), np.zeros(0, bool)
+        return z, z, z, np.zeros(0, np.uint64), np.zeros(0, bool), z
     owner = np.repeat(np.arange(len(firsts)), n)
     full = least[at]
     value = full >> np.uint64(24)
@@ -46,7 +54,8 @@ def windows(mers: np.ndarray, firsts: np.ndarray, counts: np.ndarray, w: int, k:
     begin = np.flatnonzero(change)
     end = np.concatenate((begin[1:], [len(at)])) - 1
     moves = (full[begin] != full[end]) | (len(mers) > int(PLACE))
-    return owner[begin], at[begin], at[end], value[begin], moves
+    where = np.where(moves, 0, (full[begin] & PLACE).astype(np.int64) - at[begin])
+    return owner[begin], at[begin], at[end], value[begin], moves, where
 
 
 def take_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -106,12 +115,51 @@ def by_bucket(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         yield int(b[lo]), order[lo:hi]
 
 
-def covered(intervals: list, n: int) -> np.ndarray:
-    """Boolean mask of n items covered by a list of {'lo', 'hi'} half-open intervals."""
-    step = np.zeros(n + 1, np.int64)
-    if intervals:
-        lo = np.array([x["lo"] for x in intervals])
-        hi = np.array([x["hi"] for x in intervals])
-        np.add.at(step, lo, 1)
-        np.add.at(step, hi, -1)
-    return np.cumsum(step[:-1]) > 0
+def rows_of(bucket, blob, doc, key, lo, hi) -> pa.RecordBatch:
+    """A batch of the schema SHIPPED."""
+    kinds = (pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((bucket, blob, doc, key, lo, hi), kinds)], ["bucket", "blob", "doc", "key", "lo", "hi"])
+
+
+def identified(docs: DataFrame) -> DataFrame:
+    """doc, key, text: what the tasks need of a row, and the join back goes by."""
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(int(NULL_ID))).alias("doc"), common.row_key(docs).alias("key"), "text")
+
+
+def spans_by_row(found: DataFrame) -> DataFrame:
+    """doc, key, spans: the disjoint spans, in order, that a row's spans cover; touching ones are one."""
+    grouped = found.groupBy("doc", "key").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+
+    @common.frees
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spans = batch.column(2)
+            flat = spans.flatten()
+            size = np.diff(spans.offsets.to_numpy())
+            row = np.repeat(np.arange(len(size)), size)
+            lo, hi = (np.asarray(flat.field(i)).astype(np.int64) for i in (0, 1))
+            by = np.lexsort((lo, row))
+            row, lo, hi = row[by], lo[by], hi[by]
+            reach = np.maximum.accumulate(hi + (row << 32)) - (row << 32)  # furthest end so far in the row
+            new = np.ones(len(row), bool)
+            new[1:] = (row[1:] != row[:-1]) | (lo[1:] > reach[:-1])
+            begin = np.flatnonzero(new)
+            last = np.concatenate((begin[1:], [len(row)]))[: len(begin)] - 1
+            edge = np.searchsorted(row[begin], np.arange(len(size) + 1)).astype(np.int32)
+            items = pa.StructArray.from_arrays([pa.array(lo[begin], pa.int32()), pa.array(reach[last], pa.int32())], ["lo", "hi"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(edge, items)], ["doc", "key", "spans"])
+
+    return grouped.mapInArrow(task, "doc long, key long, spans array<struct<lo: int, hi: int>>")
+
+
+def with_spans(docs: DataFrame, spans: DataFrame, replaced: list[str]) -> DataFrame:
+    """docs, without the columns that the result replaces, with __spans."""
+    rows = common.without(docs, replaced).withColumns({"__doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(int(NULL_ID))), "__key": common.row_key(docs)})
+    named = common.cut(spans.select(F.col("doc").alias("__doc"), F.col("key").alias("__key"), F.col("spans").alias("__spans")))
+    return common.small_join(rows, named, ["__doc", "__key"]).drop("__doc", "__key")
+
+
+def gaps(intervals: list[dict], n: int) -> list[tuple[int, int]]:
+    """What disjoint {'lo', 'hi'} intervals in order leave of [0, n)."""
+    edges = [0, *(x for pair in intervals for x in (pair["lo"], pair["hi"])), n]
+    return [(lo, hi) for lo, hi in zip(edges[::2], edges[1::2]) if lo < hi]

@@ -86,3 +86,20 @@ def test_hot_strings_across_slices(spark, monkeypatch):
     monkeypatch.setattr(bytewise, "SLICE_BYTES", 1500)
     got = sorted((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in bwt_dedup.remove(docs).collect())
     assert got == byte_brute(rows, 100)
+
+
+def test_columns_with_clashing_names(spark):
+    rows = [(i, "a shared passage of many words " * 9 + f"end {i}", "k", "x", 7) for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, key string, kept string, n_removed int")
+    for op in (substring_dedup, bwt_dedup):
+        got = op.remove(docs).collect()
+        assert {r["key"] for r in got} == {"k"} and len(got[0]) == len(set(got[0].asDict())) and sum(r["n_removed"] > 0 for r in got) >= 2
+
+
+def test_spans_join_by_shuffle(spark, monkeypatch):
+    from ferrule.llm import common
+
+    docs = awkward(spark)
+    want = sorted((r["doc_id"] or -1, r["n_removed"], r["kept"]) for r in substring_dedup.remove(docs).collect())
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
+    assert sorted((r["doc_id"] or -1, r["n_removed"], r["kept"]) for r in substring_dedup.remove(docs).collect()) == want
