@@ -45,6 +45,7 @@ def ship(docs: DataFrame, width: int, buckets: int) -> DataFrame:
     @common.frees
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot: dict[bytes, tuple] = {}
+        packer = sk.Packer()
         for batch in batches:
             for part in sk.slices(batch, 2):
                 doc_id = part.column(0).to_numpy()
@@ -95,15 +96,10 @@ def ship(docs: DataFrame, width: int, buckets: int) -> DataFrame:
                     k = key[doc[gone]]
                     yield sk.rows_of((bw.mix(k.view(np.uint64)) % np.uint64(buckets)).astype(np.int64), [None] * len(k), doc_id[doc[gone]], k, first[gone], first[gone] + hi[gone] - lo[gone])
                 head = head[send]
-                where, blobs = [], []
-                bucket = (bw.mix(least[head]) % np.uint64(buckets)).astype(np.int64)
-                for which, i in sk.by_bucket(bucket):
-                    g = head[i]
-                    blobs.append(sk.pack({"text": sk.take_spans(raw, lo[g], hi[g]), "length": (hi - lo)[g].astype(np.uint32), "doc": doc_id[doc[g]], "key": key[doc[g]], "first": first[g].astype(np.int32), "least": least[g].astype(np.uint32), "again": again[g], "at": place[g].astype(np.uint8)}))
-                    where.append(which)
-                if where:
-                    none = [None] * len(where)
-                    yield sk.rows_of(where, blobs, none, none, none, none)
+                g = head
+                packer.add((bw.mix(least[g]) % np.uint64(buckets)).astype(np.int64), {"text": sk.take_spans(raw, lo[g], hi[g]), "length": (hi - lo)[g].astype(np.uint32), "doc": doc_id[doc[g]], "key": key[doc[g]], "first": first[g].astype(np.int32), "least": least[g].astype(np.uint32), "again": again[g], "at": place[g].astype(np.uint8)})
+                yield from packer.rows()
+        yield from packer.rows(0)
 
     return sk.identified(docs).mapInArrow(task, sk.SHIPPED)
 

@@ -51,6 +51,7 @@ def ship(docs: DataFrame, width: int, buckets: int) -> DataFrame:
     @common.frees
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot: set[bytes] = set()
+        packer = sk.Packer()
         for batch in batches:
             for part in sk.slices(batch, 2):
                 ids, key = part.column(0).to_numpy(), part.column(1).to_numpy()
@@ -81,21 +82,15 @@ def ship(docs: DataFrame, width: int, buckets: int) -> DataFrame:
                     again = np.repeat(~send, size)
                     known[order[again]] = True
                 hot.update(x.tobytes() for x in names[(size > 1) & send])
-                keys, los, his, blobs, where = [], [], [], [], []
                 if known.any():
                     d = doc[known]
                     keys, los, his = key[d], lo[known] - firsts[d], hi[known] - firsts[d]
                     yield sk.rows_of((bw.mix(keys.view(np.uint64)) % np.uint64(buckets)).astype(np.int64), [None] * len(keys), ids[d], keys, los, his)
                 head, count = head[send], count[send]
-                bucket = (bw.mix(least[head]) % np.uint64(buckets)).astype(np.int64)
-                for which, i in sk.by_bucket(bucket):
-                    g = head[i]
-                    s, e = at[lo[g]], stop[hi[g] - 1]
-                    blobs.append(sk.pack({"text": sk.take_spans(text, s, e), "length": (e - s).astype(np.uint32), "count": count[i], "doc": ids[doc[g]], "key": key[doc[g]], "first": np.where(count[i] > 1, -1, lo[g] - firsts[doc[g]]).astype(np.int32)}))
-                    where.append(which)
-                if where:
-                    none = [None] * len(where)
-                    yield sk.rows_of(where, blobs, none, none, none, none)
+                g, s, e = head, at[lo[head]], stop[hi[head] - 1]
+                packer.add((bw.mix(least[g]) % np.uint64(buckets)).astype(np.int64), {"text": sk.take_spans(text, s, e), "length": (e - s).astype(np.uint32), "count": count, "doc": ids[doc[g]], "key": key[doc[g]], "first": np.where(count > 1, -1, lo[g] - firsts[doc[g]]).astype(np.int32)})
+                yield from packer.rows()
+        yield from packer.rows(0)
 
     return sk.identified(docs).mapInArrow(task, sk.SHIPPED)
 

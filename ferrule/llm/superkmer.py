@@ -21,8 +21,9 @@ from . import bytewise as bw
 from . import common
 from .bytewise import slices  # noqa: F401
 
-#: Bytes of packed strings in a bucket.
+#: Bytes of strings in a bucket, and those a task gathers before it packs them by bucket.
 BUCKET_BYTES = 6 << 20
+GATHER_BYTES = 16 << 20
 PLACE = np.uint64((1 << 24) - 1)
 _CODEC = "zstd"
 #: What stands for a null id.
@@ -82,6 +83,35 @@ def unpack(data: bytes, names: list[str]) -> dict[str, np.ndarray]:
     return out
 
 
+class Packer:
+    """Strings of several slices of a task, packed by bucket when there are enough: longer rows compress better."""
+
+    def __init__(self) -> None:
+        self.parts: list[dict[str, np.ndarray]] = []
+        self.held = 0
+
+    def add(self, bucket: np.ndarray, arrays: dict[str, np.ndarray]) -> None:
+        """arrays: text (the strings end to end), length, and one value a string of any other name."""
+        self.parts.append({"bucket": bucket, **arrays})
+        self.held += len(arrays["text"])
+
+    def rows(self, least: int = GATHER_BYTES) -> Iterator[pa.RecordBatch]:
+        """One row a bucket, if at least so many bytes are held."""
+        if not self.parts or self.held < least:
+            return
+        every = {n: np.concatenate([p[n] for p in self.parts]) for n in self.parts[0]}
+        self.parts, self.held = [], 0
+        stop = np.cumsum(every["length"].astype(np.int64))
+        start = stop - every["length"]
+        text, bucket = every.pop("text"), every.pop("bucket")
+        where, blobs = [], []
+        for which, i in by_bucket(bucket):
+            where.append(which)
+            blobs.append(pack({"text": take_spans(text, start[i], stop[i]), **{n: x[i] for n, x in every.items()}}))
+        none = [None] * len(where)
+        yield rows_of(where, blobs, none, none, none, none)
+
+
 def equal_groups(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(order, start of each group in it) of rows with equal 128-bit hashes (a, b)."""
     order = np.argsort(a, kind="stable")

@@ -4,45 +4,43 @@ A rule is (host/path, verdict). It fits its host and all subdomains where the ur
 path starts with the rule's path; the longest rule wins (ties: the smaller rule by
 code point). Urls that no rule fits are judged by a logistic regression on n-grams
 of 3 to 5 characters of host and path, hashed to a fixed number of weights and
-trained on a small table of labelled urls (at most TRAIN_ROWS of them reach the
-driver).
+trained on a small table of labelled urls, by default the file labelled_urls.csv beside
+this module (1: keep); at most TRAIN_ROWS of them reach the driver. Batches are judged
+whole: n-grams by one pass over code points, rules once for each distinct host.
 
 Defined cases: a null url or one without `://` has an empty host and path and is
 still judged by the model; an empty path starts with no rule's path; repeated urls
-get equal verdicts; an empty table gives no rows.
+get equal verdicts; a very long url is judged on all of its n-grams; keep columns named
+like a result column are replaced by it; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import bytewise as bw
 from . import common
 
-BITS = 16
+BITS = 18
+GRAMS = (3, 4, 5)
 TRAIN_ROWS = 20_000
+LABELLED = Path(__file__).with_name("labelled_urls.csv")
+RESULT = ["host", "path", "rule", "verdict", "score"]
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-# Words that spam hosts are made of, words of ordinary hosts, and paths that say nothing.
-SPAM_WORDS = ["spam", "farm", "cheap", "pills", "casino", "bonus", "win", "money", "free", "prizes", "hot", "singles", "buy", "followers", "payday", "loans", "poker", "bets", "xxx", "cams", "link", "click", "bait", "keygen"]
-PLAIN_WORDS = ["garden", "news", "harbour", "docs", "museum", "weather", "library", "city", "recipes", "forum", "cycling", "school", "journal", "river", "mountain", "health", "music", "travel", "history", "science", "kitchen", "village", "blog", "wiki"]
-PATHS = ["/en/12", "/de/7", "/fr/825", "/es/44", "/2024/report.html", "/a/1?id=3", "/", ""]
-
 
 def labelled_urls() -> list[tuple[str, int]]:
-    """The small labelled table (1: keep): hosts of one or two words of one list, all with the same paths."""
-    out = []
-    for label, words in ((0, SPAM_WORDS), (1, PLAIN_WORDS)):
-        for i, word in enumerate(words):
-            for k in (1, 5, 11):
-                other = words[(i + k) % len(words)]
-                host = (f"{word}-{other}", f"www.{word}{other}", f"{word}.{other}")[k % 3]
-                out.append((f"https://{host}.example.{('com', 'org', 'net')[(i + k) % 3]}{PATHS[(i + k) % len(PATHS)]}", label))
-    return out
+    """The rows of the default labelled table (1: keep)."""
+    with LABELLED.open(encoding="utf-8", newline="") as f:
+        return [(r["url"], int(r["label"])) for r in csv.DictReader(f)]
 
 
 def host_path(url: Column) -> tuple[Column, Column]:
@@ -55,39 +53,50 @@ def host_path(url: Column) -> tuple[Column, Column]:
     return host, F.regexp_extract(plain, r"(?s)^[^/]*(.*)$", 1)
 
 
-def grams(host: str, path: str) -> np.ndarray:
-    """Hashed n-grams of 3 to 5 characters of host and path, each counted once."""
-    out = set()
-    for part, text in (("h", f"^{host}$"), ("p", f"^{path}$")):
-        for n in (3, 4, 5):
-            out.update(f"{part}{text[i : i + n]}" for i in range(len(text) - n + 1))
-    if not out:
-        return np.zeros(0, np.int64)
-    hashed = pd.util.hash_array(np.array(sorted(out), dtype=object), categorize=False)
-    return np.unique((hashed >> np.uint64(64 - BITS)).astype(np.int64))
+def grams(hosts: list[str], paths: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(url, slot): the distinct hashed n-grams of 3 to 5 characters of each host and each path."""
+    found = [np.zeros(0, np.int64)]
+    for part, texts in enumerate((hosts, paths)):
+        marked = [f"^{t}$" for t in texts]
+        size = np.array([len(t) for t in marked], np.int64)
+        points = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), np.uint32)
+        first = np.cumsum(size) - size
+        for n in GRAMS:
+            count = np.maximum(size - n + 1, 0)
+            at = bw.runs(first, count)
+            if len(at):
+                h = bw.mix(bw.span_hash(points, at, at + n) ^ np.uint64(8 * part + n))
+                found.append(np.repeat(np.arange(len(texts)), count) << BITS | (h >> np.uint64(64 - BITS)).astype(np.int64))
+    both = np.unique(np.concatenate(found))
+    return both >> BITS, both & ((1 << BITS) - 1)
+
+
+def logits(owner: np.ndarray, slot: np.ndarray, n: int, w: np.ndarray) -> np.ndarray:
+    return np.bincount(owner, w[slot], n) / np.sqrt(np.maximum(np.bincount(owner, minlength=n), 1)) + w[-1]
 
 
-def train(labelled: list[tuple[str, str, int]], rounds: int = 300, rate: float = 0.5, ridge: float = 1e-3) -> np.ndarray:
-    """Weights (the last is the bias) fitted to (host, path, label) rows by gradient steps."""
-    rows = [grams(h, p) for h, p, _ in labelled]
+def train(labelled: list[tuple[str, str, int]], rounds: int = 200, rate: float = 0.1, ridge: float = 2e-3) -> np.ndarray:
+    """Weights (the last is the bias) fitted to (host, path, label) rows by Adam steps."""
     y = np.array([label for _, _, label in labelled], float)
     w = np.zeros((1 << BITS) + 1)
-    if not len(rows):
+    if not len(y) or y.min() == y.max():
         return w
-    index = np.concatenate(rows)
-    owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    scale = 1 / np.sqrt(np.maximum([len(r) for r in rows], 1))
-    for _ in range(rounds):
-        z = np.bincount(owner, w[index], len(rows)) * scale + w[-1]
-        error = (1 / (1 + np.exp(-z)) - y) / len(rows)
-        step = np.bincount(index, (error * scale)[owner], len(w))
-        step[-1] = error.sum()
-        w -= rate * len(rows) ** 0.5 * (step + ridge * w / len(rows))
+    n = len(y)
+    owner, slot = grams([h for h, _, _ in labelled], [p for _, p, _ in labelled])
+    scale = 1 / np.sqrt(np.maximum(np.bincount(owner, minlength=n), 1))
+    first, second = np.zeros_like(w), np.zeros_like(w)
+    for t in range(1, rounds + 1):
+        e = (1 / (1 + np.exp(-logits(owner, slot, n, w))) - y) / n
+        g = np.bincount(slot, (e * scale)[owner], len(w)) + ridge * w / np.sqrt(n)
+        g[-1] = e.sum()
+        first += 0.1 * (g - first)
+        second += 0.01 * (g * g - second)
+        w -= rate * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.99**t)) + 1e-8)
     return w
 
 
 def rule_table(rules: list[tuple[str, str]]) -> dict[str, list[tuple[str, str, str]]]:
-    """host -> (path, rule, verdict), longest rule first."""
+    """host -> (path, rule, verdict)."""
     out: dict[str, list[tuple[str, str, str]]] = {}
     for rule, verdict in rules:
         host, slash, path = rule.partition("/")
@@ -95,10 +104,31 @@ def rule_table(rules: list[tuple[str, str]]) -> dict[str, list[tuple[str, str, s
     return out
 
 
-def match(host: str, path: str, table: dict) -> tuple[str, str] | None:
-    labels = host.split(".")
-    fits = [(-len(rule), rule, verdict) for i in range(len(labels)) for at, rule, verdict in table.get(".".join(labels[i:]), ()) if path.startswith(at)]
-    return min(fits)[1:] if fits and host else None
+def fitting(host: str, table: dict) -> tuple[tuple[str, str, str], ...]:
+    """The rules (path, rule, verdict) of a host and all hosts above it, longest first."""
+    labels = host.split(".") if host else []
+    fits = [x for i in range(len(labels)) for x in table.get(".".join(labels[i:]), ())]
+    return tuple(sorted(fits, key=lambda x: (-len(x[1]), x[1])))
+
+
+def judged(hosts: pa.Array, paths: pa.Array, table: dict) -> tuple[list, list]:
+    """(rule, verdict) of each url, None where no rule fits."""
+    coded = hosts.dictionary_encode()
+    per_host = [fitting(h, table) for h in coded.dictionary.to_pylist()]
+    kinds = {k: i for i, k in enumerate(dict.fromkeys(per_host))}
+    kind = np.array([kinds[k] for k in per_host], np.int64)[coded.indices.to_numpy()] if len(hosts) else np.zeros(0, np.int64)
+    choice = np.full(len(hosts), -1, np.int64)
+    options: list[tuple[str, str, str]] = []
+    for rules, i in kinds.items():
+        rows = np.flatnonzero(kind == i)
+        for rule in rules:
+            if not len(rows):
+                break
+            fits = np.asarray(pc.starts_with(paths.take(pa.array(rows)), rule[0]))
+            choice[rows[fits]] = len(options)
+            rows = rows[~fits]
+            options.append(rule)
+    return [options[c][1] if c >= 0 else None for c in choice], [options[c][2] if c >= 0 else None for c in choice]
 
 
 def filter_urls(pages: DataFrame, rules: list[tuple[str, str]], labelled: DataFrame | None = None, url: str = "url", keep: tuple[str, ...] = ("page_id",)) -> DataFrame:
@@ -111,23 +141,20 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str]], labelled: DataFr
     common.prepare(spark)
     if labelled is None:
         labelled = spark.createDataFrame(labelled_urls(), "url string, label int")
-    rows = labelled.where("label is not null").select(*(c.alias(n) for c, n in zip(host_path(F.col("url")), ("host", "path"))), "label").orderBy(F.xxhash64("host", "path")).limit(TRAIN_ROWS).collect()
+    rows = labelled.where("label is not null").select(*(c.alias(n) for c, n in zip(host_path(F.col("url")), ("host", "path"))), "label").orderBy(F.xxhash64("host", "path", "label")).limit(TRAIN_ROWS).collect()
     weights = train([(r["host"], r["path"], r["label"]) for r in rows])
     table = rule_table(rules)
 
-    def judge(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rule, verdict, score = [], [], []
-            for host, path in zip(frame["host"], frame["path"]):
-                g = grams(host, path)
-                p = 1 / (1 + np.exp(-(weights[g].sum() / max(len(g), 1) ** 0.5 + weights[-1])))
-                hit = match(host, path, table)
-                rule.append(hit[0] if hit else None)
-                verdict.append(hit[1] if hit else "allow" if p >= 0.5 else "block")
-                score.append(p)
-            yield frame.assign(rule=pd.Series(rule, index=frame.index, dtype=object), verdict=pd.Series(verdict, index=frame.index, dtype=object), score=pd.Series(score, index=frame.index, dtype=float))
+    @common.frees
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hosts, paths = batch.column(0), batch.column(1)
+            rule, verdict = judged(hosts, paths, table)
+            p = 1 / (1 + np.exp(-logits(*grams(hosts.to_pylist(), paths.to_pylist()), batch.num_rows, weights)))
+            verdict = [v or ("allow" if ok else "block") for v, ok in zip(verdict, p >= 0.5)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rule, pa.string()), pa.array(verdict, pa.string()), pa.array(p, pa.float64())], [*batch.schema.names, "rule", "verdict", "score"])
 
     host, path = host_path(F.col(url))
-    df = pages.select(*keep, host.alias("host"), path.alias("path"))
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-    return df.mapInPandas(judge, f"{kept}, rule string, verdict string, score double")
+    df = pages.select(host.alias("host"), path.alias("path"), *[F.col(f"`{c}`") for c in keep if c.lower() not in RESULT])
+    own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+    return df.mapInArrow(task, f"{own}, rule string, verdict string, score double").select(*[F.col(f"`{f.name}`") for f in df.schema.fields[2:]], *RESULT)
