@@ -75,7 +75,7 @@ def logits(owner: np.ndarray, slot: np.ndarray, n: int, w: np.ndarray) -> np.nda
     return np.bincount(owner, w[slot], n) / np.sqrt(np.maximum(np.bincount(owner, minlength=n), 1)) + w[-1]
 
 
-def train(labelled: list[tuple[str, str, int]], rounds: int = 200, rate: float = 0.1, ridge: float = 2e-3) -> np.ndarray:
+def train(labelled: list[tuple[str, str, int]], rounds: int = 200, rate: float = 0.1, ridge: float = 1e-3) -> np.ndarray:
     """Weights (the last is the bias) fitted to (host, path, label) rows by Adam steps."""
     y = np.array([label for _, _, label in labelled], float)
     w = np.zeros((1 << BITS) + 1)

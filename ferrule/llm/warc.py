@@ -1,23 +1,29 @@
 """WARC archives: a writer with revisit records and a splittable reader.
 
-write() makes one gzip member per record and one archive per partition. Of records
-with equal payloads of at least MIN_REVISIT bytes the one with the largest id is the
-response; the others are revisits that name it and carry no payload.
+write() makes one gzip member per record and one archive per partition, each headed by
+a warcinfo record. A record's block is an HTTP response: a head and the payload. Of
+records with equal payloads of at least MIN_REVISIT bytes the one with the largest id is
+the response; the others are revisits that name it and carry the head alone.
 
 read() lists the archives with their lengths through Spark, deals byte ranges to
 tasks, and each task looks for the gzip magic in its range. A candidate counts as a
 member only if it inflates to a WARC header; a task owns the records whose member
 starts inside its range and reads past the end only to finish the last one.
 
-Defined cases: a null payload is empty; rows that repeat the largest id and the
-payload are all responses; a null id is written as an empty id and read back as null,
-and is a revisit where another row of its payload has an id; an empty table gives an
-empty archive folder and no rows.
+Defined cases: a null payload is empty; a null url is written as NO_URL and read back as
+null; rows that repeat the largest id and the payload are all responses, with one record
+id; a null id is written as no id and read back as null, and is a revisit where another
+row of its payload has an id; a payload of any length is one record, inflated whole by
+one task; columns but the three named ones are not read; a gzip member inside a payload
+that itself holds a WARC record would count as a record, which no text payload can; an
+empty table gives an empty archive folder and no rows.
 """
 
 from __future__ import annotations
 
+import datetime
 import hashlib
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -34,15 +40,37 @@ MAGIC = b"\x1f\x8b\x08"
 READ_SCHEMA = "id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary"
 
 
-def header(page_id, url, kind: str, length: int, digest: str, size: int, refers_to) -> bytes:
-    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>", f"WARC-Payload-Digest: sha1:{digest}", f"X-Payload-Bytes: {size}", f"Content-Length: {length}"]
-    if url is not None:
-        lines.append("WARC-Target-URI: " + url.replace("%", "%25").replace("\r", "%0D").replace("\n", "%0A"))
+NO_URL = "urn:page:no-url"
+_SPACE = uuid.uuid5(uuid.NAMESPACE_URL, "urn:page")
+
+
+def record_id(page_id, digest: str, place: str = "") -> str:
+    """A record's URN: of its page and payload, or of its place where it has no page id."""
+    return f"<urn:uuid:{uuid.uuid5(_SPACE, f'{page_id} {digest}' if page_id is not None else place)}>"
+
+
+def http_head(size: int) -> bytes:
+    return b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % size
+
+
+def header(page_id, url, kind: str, length: int, digest: str, size: int, refers_to, date: str, place: str) -> bytes:
+    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {record_id(page_id, digest, place)}", f"WARC-Date: {date}"]
+    lines += ["WARC-Target-URI: " + (NO_URL if url is None else url.replace("%", "%25").replace("\r", "%0D").replace("\n", "%0A"))]
+    lines += ["Content-Type: application/http;msgtype=response", f"Content-Length: {length}", f"WARC-Payload-Digest: sha1:{digest}", f"X-Payload-Bytes: {size}"]
+    if page_id is not None:
+        lines.append(f"X-Page-ID: {page_id}")
     if refers_to is not None:
-        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{refers_to}>"]
+        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {record_id(refers_to, digest)}", f"X-Refers-To-Page: {refers_to}"]
     return "\r\n".join(lines).encode() + b"\r\n\r\n"
 
 
+def info(date: str, place: str) -> bytes:
+    """The warcinfo record of an archive."""
+    body = b"software: ferrule\r\nformat: WARC File Format 1.1\r\n"
+    lines = ["WARC/1.1", "WARC-Type: warcinfo", f"WARC-Record-ID: {record_id(None, '', place)}", f"WARC-Date: {date}", "Content-Type: application/warc-fields", f"Content-Length: {len(body)}"]
+    return "\r\n".join(lines).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
+
+
 def member(record: bytes) -> bytes:
     deflate = zlib.compressobj(6, zlib.DEFLATED, 31)
     return deflate.compress(record) + deflate.flush()
@@ -55,13 +83,14 @@ def parse(record: bytes) -> dict | None:
     if not gap or not lines[0].startswith(b"WARC/1."):
         return None
     fields = {k.strip().lower(): v.strip() for k, _, v in (x.decode("utf-8", "surrogatepass").partition(":") for x in lines[1:])}
-    length = int(fields["content-length"])
-    number = lambda text: int(text[len("<urn:page:") : -1]) if text and text != "<urn:page:>" else None
+    block = body[: int(fields["content-length"])]
+    payload = block.partition(b"\r\n\r\n")[2] if fields.get("content-type", "").startswith("application/http") else block
+    number = lambda text: int(text) if text else None
     url = fields.get("warc-target-uri")
-    out = {"id": number(fields["warc-record-id"]), "url": None if url is None else url.replace("%0A", "\n").replace("%0D", "\r").replace("%25", "%"), "record_type": fields["warc-type"], "refers_to": number(fields.get("warc-refers-to")), "payload": body[:length]}
+    out = {"id": number(fields.get("x-page-id")), "url": None if url in (None, NO_URL) else url.replace("%0A", "\n").replace("%0D", "\r").replace("%25", "%"), "record_type": fields["warc-type"], "refers_to": number(fields.get("x-refers-to-page")), "payload": payload}
     whole = out["record_type"] == "response"
-    out["payload_bytes"] = length if whole else int(fields.get("x-payload-bytes", length))
-    out["payload_digest"] = hashlib.sha1(out["payload"]).hexdigest() if whole else fields.get("warc-payload-digest", "").removeprefix("sha1:")
+    out["payload_bytes"] = len(payload) if whole else int(fields.get("x-payload-bytes", len(payload)))
+    out["payload_digest"] = hashlib.sha1(payload).hexdigest() if whole else fields.get("warc-payload-digest", "").removeprefix("sha1:")
     return out
 
 
@@ -82,8 +111,12 @@ def with_types(pages: DataFrame, page_id: str = "page_id", payload: str = "html"
     return joined.select("id", "url", "payload", "digest", "size", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("chief")).alias("refers_to"))
 
 
-def write(records: DataFrame, folder: str) -> DataFrame:
-    """Archives in folder, one a partition; returns path and records of each, written when the result is."""
+def write(records: DataFrame, folder: str, date: str | None = None) -> DataFrame:
+    """Archives in folder, one a partition; returns path and records of each, written when the result is.
+
+    date: the records' WARC-Date, the time of the call if absent.
+    """
+    date = date or datetime.datetime.now(datetime.UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
 
     @common.frees
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,9 +127,9 @@ def write(records: DataFrame, folder: str) -> DataFrame:
             for row in batch.to_pylist():
                 if stream is None:
                     stream, commit = storage.open_new(path)
-                    stream.write(member(b"WARC/1.1\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <urn:page:>\r\nContent-Length: 0\r\n\r\n\r\n\r\n"))
-                body = row["payload"] if row["record_type"] == "response" else b""
-                head = header(row["id"], row["url"], row["record_type"], len(body), row["digest"], row["size"], row["refers_to"])
+                    stream.write(member(info(date, path)))
+                body = http_head(row["size"]) + (row["payload"] if row["record_type"] == "response" else b"")
+                head = header(row["id"], row["url"], row["record_type"], len(body), row["digest"], row["size"], row["refers_to"], date, f"{path} {n}")
                 stream.write(member(head + body + b"\r\n\r\n"))
                 n += 1
         if stream is not None:

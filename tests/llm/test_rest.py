@@ -110,6 +110,37 @@ def test_pair_sum_is_the_pair_sum():
     assert np.allclose(quality.pair_sum(doc, col, value, v, 2)[0], want)
 
 
+def strict_parse(folder):
+    """Reads the archives by the format's own rules: version line, mandatory fields, lengths, unique record ids."""
+    import glob
+    import gzip
+    import re
+
+    ids = []
+    for path in glob.glob(f"{folder}/*.warc.gz"):
+        data, at, first = gzip.open(path).read(), 0, True
+        while at < len(data):
+            end = data.index(b"\r\n\r\n", at)
+            version, *lines = data[at:end].decode().split("\r\n")
+            fields = dict(x.split(": ", 1) for x in lines)
+            assert version == "WARC/1.1" and len(fields) == len(lines)
+            assert re.fullmatch(r"<urn:uuid:[0-9a-f-]{36}>", fields["WARC-Record-ID"]) and re.fullmatch(r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ", fields["WARC-Date"])
+            assert fields["WARC-Type"] == ("warcinfo" if first else fields["WARC-Type"]) and fields["Content-Type"]
+            block = data[end + 4 : end + 4 + int(fields["Content-Length"])]
+            if not first:
+                head, _, payload = block.partition(b"\r\n\r\n")
+                assert head.startswith(b"HTTP/1.1 200 OK\r\n") and fields["WARC-Target-URI"]
+                if fields["WARC-Type"] == "response":
+                    assert fields["WARC-Payload-Digest"] == "sha1:" + hashlib.sha1(payload).hexdigest()
+                else:
+                    assert fields["WARC-Profile"] and fields["WARC-Refers-To"] and not payload
+            at = end + 4 + len(block)
+            assert data[at : at + 4] == b"\r\n\r\n"
+            ids.append(fields["WARC-Record-ID"])
+            at, first = at + 4, False
+    assert len(ids) == len(set(ids)) and ids
+
+
 @pytest.mark.parametrize("size", [1 << 20, 700])
 def test_warc_round_trip(spark, size):
     rnd = random.Random(6)
@@ -127,6 +158,7 @@ def test_warc_round_trip(spark, size):
         r = got[i]
         assert (r["url"], r["record_type"], r["payload_bytes"], r["payload_digest"], r["refers_to"]) == (url, kind, len(body), hashlib.sha1(body).hexdigest(), 2 if kind == "revisit" else None)
         assert bytes(r["payload"]) == (b"" if kind == "revisit" else body)
+    strict_parse(folder.removeprefix("file://"))
     empty = storage.make_folder(common.shared_path(spark, "test-warc"))
     warc.write(warc.with_types(pages.limit(0)), empty).collect()
     assert warc.read(spark, empty).count() == 0
