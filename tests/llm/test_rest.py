@@ -14,7 +14,8 @@ from ferrule.llm import common, dac, exact_topk, queries, quality, storage, toke
 from .helpers import awkward, awkward_docs, no_docs
 
 
-def test_topk_against_brute_force(spark):
+def test_topk_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(exact_topk, "CHUNK", 64)
     rnd = random.Random(2)
     rows = [(i, [rnd.gauss(0, 1) for _ in range(6)]) for i in range(400)]
     rows += [(900, None), (901, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (902, [float("nan")] * 6), (903, [float("inf")] * 6), (904, []), (1000, rows[7][1]), (1001, rows[7][1])]
