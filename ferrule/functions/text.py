@@ -25,6 +25,17 @@ def attribute_name(x: Column) -> Column:
     return F.regexp_replace(F.trim(F.coalesce(x, F.lit(""))), r"\s+", " ")
 
 
+def short_attribute_name(x: Column) -> Column:
+    """Trimmed, line ends each a space, cut to 160 characters; null is empty."""
+    return F.substring(F.translate(F.trim(F.coalesce(x, F.lit(""))), "\n\r", "  "), 1, 160)
+
+
+def value_text(x: Column) -> Column:
+    """Trimmed text, null where it is empty or says nan, none or null."""
+    t = F.trim(x.cast("string"))
+    return F.when(~F.lower(t).isin("", "nan", "none", "null"), t)
+
+
 def value_type(x: Column) -> Column:
     """number, datetime, bool or text of one value.
 
@@ -63,6 +74,22 @@ def char_grams(x: Column, sizes: tuple[int, ...] = (2, 3), filtered: bool = True
     return F.array_sort(F.array_distinct(grams))
 
 
+def sample_grams(names: Column) -> Column:
+    """The distinct 2- and 3-grams, stop characters and all, of an array of names."""
+    return F.array_distinct(F.flatten(F.transform(names, lambda s: char_grams(s, filtered=False))))
+
+
+def sample_letters(names: Column) -> Column:
+    """The distinct characters of an array of names joined by spaces."""
+    return F.filter(F.array_distinct(F.split(F.array_join(names, " "), "")), lambda c: c != "")
+
+
+def gram_overlap(a: Column, b: Column) -> Column:
+    """How many grams two arrays of names share; if none, how many characters."""
+    both = F.size(F.array_intersect(sample_grams(a), sample_grams(b)))
+    return F.when(both > 0, both).otherwise(F.size(F.array_intersect(sample_letters(a), sample_letters(b))))
+
+
 def jaccard(a: Column, b: Column) -> Column:
     """Jaccard similarity of two arrays as sets, 0 where both are empty."""
     both = F.size(F.array_intersect(a, b))
@@ -76,6 +103,17 @@ def is_garbage(name: Column, whitelist: list[str]) -> Column:
     return (t == "") | (bare & ~t.isin(whitelist))
 
 
+# Endings of names cut off in the middle, and particles that no name ends with.
+CUT_ENDINGS = ["完", "单", "信", "管", "市", "业"]
+PARTICLES = ["的", "与", "和"]
+
+
+def is_broken(code: Column, name: Column) -> Column:
+    """A code with a Chinese character, a name of three or four characters with a cut ending, or one that ends with a particle."""
+    ends = lambda words: name.rlike("(" + "|".join(words) + ")$")
+    return F.coalesce(code, F.lit("")).rlike("[一-鿿]") | (F.length(name).between(3, 4) & ends(CUT_ENDINGS)) | ends(PARTICLES)
+
+
 def confidence(samples: Column, word: Column, floor: Column) -> Column:
     """min(0.95, 0.5 + share of samples with the word / 2), at least floor, to two places."""
     hits = F.size(F.filter(samples, lambda s: s.contains(word)))

@@ -57,11 +57,17 @@ def small_with_targets(objects: DataFrame, threshold: int, keep: int, least: flo
 
 
 def merge(relations: DataFrame, source: int, target: int, factor: float = 0.9) -> DataFrame:
-    """The relations after merging object source into target: weaker copies, source gone, all rows kept."""
+    """The relations after merging object source into target: weaker copies, source gone, all rows kept; see merge_object()."""
     moved = relations.where(F.col("object_id") == source).withColumn("object_id", F.lit(target).cast("long")).withColumn("strength", F.round(F.col("strength") * factor, 4)).withColumn("method", F.lit("MERGE"))
     return relations.where(F.col("object_id") != source).unionByName(moved)
 
 
+def merge_object(objects: DataFrame, relations: DataFrame, mappings: DataFrame, source: int, target: int, factor: float = 0.9) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Objects, relations and mappings after merging source into target: the relations move, the object and its mappings go."""
+    gone = F.col("object_id") == source
+    return objects.where(~gone), merge(relations, source, target, factor), mappings.where(~gone)
+
+
 def merge_all(relations: DataFrame, plan: DataFrame, factor: float = 0.9) -> DataFrame:
     """Merges by a plan (source, target); of equal (object, layer, entity) keys the strongest stays."""
     joined = relations.join(plan.select(F.col("source").alias("object_id"), "target"), "object_id", "left")
@@ -71,7 +77,10 @@ def merge_all(relations: DataFrame, plan: DataFrame, factor: float = 0.9) -> Dat
 
 
 def decide(decisions: DataFrame, synonyms: DataFrame, request: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Decisions and synonyms after a request (a, b, action): link adds a synonym code@domain, ignore is IGNORED."""
+    """Decisions and synonyms after a request (a, b, action): link adds a synonym code@domain, ignore is IGNORED.
+
+    The tables that a merge changes come from merge_all() with merges_of(request).
+    """
     status = F.when(F.col("action") == "merge", "MERGED").when(F.col("action") == "link", "LINKED").otherwise("IGNORED")
     new = request.select("a", "b", status.alias("status"))
     old = decisions.join(new.select("a", "b"), ["a", "b"], "left_anti")
@@ -79,6 +88,11 @@ def decide(decisions: DataFrame, synonyms: DataFrame, request: DataFrame) -> tup
     return old.unionByName(new), synonyms.unionByName(linked).distinct()
 
 
+def merges_of(request: DataFrame) -> DataFrame:
+    """The plan (source, target) of the merge actions of a request: b goes into a."""
+    return request.where("action = 'merge'").select(F.col("b").alias("source"), F.col("a").alias("target"))
+
+
 def rename(objects: DataFrame, history: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Objects and name history after changes (object_id, new_name); same names leave no trace."""
     joined = objects.join(changes, "object_id", "left")
@@ -115,10 +129,12 @@ def redirect(relations: DataFrame, objects: DataFrame, keep: DataFrame) -> DataF
 
 
 def clean_names(objects: DataFrame, garbage, better: DataFrame) -> DataFrame:
-    """Garbage names replaced by (object_id, better_name); repeats get _2, _3 in id order."""
-    joined = objects.join(better, "object_id", "left").withColumn("name", F.when(garbage & F.col("better_name").isNotNull(), F.col("better_name")).otherwise(F.col("object_name")))
-    n = F.row_number().over(Window.partitionBy("name").orderBy("object_id"))
-    return joined.withColumn("n", n).select("object_id", F.when(F.col("n") > 1, F.concat_ws("_", "name", F.col("n").cast("string"))).otherwise(F.col("name")).alias("object_name"))
-
+    """Garbage names replaced by (object_id, better_name); a name that is taken, by an object that keeps its own or a smaller id, gets _2, _3. Other names stay."""
+    joined = objects.join(better, "object_id", "left").withColumn("new", garbage & F.col("better_name").isNotNull())
+    kept = joined.where("not new").select("object_id", "object_name")
+    renamed = joined.where("new").withColumn("n", F.row_number().over(Window.partitionBy("better_name").orderBy("object_id")))
+    taken = kept.select(F.col("object_name").alias("better_name")).distinct().withColumn("taken", F.lit(1))
+    renamed = renamed.join(taken, "better_name", "left").withColumn("n", F.col("n") + F.coalesce("taken", F.lit(0)))
+    name = F.when(F.col("n") > 1, F.concat_ws("_", "better_name", F.col("n").cast("string"))).otherwise(F.col("better_name"))
+    return kept.unionByName(renamed.select("object_id", name.alias("object_name")))
 
-__all__ = ["cascade_delete", "clean_names", "decide", "duplicates", "gram_pairs", "jaccard", "merge", "merge_all", "redirect", "refresh_domain", "rename", "small_with_targets", "upsert"]

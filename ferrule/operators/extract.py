@@ -5,18 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ferrule.functions.text import char_grams
+from ferrule.functions.text import char_grams, sample_grams, sample_letters
 
 
-def keyword_extract(entities: DataFrame, keywords: DataFrame, limit: int = 10_000) -> DataFrame:
+def keyword_extract(entities: DataFrame, keywords: DataFrame) -> DataFrame:
     """(object_code, entity_name): every object whose keyword occurs in the name.
 
-    The keyword table is checked and broadcast; entity names are distinct, the last row of a name wins.
+    Entity names are distinct, the last row of a name wins. Spark sends the keywords to every
+    task while they are small.
     """
-    if keywords.limit(limit + 1).count() > limit:
-        raise ValueError(f"more than {limit} keywords")
     last = entities.groupBy("entity_name").agg(F.max_by("entity_code", "row").alias("entity_code"))
-    hit = last.join(F.broadcast(keywords), F.col("entity_name").contains(F.col("keyword")))
+    hit = last.join(keywords, F.col("entity_name").contains(F.col("keyword")))
     return hit.select("object_code", "entity_name", "entity_code", F.lit(0.8).alias("strength")).distinct()
 
 
@@ -104,3 +103,72 @@ def supplement(objects: DataFrame, entities: DataFrame, business: DataFrame, key
     best = found.groupBy("object_code").agg(F.min("kind").alias("kind"))
     w = Window.partitionBy("object_code").orderBy("entity_name")
     return found.join(best, ["object_code", "kind"]).withColumn("r", F.row_number().over(w)).where(F.col("r") <= first).select("object_code", "entity_name", "strength")
+
+
+def cluster_relations(objects: DataFrame, members: DataFrame, entities: DataFrame) -> DataFrame:
+    """Flat relations: each object to all entities of its cluster, 0.9 for its samples, 0.7 for the others.
+
+    objects: object_code, cluster_id, samples; members: cluster_id, entity_name; entities:
+    entity_name, layer, entity_code, domain. Objects with a negative cluster have none.
+    """
+    own = objects.where("cluster_id >= 0").join(members, "cluster_id").join(entities, "entity_name")
+    strength = F.when(F.array_contains("samples", F.col("entity_name")), 0.9).otherwise(0.7)
+    return own.select("object_code", "layer", "entity_name", "entity_code", "domain", strength.alias("strength"), F.lit("CLUSTER").alias("relation_type"))
+
+
+def with_required(objects: DataFrame, clusters: DataFrame, required: DataFrame) -> DataFrame:
+    """objects (object_code, object_name, cluster_id, cluster_size) with the required ones that are missing.
+
+    required: position, object_code, object_name. Each takes the unused cluster with most
+    samples that hold its name, the smallest id among equals; a cluster that several want
+    goes to the first in position, and an object without one gets cluster -1 and size 0.
+    """
+    missing = required.join(objects.select("object_name"), "object_name", "left_anti")
+    free = clusters.join(objects.where("cluster_id >= 0").select("cluster_id"), "cluster_id", "left_anti")
+    samples = free.select("cluster_id", "size", F.explode("samples").alias("s"))
+    hits = samples.join(missing, F.col("s").contains(F.col("object_name"))).groupBy("position", "cluster_id", "size").agg(F.count(F.lit(1)).alias("hits"))
+    best = hits.withColumn("r", F.row_number().over(Window.partitionBy("position").orderBy(F.desc("hits"), "cluster_id"))).where("r = 1")
+    owner = best.withColumn("r", F.row_number().over(Window.partitionBy("cluster_id").orderBy("position"))).where("r = 1").select("position", "cluster_id", "size")
+    rows = missing.join(owner, "position", "left")
+    new = rows.select("object_code", "object_name", F.coalesce("cluster_id", F.lit(-1)).cast("int").alias("cluster_id"), F.coalesce("size", F.lit(0)).cast("long").alias("cluster_size"))
+    return objects.select("object_code", "object_name", F.col("cluster_id").cast("int").alias("cluster_id"), F.col("cluster_size").cast("long").alias("cluster_size")).unionByName(new)
+
+
+def absorb(objects: DataFrame, garbage) -> DataFrame:
+    """object_code and absorbed_by (null: it stays) after naming.
+
+    objects: object_code, object_name, cluster_size, samples. Pending objects go into the
+    named one with which their samples share most grams (else characters); garbage names
+    into the largest that stays; of equal names the largest stays. Ties go to the
+    smaller code. A pending object that shares nothing stays.
+    """
+    rows = objects.withColumn("pending", F.col("object_code").contains("_PENDING_MERGE_")).withColumn("bad", ~F.col("pending") & garbage)
+    named = rows.where("not pending")
+    waiting = rows.where("pending")
+
+    def best(parts) -> DataFrame:
+        """The named object with most parts in common; only objects that share a part meet."""
+        left = waiting.select("object_code", F.explode(parts(F.col("samples"))).alias("part"))
+        right = named.select(F.col("object_code").alias("target"), F.explode(parts(F.col("samples"))).alias("part"))
+        score = left.join(right, "part").groupBy("object_code", "target").agg(F.count(F.lit(1)).alias("score"))
+        w = Window.partitionBy("object_code").orderBy(F.desc("score"), "target")
+        return score.withColumn("r", F.row_number().over(w)).where("r = 1").select("object_code", F.col("target").alias("absorbed_by"))
+
+    by_grams = best(sample_grams)
+    by_letters = best(sample_letters).join(by_grams, "object_code", "left_anti")
+    found = by_grams.unionByName(by_letters)
+    pending = waiting.select("object_code").join(found, "object_code", "left")
+    good = named.where("not bad")
+    largest = good.agg(F.max_by("object_code", F.struct("cluster_size", "object_code")).alias("m"))
+    bad = named.where("bad").select("object_code", largest.scalar().alias("absorbed_by"))
+    same = Window.partitionBy("object_name").orderBy(F.desc("cluster_size"), "object_code")
+    twins = good.withColumn("first", F.first("object_code").over(same)).select("object_code", F.when(F.col("first") != F.col("object_code"), F.col("first")).alias("absorbed_by"))
+    return pending.unionByName(bad).unionByName(twins)
+
+
+def by_domain(extract, entities: DataFrame, keywords: DataFrame) -> DataFrame:
+    """extract() over all domains in one job: names are qualified by their domain on the way."""
+    mark = F.concat("domain", F.lit("\x1f"), "entity_name")
+    rows = extract(entities.withColumn("entity_name", mark), keywords)
+    parts = F.split("entity_name", "\x1f", 2)
+    return rows.withColumns({"domain": parts[0], "entity_name": parts[1]})

@@ -61,11 +61,19 @@ def domain_consistency(locals_: DataFrame) -> DataFrame:
     return rows.select("object_code", F.array_join("here", ",").alias("present_in"), F.array_join(F.array_except("everything", "here"), ",").alias("missing_in"), F.concat_ws("/", n, m).alias("coverage"), (n == m).alias("consistent"), ratio(n, m).alias("rate"))
 
 
-#: Endings that mark a field rather than an object, in order of precedence.
-FIELD_SUFFIXES = ["ring", "rod", "widget", "gizmo"]
-
-
-def suffix_noise(names: DataFrame, name: str, suffixes: list[str]) -> DataFrame:
+# Endings that mark a field rather than an object, in order of precedence.
+FIELD_SUFFIXES = [
+    "编号", "代码", "代号", "ID", "id",
+    "名称", "标题", "简称", "全称",
+    "状态", "类型", "类别", "分类",
+    "时间", "日期",
+    "金额", "数量", "价格", "单价", "总价",
+    "地址", "电话", "邮箱",
+    "标识", "标志", "标记",
+]
+
+
+def suffix_noise(names: DataFrame, name: str, suffixes: list[str] = FIELD_SUFFIXES) -> DataFrame:
     """Names that end with one of the suffixes and have at least two more characters; the first suffix in order."""
     hit = F.coalesce(*[F.when(F.col(name).endswith(s) & (F.length(name) > len(s) + 1), F.lit(s)) for s in suffixes])
     return names.withColumn("suffix", hit)

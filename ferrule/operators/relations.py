@@ -116,3 +116,57 @@ def fields_by_subdomain(relations: DataFrame) -> DataFrame:
     sub = F.coalesce("subdomain", F.lit("OTHER"))
     rows = relations.where("layer = 'CONCEPT'").groupBy("object_id", sub.alias("subdomain"))
     return rows.agg(F.count(F.lit(1)).alias("n_fields"), F.array_join(F.array_sort(F.collect_set("entity_name")), ",").alias("fields"))
+
+
+def object_business_objects(mappings: DataFrame, object_code: str, domain: str | None = None, k: int = 100) -> DataFrame:
+    """The business objects of an object, the best matches first, at most k."""
+    rows = mappings.where(F.col("object_code") == object_code)
+    if domain:
+        rows = rows.where(F.col("data_domain") == domain)
+    return rows.select("business_object_name", "match_method", "match_score", "data_domain").orderBy(F.desc("match_score"), "business_object_name").limit(k)
+
+
+def layer_average(relations: DataFrame, object_id: int) -> DataFrame:
+    """Count and mean strength, to four places, by layer of one object."""
+    return relations.where(F.col("object_id") == object_id).groupBy("layer").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("strength"), 4).alias("strength"))
+
+
+def filtered(rows: DataFrame, **wanted) -> DataFrame:
+    """Rows that equal every wanted value that is given."""
+    for column, value in wanted.items():
+        if value is not None:
+            rows = rows.where(F.col(column) == value)
+    return rows
+
+
+def named_attributes(attributes: DataFrame, names: list[str] | None = None, system: str = "__sheet__") -> DataFrame:
+    """Attributes whose name or display name is one of names (all of a known type without names), system ones left out, in order."""
+    if names:
+        rows = attributes.where(F.col("name").isin(names) | F.col("display_name").isin(names))
+    else:
+        rows = attributes.where(F.col("data_type").isin("text", "number", "datetime", "bool"))
+    return rows.where(F.col("name") != system).orderBy("ord_index", "id")
+
+
+def canon_top(canon: DataFrame, mappings: DataFrame, k: int = 10) -> DataFrame:
+    """The k canonical texts of the largest clusters with their number of mappings; ties by id."""
+    counts = mappings.groupBy("canon_id").agg(F.count(F.lit(1)).alias("n"))
+    top = canon.orderBy(F.desc("cluster_size"), "canon_id").limit(k)
+    return top.join(counts, "canon_id", "left").select("canon_id", "canonical_text", "cluster_size", F.coalesce("n", F.lit(0)).alias("mapping_rows"))
+
+
+def top_slices(rows: DataFrame, keys: list[str], head: int, other: DataFrame, other_keys: list[str], other_head: int) -> tuple[DataFrame, DataFrame]:
+    """The first rows of two tables, each by its keys descending."""
+    return rows.orderBy(*[F.desc(k) for k in keys]).limit(head), other.orderBy(*[F.desc(k) for k in other_keys]).limit(other_head)
+
+
+def enriched(rows: DataFrame, other: DataFrame, key: str, column: str) -> DataFrame:
+    """rows whose column, where it is null or an empty array, is that of the other source."""
+    given = other.select(key, F.col(column).alias("__other"))
+    lacks = F.col(column).isNull() | (F.size(column) <= 0)
+    return rows.join(given, key, "left").withColumn(column, F.when(lacks, F.coalesce("__other", F.col(column))).otherwise(F.col(column))).drop("__other")
+
+
+def with_file_domains(stats: DataFrame, files: DataFrame, key: str = "domain") -> DataFrame:
+    """Stats of the table and of those domains that only files have, by name."""
+    return stats.unionByName(files.join(stats.select(key), key, "left_anti").select(*stats.columns)).orderBy(key)

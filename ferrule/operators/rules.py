@@ -41,12 +41,15 @@ def lookup(values: str, key: Column) -> Column:
 def threshold(rows: DataFrame, rules: DataFrame, values: str = "values") -> DataFrame:
     """Each row against each rule (rule_id, field, operator, bound): fired and a message where it did.
 
-    rules is a small table of definitions and is broadcast; rows are not shuffled.
+    rules is a table of definitions; each row carries those of all rules as one array, built by one
+    aggregate, so that rows are neither shuffled nor joined.
     """
-    joined = rows.join(F.broadcast(rules), F.lit(True))
+    every = F.array_sort(F.collect_list(F.struct("rule_id", "field", "operator", F.col("bound").cast("double").alias("bound"))))
+    joined = rows.withColumn("rules", rules.agg(every).scalar()).select("*", F.inline("rules")).drop("rules")
     value = lookup(values, F.col("field"))
     fired = compare(F.col("operator"), value, F.col("bound"))
-    message = F.when(fired, F.concat_ws(" ", "field", "operator", F.col("bound").cast("int").cast("string")))
+    whole = F.col("bound") == F.floor("bound")
+    message = F.when(fired, F.concat_ws(" ", "field", "operator", F.when(whole, F.col("bound").cast("long").cast("string")).otherwise(F.col("bound").cast("string"))))
     return joined.select("row_id", "rule_id", value.alias("value"), fired.alias("fired"), message.alias("message"))
 
 
@@ -79,8 +82,8 @@ def condition(text: str, value: Callable[[str], Column], names: list[str]) -> Co
     return OPERATORS[parts[1]](value(known[-1]), F.lit(bound))
 
 
-def freeform(text: str, value: Callable[[str], Column], constraint: str | None = None) -> Column:
-    """Relation formula: a²bc with a square and three names, (a-b)/c, a/b as a percentage, or a product of two."""
+def freeform(text: str, value: Callable[[str], Column]) -> Column:
+    """Relation formula: a²bc with a square and three names, (a-b)/c, a/b as a percentage, or a product of two; see satisfied()."""
     names = variables(text.replace("²", " ² "))
     v = [value(n) for n in names]
     if "²" in text and len(v) == 3:
@@ -92,39 +95,90 @@ def freeform(text: str, value: Callable[[str], Column], constraint: str | None =
     return v[0] * v[1] if len(v) == 2 else F.lit(None).cast("double")
 
 
-def categorical(category: str, text: str, value: Callable[[str], Column], reference: str | None = None, tolerance: float = 0.0) -> tuple[Column, Column]:
-    """(result, passed) of a rule by its category.
+def satisfied(computed: Column, constraint: str | None) -> Column:
+    """Whether a formula's value keeps a constraint `... op number`; null without a value or a readable constraint, true for an unknown operator."""
+    parts = (constraint or "").replace("≤", "<=").replace("≥", ">=").split()
+    try:
+        bound = float(parts[-1]) if len(parts) >= 3 else None
+    except ValueError:
+        bound = None
+    if bound is None:
+        return F.lit(None).cast("boolean")
+    known = {k: OPERATORS[k] for k in ("<=", ">=", "<", ">")}
+    kept = known[parts[-2]](computed, F.lit(bound)) if parts[-2] in known else F.lit(True)
+    return F.when(computed.isNotNull(), kept)
+
+
+def beyond(value: Column, operator: str, bound: Column, tolerance: float = 0.0) -> Column:
+    """A free-form threshold rule: value against bound * (1 + tolerance); an unknown operator is false."""
+    bound = bound * (1 + tolerance) if tolerance > 0 else bound
+    return OPERATORS[operator](value, bound) if operator in (">", "<", ">=", "<=") else F.lit(False)
+
+
+def branch(text: str, value: Callable[[str], Column], names: list[str]) -> Column:
+    """A free-form condition: the first comparison in the text with its number, against the last of names that occurs in it."""
+    parts = text.split()
+    at = next((i for i, p in enumerate(parts) if p in (">", "<", ">=", "<=", "=", "==")), None)
+    known = [n for n in names if n in text]
+    try:
+        bound = float(parts[at + 1]) if at is not None and known else None
+    except (ValueError, IndexError):
+        bound = None
+    if bound is None:
+        return F.lit(False)
+    return OPERATORS["==" if parts[at] == "=" else parts[at]](value(known[-1]), F.lit(bound))
+
 
-    PHYSICAL_FORMULA multiplies all where × or * occurs, even beside a square or a slash;
-    BUSINESS_RULE knows only >, with 万 read as four zeros; anything else there is an error (null).
+def categorical(category: str, text: str, value: Callable[[str], Column], reference: str | None = None, tolerance: float = 0.0, operator: str = ">", raw: Callable[[str], Column] | None = None) -> tuple[Column, Column]:
+    """(result, triggered) of a rule by its category.
+
+    raw gives a value or null, value 0 instead (raw is value if absent). PHYSICAL_FORMULA
+    multiplies the values there are where × or * occurs, even beside a square or a slash;
+    with a slash and a minus it takes (a - b) / c, or a / b of two; with a square alone
+    a²bc of three; to four places. BUSINESS_RULE knows only >, with 万 read as four zeros:
+    without it nothing is triggered, and an unreadable number is an error (null). THRESHOLD
+    compares with the reference times 1 ± tolerance; its result is percent over.
     """
     names = variables(text.replace("²", " ² "))
-    v = [value(n) for n in names]
-    none, yes = F.lit(None).cast("double"), F.lit(True)
+    raw = raw or value
+    none, no = F.lit(None).cast("double"), F.lit(False)
     if category == "PHYSICAL_FORMULA":
+        v = [raw(n) for n in names]
         if "×" in text or "*" in text:
-            out = v[0]
-            for x in v[1:]:
-                out = out * x
-            return out, yes
-        if "/" in text:
-            return (F.try_divide(v[0] - v[1], v[2]) if "-" in text and len(v) == 3 else F.try_divide(v[0], v[1])), yes
-        return (v[0] * v[0] if "²" in text else none), yes
+            out = F.lit(1.0)
+            for x in v:
+                out = out * F.coalesce(x, F.lit(1.0))
+            some = F.lit(False)
+            for x in v:
+                some = some | x.isNotNull()
+            return F.round(F.when(some, out), 4), no
+        if "/" in text and "-" in text:
+            if len(v) >= 3:
+                there = v[0].isNotNull() & v[1].isNotNull() & v[2].isNotNull()
+                return F.round(F.when(there, F.try_divide(v[0] - v[1], v[2])), 4), no
+            return (F.round(F.try_divide(v[0], v[1]), 4) if len(v) == 2 else none), no
+        if "²" in text and len(names) >= 3:
+            a, b, c = (value(n) for n in names[:3])
+            return F.round(a * a * b * c, 4), no
+        return none, no
     if category == "BUSINESS_RULE":
         field, sign, bound = text.partition(">")
+        if not sign or ">" in bound:
+            return F.lit(0.0), no
         try:
-            limit = float(bound.replace("万", "0000").replace(",", ""))
+            limit = float(bound.strip().replace("万", "0000").replace(",", ""))
         except ValueError:
             return none, F.lit(None).cast("boolean")
-        got = value(field.strip())
-        return got, (got > limit if sign else F.lit(None).cast("boolean"))
+        held = value(field.strip()) > limit
+        return held.cast("double"), held
     if category == "THRESHOLD":
-        got, base = v[0], value(reference or names[-1])
-        over = F.coalesce(F.round(F.try_divide(got - base, base) * 100, 1), F.lit(0.0))
-        return over, (got <= base * (1 + tolerance)) & (got >= base * (1 - tolerance))
-    if category == "DERIVED_CALC":
-        return F.round(F.try_divide(v[0], v[1]) * 100, 1), yes
-    return none, F.lit(None).cast("boolean")
+        got, base = value(names[0]), value(reference or names[-1])
+        over = F.coalesce(F.round((F.try_divide(got, base) - 1) * 100, 1), F.lit(0.0))
+        tests = {">": got > base * (1 + tolerance), "<": got < base * (1 - tolerance), ">=": got >= base, "<=": got <= base}
+        return over, tests.get(operator, no)
+    if category == "DERIVED_CALC" and len(names) >= 2:
+        return F.round(F.try_divide(value(names[0]), value(names[1])) * 100, 1), no
+    return none, (no if category == "DERIVED_CALC" else F.lit(None).cast("boolean"))
 
 
 def chain(rows: DataFrame, steps: list[tuple[str, str, str]], value: Callable[[str], Column]) -> DataFrame:
@@ -153,9 +207,17 @@ def chain(rows: DataFrame, steps: list[tuple[str, str, str]], value: Callable[[s
 
 
 def with_eav(values: DataFrame, manual: DataFrame) -> DataFrame:
-    """object_id, values: attribute numbers of each entity, overridden by manual ones."""
-    eav = values.groupBy("object_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", "number")))).alias("eav"))
-    hand = manual.groupBy("object_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", "number")))).alias("hand"))
+    """object_id, values: attribute numbers of each entity, overridden by manual ones.
+
+    Of a repeated attribute the last by `row` counts where there is such a column, else the largest.
+    """
+
+    def mapped(rows: DataFrame, name: str) -> DataFrame:
+        place = F.struct("row", "number") if "row" in rows.columns else F.col("number")
+        last = rows.groupBy("object_id", "name").agg(F.max_by("number", place).alias("number"))
+        return last.groupBy("object_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", "number")))).alias(name))
+
+    eav, hand = mapped(values, "eav"), mapped(manual, "hand")
     empty = F.create_map().cast("map<string,double>")
     joined = eav.join(hand, "object_id", "full_outer")
     hand_map, eav_map = F.coalesce("hand", empty), F.coalesce("eav", empty)

@@ -156,16 +156,18 @@ def domain_comparison(spark, sf_dir):
     return g.domain_consistency(local_objects(spark, sf_dir))
 
 
-SUFFIX_CASE = "CASE " + " ".join(f"WHEN p_name LIKE '%{s}' AND length(p_name) > {len(s) + 1} THEN '{s}'" for s in g.FIELD_SUFFIXES) + " END"
+#: Endings of the parts' names; the default of suffix_noise has none of them.
+PART_SUFFIXES = ["ring", "rod", "widget", "gizmo"]
+SUFFIX_CASE = "CASE " + " ".join(f"WHEN p_name LIKE '%{s}' AND length(p_name) > {len(s) + 1} THEN '{s}'" for s in PART_SUFFIXES) + " END"
 
 
 @query(f"SELECT p_brand, count(*) AS n, count(s) AS noisy, round(CAST(count(s) AS DOUBLE) / count(*) * 100, 1) AS ratio, count(s) > 0.6 * count(*) AS flagged FROM (SELECT p_brand, {SUFFIX_CASE} AS s FROM part) GROUP BY p_brand")
 def field_noise_report(spark, sf_dir):
-    rows = g.suffix_noise(table(spark, sf_dir, "part"), "p_name", g.FIELD_SUFFIXES).groupBy("p_brand")
+    rows = g.suffix_noise(table(spark, sf_dir, "part"), "p_name", PART_SUFFIXES).groupBy("p_brand")
     n, noisy = F.count(F.lit(1)), F.count("suffix")
     return rows.agg(n.alias("n"), noisy.alias("noisy"), r.ratio(noisy, n).alias("ratio"), (noisy > 0.6 * n).alias("flagged"))
 
 
 @query(f"SELECT s AS suffix, count(*) AS n FROM (SELECT {SUFFIX_CASE} AS s FROM part) WHERE s IS NOT NULL GROUP BY s")
 def suffix_histogram(spark, sf_dir):
-    return r.counts_by(g.suffix_noise(table(spark, sf_dir, "part"), "p_name", g.FIELD_SUFFIXES).where("suffix is not null"), "suffix")
+    return r.counts_by(g.suffix_noise(table(spark, sf_dir, "part"), "p_name", PART_SUFFIXES).where("suffix is not null"), "suffix")

@@ -49,12 +49,12 @@ def relations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def local_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """domain, object_name, object_code, cluster_size, samples: brands in each supplier nation."""
-    part = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_name")
+    """domain, object_name, object_code, cluster_size, samples: brands and types of parts in each supplier nation."""
+    part = table(spark, sf_dir, "part").select("p_partkey", F.concat_ws(" ", "p_brand", "p_type").alias("kind"), "p_name")
     supplier = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "n_name")
-    rows = table(spark, sf_dir, "lineitem").where("l_partkey % 20 = 0").select("l_partkey", "l_suppkey")
+    rows = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey")
     rows = rows.join(part, F.col("l_partkey") == F.col("p_partkey")).join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
-    grouped = rows.groupBy(F.col("n_name").alias("domain"), F.col("p_brand").alias("object_name")).agg(F.count(F.lit(1)).alias("cluster_size"), F.slice(F.array_sort(F.collect_set("p_name")), 1, 20).alias("samples"))
+    grouped = rows.groupBy(F.col("n_name").alias("domain"), F.col("kind").alias("object_name")).agg(F.count(F.lit(1)).alias("cluster_size"), F.slice(F.array_sort(F.collect_set("p_name")), 1, 20).alias("samples"))
     return grouped.select("domain", "object_name", F.concat(F.lit("OBJ_"), F.upper(F.regexp_replace("object_name", "[^A-Za-z0-9]", "_"))).alias("object_code"), "cluster_size", "samples")
 
 
@@ -76,10 +76,10 @@ objects AS (
     FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey WHERE c_nationkey % 5 <> 0
   ) WHERE object_id % 11 <> 10
 ), local_objects AS (
-  SELECT n_name AS domain, p_brand AS object_name, 'OBJ_' || upper(regexp_replace(p_brand, '[^A-Za-z0-9]', '_', 'g')) AS object_code,
+  SELECT n_name AS domain, p_brand || ' ' || p_type AS object_name, 'OBJ_' || upper(regexp_replace(p_brand || ' ' || p_type, '[^A-Za-z0-9]', '_', 'g')) AS object_code,
          count(*) AS cluster_size, list_sort(list(DISTINCT p_name))[1:20] AS samples
   FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey
-  WHERE l_partkey % 20 = 0 GROUP BY n_name, p_brand
+  GROUP BY n_name, p_brand, p_type
 )"""
 
 

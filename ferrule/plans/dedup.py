@@ -40,12 +40,12 @@ def bulk_merge_plan(spark, sf_dir):
 
 
 GRAMS = "[x FOR x IN list_distinct(list_concat([{0}[i:i+1] FOR i IN range(1, length({0}))], [{0}[i:i+2] FOR i IN range(1, length({0}) - 1)])) IF NOT regexp_matches(x, '[-0-9_()（）、，。 ]')]"
-NAMES = "names AS (SELECT p_partkey AS id, 'P' || (p_partkey // 2) AS code, p_name AS name FROM part WHERE p_partkey < 300), g AS (SELECT *, " + GRAMS.format("name") + " AS g FROM names), decided AS (SELECT doc_id AS a, doc_id + 1 AS b FROM labels WHERE quality = 1)"
+NAMES = "names AS (SELECT p_partkey AS id, 'P' || (p_partkey // 2) AS code, p_name AS name FROM part), g AS (SELECT *, " + GRAMS.format("name") + " AS g FROM names), decided AS (SELECT doc_id AS a, doc_id + 1 AS b FROM labels WHERE quality = 1)"
 SIM = "round(CAST(len(list_intersect(x.g, y.g)) AS DOUBLE) / (len(x.g) + len(y.g) - len(list_intersect(x.g, y.g))), 4)"
 
 
 def names(spark, sf_dir):
-    part = table(spark, sf_dir, "part").where("p_partkey < 300")
+    part = table(spark, sf_dir, "part")
     return part.select(F.col("p_partkey").alias("id"), F.concat(F.lit("P"), F.floor(F.col("p_partkey") / 2).cast("string")).alias("code"), F.col("p_name").alias("name"))
 
 
@@ -151,11 +151,11 @@ def import_redirect(spark, sf_dir):
     return dd.redirect(lo.withColumn("entity", F.col("domain")), ids, keep)
 
 
-@query("""WITH n AS (SELECT p_partkey AS object_id, split_part(p_name, ' ', 2) AS object_name, p_type AS better FROM part WHERE p_partkey < 200),
-m AS (SELECT object_id, CASE WHEN regexp_full_match(object_name, '[A-Za-z]{1,4}') THEN better ELSE object_name END AS name FROM n), k AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY object_id) AS i FROM m)
-SELECT object_id, CASE WHEN i > 1 THEN name || '_' || i ELSE name END AS object_name FROM k""")
+@query("""WITH n AS (SELECT p_partkey AS object_id, split_part(p_name, ' ', 2) AS object_name, p_type AS better FROM part),
+m AS (SELECT *, regexp_full_match(object_name, '[A-Za-z]{1,4}') AS bad FROM n), k AS (SELECT *, row_number() OVER (PARTITION BY better ORDER BY object_id) + CASE WHEN better IN (SELECT object_name FROM m WHERE NOT bad) THEN 1 ELSE 0 END AS i FROM m WHERE bad)
+SELECT object_id, CASE WHEN i > 1 THEN better || '_' || i ELSE better END AS object_name FROM k UNION ALL SELECT object_id, object_name FROM m WHERE NOT bad""")
 def garbage_cleanup(spark, sf_dir):
-    n = table(spark, sf_dir, "part").where("p_partkey < 200").select(F.col("p_partkey").alias("object_id"), F.split("p_name", " ")[1].alias("object_name"), F.col("p_type").alias("better_name"))
+    n = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("object_id"), F.split("p_name", " ")[1].alias("object_name"), F.col("p_type").alias("better_name"))
     return dd.clean_names(n.drop("better_name"), tx.is_garbage(F.col("object_name"), []), n.select("object_id", "better_name"))
 
 

@@ -53,23 +53,23 @@ def centroid_merge_targets(spark, sf_dir):
     return mt.merge_targets(v, -(-v.count() // 10))
 
 
-@query("""WITH c AS (SELECT 'a' AS dataset, 'Name' AS attribute, p_name AS raw FROM part WHERE p_partkey % 2 = 0 UNION ALL SELECT 'b', 'NAME', p_name FROM part WHERE p_partkey % 3 = 0),
+@query("""WITH c AS (SELECT 'a' AS dataset, 'Name' AS attribute, p_name AS raw FROM part UNION ALL SELECT 'b', 'NAME', p_name FROM part WHERE p_partkey % 3 = 0),
 k AS (SELECT lower(attribute) AS name, dataset, attribute, raw, count(*) AS freq, lower(attribute) || '|' || split_part(raw, ' ', 1) AS cluster FROM c GROUP BY ALL),
 t AS (SELECT cluster, raw, sum(freq) AS f FROM k GROUP BY ALL), canon AS (SELECT cluster, raw AS canonical_text FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY f DESC, length(raw), raw) AS r FROM t) WHERE r = 1)
 SELECT dataset, attribute, canonical_text, count(DISTINCT raw) AS cluster_size, sum(freq) AS freq FROM k JOIN canon USING (cluster) GROUP BY cluster, dataset, attribute, canonical_text""")
 def cross_dataset_canon(spark, sf_dir):
     p = table(spark, sf_dir, "part")
     one = lambda d, a, m: p.where(F.col("p_partkey") % m == 0).select(F.lit(d).alias("dataset"), F.lit(a).alias("attribute"), F.col("p_name").alias("raw"))
-    return mt.global_canon(one("a", "Name", 2).unionByName(one("b", "NAME", 3)), F.split("raw", " ")[0])
+    return mt.global_canon(one("a", "Name", 1).unionByName(one("b", "NAME", 3)), F.split("raw", " ")[0])
 
 
 @query(f"""WITH {UNIT}, r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM (
- SELECT q.id AS query_id, x.id, round(list_dot_product(q.v, x.v), 6) AS score FROM u q JOIN u x ON q.id <> x.id WHERE q.id < 5)) WHERE rank <= 3)
+ SELECT q.id AS query_id, x.id, round(list_dot_product(q.v, x.v), 6) AS score FROM u q JOIN u x ON q.id <> x.id WHERE q.id % 50 = 0)) WHERE rank <= 3)
 SELECT query_id, string_agg(p_name, chr(10) ORDER BY rank) AS context FROM r JOIN part ON p_partkey = r.id GROUP BY query_id""")
 def retrieval_context(spark, sf_dir):
     v = vectors(spark, sf_dir)
     texts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("text"))
-    return mt.retrieve(ve.nearest(v, v.where("id < 5"), 3), texts, 3)
+    return mt.retrieve(ve.nearest(v, v.where("id % 50 = 0"), 3), texts, 3)
 
 
 @query("SELECT user_id AS batch_id, min(CAST(ts AS TIMESTAMP)) AS started, count(*) AS objects FROM events GROUP BY user_id ORDER BY started DESC, batch_id LIMIT 50")

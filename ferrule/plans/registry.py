@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import analytics, dedup, eav, lifecycle, maintenance, mining, rules, sources
+from . import analytics, dedup, eav, inventory, lifecycle, listing, maintenance, mining, rules, sources
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for module in (analytics, dedup, eav, lifecycle, maintenance, mining, rules, sources):
+for module in (analytics, dedup, eav, inventory, lifecycle, listing, maintenance, mining, rules, sources):
     QUERIES |= module.QUERIES
     ORACLES |= module.ORACLES

@@ -31,13 +31,13 @@ def column(name: str):
     return F.coalesce(F.col(name).cast("double"), F.lit(0.0)) if name in ("p_size", "p_retailprice", "p_partkey") else F.lit(0.0)
 
 
-RULES = [("R1", "p_size", ">", 40.0), ("R2", "p_retailprice", "<=", 905.0), ("R3", "absent", "==", 0.0), ("R4", "p_size", "~", 1.0), ("R5", "p_size", "!=", 7.0), ("R6", "p_retailprice", ">=", 990.0), ("R7", "p_size", "<", 3.0)]
+RULES = [("R1", "p_size", ">", 40.0), ("R2", "p_retailprice", "<=", 905.0), ("R3", "absent", "==", 0.0), ("R4", "p_size", "~", 1.0), ("R5", "p_size", "!=", 7.0), ("R6", "p_retailprice", ">=", 990.0), ("R7", "p_size", "<", 3.0), ("R8", "p_retailprice", ">", 950.5)]
 RULE_SQL = "rules(rule_id, field, operator, bound) AS (VALUES " + ", ".join(f"('{a}', '{b}', '{c}', CAST({d} AS DOUBLE))" for a, b, c, d in RULES) + ")"
 TEST = "CASE operator WHEN '>' THEN value > bound WHEN '<' THEN value < bound WHEN '>=' THEN value >= bound WHEN '<=' THEN value <= bound WHEN '==' THEN value = bound WHEN '!=' THEN value <> bound ELSE false END"
 
 
 @query(f"""WITH {RULE_SQL}, v AS (SELECT p_partkey AS row_id, rules.*, CASE field WHEN 'p_size' THEN CAST(p_size AS DOUBLE) WHEN 'p_retailprice' THEN p_retailprice ELSE 0.0 END AS value FROM part, rules)
-SELECT row_id, rule_id, value, {TEST} AS fired, CASE WHEN {TEST} THEN concat_ws(' ', field, operator, CAST(CAST(bound AS INTEGER) AS VARCHAR)) END AS message FROM v""")
+SELECT row_id, rule_id, value, {TEST} AS fired, CASE WHEN {TEST} THEN concat_ws(' ', field, operator, CASE WHEN bound = floor(bound) THEN CAST(CAST(bound AS BIGINT) AS VARCHAR) ELSE CAST(bound AS VARCHAR) END) END AS message FROM v""")
 def rule_threshold(spark, sf_dir):
     rows = parts(spark, sf_dir).select(F.col("p_partkey").alias("row_id"), F.create_map(F.lit("p_size"), F.col("p_size").cast("double"), F.lit("p_retailprice"), "p_retailprice").alias("values"))
     return ru.threshold(rows, spark.createDataFrame(RULES, "rule_id string, field string, operator string, bound double"))
@@ -56,19 +56,27 @@ def rule_condition(spark, sf_dir):
     return parts(spark, sf_dir).select("p_partkey", c("p_size > 30").alias("big"), c("p_retailprice <= 950.5").alias("cheap"), c("p_size ~ 3").alias("bad_operator"), c("p_size > x").alias("bad_number"))
 
 
-@query("""SELECT p_partkey, round(CAST(p_size AS DOUBLE) * p_size * p_retailprice * p_partkey, 2) AS square, round(CASE WHEN p_size <> 0 THEN (p_retailprice - p_partkey) / p_size END, 6) AS per_size,
- round(CASE WHEN p_retailprice <> 0 THEN p_size / p_retailprice * 100 END, 6) AS percent, round(p_size * p_retailprice, 6) AS product FROM part""")
+@query("""WITH f AS (SELECT p_partkey, p_size, p_retailprice, p_size * p_retailprice AS v FROM part)
+SELECT p_partkey, round(CAST(p_size AS DOUBLE) * p_size * p_retailprice * p_partkey, 2) AS square, round(CASE WHEN p_size <> 0 THEN (p_retailprice - p_partkey) / p_size END, 6) AS per_size,
+ round(CASE WHEN p_retailprice <> 0 THEN p_size / p_retailprice * 100 END, 6) AS percent, round(v, 6) AS product, v <= 20000 AS kept, true AS odd_operator, CAST(NULL AS BOOLEAN) AS unreadable,
+ p_retailprice > p_size * 30 * (1 + 0.1) AS above, p_size >= 25 AS branch FROM f""")
 def rule_freeform(spark, sf_dir):
     f = lambda text, n: F.round(ru.freeform(text, column), n)
-    return parts(spark, sf_dir).select("p_partkey", f("p_size² × p_retailprice × p_partkey", 2).alias("square"), f("(p_retailprice - p_partkey) / p_size", 6).alias("per_size"), f("p_size / p_retailprice × 100", 6).alias("percent"), f("p_size × p_retailprice", 6).alias("product"))
+    product = ru.freeform("p_size × p_retailprice", column)
+    kept = {"kept": "P ≤ 20000", "odd_operator": "P ~ 3", "unreadable": "P <= many"}
+    return parts(spark, sf_dir).select("p_partkey", f("p_size² × p_retailprice × p_partkey", 2).alias("square"), f("(p_retailprice - p_partkey) / p_size", 6).alias("per_size"), f("p_size / p_retailprice × 100", 6).alias("percent"), F.round(product, 6).alias("product"), *[ru.satisfied(product, c).alias(n) for n, c in kept.items()], ru.beyond(column("p_retailprice"), ">", column("p_size") * 30, 0.1).alias("above"), ru.branch("if p_size >= 25 then", column, ["p_size", "p_retailprice"]).alias("branch"))
 
 
-@query("""SELECT p_partkey, round(CAST(p_size AS DOUBLE) * p_retailprice * p_partkey, 2) AS physical, p_retailprice > 950 AS business, CAST(NULL AS BOOLEAN) AS business_error,
- round((p_retailprice - p_size) / p_size * 100, 1) AS percent_over, p_retailprice <= p_size * 100.0 AND p_retailprice >= p_size * -98.0 AS within, round(p_size / p_retailprice * 100, 1) AS derived FROM part""")
+@query("""WITH p AS (SELECT p_partkey, CAST(p_size AS DOUBLE) AS s, p_retailprice AS r, CASE WHEN p_partkey % 7 = 0 THEN NULL ELSE CAST(p_partkey AS DOUBLE) END AS k FROM part)
+SELECT p_partkey, round(s * r * coalesce(k, 1), 4) AS product, round(CASE WHEN r <> 0 AND k IS NOT NULL THEN (s - k) / r END, 4) AS per_size, CAST(NULL AS DOUBLE) AS slash_alone, round(s * s * r * coalesce(k, 0), 4) AS square, CAST(NULL AS DOUBLE) AS square_of_two,
+ r > 950 AS business, CAST(NULL AS BOOLEAN) AS business_error, false AS no_sign, CASE WHEN s <> 0 THEN round((r / s - 1) * 100, 1) ELSE 0.0 END AS percent_over, r > s * (1 + 50.0) AS over, r < s * (1 - 0.5) AS under, CASE WHEN r <> 0 THEN round(s / r * 100, 1) END AS derived FROM p""")
 def rule_category(spark, sf_dir):
-    f = lambda *a, **k: ru.categorical(*a, value=column, **k)
-    over, within = f("THRESHOLD", "p_retailprice", reference="p_size", tolerance=99.0)
-    return parts(spark, sf_dir).select("p_partkey", F.round(f("PHYSICAL_FORMULA", "p_size² × p_retailprice × p_partkey")[0], 2).alias("physical"), f("BUSINESS_RULE", "p_retailprice > 950")[1].alias("business"), f("BUSINESS_RULE", "p_retailprice >= 950")[1].alias("business_error"), over.alias("percent_over"), within.alias("within"), f("DERIVED_CALC", "p_size / p_retailprice")[0].alias("derived"))
+    rows = parts(spark, sf_dir).withColumn("part_no", F.when(F.col("p_partkey") % 7 != 0, F.col("p_partkey").cast("double")))
+    raw = lambda n: F.col(n).cast("double") if n in ("p_size", "p_retailprice", "part_no") else F.lit(None).cast("double")
+    f = lambda *a, **k: ru.categorical(*a, value=lambda n: F.coalesce(raw(n), F.lit(0.0)), raw=raw, **k)
+    physical = lambda text: f("PHYSICAL_FORMULA", text)[0]
+    over, above = f("THRESHOLD", "p_retailprice", reference="p_size", tolerance=50.0)
+    return rows.select("p_partkey", physical("p_size² × p_retailprice × part_no").alias("product"), physical("(p_size - part_no) / p_retailprice").alias("per_size"), physical("p_size / p_retailprice").alias("slash_alone"), physical("p_size² p_retailprice part_no").alias("square"), physical("p_size² p_retailprice").alias("square_of_two"), f("BUSINESS_RULE", "p_retailprice > 950")[1].alias("business"), f("BUSINESS_RULE", "p_retailprice >= 950")[1].alias("business_error"), f("BUSINESS_RULE", "p_retailprice")[1].alias("no_sign"), over.alias("percent_over"), above.alias("over"), f("THRESHOLD", "p_retailprice", reference="p_size", tolerance=0.5, operator="<")[1].alias("under"), f("DERIVED_CALC", "p_size / p_retailprice")[0].alias("derived"))
 
 
 @query("""WITH s AS (SELECT p_partkey, p_size * p_retailprice AS a FROM part), t AS (SELECT *, a - p_partkey AS b FROM s)

@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
+import codecs
+import csv
 import io
+import functools
+import itertools
 import re
 import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
+from xml.sax.saxutils import escape, quoteattr
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ferrule.functions.text import NA_TOKENS, attribute_name
 from ferrule.session import workers_import
 
 NS = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
@@ -41,12 +48,15 @@ def sheet_cells(data: bytes) -> Iterator[tuple[str, int, int, str]]:
         for sheet in ElementTree.fromstring(book.read("xl/workbook.xml")).iter(f"{NS}sheet"):
             path = targets[sheet.get(f"{REL}id")].lstrip("/")
             path = path if path.startswith("xl/") else f"xl/{path}"
+            number = 0
             with book.open(path) as stream:
                 for _, row in ElementTree.iterparse(stream):
                     if row.tag != f"{NS}row":
                         continue
-                    number = int(row.get("r"))
+                    number = int(row.get("r") or number + 1)
+                    column = -1
                     for cell in row.iter(f"{NS}c"):
+                        column = column_index(cell.get("r")) if cell.get("r") else column + 1
                         value = cell.find(f"{NS}v")
                         if cell.get("t") == "inlineStr":
                             text = "".join(t.text or "" for t in cell.iter(f"{NS}t"))
@@ -54,34 +64,141 @@ def sheet_cells(data: bytes) -> Iterator[tuple[str, int, int, str]]:
                             continue
                         else:
                             text = shared[int(value.text)] if cell.get("t") == "s" else value.text
-                        yield sheet.get("name"), number, column_index(cell.get("r")), text
+                        yield sheet.get("name"), number, column, text
                     row.clear()
 
 
+def sheet_rows(data: bytes, header: str) -> Iterator[tuple[str, int, int, str, str]]:
+    """(sheet, row, column, attribute, text) of the cells below each sheet's header that hold a value."""
+    names: dict[str, tuple[int, dict[int, str]]] = {}
+    for sheet, cells in itertools.groupby(sheet_cells(data), key=lambda c: c[0]):
+        for row, found in itertools.groupby(cells, key=lambda c: c[1]):
+            texts = {column: text for _, _, column, text in found}
+            if sheet not in names:
+                if header == "first" and not any(t.strip() for t in texts.values()):
+                    continue
+                if header == "strict" and (row != 1 or not any(t.strip() for t in texts.values())):
+                    names[sheet] = (0, {})  # its first row is blank: the sheet has no header
+                    continue
+                names[sheet] = (row, {c: " ".join(t.split()) for c, t in texts.items()})
+                continue
+            at, known = names[sheet]
+            if not at:
+                continue
+            for column, text in texts.items():
+                if text.strip().lower() not in NA_TOKENS:
+                    yield sheet, row, column, known.get(column) or f"col_{column}", text
+
+
 def read_workbooks(spark: SparkSession, path: str, header: str = "first") -> DataFrame:
-    """file, sheet, row, attribute, value of all cells below the header, as strings.
+    """file, sheet, row, column, attribute, value of all cells below the header, as strings.
 
-    header: "first" takes the first row that has cells; "strict" also leaves out sheets with
-    no row below it. Blank header cells are col_<i>. A file is one task.
+    header: "first" takes the first row that isn't blank; "strict" takes row 1 alone and
+    leaves out sheets where it is blank. Blank header cells are col_<i>; cells that say
+    that there is no value are left out. A file is one task.
     """
 
     def cells(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for name, data in zip(frame["path"], frame["content"]):
-                sheets: dict[str, dict[int, str]] = {}
-                out = []
-                for sheet, row, column, text in sheet_cells(data):
-                    if sheet not in sheets:
-                        sheets[sheet] = {"row": row}
-                    if sheets[sheet]["row"] == row:
-                        sheets[sheet][column] = text.strip() or f"col_{column}"
-                    else:
-                        out.append((name, sheet, row, sheets[sheet].get(column, f"col_{column}"), text))
-                yield pd.DataFrame(out, columns=["file", "sheet", "row", "attribute", "value"])
+                rows = sheet_rows(bytes(data), header)
+                while part := list(itertools.islice(rows, 50_000)):
+                    yield pd.DataFrame([(name, *r) for r in part], columns=["file", "sheet", "row", "column", "attribute", "value"])
 
     workers_import(spark)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").option("recursiveFileLookup", "true").load(path).select("path", "content")
-    return files.mapInPandas(cells, "file string, sheet string, row long, attribute string, value string")
+    return files.mapInPandas(cells, "file string, sheet string, row long, column int, attribute string, value string")
+
+
+def workbook_bytes(sheets: dict[str, list[list]]) -> bytes:
+    """A workbook of inline strings; None leaves a cell out."""
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        names = "".join(f"<sheet name={quoteattr(n)} sheetId=\"{i}\" r:id=\"rId{i}\"/>" for i, n in enumerate(sheets, 1))
+        z.writestr("xl/workbook.xml", f'<workbook xmlns="{NS[1:-1]}" xmlns:r="{REL[1:-1]}"><sheets>{names}</sheets></workbook>')
+        links = "".join(f'<Relationship Id="rId{i}" Target="worksheets/sheet{i}.xml"/>' for i in range(1, len(sheets) + 1))
+        z.writestr("xl/_rels/workbook.xml.rels", f'<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">{links}</Relationships>')
+        for i, rows in enumerate(sheets.values(), 1):
+            body = "".join("<row>" + "".join("<c/>" if v is None else f'<c t="inlineStr"><is><t>{escape(str(v))}</t></is></c>' for v in row) + "</row>" for row in rows)
+            z.writestr(f"xl/worksheets/sheet{i}.xml", f'<worksheet xmlns="{NS[1:-1]}"><sheetData>{body}</sheetData></worksheet>')
+    return out.getvalue()
+
+
+def write_workbooks(rows: DataFrame, folder: str) -> int:
+    """One workbook for each name in `file`; rows: file, sheet, row, cells (array<string>, the header being row 0). Returns the number of files."""
+
+    def save(frame: pd.DataFrame) -> pd.DataFrame:
+        from pyarrow import fs
+
+        frame = frame.sort_values(["sheet", "row"])
+        sheets = {s: [list(c) for c in part["cells"]] for s, part in frame.groupby("sheet", sort=True)}
+        store, root = fs.FileSystem.from_uri(folder)
+        path = f"{root}/{frame['file'].iloc[0]}"
+        store.create_dir(path.rsplit("/", 1)[0], recursive=True)
+        with store.open_output_stream(path) as f:
+            f.write(workbook_bytes(sheets))
+        return pd.DataFrame({"file": [path]})
+
+    workers_import(rows.sparkSession)
+    return rows.groupBy("file").applyInPandas(save, "file string").count()
+
+
+def _named(cells: DataFrame, sheet_prefix: str, columns: dict[str, str]) -> DataFrame:
+    """file, row and the renamed columns of the sheets with a name prefix; blank and "nan" cells are null."""
+    squeezed = F.regexp_replace("sheet", " ", "")
+    own = cells.where(squeezed.startswith(sheet_prefix.replace(" ", ""))).withColumn("attribute", F.trim("attribute"))
+    rows = own.groupBy("file", "sheet", "row").pivot("attribute", list(columns)).agg(F.first("value"))
+    for old, new in columns.items():
+        rows = rows.withColumnRenamed(old, new).withColumn(new, F.trim(new))
+        rows = rows.withColumn(new, F.when((F.col(new) != "") & (F.col(new) != "nan"), F.col(new)))
+    return rows
+
+
+def entity_pairs(cells: DataFrame, sheet_prefix: str, upper: str, lower: str, code: str) -> DataFrame:
+    """file, upper, lower, code, row: distinct pairs of each file, both there; the first row of a pair counts."""
+    rows = _named(cells, sheet_prefix, {upper: "upper", lower: "lower", code: "code"}).where("upper is not null and lower is not null")
+    return rows.groupBy("file", "upper", "lower").agg(F.min(F.struct("row", "code")).alias("first")).select("file", "upper", "lower", "first.code", "first.row")
+
+
+def business_objects(cells: DataFrame, sheet_prefix: str, column: str) -> DataFrame:
+    """file, name: the distinct names of the first file, by its path, that has the sheet and the column with a name."""
+    rows = _named(cells, sheet_prefix, {column: "name"}).where("name is not null")
+    first = rows.agg(F.min("file").alias("f"))
+    return rows.withColumn("f", first.scalar()).where("file = f").select("file", "name").distinct()
+
+
+def business_object_concepts(cells: DataFrame, sheet_prefix: str, business: str, concept: str) -> DataFrame:
+    """business, concept: distinct pairs over all files, both there."""
+    rows = _named(cells, sheet_prefix, {business: "business", concept: "concept"})
+    return rows.where("business is not null and concept is not null").select("business", "concept").distinct()
+
+
+def all_inventories(cells: DataFrame, layers: dict[str, tuple[str, str, str]]) -> DataFrame:
+    """layer, file, name, code, row: the inventories of all layers; layers: name -> (sheet prefix, name column, code column)."""
+    parts = [inventory(cells, sheet, {name: "name", code: "code"}).select(F.lit(layer).alias("layer"), "file", "name", "code", "row") for layer, (sheet, name, code) in layers.items()]
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
+def column_union(cells: DataFrame, system: bool = True) -> DataFrame:
+    """attribute, display, place of the columns of all sheets of each file, equal names after normalising being one.
+
+    The display name and the order are those of the first occurrence (sheets by name); the
+    system attribute __sheet__ has place -1.
+    """
+    seen = cells.groupBy("file", "sheet", "column", F.col("attribute").alias("display")).agg(F.min("row").alias("row"))
+    first = seen.groupBy("file", attribute_name(F.col("display")).alias("attribute")).agg(F.min(F.struct("sheet", "column", "display")).alias("s"))
+    w = Window.partitionBy("file").orderBy("s")  # one row a column of a file
+    rows = first.select("file", "attribute", F.col("s.display").alias("display"), (F.row_number().over(w) - 1).alias("place"))
+    if not system:
+        return rows
+    own = cells.select("file").distinct().select("file", F.lit("__sheet__").alias("attribute"), F.lit("__sheet__").alias("display"), F.lit(-1).alias("place"))
+    return rows.unionByName(own)
+
+
+def labelled_import(cells: DataFrame, stage: str, domain: str | None = None) -> DataFrame:
+    """Cells of a folder of workbooks with the stage and the domain (the folder's name if absent) of their batch."""
+    own = F.element_at(F.split("file", "/"), -2)
+    return cells.withColumns({"stage": F.lit(stage), "domain": F.lit(domain) if domain else own})
 
 
 def inventory(cells: DataFrame, sheet_prefix: str, columns: dict[str, str]) -> DataFrame:
@@ -96,30 +213,88 @@ def inventory(cells: DataFrame, sheet_prefix: str, columns: dict[str, str]) -> D
     return rows.withColumn("n", F.row_number().over(w)).where("n = 1").drop("n")
 
 
-def probe_encoding(head: bytes) -> str:
-    """The first encoding of ENCODINGS that reads the bytes; a cut last character is forgiven."""
-    import codecs
-
-    for name in ENCODINGS:
+def encoding_of(chunks: Iterator[bytes]) -> str | None:
+    """The first encoding of ENCODINGS that reads all bytes, as Spark's reader names it; None if there is none."""
+    readers = [(n, codecs.getincrementaldecoder(n)()) for n in ENCODINGS]
+    for chunk in chunks:
+        left = []
+        for name, reader in readers:
+            try:
+                reader.decode(chunk)
+                left.append((name, reader))
+            except UnicodeDecodeError:
+                pass
+        readers = left
+    for name, reader in readers:
         try:
-            codecs.getincrementaldecoder(name)().decode(head)
+            reader.decode(b"", final=True)
             return "UTF-8" if name.startswith("utf") else "GB18030"
         except UnicodeDecodeError:
-            continue
-    raise ValueError("no known encoding")
+            pass
+    return None
+
+
+def quoted_line_ends(data: bytes) -> bool:
+    """Whether a line ends between quotes."""
+    raw = np.frombuffer(data, np.uint8)
+    return bool((np.cumsum(raw == 0x22, dtype=np.int64)[raw == 0x0A] % 2).any())
+
+
+def csv_encodings(spark: SparkSession, path: str) -> DataFrame:
+    """path, encoding and broken (a quoted cell holds a line end) of each file, judged in tasks over all of its bytes."""
+
+    def judge(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            parts = lambda data: (data[i : i + (1 << 20)] for i in range(0, len(data), 1 << 20))
+            yield pd.DataFrame({"path": frame["path"], "encoding": [encoding_of(parts(bytes(x))) for x in frame["content"]], "broken": [quoted_line_ends(bytes(x)) for x in frame["content"]]})
+
+    workers_import(spark)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "[!._]*").load(path).select("path", "content")
+    return files.mapInPandas(judge, "path string, encoding string, broken boolean")
 
 
-def read_csv(spark: SparkSession, path: str, probe_bytes: int = 1 << 16) -> DataFrame:
-    """A CSV with a header, all columns strings; the encoding is probed on its first bytes through Spark.
+def read_csv(spark: SparkSession, path: str) -> DataFrame:
+    """CSV files with a header, all columns strings; each file is read in its own encoding.
 
-    GB18030 is none of the character sets Spark reads by default; the session setting that
-    admits all of Java's is turned on when such a file is met.
+    UTF-8 files are read by Spark's reader, which splits them unless a quoted cell of
+    theirs holds a line end. Spark's readers don't admit GB18030
+    by default, so files in it are parsed whole in tasks. Columns are those of all files,
+    null where a file lacks one; a file that no encoding reads raises.
     """
-    head = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, probe_bytes).alias("h")).first()["h"]
-    encoding = probe_encoding(bytes(head))
-    if encoding != "UTF-8":
-        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
-    return spark.read.option("header", True).option("inferSchema", False).option("encoding", encoding).csv(path)
+    found = csv_encodings(spark, path).collect()  # a name a file
+    if not all(r["encoding"] for r in found):
+        raise ValueError(f"no known encoding: {[r['path'] for r in found if not r['encoding']][:3]}")
+    of = lambda encoding, broken: [r["path"] for r in found if r["encoding"] == encoding and r["broken"] in broken]
+    read = spark.read.option("header", True).option("inferSchema", False)
+    parts = [read.option("multiLine", lines).option("escape", '"').csv(paths) for lines in (False, True) if (paths := of("UTF-8", (lines,)))]
+    parts += [_read_wide(spark, paths) for paths in [of("GB18030", (False, True))] if paths]
+    if not parts:
+        return spark.createDataFrame([], "value string")
+    return functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
+def _read_wide(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """GB18030 files: cells are parsed in tasks, a file a task, and come back as columns by one projection."""
+
+    def rows_of(data: bytes) -> Iterator[dict]:
+        return csv.DictReader(io.StringIO(data.decode("gb18030"), newline=""))
+
+    def header(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            found = [(c, i) for data in frame["content"] for i, c in enumerate(rows_of(bytes(data)).fieldnames or [])]
+            yield pd.DataFrame(found, columns=["column", "at"])
+
+    files = spark.read.format("binaryFile").load(paths).select("content")
+    columns = [r["column"] for r in files.mapInPandas(header, "column string, at int").groupBy("column").agg(F.min("at").alias("at")).orderBy("at", "column").collect()]
+
+    def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for data in frame["content"]:
+                reader = rows_of(bytes(data))
+                while part := list(itertools.islice(reader, 10_000)):
+                    yield pd.DataFrame({c: pd.Series([r.get(c) or None for r in part], dtype=object) for c in columns})
+
+    return files.mapInPandas(parse, ", ".join(f"`{c}` string" for c in columns))
 
 
 def read_extractions(spark: SparkSession, path: str, skip: tuple[str, ...] = ("global_extraction", "sample_join")) -> DataFrame:

@@ -13,9 +13,13 @@ def classify(requests: DataFrame, routes: DataFrame) -> DataFrame:
     """
     r = F.broadcast(routes)
     hit = ((F.col("kind") == "exact") & (F.col("path") == F.col("pattern"))) | ((F.col("kind") == "prefix") & F.startswith(F.col("path"), F.col("pattern"))) | ((F.col("kind") == "method") & (F.col("method") == F.col("pattern")))
-    # one row a request in and out: the best route is found per request by an aggregate of its matches
+    # one row a request in and out, equal ones too: the best route is found per distinct request by an aggregate of its matches
     order = F.when(F.col("kind") == "exact", 0).when(F.col("kind") == "prefix", 1).otherwise(2)
-    return requests.join(r, hit, "left").groupBy(*requests.columns).agg(F.min_by("class", F.struct(order, "position")).alias("class"))
+    kinds = requests.select("method", "path").distinct()
+    best = kinds.join(r, hit, "left").groupBy("method", "path").agg(F.min_by("class", F.struct(order, "position")).alias("class"))
+    best = best.select(F.col("method").alias("__m"), F.col("path").alias("__p"), "class")
+    same = F.col("method").eqNullSafe(F.col("__m")) & F.col("path").eqNullSafe(F.col("__p"))
+    return requests.join(best, same, "left").drop("__m", "__p")
 
 
 def classify_columns(requests: DataFrame, routes: list[tuple[str, str, str]]) -> DataFrame:
