@@ -12,8 +12,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, label) of every node of edges (a, b), label being the component's least node.
 
     Each round takes the least label around a node, then the label of that label; both
-    are written to the checkpoint folder. Aggregates are partial, so a node with very
-    many neighbours is not gathered in one task.
+    are written to the checkpoint folder. Aggregates are partial, and the join by
+    neighbour is one whose hot keys adaptive execution splits.
     """
     both = common.cut(edges.where("a <> b").select("a", "b").unionByName(edges.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = common.cut(both.groupBy(F.col("a").alias("node")).agg(F.min(F.least("a", "b")).alias("label")))

@@ -17,7 +17,9 @@ groups send counts and spanning edges, never their pairs.
 Defined cases: words are runs of non-space characters, case kept; a text of fewer than
 `width` words but not none is one n-gram; a null or empty text is linked to nothing and
 is its own class; copies are links of each other; rows that repeat an id count as
-documents; an empty table gives no rows.
+documents; a very long text is one set, cut whole by one task; join() reads no columns
+but doc_id and text, keep_one() returns all columns (none may begin with two
+underscores); an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -42,8 +44,8 @@ BLOCK = 1024
 COHERENT = 0.5
 #: Bytes of text a worker cuts into n-grams at a time.
 SLICE = 1 << 20
-#: Candidates whose sketches agree in less than this share are not verified: four
-#: standard deviations below the threshold.
+#: Candidates whose sketches agree in this much less than the threshold are not verified:
+#: four standard deviations of 64 bins, so that about 1 in 10,000 pairs at the threshold goes.
 SKETCH_MARGIN = 0.2
 NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -51,12 +53,13 @@ NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 def runs_for(recall: float, threshold: float = THRESHOLD, split: float = SPLIT) -> int:
     """Runs after which a pair at the threshold is missed with probability 1 - recall.
 
-    A pair survives a split when the Poisson number of shared chosen tokens is not 0;
-    most pairs are decided in the first split or the second.
+    A pair survives a split when the Poisson number of shared chosen tokens that lead on
+    is not 0; the bound is that of pairs that are decided only in the last of DEPTH splits.
     """
-    one = 1 - math.exp(-split * threshold)
-    two = 1 - math.exp(-split * threshold * one)
-    return math.ceil(math.log(1 - recall) / math.log(1 - two))
+    met = 1.0
+    for _ in range(DEPTH):
+        met = 1 - math.exp(-split * threshold * met)
+    return math.ceil(math.log(1 - recall) / math.log(1 - met))
 
 
 def shingle_sets(raw: np.ndarray, offsets: np.ndarray, width: int = WIDTH) -> list[np.ndarray]:
@@ -173,24 +176,24 @@ def groups(large: DataFrame) -> DataFrame:
     return common.small_join(own.select("sig", "hub"), label, ["hub"], "left").select("sig", F.xxhash64(F.coalesce("label", "hub")).alias("gid"))
 
 
-def candidates(small: DataFrame, reps: DataFrame) -> DataFrame:
+def candidates(small: DataFrame, reps: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """a, b, path: distinct pairs that share a small bucket, whose sizes allow the threshold; path is one of them."""
     rows = small.join(reps.select("sig", "n", "gid"), "sig")
     groups = rows.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("sig", "n", "gid"))).alias("m"))
     pairs = F.flatten(F.transform(F.sequence(F.lit(1), F.size("m") - 1), lambda i: F.transform(F.slice("m", i + 1, F.size("m")), lambda y: F.struct(F.element_at("m", i).alias("x"), y.alias("y")))))
-    fits = F.filter(pairs, lambda p: (F.least(p["x"]["n"], p["y"]["n"]) >= F.lit(THRESHOLD) * F.greatest(p["x"]["n"], p["y"]["n"])) & ~F.coalesce(p["x"]["gid"] == p["y"]["gid"], F.lit(False)))
+    fits = F.filter(pairs, lambda p: (F.least(p["x"]["n"], p["y"]["n"]) >= F.lit(threshold) * F.greatest(p["x"]["n"], p["y"]["n"])) & ~F.coalesce(p["x"]["gid"] == p["y"]["gid"], F.lit(False)))
     pairs = groups.select("path", F.explode(fits).alias("p")).select(F.col("p.x.sig").alias("a"), F.col("p.y.sig").alias("b"), "path")
     return pairs.groupBy("a", "b").agg(F.min("path").alias("path"))
 
 
-def alike(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+def alike(pairs: DataFrame, sketches: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """pairs whose sketches agree enough to be verified."""
     for side in ("a", "b"):
         pairs = pairs.join(sketches.select(F.col("sig").alias(side), F.col("sk").alias(f"s{side}")), side)
     z = F.zip_with("sa", "sb", lambda x, y: F.when(x == y, 1).when(x.isNotNull() | y.isNotNull(), 0))
     z = F.filter(z, lambda v: v.isNotNull())
     same = F.aggregate(z, F.lit(0), lambda acc, v: acc + v)
-    return pairs.where(same >= F.size(z) * F.lit(THRESHOLD - SKETCH_MARGIN)).select("a", "b", "path")
+    return pairs.where(same >= F.size(z) * F.lit(max(threshold - SKETCH_MARGIN, 0.0))).select("a", "b", "path")
 
 
 def with_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
@@ -372,7 +375,7 @@ def join(docs: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD, reca
     small, large = leaves(reps.select("sig", "sk", "code"), runs_for(recall, threshold))
     member = common.cut(groups(large))
     known = common.cut(common.small_join(reps.select("sig", "n", "key", "copies"), member, ["sig"], "left"))
-    pairs = common.cut(alike(candidates(small, known), reps))
+    pairs = common.cut(alike(candidates(small, known, threshold), reps, threshold))
     slots = pairs.select("path", F.explode(F.array("a", "b")).alias("sig")).groupBy("sig").agg(F.collect_set("path").alias("slots"))
     wanted = common.cut(known.join(slots, "sig").select("sig", "key", "copies", "slots"))
     edges = common.cut(verify(with_sets(docs, wanted, width), threshold).distinct())
@@ -392,7 +395,7 @@ def join(docs: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD, reca
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """docs with one document of each class: the one with the least id (ties: the least row key).
+    """docs with one document of each class: the one with the least id, null first (ties: the least row key).
 
     Only the rows that go are looked up; of rows identical in id and text one stays.
     """

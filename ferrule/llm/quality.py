@@ -14,7 +14,9 @@ that bounded sample is the only data that reaches the driver.
 
 Defined cases: a null or empty text has only its statistics as features and gets a
 score from them; a null label is no label; a null id counts as empty text in the fold
-rule; repeated rows get equal scores; no labels at all give 0.5 everywhere.
+rule; repeated rows get equal scores; a very long text is scored whole, in a batch of its
+own; a column named quality_score is replaced by the score (no other name may be __text);
+no labels at all give 0.5 everywhere.
 """
 
 from __future__ import annotations
@@ -168,7 +170,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", train_rows
             cut = np.searchsorted(doc, np.arange(batch.num_rows + 1)).astype(np.int32)
             yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.ListArray.from_arrays(cut, col.astype(np.int32)), pa.ListArray.from_arrays(cut, value.astype(np.float32))], ["y", "h", "col", "value"])
 
-    got = rows.mapInArrow(featured, "y int, h long, col array<int>, value array<float>").limit(train_rows).toArrow().sort_by("h")
+    # rows that repeat an id can be more than the ids: the first by hash, so that reruns learn alike
+    got = rows.orderBy("h").limit(train_rows).mapInArrow(featured, "y int, h long, col array<int>, value array<float>").toArrow().sort_by("h")
     y = got["y"].to_numpy().astype(float)
     size = [len(x) for x in got["col"].to_pylist()] if len(y) else []
     doc = np.repeat(np.arange(len(y)), size) if len(y) else np.zeros(0, np.int64)
@@ -179,7 +182,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", train_rows
 def score(docs: DataFrame, model: dict, keep: tuple[str, ...] | None = None) -> DataFrame:
     """The keep columns (all by default) of every row with quality_score, the probability of label 1."""
     common.prepare(docs.sparkSession)
-    keep = tuple(docs.columns) if keep is None else keep
+    keep = tuple(c for c in (docs.columns if keep is None else keep) if c.lower() != "quality_score")
     model = {"b": model["b"], "w": model["w"].astype(np.float32), "v": model["v"].astype(np.float32)}
 
     @common.frees

@@ -57,6 +57,32 @@ def test_large_group_of_near_copies(spark, monkeypatch):
     assert Counter((r["doc_id"], r["class_id"], r["n_links"]) for r in got) == brute_classes(rows)
 
 
+def test_recall_over_the_documents_table(spark):
+    """Links and classes of a whole table, found by an inverted index over shingles."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    sets = [shingles(t) for _, t in rows]
+    holders, shared = defaultdict(list), Counter()
+    for i, s in enumerate(sets):
+        for g in s:
+            holders[g].append(i)
+    for group in holders.values():
+        shared.update((a, b) for k, a in enumerate(group) for b in group[:k])
+    links = {(a, b) for (a, b), n in shared.items() if n >= 0.8 * (len(sets[a]) + len(sets[b]) - n)}
+    assert any(shared[p] < 0.9 * len(sets[p[0]] | sets[p[1]]) for p in links)
+    count = Counter(x for p in links for x in p)
+    got = {r["doc_id"]: r for r in jaccard_join.join(docs).collect()}
+    assert {rows[i][0]: count[i] for i in range(len(rows))} == {i: r["n_links"] for i, r in got.items()}
+    assert all(got[rows[a][0]]["class_id"] == got[rows[b][0]]["class_id"] for a, b in links)
+
+
+def test_join_below_the_usual_threshold(spark):
+    a = [f"w{i}" for i in range(100)]
+    rows = [(1, " ".join(a)), (2, " ".join(a[:62])), (3, " ".join(a[:40]))]
+    got = {r["doc_id"]: r["n_links"] for r in jaccard_join.join(spark.createDataFrame(rows, "doc_id long, text string"), threshold=0.6).collect()}
+    assert got == {1: 1, 2: 2, 3: 1}
+
+
 def test_keep_one_keeps_columns_and_one_row_a_class(spark):
     docs = awkward(spark)
     kept = jaccard_join.keep_one(docs)
