@@ -32,6 +32,8 @@ from . import bytewise as bw
 from . import common
 
 WORD_BITS = 15
+#: Bytes of text whose features a worker holds at a time.
+SLICE = 1 << 20
 STEPS = 10
 FACTORS = 8
 TRAIN_ROWS = 4_000
@@ -165,13 +167,13 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", train_rows
 
     @common.frees
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for whole in batches for part in bw.slices(whole, 0)):
+        for batch in (part for whole in batches for part in bw.slices(whole, 0, SLICE)):
             doc, col, value = features(*bw.utf8(batch.column(0)))
             cut = np.searchsorted(doc, np.arange(batch.num_rows + 1)).astype(np.int32)
             yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.ListArray.from_arrays(cut, col.astype(np.int32)), pa.ListArray.from_arrays(cut, value.astype(np.float32))], ["y", "h", "col", "value"])
 
     # rows that repeat an id can be more than the ids: the first by hash, so that reruns learn alike
-    got = rows.orderBy("h").limit(train_rows).mapInArrow(featured, "y int, h long, col array<int>, value array<float>").toArrow().sort_by("h")
+    got = rows.mapInArrow(featured, "y int, h long, col array<int>, value array<float>").orderBy("h").limit(train_rows).toArrow()
     y = got["y"].to_numpy().astype(float)
     size = [len(x) for x in got["col"].to_pylist()] if len(y) else []
     doc = np.repeat(np.arange(len(y)), size) if len(y) else np.zeros(0, np.int64)
@@ -187,7 +189,7 @@ def score(docs: DataFrame, model: dict, keep: tuple[str, ...] | None = None) ->
 
     @common.frees
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for whole in batches for part in bw.slices(whole, 0)):
+        for batch in (part for whole in batches for part in bw.slices(whole, 0, SLICE)):
             raw, offsets = bw.utf8(batch.column(0))
             p = predict(*features(raw, offsets), batch.num_rows, model) if batch.num_rows else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(p, pa.float64())], [*batch.schema.names[1:], "quality_score"])

@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 from . import bytewise as bw
 from . import common, dac, storage, units
 
-SEGMENT = 1 << 22
+#: Ids of a segment of a file.
+SEGMENT = 1 << 20
 #: Bytes of text encoded at a time.
 SLICE = 2 << 20
 
