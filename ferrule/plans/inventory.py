@@ -95,8 +95,13 @@ def all_inventories(spark, sf_dir):
     return files.all_inventories(cells(spark, sf_dir), LAYERS).drop("row")
 
 
-@query(f"""WITH {BY_REGION}, f AS (SELECT DISTINCT file FROM customer JOIN n ON c_nationkey = n_nationkey), c(place, attribute, display, only_ba) AS (VALUES (-1, '__sheet__', '__sheet__', false), (0, '业务对象名称', '业务对象名称', true), (1, '说明', '说明', true), (2, '业务对象', '业务对象', false), (3, '概念实体', '概念实体', false), (4, '编号', '编号', false), (5, '逻辑实体名称', '逻辑实体名称', false), (6, '逻辑实体编码', '逻辑实体编码', false), (7, '物理实体名称', '物理实体名称', false), (8, '物理实体编码', '物理实体编码', false))
-SELECT file, attribute, display, CASE WHEN file = 'AFRICA' AND place > 1 THEN place - 2 ELSE place END AS place FROM f, c WHERE file <> 'AFRICA' OR NOT only_ba""")
+@query(f"""WITH {BY_REGION}, c AS (SELECT file, c_mktsegment FROM customer JOIN n ON c_nationkey = n_nationkey), p AS (SELECT file, s_suppkey FROM supplier JOIN n ON s_nationkey = n_nationkey), u AS (
+ SELECT file, 0 AS s, unnest([0, 1]) AS i, unnest(['业务对象名称', '说明']) AS a FROM n WHERE file <> 'AFRICA'
+ UNION ALL SELECT file, 1, 0, '业务对象' FROM c WHERE c_mktsegment <> 'HOUSEHOLD' UNION ALL SELECT file, 1, unnest([1, 2]), unnest(['概念实体', '编号']) FROM c
+ UNION ALL SELECT file, 2, unnest([0, 2]), unnest(['概念实体', '逻辑实体编码']) FROM p UNION ALL SELECT file, 2, 1, '逻辑实体名称' FROM p WHERE s_suppkey % 9 <> 0
+ UNION ALL SELECT file, 3, unnest([0, 1, 2]), unnest(['逻辑实体名称', '物理实体名称', '物理实体编码']) FROM c),
+f AS (SELECT file, a, min(10 * s + i) AS k FROM u GROUP BY ALL)
+SELECT file, a AS attribute, a AS display, CAST(row_number() OVER (PARTITION BY file ORDER BY k) - 1 AS INTEGER) AS place FROM f UNION ALL SELECT DISTINCT file, '__sheet__', '__sheet__', -1 FROM u""")
 def workbook_columns(spark, sf_dir):
     return files.column_union(cells(spark, sf_dir))
 
