@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bwt_dedup, common, decontaminate, exact_topk, jaccard_join, mixing, quality, storage, substring_dedup, tokens, url_filter, warc
+from . import bwt_dedup, common, decontaminate, exact_topk, filter_audit, jaccard_join, line_dedup, mixing, phrases, quality, storage, substring_dedup, tokens, url_filter, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -145,6 +145,100 @@ def op7_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.documents_of(spark, manifest)
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = line_dedup.remove(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return left.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP11_SQL = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+x AS (
+  SELECT r, doc_id, i, lines[i] AS line,
+         translate(trim(lines[i], concat(chr(32), chr(9), chr(10), chr(11), chr(12), chr(13))), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
+  FROM (SELECT r, doc_id, lines, unnest(range(1, len(lines) + 1)) AS i FROM d)
+), shared AS (SELECT k, max(doc_id) AS last FROM x WHERE length(k) >= 20 GROUP BY k HAVING count(DISTINCT doc_id) >= 3),
+judged AS (SELECT x.r, x.doc_id, i, line, coalesce(x.doc_id <> last, false) AS gone FROM x LEFT JOIN shared USING (k))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM judged GROUP BY r, doc_id
+"""
+
+
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine(table(spark, sf_dir, "documents"))
+
+
+OP12_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, row_number() OVER () AS p, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda w: w <> '') AS w
+  FROM (SELECT lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)
+), spans AS (
+  SELECT lang, k, w[i : i + k - 1] AS w
+  FROM (SELECT lang, k, w, unnest(range(1, len(w) - k + 2)) AS i FROM pieces, (SELECT unnest(range(1, 6)) AS k))
+), f AS (SELECT lang, k, w, count(*) AS a FROM spans GROUP BY lang, k, w HAVING count(*) >= 100),
+totals AS (SELECT lang, count(*) AS n FROM spans WHERE k = 1 GROUP BY lang),
+longer AS (
+  SELECT lang, w[i : i + k - 1] AS w, max(a) AS longer
+  FROM (SELECT lang, w, a, k, unnest(range(1, len(w) - k + 2)) AS i FROM (SELECT lang, w, a, unnest(range(2, len(w))) AS k FROM f))
+  GROUP BY ALL
+), cuts AS (
+  SELECT lang, w, x.a, n, c, f1.a AS l, f2.a AS r, (1000::HUGEINT * x.a * n) // (f1.a::HUGEINT * f2.a) AS score
+  FROM (SELECT lang, w, f.a, n, unnest(range(1, len(w))) AS c FROM f JOIN totals USING (lang) WHERE len(w) > 1) AS x
+  JOIN (SELECT lang, w AS left_w, a FROM f) AS f1 USING (lang)
+  JOIN (SELECT lang, w AS right_w, a FROM f) AS f2 USING (lang)
+  WHERE left_w = w[1 : c] AND right_w = w[c + 1 :]
+), best AS (
+  SELECT lang, w, a, n, arg_min(l, (score, c)) AS l, arg_min(r, (score, c)) AS r, min(score) AS score FROM cuts GROUP BY lang, w, a, n
+), ranked AS (
+  SELECT lang, array_to_string(w, ' ') AS phrase, a, l, r, n, CAST(score AS BIGINT) AS score,
+         row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(w, ' ')) AS rank
+  FROM best ANTI JOIN (SELECT lang, w FROM f JOIN longer USING (lang, w) WHERE 100 * longer >= 100 * a) AS inside USING (lang, w)
+)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked WHERE rank <= 2000
+"""
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    flags = filter_audit.quality_flags(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return filter_audit.audit(flags, list(filter_audit.FILTERS), ["good", "toxic"])
+
+
+OP13_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words, min(doc_id) OVER (PARTITION BY t) AS first FROM d),
+marks AS (SELECT doc_id, max(quality = 1) AS good, max(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+j AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+         map {'A': len(words) < 50, 'B': 100 * len(list_distinct(words)) < 65 * len(words),
+              'C': 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t), 'D': regexp_matches(t, '[#$%&*|]'),
+              'E': coalesce(doc_id > first, false)} AS fails
+  FROM w LEFT JOIN marks USING (doc_id)
+), kinds AS (SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS g, count(*) FILTER (toxic) AS x FROM j GROUP BY part, fails),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS c),
+orders AS (
+  SELECT a.c || b.c || c.c || d.c || e.c AS filter_order FROM letters a, letters b, letters c, letters d, letters e
+  WHERE len(list_distinct([a.c, b.c, c.c, d.c, e.c])) = 5
+), steps AS (
+  SELECT filter_order, step, filter_order[step] AS f, filter_order[1 : step - 1] AS earlier FROM orders, (SELECT unnest(range(1, 6)) AS step)
+), told AS (
+  SELECT part, filter_order, step, f, n, g, x, fails[f] AS fail,
+         len(list_filter(map_entries(fails), lambda e: e.value AND contains(earlier, e.key))) > 0 AS before,
+         len(list_filter(map_entries(fails), lambda e: e.value)) AS failed
+  FROM kinds, steps
+), summed AS (
+  SELECT part, filter_order, step, f,
+         coalesce(sum(n) FILTER (NOT before AND NOT fail), 0) AS kept, coalesce(sum(n) FILTER (NOT before AND fail), 0) AS removed,
+         coalesce(sum(n) FILTER (before AND fail), 0) AS redundant, coalesce(sum(n) FILTER (fail AND failed = 1), 0) AS unique_fails,
+         coalesce(sum(g) FILTER (NOT before AND fail), 0) AS good_lost, coalesce(sum(x) FILTER (NOT before AND fail), 0) AS toxic_lost
+  FROM told GROUP BY part, filter_order, step, f
+)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+       CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley
+FROM summed
+"""
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_jaccard_join": op2_jaccard_join,
@@ -156,5 +250,8 @@ QUERIES = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_bwt_dedup": op9_bwt_dedup,
     "op10_exact_topk": op10_exact_topk,
+    "op11_line_dedup": op11_line_dedup,
+    "op12_phrases": op12_phrases,
+    "op13_filter_audit": op13_filter_audit,
 }
-ORACLES = {"op4_decontaminate": OP4_SQL, "op6_warc": OP6_SQL, "op8_substring_dedup": OP8_SQL, "op10_exact_topk": OP10_SQL}
+ORACLES = {"op4_decontaminate": OP4_SQL, "op6_warc": OP6_SQL, "op8_substring_dedup": OP8_SQL, "op10_exact_topk": OP10_SQL, "op11_line_dedup": OP11_SQL, "op12_phrases": OP12_SQL, "op13_filter_audit": OP13_SQL}
