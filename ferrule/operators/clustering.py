@@ -3,21 +3,21 @@
 The mean distance of two clusters of unit vectors is 1 - sum . sum / (sizes), so a cluster
 is its sum and its size. Clusters that are each other's nearest can merge in any order
 (average linkage is reducible), and a cluster whose nearest is beyond the distance is final.
+With a distance, only clusters that a radius join finds near each other are compared.
 """
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
+import functools
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ferrule.session import workers_import
+from ferrule.session import workers_import, written
 
+from . import radius
 from .vector import dot, normalized
 
 #: Groups up to so many clusters are finished in one task, in memory linear in their number.
@@ -29,13 +29,9 @@ LEAST = 0.02
 
 
 def _cut(df: DataFrame) -> DataFrame:
-    """df written to the shared checkpoint folder and read again: a checkpoint would keep the constraints and
-    partitionings of each self-join, which double from round to round."""
-    spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + os.path.join(tempfile.gettempdir(), "ferrule-shared")
-    path = f"{root.rstrip('/')}/ferrule/clusters-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """df written and read again: a checkpoint would keep the constraints and partitionings of each self-join,
+    which double from round to round."""
+    return written(df, "clusters")
 
 
 def chain(ids: np.ndarray, sums: np.ndarray, n: np.ndarray, distance: float | None = None) -> list[tuple[int, int, float]]:
@@ -74,7 +70,7 @@ def chain(ids: np.ndarray, sums: np.ndarray, n: np.ndarray, distance: float | No
 def _nearest(clusters: DataFrame, sizes: DataFrame, kind: str) -> DataFrame:
     """(g, id, d, near) of each cluster's nearest in its group, the least id on a tie; each pair of blocks is one group."""
     blocks = F.ceil(F.col("c") / F.lit(BLOCK))
-    rows = clusters.join(F.broadcast(sizes), "g").withColumn("block", F.pmod(F.xxhash64("id"), blocks))
+    rows = clusters.join(sizes, "g").withColumn("block", F.pmod(F.xxhash64("id"), blocks))
     dealt = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))).select("g", "id", F.transform("s", lambda x: x / F.col("n")).alias("m"), "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
 
     def search(frame: pd.DataFrame) -> pd.DataFrame:
@@ -106,11 +102,80 @@ def _nearest(clusters: DataFrame, sizes: DataFrame, kind: str) -> DataFrame:
     return found.groupBy("g", "id").agg(F.min(F.struct("d", "near")).alias("b")).select("g", "id", "b.d", "b.near")
 
 
+def _finisher(start: int, distance: float | None):
+    """All merges of a group of clusters (g, id, s, n, h), numbered from start."""
+
+    def finish(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("id")
+        high = dict(zip(frame["id"], frame["h"], strict=True))
+        rows = []
+        for i, (a, b, d) in enumerate(chain(frame["id"].to_numpy(), np.stack(frame["s"].to_numpy()), frame["n"].to_numpy(), distance)):
+            high[a] = max(d, high[a], high[b])
+            rows.append((a, b, high[a], start + i))
+        out = pd.DataFrame(rows, columns=["a", "b", "h", "step"]).astype({"a": "int64", "b": "int64", "h": float, "step": "int64"})
+        out.insert(0, "g", frame["g"].iloc[0])
+        return out
+
+    return finish
+
+
+def _merged(clusters: DataFrame, best: DataFrame) -> DataFrame:
+    """g, a, b, s, n, h of the clusters that are each other's nearest, merged."""
+    back = best.select("g", F.col("id").alias("near"), F.col("near").alias("id"))
+    pairs = best.join(back, ["g", "id", "near"]).where("id < near").select("g", F.col("id").alias("a"), F.col("near").alias("b"), "d")
+    a = clusters.select("g", F.col("id").alias("a"), F.col("s").alias("sa"), F.col("n").alias("na"), F.col("h").alias("ha"))
+    b = clusters.select("g", F.col("id").alias("b"), F.col("s").alias("sb"), F.col("n").alias("nb"), F.col("h").alias("hb"))
+    return _cut(pairs.join(a, ["g", "a"]).join(b, ["g", "b"]).select("g", "a", "b", F.zip_with("sa", "sb", lambda x, y: x + y).alias("s"), (F.col("na") + F.col("nb")).alias("n"), F.greatest("d", "ha", "hb").alias("h")))
+
+
+def _after(clusters: DataFrame, best: DataFrame, merged: DataFrame) -> DataFrame:
+    """The clusters after a round; those without any nearest are final and go."""
+    gone = merged.select("g", F.col("a").alias("id")).unionByName(merged.select("g", F.col("b").alias("id")))
+    rest = clusters.join(best.select("g", "id"), ["g", "id"], "left_semi").join(gone, ["g", "id"], "left_anti")
+    return _cut(rest.select("g", "id", "s", "n", "h").unionByName(merged.select("g", F.col("a").alias("id"), "s", "n", "h")))
+
+
+def _step(merged: DataFrame, step: int) -> DataFrame:
+    return merged.select("g", "a", "b", "h", F.lit(step).cast("long").alias("step"))
+
+
+def _merges_within(clusters: DataFrame, distance: float, local: int, kind: str) -> list[DataFrame]:
+    """Merges at heights up to the distance.
+
+    Clusters further apart than the distance never come within it by merging, so each
+    component of the graph of clusters within the distance is a problem of its own. The
+    graph comes from a radius join of the means. Components up to `local` are finished in
+    one task each; in larger ones all mutually nearest clusters merge, and the graph of
+    what is left, which is sparser, is taken again.
+    """
+    edges, step, r = [], 0, float(np.sqrt(2 * distance))
+    mean = F.transform("s", lambda x: x / F.col("n")).alias("v")
+    while True:
+        means = _cut(clusters.select("g", "id", mean))
+        linked = radius.spanning_edges(radius.groups(means, r, BLOCK), 1 - distance - radius.SLACK)
+        clusters = _cut(clusters.join(radius.components(means, linked), ["g", "id"]))
+        sizes = _cut(clusters.groupBy("g", "component").agg(F.count(F.lit(1)).alias("c")))
+        lonely = clusters.join(sizes.where((F.col("c") <= local) & (F.col("c") > 1)), ["g", "component"], "left_semi")
+        edges.append(_cut(lonely.groupBy("g", "component").applyInPandas(_finisher(step, distance), f"g {kind}, a long, b long, h double, step long")))
+        clusters = _cut(clusters.join(sizes.where(F.col("c") > local), ["g", "component"], "left_semi").drop("component"))
+        if clusters.isEmpty():
+            return edges
+        means = _cut(clusters.select("g", "id", mean))
+        best = _cut(radius.nearest_within(radius.groups(means, r, BLOCK), 1 - distance))
+        merged = _merged(clusters, best)
+        if merged.isEmpty():
+            return edges
+        edges.append(_step(merged, step))
+        clusters = _after(clusters, best, merged)
+        step += 1
+
+
 def merges(vectors: DataFrame, distance: float | None = None, local: int | None = None) -> DataFrame:
     """(g, a, b, h, step): every merge in each group g of vectors (g, id, v), b being absorbed by a < b at height h.
 
-    Equal vectors merge first, at height 0. Groups over `local` clusters merge all pairs of
-    mutually nearest clusters in rounds of Spark jobs, the others are finished in one task each.
+    Equal vectors merge first, at height 0. Without a distance, groups over `local`
+    clusters merge all pairs of mutually nearest clusters in rounds of Spark jobs, the
+    others are finished in one task each; with one, see _merges_within().
     """
     workers_import(vectors.sparkSession)
     local, kind = local or LOCAL, vectors.schema["g"].dataType.simpleString()
@@ -121,47 +186,27 @@ def merges(vectors: DataFrame, distance: float | None = None, local: int | None
     copies = unit.select("id", *key).join(same.where("n > 1").select("g", "v", "own", "a"), ["g", "v", "own"]).where("id <> a")
     edges = [_cut(copies.select("g", "a", F.col("id").alias("b"), F.lit(0.0).alias("h"), F.lit(-1).cast("long").alias("step")))]
     clusters = _cut(same.select("g", F.col("a").alias("id"), F.transform("v", lambda x: x * F.col("n")).alias("s"), "n", F.lit(0.0).alias("h")))
+    if distance is not None:
+        edges += _merges_within(clusters, distance, local, kind)
+        return functools.reduce(DataFrame.unionByName, edges)
     step = 0
-
-    def finish(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("id")
-        high = dict(zip(frame["id"], frame["h"], strict=True))
-        rows = []
-        for i, (a, b, d) in enumerate(chain(frame["id"].to_numpy(), np.stack(frame["s"].to_numpy()), frame["n"].to_numpy(), distance)):
-            high[a] = max(d, high[a], high[b])
-            rows.append((a, b, high[a], start + i))
-        out = pd.DataFrame(rows, columns=["a", "b", "h", "step"]).astype({"a": "int64", "b": "int64", "h": float, "step": "int64"})
-        out.insert(0, "g", frame["g"].iloc[0])
-        return out
-
     while True:
         sizes = _cut(clusters.groupBy("g").agg(F.count(F.lit(1)).alias("c")))
         large = sizes.where(F.col("c") > local)
-        start = step
-        small = clusters.join(F.broadcast(sizes.where((F.col("c") <= local) & (F.col("c") > 1)).select("g")), "g", "left_semi")
-        edges.append(_cut(small.groupBy("g").applyInPandas(finish, f"g {kind}, a long, b long, h double, step long")))
+        few = clusters.join(sizes.where((F.col("c") <= local) & (F.col("c") > 1)).select("g"), "g", "left_semi")
+        edges.append(_cut(few.groupBy("g").applyInPandas(_finisher(step, None), f"g {kind}, a long, b long, h double, step long")))
         before = large.agg(F.sum("c")).first()[0]
         if not before:
             break
-        clusters = clusters.join(F.broadcast(large.select("g")), "g", "left_semi")
-        best = _nearest(clusters, large, kind)
-        best = _cut(best.where(F.col("d") <= distance) if distance is not None else best)
-        back = best.select("g", F.col("id").alias("near"), F.col("near").alias("id"))
-        pairs = best.join(back, ["g", "id", "near"]).where("id < near").select("g", F.col("id").alias("a"), F.col("near").alias("b"), "d")
-        a = clusters.select("g", F.col("id").alias("a"), F.col("s").alias("sa"), F.col("n").alias("na"), F.col("h").alias("ha"))
-        b = clusters.select("g", F.col("id").alias("b"), F.col("s").alias("sb"), F.col("n").alias("nb"), F.col("h").alias("hb"))
-        merged = _cut(pairs.join(a, ["g", "a"]).join(b, ["g", "b"]).select("g", "a", "b", F.zip_with("sa", "sb", lambda x, y: x + y).alias("s"), (F.col("na") + F.col("nb")).alias("n"), F.greatest("d", "ha", "hb").alias("h")))
-        edges.append(merged.select("g", "a", "b", "h", F.lit(step).cast("long").alias("step")))
-        gone = merged.select("g", F.col("a").alias("id")).unionByName(merged.select("g", F.col("b").alias("id")))
-        rest = clusters.join(best.select("g", "id"), ["g", "id"], "left_semi").join(gone, ["g", "id"], "left_anti")
-        clusters = _cut(rest.unionByName(merged.select("g", F.col("a").alias("id"), "s", "n", "h")))
+        clusters = clusters.join(large.select("g"), "g", "left_semi")
+        best = _cut(_nearest(clusters, large, kind))
+        merged = _merged(clusters, best)
+        edges.append(_step(merged, step))
+        clusters = _after(clusters, best, merged)
         step += 1
         if merged.count() < LEAST * before:
             local = 1 << 62  # long chains: rounds no longer pay
-    out = edges[0]
-    for e in edges[1:]:
-        out = out.unionByName(e)
-    return out
+    return functools.reduce(DataFrame.unionByName, edges)
 
 
 def numbered(reps: DataFrame) -> DataFrame:
@@ -170,7 +215,7 @@ def numbered(reps: DataFrame) -> DataFrame:
     before = Window.partitionBy("g").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     counts = parts.groupBy("g", "part").agg(F.count(F.lit(1)).alias("c")).select("g", "part", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("before"))
     n = F.row_number().over(Window.partitionBy("g", "part").orderBy("id"))
-    return parts.withColumn("n", n).join(F.broadcast(counts), ["g", "part"]).select("g", "id", (F.col("before") + F.col("n") - 1).cast("int").alias("cluster"))
+    return parts.withColumn("n", n).join(counts, ["g", "part"]).select("g", "id", (F.col("before") + F.col("n") - 1).cast("int").alias("cluster"))
 
 
 def labels(vectors: DataFrame, tree: DataFrame) -> DataFrame:
@@ -193,8 +238,8 @@ def cut_tree(vectors: DataFrame, tree: DataFrame, k: Column) -> DataFrame:
     most = wanted.agg(F.max("k")).first()[0] or 1
     w = Window.partitionBy("g").orderBy(F.desc("h"), F.desc("step"), F.desc("b"))
     top = tree.select("g", "b", "h", "step").withColumn("r", F.row_number().over(w)).where(F.col("r") < most)
-    top = _cut(top.join(F.broadcast(wanted), "g").where("r < k").select("g", "b"))
-    return tree.join(F.broadcast(top), ["g", "b"], "left_anti")
+    top = _cut(top.join(wanted, "g").where("r < k").select("g", "b"))
+    return tree.join(top, ["g", "b"], "left_anti")
 
 
 def target_clusters(n: Column, target: int | None) -> Column:
@@ -223,7 +268,7 @@ def split_oversized(clusters: DataFrame, vectors: DataFrame, group: str, share:
         big = _cut(sizes.join(totals, "g").join(top, "g").where((F.col("size") > share * F.col("total")) & (F.col("total") >= 3)).withColumn("key", F.monotonically_increasing_id()))
         if big.isEmpty():
             break
-        rows = now.join(F.broadcast(big.select("g", "cluster", "key")), ["g", "cluster"]).select(F.col("key").alias("g"), "id")
+        rows = now.join(big.select("g", "cluster", "key"), ["g", "cluster"]).select(F.col("key").alias("g"), "id")
         rows = _cut(rows.join(vectors.select("id", "v"), "id"))
         k = F.greatest(F.lit(3), F.least(F.lit(5), F.floor(F.col("n") / 50)))
         part = labels(rows, cut_tree(rows, merges(rows, local=local), k)).select(F.col("g").alias("key"), "id", F.col("cluster").alias("part"))
@@ -231,6 +276,6 @@ def split_oversized(clusters: DataFrame, vectors: DataFrame, group: str, share:
         more = part.groupBy("key").agg(F.max("part").alias("more"))
         before = Window.partitionBy("g").orderBy("cluster").rowsBetween(Window.unboundedPreceding, -1)
         base = big.join(more, "key").select("g", "cluster", "key", (F.col("top") + F.coalesce(F.sum("more").over(before), F.lit(0))).alias("base"))
-        moved = part.where("part > 0").join(F.broadcast(base), "key").select("g", "id", (F.col("base") + F.col("part")).cast("int").alias("new"))
+        moved = part.where("part > 0").join(base, "key").select("g", "id", (F.col("base") + F.col("part")).cast("int").alias("new"))
         now = _cut(now.join(moved, ["g", "id"], "left").select("g", "id", F.coalesce("new", "cluster").alias("cluster")))
     return now.withColumnRenamed("g", group)

@@ -7,7 +7,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ferrule.session import workers_import
+from ferrule.session import workers_import, written
+
+from . import radius
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -24,50 +26,27 @@ def normalized(a: Column) -> Column:
     return F.transform(a, lambda x: x.cast("double") / n)
 
 
-def similar_pairs(vectors: DataFrame, threshold: float, block: int = 2000) -> DataFrame:
+def similar_pairs(vectors: DataFrame, threshold: float, block: int = radius.BLOCK) -> DataFrame:
     """(a, b, similarity), a < b, of cosine similarity at least threshold; vectors: id, v.
 
-    Rows are hashed to blocks and each pair of blocks is one group, compared by a matrix
-    product in bounded memory; what is emitted is the pairs that pass.
+    Vectors meet in the rings of pivots that may hold them both, and a group of blocks is
+    compared by a matrix product in bounded memory; see radius.
     """
-    workers_import(vectors.sparkSession)
-    n = vectors.count()
-    blocks = max(1, -(-n // block))
-    rows = vectors.select("id", normalized(F.col("v")).alias("v")).withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)))
-    dealt = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    dealt = dealt.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
-
-    def compare(frame: pd.DataFrame) -> pd.DataFrame:
-        ids = frame["id"].to_numpy()
-        v = np.stack(frame["v"].to_numpy())
-        left = (frame["block"] == frame["lo"]).to_numpy()
-        i, j = np.nonzero(v @ v.T >= threshold)
-        same = frame["lo"].iloc[0] == frame["hi"].iloc[0]
-        keep = (ids[i] < ids[j]) & (same | (left[i] != left[j]))
-        i, j = i[keep], j[keep]
-        return pd.DataFrame({"a": ids[i], "b": ids[j], "similarity": (v[i] * v[j]).sum(1)})
-
-    return dealt.groupBy("lo", "hi").applyInPandas(compare, "a long, b long, similarity double")
-
-
-def components(nodes: DataFrame, edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """(id, component): the least id reachable; minimum labels with pointer jumping, lineage cut by checkpoint."""
-    spark = nodes.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
-    labels = nodes.select("id", F.col("id").alias("component")).checkpoint()
-    for _ in range(rounds):
-        near = both.join(labels.select(F.col("id").alias("b"), "component"), "b").select(F.col("a").alias("id"), "component")
-        least = near.unionByName(labels).groupBy("id").agg(F.min("component").alias("next"))
-        jump = labels.select(F.col("id").alias("next"), F.col("component").alias("far"))
-        new = least.join(jump, "next").select("id", F.least("next", "far").alias("component")).checkpoint()
-        if new.join(labels.withColumnRenamed("component", "was"), "id").where("component <> was").isEmpty():
-            return new
-        labels = new
-    raise RuntimeError("the components did not settle")
+    unit = written(vectors.where("v is not null").select(F.lit(0).alias("g"), "id", normalized(F.col("v")).alias("v")), "unit")
+    dealt = radius.groups(unit, float(np.sqrt(max(2 - 2 * threshold, 0))), block)
+    return radius.pairs(dealt, threshold).select("a", "b", "similarity")
+
+
+def radius_components(vectors: DataFrame, threshold: float) -> DataFrame:
+    """(id, component): components of the graph of cosines at least threshold; spanning edges stand for its pairs."""
+    unit = vectors.select(F.lit(0).alias("g"), "id", normalized(F.col("v")).alias("v"))
+    return radius.radius_components(unit, threshold).select("id", "component")
+
+
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, component): the least id reachable by edges (a, b)."""
+    zero = F.lit(0).alias("g")
+    return radius.components(nodes.select(zero, "id"), edges.select(zero, "a", "b")).select("id", "component")
 
 
 def canonical(clusters: DataFrame) -> DataFrame:

@@ -48,15 +48,10 @@ def similar_pairs(spark, sf_dir):
     return ve.similar_pairs(vectors(spark, sf_dir), 0.4).select("a", "b")
 
 
-def clusters(spark, sf_dir):
-    v = vectors(spark, sf_dir)
-    return ve.components(v, ve.similar_pairs(v, 0.4))
-
-
 @query("WITH RECURSIVE " + UNIT + """, edges AS (SELECT x.id AS a, y.id AS b FROM u x JOIN u y ON x.id <> y.id WHERE list_dot_product(x.v, y.v) >= 0.4),
 reach AS (SELECT vec_id AS id, vec_id AS r FROM embeddings UNION SELECT e.b, r FROM reach JOIN edges e ON reach.id = e.a) SELECT id, min(r) AS component FROM reach GROUP BY id""")
 def radius_components(spark, sf_dir):
-    return clusters(spark, sf_dir)
+    return ve.radius_components(vectors(spark, sf_dir), 0.4)
 
 
 @query("""WITH c AS (SELECT p_brand AS cluster, p_name AS text, count(*) AS freq FROM part GROUP BY ALL) SELECT cluster, text AS canonical_text FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY freq DESC, length(text), text) AS r FROM c) WHERE r = 1""")
