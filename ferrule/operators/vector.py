@@ -122,8 +122,8 @@ def _block_nearest(vectors: DataFrame, queries: DataFrame, k: int, blocks: int,
     return both.groupBy("block", "slice").applyInPandas(best, "query_id long, id long, score double")
 
 
-def tfidf(texts: DataFrame, sizes: tuple[int, ...] = (2, 3, 4)) -> DataFrame:
-    """(id, gram, weight): character n-grams inside padded words, smoothed idf, unit length."""
+def tfidf(texts: DataFrame, sizes: tuple[int, ...] = (2, 3, 4), digits: int | None = 6) -> DataFrame:
+    """(id, gram, weight): character n-grams inside padded words, smoothed idf, unit length; weights to so many digits."""
     words = texts.select("id", F.explode(F.split("text", r"\s+")).alias("w")).where("w <> ''").select("id", F.concat(F.lit(" "), "w", F.lit(" ")).alias("w"))
     n = F.length("w")
     grams = F.concat(*[_grams(n, k) for k in sizes])
@@ -132,7 +132,8 @@ def tfidf(texts: DataFrame, sizes: tuple[int, ...] = (2, 3, 4)) -> DataFrame:
     total = texts.agg(F.count(F.lit(1)).alias("docs"))
     w = tf.join(df, "gram").join(F.broadcast(total), F.lit(True)).withColumn("w", F.col("tf") * (F.log((1 + F.col("docs")) / (1 + F.col("df"))) + 1))
     length = w.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
-    return w.join(length, "id").select("id", "gram", F.round(F.col("w") / F.col("length"), 6).alias("weight"))
+    weight = F.col("w") / F.col("length")
+    return w.join(length, "id").select("id", "gram", (weight if digits is None else F.round(weight, digits)).alias("weight"))
 
 
 def _grams(n: Column, k: int) -> Column:

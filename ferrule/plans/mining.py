@@ -6,9 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ferrule.operators import clustering as cl
+from ferrule.operators import embed as em
 from ferrule.operators import extract as ex
+from ferrule.operators import fusion as fu
 from ferrule.operators import vector as ve
 
+from ferrule.session import shared_path
+
 from .bindings import local_objects, sql, table
 
 QUERIES: dict = {}
@@ -106,6 +110,37 @@ def semantic_groups(spark, sf_dir):
     return cl.agglomerate(vectors(spark, sf_dir).withColumn("label", F.lit(0)), "label", distance=0.15)
 
 
+@query("SELECT 1 AS run, count(DISTINCT p_name) AS embedded, count(*) AS with_vector FROM part UNION ALL SELECT 2, 0, count(*) FROM part UNION ALL SELECT 3, count(DISTINCT p_type), count(*) FROM part WHERE p_type NOT IN (SELECT p_name FROM part)")
+def embedding_store(spark, sf_dir):
+    """Names of parts embedded, the same again, then their types: what the model saw in each run."""
+    store, part = shared_path(spark, "embeddings"), table(spark, sf_dir, "part")
+    out = None
+    for run, column in enumerate(["p_name", "p_name", "p_type"], 1):
+        rows, n = em.embed(part.select(F.col(column).alias("text")), store)
+        one = rows.select(F.lit(run).alias("run"), F.lit(n).cast("long").alias("embedded"), F.col("vector").isNotNull().alias("v")).groupBy("run", "embedded").agg(F.count_if("v").alias("with_vector"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def embedded_objects(spark, sf_dir) -> DataFrame:
+    """Local objects with a number and the default vector of their text; an object's description is its domain."""
+    rows = local_objects(spark, sf_dir).withColumn("id", F.xxhash64("domain", "object_name"))
+    text = fu.object_text(F.col("object_name"), F.col("domain"), F.col("samples"))
+    return em.embed(rows.withColumn("text", text), shared_path(spark, "embeddings"))[0].withColumn("v", F.col("vector").cast("array<double>"))
+
+
+@query()
+def semantic_object_groups(spark, sf_dir):
+    """Objects of all domains grouped by meaning, with representative, aliases and mean similarity."""
+    return fu.semantic_groups(embedded_objects(spark, sf_dir))[0].select("group_id", "repr_name", F.array_join("aliases", "/").alias("aliases"), F.array_join("domains", ",").alias("domains"), "members", "total_size", "avg_similarity")
+
+
+@query()
+def joint_sample_groups(spark, sf_dir):
+    """Samples of all objects clustered jointly."""
+    return fu.sample_groups(local_objects(spark, sf_dir))[0].select("group_id", "repr_name", "size", "samples", F.array_join("domains", ",").alias("domains"), "avg_similarity")
+
+
 KEYWORDS = [("ring", "OBJ_RING"), ("rod", "OBJ_ROD"), ("blue", "OBJ_BLUE"), ("widget", "OBJ_WIDGET"), ("steel", "OBJ_ROD"), ("hot", "OBJ_HEAT")]
 WORDS = "k(keyword, object_code, position) AS (VALUES " + ", ".join(f"('{a}', '{b}', {i})" for i, (a, b) in enumerate(KEYWORDS)) + ")"
 
