@@ -11,6 +11,7 @@ Null texts have no vector; an empty text is embedded like any other.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -48,10 +49,15 @@ def text_hash(text):
 
 
 def open_store(spark: SparkSession, path: str) -> DataFrame:
-    """The table of vectors at path; empty where nothing was written yet."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    there = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
-    return spark.read.schema(STORE).parquet(path) if there else spark.createDataFrame([], STORE)
+    """The vectors of all runs that ended, by the folders they wrote; empty where there is none.
+
+    The folders are named one by one: Spark takes two reads of one root for the same
+    table, whatever was written between them.
+    """
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    done = [str(x.getPath().getParent()) for x in files.globStatus(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/*/_SUCCESS")) or []]
+    return spark.read.schema(STORE).parquet(*sorted(done)) if done else spark.createDataFrame([], STORE)
 
 
 def encoded(texts: DataFrame, make: Callable[[], Encoder], model: str, batch: int = 256) -> DataFrame:
@@ -75,9 +81,9 @@ def encoded(texts: DataFrame, make: Callable[[], Encoder], model: str, batch: in
 def embed(texts: DataFrame, store: str, make: Callable[[], Encoder] = hashed_grams, model: str = "hashed-grams-256") -> tuple[DataFrame, int]:
     """(texts with vector, number of texts that the model saw).
 
-    texts: any columns and text. Distinct texts that the store lacks are embedded and
-    appended to it by one write, which appears whole or not at all; a vector that two
-    runs wrote at the same time counts once.
+    texts: any columns and text. Distinct texts that the store lacks are embedded into a
+    folder of their own in it, which counts once it is complete; a vector that two runs
+    wrote at the same time counts once.
     """
     spark = texts.sparkSession
     rows = texts.withColumn("text_hash", text_hash(F.col("text")))
@@ -86,6 +92,6 @@ def embed(texts: DataFrame, store: str, make: Callable[[], Encoder] = hashed_gra
     n = new.count()
     if n:
         parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // 10_000))
-        encoded(new.repartition(parts), make, model).write.mode("append").parquet(store)
+        encoded(new.repartition(parts), make, model).write.parquet(f"{store}/run-{uuid.uuid4().hex}")
     vectors = open_store(spark, store).where(F.col("model") == model).groupBy("text_hash").agg(F.first("vector").alias("vector"))
     return rows.join(vectors, "text_hash", "left").drop("text_hash"), n

@@ -21,9 +21,9 @@ def norm(a: Column) -> Column:
 
 
 def normalized(a: Column) -> Column:
-    """a over its length; a zero vector stays nearly zero."""
-    n = norm(a) + 1e-12
-    return F.transform(a, lambda x: x.cast("double") / n)
+    """a over its length; a zero vector stays nearly zero. The length is bound as an array's element, else each coordinate computes it anew."""
+    over = lambda n: F.transform(a, lambda x: x.cast("double") / n)
+    return F.element_at(F.transform(F.array(norm(a) + 1e-12), over), 1)
 
 
 def similar_pairs(vectors: DataFrame, threshold: float, block: int = radius.BLOCK) -> DataFrame:

@@ -110,7 +110,7 @@ def semantic_groups(spark, sf_dir):
     return cl.agglomerate(vectors(spark, sf_dir).withColumn("label", F.lit(0)), "label", distance=0.15)
 
 
-@query("SELECT 1 AS run, count(DISTINCT p_name) AS embedded, count(*) AS with_vector FROM part UNION ALL SELECT 2, 0, count(*) FROM part UNION ALL SELECT 3, count(DISTINCT p_type), count(*) FROM part WHERE p_type NOT IN (SELECT p_name FROM part)")
+@query("SELECT 1 AS run, count(DISTINCT p_name) AS embedded, count(*) AS with_vector FROM part UNION ALL SELECT 2, 0, count(*) FROM part UNION ALL SELECT 3, (SELECT count(DISTINCT p_type) FROM part WHERE p_type NOT IN (SELECT p_name FROM part)), count(*) FROM part")
 def embedding_store(spark, sf_dir):
     """Names of parts embedded, the same again, then their types: what the model saw in each run."""
     store, part = shared_path(spark, "embeddings"), table(spark, sf_dir, "part")
