@@ -128,7 +128,8 @@ def mix(docs: DataFrame, weights: list[float], share: float = 1.5, repeat: float
     """(documents, plan).
 
     documents: doc_id, key, size, source, source_size, target, taken and pieces, an array
-    of (start, length, times): which words the mix takes. plan: the slots, see slots().
+    of (start, length, times, block, at): which words the mix takes, of which block of the
+    source and from which place in it. plan: the slots, see slots().
     """
     sized = docs.select("doc_id", "source", common.row_key(docs).alias("key"), word_count(F.col("text")).alias("size"))
     sized = common.cut(sized)
@@ -145,39 +146,66 @@ def mix(docs: DataFrame, weights: list[float], share: float = 1.5, repeat: float
     joined = covers.withColumn("name", name).join(used.select(name.alias("name"), "block", "times"), ["name", "block"])
     start = F.greatest(F.col("block") * block - F.col("first"), F.lit(0))
     stop = F.least((F.col("block") + 1) * block - F.col("first"), F.col("size"))
-    taken = joined.select("row", start.alias("start"), (stop - start).alias("length"), "times")
-    taken = taken.groupBy("row").agg(F.sum(F.col("length") * F.col("times")).alias("taken"), F.sort_array(F.collect_list(F.struct("start", "length", "times"))).alias("pieces"))
+    taken = joined.select("row", start.alias("start"), (stop - start).alias("length"), "times", "block", F.greatest(F.col("first") - F.col("block") * block, F.lit(0)).alias("at"))
+    taken = taken.groupBy("row").agg(F.sum(F.col("length") * F.col("times")).alias("taken"), F.sort_array(F.collect_list(F.struct("start", "length", "times", "block", "at"))).alias("pieces"))
     out = spans.join(taken, "row", "left").withColumn("taken", F.coalesce("taken", F.lit(0)).cast("long"))
     return out.select("doc_id", "key", "size", "source", "source_size", "target", "taken", "pieces"), plan
 
 
+def _with_pieces(docs: DataFrame, mixed: DataFrame) -> DataFrame:
+    """docs, of which the mix takes something, with __pieces."""
+    took = mixed.select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), F.col("taken").alias("__taken"), F.col("pieces").alias("__pieces"))
+    rows = docs.withColumn("__k", common.row_key(docs))
+    twins = common.cut(took.groupBy("__id", "__key").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select(F.col("__id").alias("__t"), F.col("__key").alias("__u")))
+    same = lambda i, k: F.col(i).eqNullSafe(F.col("__t")) & (F.col(k) == F.col("__u"))
+    meets = rows["doc_id"].eqNullSafe(F.col("__id")) & (F.col("__k") == F.col("__key"))
+    if twins.isEmpty():
+        return rows.join(took.where("__taken > 0"), meets)
+    # identical rows are numbered on both sides, so that each gets its own pieces
+    one = rows.join(twins, same("doc_id", "__k"), "left_anti").join(took.where("__taken > 0"), meets)
+    left = common.numbered(rows.join(twins, same("doc_id", "__k"), "left_semi"), ["doc_id", "__k"], "__n")
+    right = common.numbered(took.join(twins, same("__id", "__key"), "left_semi"), ["__id", "__key"], "__m")
+    many = left.join(right.where("__taken > 0"), left["doc_id"].eqNullSafe(F.col("__id")) & (F.col("__k") == F.col("__key")) & (F.col("__n") == F.col("__m")))
+    return one.unionByName(many.drop("__n", "__m"))
+
+
+def _words(text: Column) -> Column:
+    return F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+
+
+def _cut_out(words: Column, p: Column) -> Column:
+    return F.slice(words, (p["start"] + 1).cast("int"), p["length"].cast("int"))
+
+
 def mixed_texts(docs: DataFrame, mixed: DataFrame, repeat: float = 2.0) -> DataFrame:
     """docs with each text replaced by the words the mix takes of it, pass after pass; rows without any go.
 
     n_chars follows the new text; the other columns stay.
     """
-    took = mixed.select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), "taken", F.col("pieces").alias("__pieces"))
-    rows = docs.withColumn("__k", common.row_key(docs))
-    twins = common.cut(took.groupBy("__id", "__key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("__id").alias("__t"), F.col("__key").alias("__u")))
-    same = lambda i, k: F.col(i).eqNullSafe(F.col("__t")) & (F.col(k) == F.col("__u"))
-    meets = rows["doc_id"].eqNullSafe(F.col("__id")) & (F.col("__k") == F.col("__key"))
-    if twins.isEmpty():
-        joined = rows.join(took.where("taken > 0"), meets)
-    else:  # identical rows are numbered on both sides, so that each gets its own pieces
-        one = rows.join(twins, same("doc_id", "__k"), "left_anti").join(took.where("taken > 0"), meets)
-        left = common.numbered(rows.join(twins, same("doc_id", "__k"), "left_semi"), ["doc_id", "__k"], "__n")
-        right = common.numbered(took.join(twins, same("__id", "__key"), "left_semi"), ["__id", "__key"], "__m")
-        many = left.join(right.where("taken > 0"), left["doc_id"].eqNullSafe(F.col("__id")) & (F.col("__k") == F.col("__key")) & (F.col("__n") == F.col("__m")))
-        joined = one.unionByName(many.drop("__n", "__m"))
-    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
     laps = F.sequence(F.lit(1), F.lit(int(-(-repeat // 1))))
 
     def taken(words: Column) -> Column:
-        one = lambda lap: F.flatten(F.transform(F.filter("__pieces", lambda p: p["times"] >= lap), lambda p: F.slice(words, (p["start"] + 1).cast("int"), p["length"].cast("int"))))
+        one = lambda lap: F.flatten(F.transform(F.filter("__pieces", lambda p: p["times"] >= lap), lambda p: _cut_out(words, p)))
         return F.array_join(F.flatten(F.transform(laps, one)), " ")
 
     # the words are bound once as the element of a one-element array, else each piece splits the text again
-    out = joined.withColumn("text", F.element_at(F.transform(F.array(words), taken), 1))
+    out = _with_pieces(docs, mixed).withColumn("text", F.element_at(F.transform(F.array(_words(F.col("text"))), taken), 1))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def mixed_shards(docs: DataFrame, mixed: DataFrame, plan: DataFrame) -> DataFrame:
+    """shard, slot, source, n_words, text: the mix itself, a block of words in each slot, joined by block index.
+
+    A block's words come from the documents that it covers and travel once for each slot
+    that draws it. The last block of a source may be short.
+    """
+    rows = _with_pieces(docs.select("doc_id", "text", "source"), mixed)
+    cut = lambda words: F.transform("__pieces", lambda p: F.struct(p["block"].alias("block"), p["at"].alias("at"), _cut_out(words, p).alias("words")))
+    pieces = rows.select("source", F.inline(F.element_at(F.transform(F.array(_words(F.col("text"))), cut), 1)))
+    named = lambda df: df.withColumn("__name", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("null")))
+    drawn = named(plan).select("shard", "slot", "__name", "block")
+    slot = named(pieces).join(drawn, ["__name", "block"]).groupBy("shard", "slot").agg(F.first("source").alias("source"), F.sort_array(F.collect_list(F.struct("at", "words"))).alias("parts"))
+    words = F.flatten(F.transform("parts", lambda p: p["words"]))
+    return slot.select("shard", "slot", "source", F.size(words).cast("long").alias("n_words"), F.array_join(words, " ").alias("text"))

@@ -150,6 +150,38 @@ def test_identical_rows_take_their_own_words(spark):
     assert Counter((r["doc_id"], len(words(r["text"]))) for r in mixing.mixed_texts(docs, mixed).collect()) == got
 
 
+def test_shards_hold_the_words_that_the_mix_takes(spark):
+    docs = awkward(spark).withColumnRenamed("score", "taken").withColumnRenamed("a b", "pieces")
+    mixed, plan = mixing.mix(docs, [3.0, 1.0, 2.0], block=8)
+    shards = mixing.mixed_shards(docs, mixed, plan).collect()
+    slots = plan.collect()
+    assert sorted((r["shard"], r["slot"], r["source"] or "") for r in shards) == sorted((r["shard"], r["slot"], r["source"] or "") for r in slots)
+    out, want = {}, {}
+    for r in shards:
+        assert r["n_words"] == len(words(r["text"])) <= 8
+        out.setdefault(r["source"], Counter()).update(words(r["text"]))
+    for r in mixing.mixed_texts(docs, mixed).collect():  # columns named taken and pieces stay
+        assert r["taken"] in (0.5, 0.1)
+        want.setdefault(r["source"], Counter()).update(words(r["text"]))
+    assert out == want
+    # the words of a block are those of its documents, in order
+    once = {r["text"] for r in shards if r["n_words"] == 8}
+    texts = [" ".join(words(r[1])) for r in awkward_docs()]
+    assert sum(any(t in x for x in texts) for t in once) > 0.8 * len(once)
+
+
+def test_steps_that_keep_rows_keep_columns_of_any_name(spark):
+    """Names that the operators use inside come back as they were."""
+    from pyspark.sql import functions as F
+
+    names = ["taken", "key", "items", "hits", "n_words", "label", "class_id", "row"]
+    docs = awkward(spark).withColumns({n: F.lit(n) for n in names})
+    bench = spark.createDataFrame([(1, "one two three")], "item_id long, text string")
+    mixed, _ = mixing.mix(docs, [1.0])
+    for out in (jaccard_join.keep_one(docs), decontaminate.remove_documents(docs, bench), decontaminate.remove_spans(docs, bench), mixing.mixed_texts(docs, mixed)):
+        assert out.columns == docs.columns and all(out.select(names).distinct().first()[i] == n for i, n in enumerate(names))
+
+
 def test_shard_counts_vary_like_draws(spark):
     docs = spark.createDataFrame([(i, "w " * 64, None, f"s{i % 3}") for i in range(1800)], "doc_id long, text string, lang string, source string")
     _, plan = mixing.mix(docs, [1.0], share=1.0, block=8)
