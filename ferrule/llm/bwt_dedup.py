@@ -16,7 +16,10 @@ task remembers it, and only an earlier place of the same string travels again.
 
 Defined cases: a null text is empty; texts shorter than `width` bytes lose nothing;
 null ids come first; rows that repeat an id are ordered by the hash of their text, and
-rows identical in id and text count as one document; an empty table gives no rows.
+rows identical in id and text count as one document; a very long text is one slice of
+its task, which holds some sixty times its bytes; further columns keep their values, but
+kept, n_bytes, n_removed and n_spans are replaced and none may begin with two
+underscores; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -39,12 +42,31 @@ NAMES = ["text", "length", "doc", "key", "first", "least", "again", "at"]
 EXPANSION = 3.4
 
 
-def ship(docs: DataFrame, width: int, buckets: int) -> DataFrame:
+def _mers(raw: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+    at = np.arange(len(raw) - MER + 1)
+    return sk.demoted(bw.span_hash(raw, at, at + MER), frequent)
+
+
+def strings(width: int):
+    """For sk.frequent()."""
+
+    def of(part: pa.RecordBatch, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        raw, offsets = bw.utf8(part.column(2))
+        if len(raw) < width:
+            return sk.NONE, sk.NONE, sk.NONE
+        _, lo, last, least, _, _ = sk.windows(_mers(raw, frequent), offsets[:-1], np.diff(offsets), width, MER)
+        return least, bw.span_hash(raw, lo, last + width), last + width - lo
+
+    return of
+
+
+def ship(docs: DataFrame, width: int, buckets: int, frequent: np.ndarray = sk.NONE) -> DataFrame:
     """bucket, blob of packed strings with their places; rows without a blob are places that are not the earliest."""
 
     @common.frees
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot: dict[bytes, tuple] = {}
+        known = np.zeros(0, "S16")
         packer = sk.Packer()
         for batch in batches:
             for part in sk.slices(batch, 2):
@@ -53,8 +75,7 @@ def ship(docs: DataFrame, width: int, buckets: int) -> DataFrame:
                 raw, offsets = bw.utf8(part.column(2))
                 if len(raw) < width:
                     continue
-                at = np.arange(len(raw) - MER + 1)
-                mers = bw.span_hash(raw, at, at + MER)
+                mers = _mers(raw, frequent)
                 counts = np.diff(offsets)
                 doc, lo, last, least, again, place = sk.windows(mers, offsets[:-1], counts, width, MER)
                 if not len(doc):
@@ -74,7 +95,9 @@ def ship(docs: DataFrame, width: int, buckets: int) -> DataFrame:
                 names = np.stack([a[head], b[head]], 1).view("S16").ravel()
                 met = size > 1
                 if hot:
-                    met |= np.isin(names, np.array(list(hot), "S16"))
+                    if len(known) < len(hot):
+                        known = np.array(list(hot), "S16")
+                    met |= np.isin(names, known)
                 for g in np.flatnonzero(met):
                     i = head[g]
                     name = bytes(names[g])  # without trailing zero bytes, on both sides
@@ -83,7 +106,7 @@ def ship(docs: DataFrame, width: int, buckets: int) -> DataFrame:
                     if best is not None and best <= own:
                         send[g] = False
                         later[i] = best < own
-                    elif best is not None or size[g] > 1:
+                    elif best is not None or (size[g] > 1 and len(hot) < sk.HOT_STRINGS):
                         hot[name] = own
                 # a place is never later than itself: identical rows are one document
                 twin = np.zeros(len(doc), bool)
@@ -172,7 +195,8 @@ def repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(4 * parts, int(size * EXPANSION / sk.BUCKET_BYTES))
-    return count_buckets(ship(docs, width, buckets), max(parts, buckets // 4), lambda x: later_windows(x, width), NAMES)
+    frequent = sk.frequent(docs, strings(width)) if size * EXPANSION > sk.HOT_BYTES else sk.NONE
+    return count_buckets(ship(docs, width, buckets, frequent), max(parts, buckets // 4), lambda x: later_windows(x, width), NAMES)
 
 
 RESULT = ["kept", "n_bytes", "n_removed", "n_spans"]

@@ -10,8 +10,10 @@ are known to repeat, one copy travels with count 2, and later slices of the task
 none. So a passage that a third of all documents share costs each task one string.
 
 Defined cases: a null or empty text, or one of fewer than `width` words, loses
-nothing; rows that repeat a document make each other's windows repeat; an empty table
-gives no rows.
+nothing; rows that repeat a document make each other's windows repeat, also where their
+ids are null or equal; a very long text is one slice of its task, which holds some forty
+times its bytes; further columns keep their values, but kept, n_words and n_removed are
+replaced and none may begin with two underscores; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -45,7 +47,31 @@ def _words(raw: np.ndarray, offsets: np.ndarray):
     return text, at, at + size, owner
 
 
-def ship(docs: DataFrame, width: int, buckets: int) -> DataFrame:
+def _runs(part: pa.RecordBatch, width: int, frequent: np.ndarray):
+    """Text, first and last byte and hash of the words of a slice, count and first of each document, and its super-k-mers."""
+    text, at, stop, owner = _words(*bw.utf8(part.column(2)))
+    counts = np.bincount(owner, minlength=part.num_rows)
+    firsts = np.cumsum(counts) - counts
+    h = bw.span_hash(text, at, stop)
+    item = np.arange(max(len(h) - MER + 1, 0))
+    mers = sk.demoted(bw.span_hash(h, item, item + MER), frequent) if len(item) else np.zeros(0, np.uint64)
+    return text, at, stop, h, firsts, counts, mers
+
+
+def strings(width: int):
+    """For sk.frequent()."""
+
+    def of(part: pa.RecordBatch, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        _, at, stop, h, firsts, counts, mers = _runs(part, width, frequent)
+        if len(at) < width:
+            return sk.NONE, sk.NONE, sk.NONE
+        _, lo, last, least, _, _ = sk.windows(mers, firsts, counts, width, MER)
+        return least, bw.span_hash(h, lo, last + width), stop[last + width - 1] - at[lo]
+
+    return of
+
+
+def ship(docs: DataFrame, width: int, buckets: int, frequent: np.ndarray = sk.NONE) -> DataFrame:
     """bucket, blob of packed strings; and rows without a blob, which are places known to repeat (key, lo, hi)."""
 
     @common.frees
@@ -55,14 +81,9 @@ def ship(docs: DataFrame, width: int, buckets: int) -> DataFrame:
         for batch in batches:
             for part in sk.slices(batch, 2):
                 ids, key = part.column(0).to_numpy(), part.column(1).to_numpy()
-                text, at, stop, owner = _words(*bw.utf8(part.column(2)))
+                text, at, stop, h, firsts, counts, mers = _runs(part, width, frequent)
                 if len(at) < width:
                     continue
-                counts = np.bincount(owner, minlength=part.num_rows)
-                firsts = np.cumsum(counts) - counts
-                h = bw.span_hash(text, at, stop)
-                item = np.arange(len(h) - MER + 1)
-                mers = bw.span_hash(h, item, item + MER)
                 doc, lo, last, least, _, _ = sk.windows(mers, firsts, counts, width, MER)
                 if not len(doc):
                     continue
@@ -81,7 +102,8 @@ def ship(docs: DataFrame, width: int, buckets: int) -> DataFrame:
                     send = np.array([x.tobytes() not in hot for x in names])
                     again = np.repeat(~send, size)
                     known[order[again]] = True
-                hot.update(x.tobytes() for x in names[(size > 1) & send])
+                if len(hot) < sk.HOT_STRINGS:
+                    hot.update(x.tobytes() for x in names[(size > 1) & send])
                 if known.any():
                     d = doc[known]
                     keys, los, his = key[d], lo[known] - firsts[d], hi[known] - firsts[d]
@@ -121,7 +143,8 @@ def repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(4 * parts, int(size * EXPANSION / sk.BUCKET_BYTES))
-    return count_buckets(ship(docs, width, buckets), max(parts, buckets // 4), lambda x: count_windows(x, width), NAMES)
+    frequent = sk.frequent(docs, strings(width)) if size * EXPANSION > sk.HOT_BYTES else sk.NONE
+    return count_buckets(ship(docs, width, buckets, frequent), max(parts, buckets // 4), lambda x: count_windows(x, width), NAMES)
 
 
 def count_buckets(shipped: DataFrame, parts: int, count, names: list[str]) -> DataFrame:

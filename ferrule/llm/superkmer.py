@@ -5,6 +5,11 @@ is its least k-mer hash; consecutive windows of one document with the same minim
 form a run, and the run's items travel as one packed string to the minimiser's bucket.
 Equal windows have equal minimisers, so they always meet. Strings of one slice and
 bucket are one compressed row.
+
+A k-mer that very many different strings share would make one bucket of them all. Such
+k-mers, found on a sample of the documents, come after all others in the order by which
+minimisers are chosen: a window with any other k-mer goes to that one's bucket. All
+tasks use one list, and equal windows still choose alike, whatever the list holds.
 """
 
 from __future__ import annotations
@@ -25,6 +30,11 @@ from .bytewise import slices  # noqa: F401
 BUCKET_BYTES = 6 << 20
 GATHER_BYTES = 16 << 20
 PLACE = np.uint64((1 << 24) - 1)
+#: One document in so many is looked at for frequent minimisers; a minimiser is frequent if, by that, its
+#: different strings have more bytes than this; and so many are known at most.
+SAMPLE, HOT_BYTES, HOT_MERS = 16, 4 << 20, 1 << 16
+#: Strings repeated in one slice that a task remembers; further ones travel once a slice.
+HOT_STRINGS = 1 << 16
 _CODEC = "zstd"
 #: What stands for a null id.
 NULL_ID = np.iinfo(np.int64).min
@@ -59,6 +69,56 @@ def windows(mers: np.ndarray, firsts: np.ndarray, counts: np.ndarray, w: int, k:
     return owner[begin], at[begin], at[end], value[begin], moves, where
 
 
+NONE = np.zeros(0, np.uint64)
+
+
+def name_of(minimiser: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    """The 39 bits by which a minimiser of windows() is on the list of frequent ones."""
+    return minimiser & np.uint64((1 << 39) - 1) if len(hot) else minimiser >> np.uint64(1)
+
+
+def demoted(mers: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    """mers with those on the sorted list after all others."""
+    if not len(hot) or not len(mers):
+        return mers
+    name = mers >> np.uint64(25)
+    table = np.zeros(1 << 16, bool)
+    table[(hot & np.uint64(0xFFFF)).astype(np.int64)] = True
+    maybe = np.flatnonzero(table[(name & np.uint64(0xFFFF)).astype(np.int64)])
+    at = np.minimum(np.searchsorted(hot, name[maybe]), len(hot) - 1)
+    out = mers >> np.uint64(1)
+    out[maybe[hot[at] == name[maybe]]] |= np.uint64(1 << 63)
+    return out
+
+
+def frequent(docs: DataFrame, strings, rounds: int = 3) -> np.ndarray:
+    """The sorted names of frequent minimisers; strings(part, hot) gives minimiser, hash and bytes of a slice's strings.
+
+    What comes first after one list may be frequent itself, so it is looked for again.
+    """
+    hot = NONE
+    sample = identified(docs).where(F.pmod(F.xxhash64("doc", "key"), F.lit(SAMPLE)) == 0)
+
+    def sizes(hot: np.ndarray) -> DataFrame:
+        @common.frees
+        def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for part in slices(batch, 2):
+                    least, name, size = strings(part, hot)
+                    yield pa.RecordBatch.from_arrays([pa.array(name_of(least, hot).astype(np.int64)), pa.array(name.view(np.int64)), pa.array(size.astype(np.int64))], ["mer", "name", "size"])
+
+        each = sample.mapInArrow(task, "mer long, name long, size long").distinct()
+        return each.groupBy("mer").agg((F.sum("size") * SAMPLE).alias("size")).where(F.col("size") > HOT_BYTES)
+
+    for _ in range(rounds):
+        found = sizes(hot).orderBy(F.desc("size"), "mer").limit(HOT_MERS - len(hot)).collect()
+        new = np.setdiff1d(np.array([r["mer"] for r in found], np.uint64), hot)
+        if not len(new):
+            break
+        hot = np.sort(np.concatenate([hot, new]))
+    return hot
+
+
 def take_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return data[bw.runs(starts, ends - starts)]
 
