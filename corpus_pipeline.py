@@ -4,6 +4,14 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written a
 Parquet and read again as the next stage's docs. All but the last return the columns
 of documents. A stage judges all rows its predecessor kept.
 
+Defined cases, besides those that each operator states: a null or empty text is scored
+and may stay; it has no shingles, no benchmark words and no words for the mix, which it
+leaves there. Rows that repeat an id are judged one by one; copies are near duplicates,
+of which one stays. A null id is an id of its own. A null source is a source. Columns
+that documents have beside its own pass through every stage but the last, whatever
+their names, if none begins with two underscores and none is quality_score. Tables without rows give no rows, and
+without usable labels all documents stay.
+
 SQL cannot express the classifier, the mix or the tokenizer, so ORACLE_SQL is None and
 the stages are tested against brute-force versions.
 """

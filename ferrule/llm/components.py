@@ -8,16 +8,17 @@ from pyspark.sql import functions as F
 from . import common
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, label) of every node of edges (a, b), label being the component's least node.
 
     Each round takes the least label around a node, then the label of that label; both
     are written to the checkpoint folder. Aggregates are partial, and the join by
-    neighbour is one whose hot keys adaptive execution splits.
+    neighbour is one whose hot keys adaptive execution splits. Rounds go on until no label
+    changes.
     """
     both = common.cut(edges.where("a <> b").select("a", "b").unionByName(edges.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = common.cut(both.groupBy(F.col("a").alias("node")).agg(F.min(F.least("a", "b")).alias("label")))
-    for _ in range(rounds):
+    while True:
         seen = both.join(labels.select(F.col("node").alias("b"), "label"), "b").select(F.col("a").alias("node"), "label")
         least = seen.unionByName(labels).groupBy("node").agg(F.min("label").alias("next"))
         jump = labels.select(F.col("node").alias("next"), F.col("label").alias("jumped"))
@@ -26,4 +27,3 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if least.join(labels.withColumnRenamed("label", "was"), "node").where("label <> was").isEmpty():
             return least
         labels = least
-    raise RuntimeError("the components did not settle")
