@@ -86,7 +86,9 @@ class Hashes(dict):
     """64-bit hash of a word of one language, remembered; 0 is a piece end and 1 nothing."""
 
     def __init__(self, lang: str, seed: int):
-        self.seed = xxhash.xxh64_intdigest(lang.encode(), seed)
+        self.seed = 42  # as Spark's xxhash64() of several columns starts; see word_hash()
+        for part in (str(seed), lang):
+            self.seed = xxhash.xxh64_intdigest(part.encode(), self.seed)
         self.clear()
 
     def clear(self) -> None:
@@ -111,14 +113,18 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("binary").alias("text"))
 
 
-def count_words(docs: DataFrame, seed: int = 0) -> DataFrame:
-    """lang, word, hash, n: how often each word occurs."""
+def word_hash(seed: int) -> Column:
+    """The hash of a word (lang, word) that Hashes gives it in the tasks."""
+    h = F.xxhash64(F.lit(str(seed)), "lang", "word")
+    return F.when(h.between(0, 1), F.lit(2).cast("long")).otherwise(h)
+
+
+def count_words(docs: DataFrame) -> DataFrame:
+    """lang, word, n: how often each word occurs."""
     common.prepare(docs.sparkSession)
 
     def out(lang: str, count: Counter) -> pa.RecordBatch:
-        base = xxhash.xxh64_intdigest(lang.encode(), seed)
-        hashes = np.fromiter((max(2, xxhash.xxh64_intdigest(w, base)) for w in count), np.uint64, len(count)).view(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array([lang] * len(count), pa.string()), pa.array(list(count), pa.binary()), pa.array(hashes), pa.array(list(count.values()), pa.int64())], ["lang", "word", "hash", "n"])
+        return pa.RecordBatch.from_arrays([pa.array([lang] * len(count), pa.string()), pa.array(list(count), pa.binary()), pa.array(list(count.values()), pa.int64())], ["lang", "word", "n"])
 
     @common.frees
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,8 +138,7 @@ def count_words(docs: DataFrame, seed: int = 0) -> DataFrame:
                     counts = {}
         yield from (out(*x) for x in counts.items())
 
-    counted = _texts(docs).mapInArrow(task, "lang string, word binary, hash long, n long")
-    return counted.groupBy("lang", "word", "hash").agg(F.sum("n").alias("n"))
+    return _texts(docs).mapInArrow(task, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
 def _mixed(a, b):
@@ -294,12 +299,12 @@ def grown(projections: DataFrame, least: int) -> DataFrame:
 
 def frequent_words(docs: DataFrame, least: int) -> tuple[DataFrame, DataFrame, int]:
     """(lang, word, hash, n of frequent words; lang, total; seed without confusions)."""
-    seed = 0
+    counted, seed = common.cut(count_words(docs)), 0
+    totals = counted.groupBy("lang").agg(F.sum("n").alias("total"))
     while True:
-        words = common.cut(count_words(docs, seed))
+        words = counted.withColumn("hash", word_hash(seed))
         shared = words.groupBy("hash").agg(F.count(F.lit(1)).alias("words"), F.sum("n").alias("n"))
         if shared.where((F.col("words") > 1) & (F.col("n") >= least)).isEmpty():
-            totals = words.groupBy("lang").agg(F.sum("n").alias("total"))
             return words.where(F.col("n") >= least), totals, seed
         seed += 1
 

@@ -136,19 +136,21 @@ def test_phrases_exact_beyond_64_bits(spark):
 
 
 def test_words_that_share_a_hash_take_another_seed(spark, monkeypatch):
-    real = phrases.xxhash.xxh64_intdigest
-
-    class Weak:
-        @staticmethod
-        def xxh64_intdigest(word, seed=0):
-            return real(b"same" if seed == real(b"en", 0) and word in (b"x", b"y") else word, seed)
-
-    monkeypatch.setattr(phrases, "xxhash", Weak)
+    real = phrases.word_hash
+    monkeypatch.setattr(phrases, "word_hash", lambda seed: F.lit(7).cast("long") if seed == 0 else real(seed))
     docs = spark.createDataFrame([(1, "x y " * 6, "en")], "doc_id long, text string, lang string")
     words, _, seed = phrases.frequent_words(docs, 5)
     assert seed == 1 and words.count() == 2
 
 
+def test_hashes_of_tasks_and_of_columns_agree(spark):
+    rows = [(lang, w) for lang in ("en", "zh", "") for w in ("a", "é", "x" * 100, "nul\0")]
+    df = spark.createDataFrame([(lang, bytearray(w.encode())) for lang, w in rows], "lang string, word binary")
+    for seed in (0, 3):
+        got = [r["h"] for r in df.select(phrases.word_hash(seed).alias("h")).collect()]
+        assert got == [np.array([phrases.Hashes(lang, seed)[w.encode()]], np.uint64).view(np.int64)[0] for lang, w in rows]
+
+
 def test_no_phrases(spark):
     assert phrases.mine(no_docs(spark)).count() == 0
     assert phrases.mine(awkward(spark), 10**6).count() == 0
