@@ -101,9 +101,19 @@ def rename(objects: DataFrame, history: DataFrame, changes: DataFrame) -> tuple[
     return joined.withColumn("object_name", F.when(changed, F.col("new_name")).otherwise(F.col("object_name"))).drop("new_name"), history.unionByName(trace)
 
 
-def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """New rows replace old ones of the same key."""
-    return old.join(new.select(*keys), keys, "left_anti").unionByName(new.select(*old.columns))
+def upsert(old: DataFrame, new: DataFrame, keys: list[str], kept: tuple[str, ...] = (), order: str | None = None) -> DataFrame:
+    """New rows replace old ones of the same key, but for the columns in kept (an id), which stay as they were.
+
+    Of new rows that share a key one counts: the last by order, else the largest by its
+    other columns.
+    """
+    others = [c for c in old.columns if c not in keys]
+    last = F.struct(*([order] if order else []), *others)
+    one = new.groupBy(*keys).agg(F.max(last).alias("__new"))
+    had = old.select(*keys, F.struct(*others).alias("__old"), F.lit(True).alias("__had"))
+    joined = had.join(one, keys, "full_outer")
+    pick = lambda c: F.when(F.col("__had") & (F.col("__new").isNull() | F.lit(c in kept)), F.col(f"__old.{c}")).otherwise(F.col(f"__new.{c}")).alias(c)
+    return joined.select(*[F.col(c) if c in keys else pick(c) for c in old.columns])
 
 
 def refresh_domain(old: DataFrame, new: DataFrame, domain: str) -> DataFrame:
@@ -128,13 +138,39 @@ def redirect(relations: DataFrame, objects: DataFrame, keep: DataFrame) -> DataF
     return joined.select(F.coalesce("kept_id", "object_id").alias("object_id"), "name", "entity").where("object_id is not null")
 
 
-def clean_names(objects: DataFrame, garbage, better: DataFrame) -> DataFrame:
-    """Garbage names replaced by (object_id, better_name); a name that is taken, by an object that keeps its own or a smaller id, gets _2, _3. Other names stay."""
-    joined = objects.join(better, "object_id", "left").withColumn("new", garbage & F.col("better_name").isNotNull())
-    kept = joined.where("not new").select("object_id", "object_name")
-    renamed = joined.where("new").withColumn("n", F.row_number().over(Window.partitionBy("better_name").orderBy("object_id")))
-    taken = kept.select(F.col("object_name").alias("better_name")).distinct().withColumn("taken", F.lit(1))
-    renamed = renamed.join(taken, "better_name", "left").withColumn("n", F.col("n") + F.coalesce("taken", F.lit(0)))
-    name = F.when(F.col("n") > 1, F.concat_ws("_", "better_name", F.col("n").cast("string"))).otherwise(F.col("better_name"))
-    return kept.unionByName(renamed.select("object_id", name.alias("object_name")))
+def clean_names(objects: DataFrame, garbage, better: DataFrame, *children: DataFrame) -> DataFrame | tuple[DataFrame, ...]:
+    """Garbage names replaced by (object_id, better_name); a name that is taken gets the next free of _2, _3, ...
 
+    A name is taken by an object that keeps its own, or by a smaller id; suffixed names
+    that objects have already are skipped, so no two names are equal that were not. Other
+    names stay. Where objects have an object_code OBJ_<old name> it follows the name, and
+    so does it in the children (tables with object_id and object_code), which then come
+    back beside the objects.
+    """
+    joined = objects.join(better, "object_id", "left").withColumn("__new", F.coalesce(garbage & F.col("better_name").isNotNull(), F.lit(False)))
+    # the names that renamed objects ask for, one number each: 1 is the name itself, k its suffix
+    wish = joined.where("__new").withColumn("__rank", F.row_number().over(Window.partitionBy("better_name").orderBy("object_id")))
+    wanted = wish.groupBy("better_name").agg(F.count(F.lit(1)).alias("__n"))
+    stem = F.regexp_replace("object_name", "_[0-9]+$", "")
+    number = F.regexp_extract("object_name", "_([1-9][0-9]{0,8})$", 1).try_cast("long")
+    kept = joined.where("not __new")
+    taken = kept.select(F.col("object_name").alias("better_name"), F.lit(1).cast("long").alias("__k"))
+    taken = taken.unionByName(kept.where(number >= 2).select(stem.alias("better_name"), number.alias("__k"))).distinct()
+    # names of other stems that are asked for count as taken too: project_2 may itself be a better name
+    other = wanted.select(F.regexp_replace("better_name", "_[0-9]+$", "").alias("stem"), F.regexp_extract("better_name", "_([1-9][0-9]{0,8})$", 1).try_cast("long").alias("__k")).where("__k >= 2").select(F.col("stem").alias("better_name"), "__k")
+    gone = taken.unionByName(other).distinct().groupBy("better_name").agg(F.sort_array(F.collect_set("__k")).alias("__gone"))
+    # the rank-th number of 1, 2, ... that is not gone: each gone number up to it moves it on by one
+    place = F.aggregate(F.coalesce("__gone", F.array().cast("array<bigint>")), F.col("__rank").cast("long"), lambda at, k: F.when(k <= at, at + 1).otherwise(at))
+    named = wish.join(gone, "better_name", "left").withColumn("__at", place)
+    name = F.when(F.col("__at") > 1, F.concat_ws("_", "better_name", F.col("__at").cast("string"))).otherwise(F.col("better_name"))
+    changes = named.select("object_id", name.alias("__name"))
+    rows = objects.join(changes, "object_id", "left")
+    fresh = F.coalesce("__name", "object_name")
+    if "object_code" in objects.columns:
+        follows = F.col("__name").isNotNull() & (F.col("object_code") == F.concat(F.lit("OBJ_"), "object_name"))
+        rows = rows.withColumn("__code", F.when(follows, F.concat(F.lit("OBJ_"), "__name")).otherwise(F.col("object_code")))
+    out = rows.select(*[fresh.alias(c) if c == "object_name" else F.col("__code").alias(c) if c == "object_code" else F.col(c) for c in objects.columns])
+    if not children:
+        return out
+    codes = out.select("object_id", F.col("object_code").alias("__code"))
+    return (out, *(t.join(codes, "object_id", "left").select(*[F.coalesce("__code", "object_code").alias(c) if c == "object_code" else F.col(c) for c in t.columns]) for t in children))

@@ -6,17 +6,21 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ferrule.functions.text import char_grams, sample_grams, sample_letters
+from ferrule.session import written
+
+from . import needles
 
 
 def keyword_extract(entities: DataFrame, keywords: DataFrame) -> DataFrame:
     """(object_code, entity_name): every object whose keyword occurs in the name.
 
-    Entity names are distinct, the last row of a name wins. Spark sends the keywords to every
-    task while they are small.
+    Entity names are distinct, the last row of a name wins. Names and keywords meet in the
+    needle index.
     """
-    last = entities.groupBy("entity_name").agg(F.max_by("entity_code", "row").alias("entity_code"))
-    hit = last.join(keywords, F.col("entity_name").contains(F.col("keyword")))
-    return hit.select("object_code", "entity_name", "entity_code", F.lit(0.8).alias("strength")).distinct()
+    last = written(entities.groupBy("entity_name").agg(F.max_by("entity_code", "row").alias("entity_code")), "names")
+    hit = needles.contained(last.select(F.col("entity_name").alias("id"), F.col("entity_name").alias("text")), keywords.select(F.col("keyword").alias("needle")))
+    hit = hit.join(keywords, F.col("needle") == F.col("keyword")).select("object_code", F.col("id").alias("entity_name")).distinct()
+    return hit.join(last, "entity_name").select("object_code", "entity_name", "entity_code", F.lit(0.8).alias("strength"))
 
 
 def rule_naming(clusters: DataFrame, keywords: DataFrame) -> DataFrame:
@@ -25,8 +29,9 @@ def rule_naming(clusters: DataFrame, keywords: DataFrame) -> DataFrame:
     clusters: cluster_id, size, samples. Ties go to the earlier keyword; of clusters that get
     one code the largest keeps it and the others vanish.
     """
-    samples = clusters.select("cluster_id", "size", F.explode("samples").alias("s"))
-    hits = samples.join(F.broadcast(keywords), F.col("s").contains(F.col("keyword")))
+    samples = clusters.select(F.struct("cluster_id", "size").alias("id"), F.explode("samples").alias("text"))
+    hits = needles.contained(samples, keywords.select(F.col("keyword").alias("needle")), distinct=False).select("needle", "id.*")
+    hits = hits.join(keywords, F.col("needle") == F.col("keyword"))
     counts = hits.groupBy("cluster_id", "size", "object_code").agg(F.count(F.lit(1)).alias("hits"), F.min("position").alias("position"))
     best = counts.withColumn("r", F.row_number().over(Window.partitionBy("cluster_id").orderBy(F.desc("hits"), "position"))).where("r = 1")
     owner = Window.partitionBy("object_code").orderBy(F.desc("size"), "cluster_id")
@@ -97,8 +102,9 @@ def supplement(objects: DataFrame, entities: DataFrame, business: DataFrame, key
     The best kind that finds anything is used; at most `first` entities by name.
     """
     exact = objects.join(business, F.col("object_name") == F.col("business")).select("object_code", F.col("concept").alias("entity_name"), F.lit(1).alias("kind"), F.lit(0.8).alias("strength"))
-    inside = entities.join(F.broadcast(objects), F.col("entity_name").contains(F.col("object_name"))).select("object_code", "entity_name", F.lit(2).alias("kind"), F.lit(0.65).alias("strength"))
-    by_word = entities.join(F.broadcast(keywords), F.col("entity_name").contains(F.col("keyword"))).select("object_code", "entity_name", F.lit(3).alias("kind"), F.lit(0.5).alias("strength"))
+    names = entities.select(F.col("entity_name").alias("id"), F.col("entity_name").alias("text"))
+    inside = needles.contained(names, objects.select(F.col("object_name").alias("needle"))).join(objects, F.col("needle") == F.col("object_name")).select("object_code", F.col("id").alias("entity_name"), F.lit(2).alias("kind"), F.lit(0.65).alias("strength"))
+    by_word = needles.contained(names, keywords.select(F.col("keyword").alias("needle"))).join(keywords, F.col("needle") == F.col("keyword")).select("object_code", F.col("id").alias("entity_name"), F.lit(3).alias("kind"), F.lit(0.5).alias("strength"))
     found = exact.unionByName(inside).unionByName(by_word.join(objects.select("object_code"), "object_code", "left_semi")).distinct()
     best = found.groupBy("object_code").agg(F.min("kind").alias("kind"))
     w = Window.partitionBy("object_code").orderBy("entity_name")
@@ -119,17 +125,26 @@ def cluster_relations(objects: DataFrame, members: DataFrame, entities: DataFram
 def with_required(objects: DataFrame, clusters: DataFrame, required: DataFrame) -> DataFrame:
     """objects (object_code, object_name, cluster_id, cluster_size) with the required ones that are missing.
 
-    required: position, object_code, object_name. Each takes the unused cluster with most
-    samples that hold its name, the smallest id among equals; a cluster that several want
-    goes to the first in position, and an object without one gets cluster -1 and size 0.
+    required: position, object_code, object_name: a list of definitions. Each, in order,
+    takes the cluster still free with most samples that hold its name, the smallest id
+    among equals; an object without one gets cluster -1 and size 0. One of n definitions
+    needs its n best clusters at most; only those reach the driver.
     """
+    spark = objects.sparkSession
     missing = required.join(objects.select("object_name"), "object_name", "left_anti")
     free = clusters.join(objects.where("cluster_id >= 0").select("cluster_id"), "cluster_id", "left_anti")
+    n = missing.count()
     samples = free.select("cluster_id", "size", F.explode("samples").alias("s"))
-    hits = samples.join(missing, F.col("s").contains(F.col("object_name"))).groupBy("position", "cluster_id", "size").agg(F.count(F.lit(1)).alias("hits"))
-    best = hits.withColumn("r", F.row_number().over(Window.partitionBy("position").orderBy(F.desc("hits"), "cluster_id"))).where("r = 1")
-    owner = best.withColumn("r", F.row_number().over(Window.partitionBy("cluster_id").orderBy("position"))).where("r = 1").select("position", "cluster_id", "size")
-    rows = missing.join(owner, "position", "left")
+    found = needles.contained(samples.select(F.struct("cluster_id", "size").alias("id"), F.col("s").alias("text")), missing.select(F.col("object_name").alias("needle")), distinct=False)
+    hits = found.join(missing.select(F.col("object_name").alias("needle"), "position"), "needle").groupBy("position", "id").agg(F.count(F.lit(1)).alias("hits"))
+    w = Window.partitionBy("position").orderBy(F.desc("hits"), "id.cluster_id")
+    best = hits.withColumn("r", F.row_number().over(w)).where(F.col("r") <= n).select("position", "id.cluster_id", "id.size", "r").orderBy("position", "r").collect()
+    taken: dict = {}
+    for row in best:
+        if row["position"] not in {t[0] for t in taken.values()} and row["cluster_id"] not in taken:
+            taken[row["cluster_id"]] = (row["position"], row["size"])
+    given = spark.createDataFrame([(p, c, s) for c, (p, s) in taken.items()], "position int, cluster_id int, size long")
+    rows = missing.join(given, "position", "left")
     new = rows.select("object_code", "object_name", F.coalesce("cluster_id", F.lit(-1)).cast("int").alias("cluster_id"), F.coalesce("size", F.lit(0)).cast("long").alias("cluster_size"))
     return objects.select("object_code", "object_name", F.col("cluster_id").cast("int").alias("cluster_id"), F.col("cluster_size").cast("long").alias("cluster_size")).unionByName(new)
 

@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ferrule.session import written
+
+from . import needles
+
 EXPRESSION = "struct<formula:string,sources:array<string>>"
 
 
@@ -20,15 +24,24 @@ def edges(nodes: DataFrame) -> DataFrame:
     return nodes.select("chain_id", "node_order", "node_type", F.lead("node_type").over(w).alias("next_type")).where("next_type is not null")
 
 
-def chains_through(nodes: DataFrame, objects: DataFrame, limit: int = 10_000) -> DataFrame:
-    """Chains with a node whose label contains an object's needle.
+def chains_through(nodes: DataFrame, objects: DataFrame) -> DataFrame:
+    """Chains with a node whose label, lower-cased, contains an object's needle; distinct pairs, found in the needle index."""
+    labels = nodes.select(F.col("chain_id").alias("id"), F.lower("node_label").alias("text"))
+    found = needles.contained(labels, objects.select("needle"))
+    return found.join(objects, "needle").select(F.col("id").alias("chain_id"), F.col("n_name").alias("object_name")).distinct()
+
+
+def relink(nodes: DataFrame, objects: DataFrame) -> DataFrame:
+    """nodes (node_id, node_label, object_id) where those without an object get the first whose name their label contains.
 
-    The needles are a broadcast list, checked to be at most limit; distinct pairs only.
+    objects: object_id, object_name. Objects come in the order of their ids; of equal
+    names the largest id stands, at the place of the smallest. Nodes that have an object,
+    and labels that hold no name, stay.
     """
-    if objects.limit(limit + 1).count() > limit:
-        raise ValueError(f"more than {limit} needles")
-    found = nodes.select("chain_id", F.lower("node_label").alias("label")).join(F.broadcast(objects), F.col("label").contains(F.col("needle")))
-    return found.select("chain_id", F.col("n_name").alias("object_name")).distinct()
+    names = objects.where("object_name is not null").groupBy(F.col("object_name").alias("name")).agg(F.min("object_id").alias("rank"), F.max("object_id").alias("own"))
+    open_ = nodes.where("object_id is null").select(F.col("node_id").alias("id"), F.coalesce("node_label", F.lit("")).alias("text"))
+    found = needles.first_contained(open_, names.select("name", "rank")).join(names.select("name", "own"), "name").select(F.col("id").alias("node_id"), "own")
+    return nodes.join(found, "node_id", "left").select(*[F.coalesce("object_id", "own").alias(c) if c == "object_id" else F.col(c) for c in nodes.columns])
 
 
 def sources(lineage: DataFrame) -> DataFrame:
@@ -41,12 +54,11 @@ def sources(lineage: DataFrame) -> DataFrame:
 
 def upstream(lineage: DataFrame, depth: int = 10) -> DataFrame:
     """All direct and indirect sources of each field with their least distance."""
-    step = sources(lineage).select("field", "source").distinct()
-    reached = step.withColumn("depth", F.lit(1))
-    frontier = reached
+    step = written(sources(lineage).select("field", "source").distinct(), "lineage")
+    frontier = reached = written(step.withColumn("depth", F.lit(1)), "lineage")
     for k in range(2, depth + 1):
         nxt = frontier.select("field", F.col("source").alias("via")).join(step.withColumnRenamed("field", "via"), "via").select("field", "source").distinct()
-        frontier = nxt.join(reached, ["field", "source"], "left_anti").withColumn("depth", F.lit(k))
+        frontier = written(nxt.join(reached, ["field", "source"], "left_anti").withColumn("depth", F.lit(k)), "lineage")
         if frontier.isEmpty():
             break
         reached = reached.unionByName(frontier)

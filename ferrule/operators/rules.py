@@ -11,6 +11,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ferrule.session import small
+
+from . import needles
+
 OPERATORS: dict[str, Callable[[Column, Column], Column]] = {
     ">": lambda a, b: a > b,
     "<": lambda a, b: a < b,
@@ -83,14 +87,14 @@ def condition(text: str, value: Callable[[str], Column], names: list[str]) -> Co
 
 
 def freeform(text: str, value: Callable[[str], Column]) -> Column:
-    """Relation formula: a²bc with a square and three names, (a-b)/c, a/b as a percentage, or a product of two; see satisfied()."""
+    """Relation formula: a²bc with a square and three names, (a-b)/c, a/b as a percentage (a slash, a × or * and 100), or a product of two; see satisfied()."""
     names = variables(text.replace("²", " ² "))
     v = [value(n) for n in names]
     if "²" in text and len(v) == 3:
         return v[0] * v[0] * v[1] * v[2]
     if "-" in text and "/" in text and len(v) == 3:
         return F.try_divide(v[0] - v[1], v[2])
-    if "/" in text and ("×" in text or "100" in text) and len(v) == 2:
+    if "/" in text and ("×" in text or "*" in text) and "100" in text and len(v) == 2:
         return F.try_divide(v[0], v[1]) * 100
     return v[0] * v[1] if len(v) == 2 else F.lit(None).cast("double")
 
@@ -228,10 +232,13 @@ def with_eav(values: DataFrame, manual: DataFrame) -> DataFrame:
 def alert_scan(values: DataFrame, rules: DataFrame, per_rule: int = 100) -> DataFrame:
     """Alerts of threshold rules over attribute values whose name contains the rule's field.
 
-    At most per_rule values of a rule are looked at, the smallest entity ids first; the
-    window keeps per_rule rows a task before the shuffle.
+    Names and fields meet in the needle index, and values join the distinct names. At most
+    per_rule values of a rule are looked at, the smallest entity ids first; the window
+    keeps per_rule rows a task before the shuffle.
     """
-    hit = values.join(F.broadcast(rules), F.col("name").contains(F.col("field")))
+    names = values.select(F.col("name").alias("id"), F.col("name").alias("text"))
+    fits = needles.contained(names, rules.select(F.col("field").alias("needle"))).join(rules, F.col("needle") == F.col("field")).drop("needle").withColumnRenamed("id", "name")
+    hit = values.join(small(fits), "name")
     w = Window.partitionBy("rule_id").orderBy("entity_id", "name")
     hit = hit.withColumn("seen", F.row_number().over(w)).where(F.col("seen") <= per_rule)
     return hit.where(compare(F.col("operator"), number(F.col("raw")), F.col("bound"))).select("rule_id", "entity_id", "name", "level", number(F.col("raw")).alias("value"))

@@ -126,18 +126,34 @@ def chains_of_object(spark, sf_dir):
     return ln.chains_through(chains(spark, sf_dir), objects)
 
 
-LINEAGE = [("L1", "revenue", '{"formula": "price*(1-discount)", "sources": ["l_extendedprice", "l_discount"]}'), ("L2", "charge", '{"formula": "revenue*(1+tax)", "sources": ["revenue", "l_tax"]}'), ("L3", "balance", '{"formula": "x", "sources": ["c_acctbal"]}'), ("L4", "broken", "not json"), ("L5", "margin", '{"formula": "charge-cost", "sources": ["charge", "p_retailprice"]}')]
-LSQL = "l(lineage_code, field, expression) AS (VALUES " + ", ".join(f"('{a}', '{b}', '{c}')" for a, b, c in LINEAGE) + ")"
+@query("""WITH o AS (SELECT lower(n_name[1:4]) AS name, min(n_nationkey) AS rank, max(n_nationkey) AS own FROM nation GROUP BY 1),
+n AS (SELECT conv_id, turn, CASE WHEN turn % 5 = 4 THEN -1 END AS given, lower(coalesce(text, '')) AS label FROM conversations)
+SELECT conv_id, turn, coalesce(given, (SELECT arg_min(own, rank) FROM o WHERE contains(label, name))) AS object_id FROM n""")
+def relinked_nodes(spark, sf_dir):
+    """Chain nodes linked to the first object whose name their label holds; every fifth turn has an object already."""
+    c = table(spark, sf_dir, "conversations")
+    nodes = c.select(F.struct("conv_id", "turn").alias("node_id"), F.lower("text").alias("node_label"), F.when(F.col("turn") % 5 == 4, -1).cast("int").alias("object_id"))
+    objects = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("object_id"), F.lower(F.substring("n_name", 1, 4)).alias("object_name"))
+    return ln.relink(nodes, objects).select("node_id.conv_id", "node_id.turn", "object_id")
+
+
+# each part is a field made of its brand and of another part's field; the third of some parts' lineage is broken
+LSQL = """l AS (SELECT 'L' || p_partkey AS lineage_code, 'P' || p_partkey AS field, CASE WHEN p_partkey % 7 = 3 THEN 'not json' ELSE '{"formula": "a*b", "sources": ["P' || (p_partkey // 3) || '", "' || p_brand || '"]}' END AS expression FROM part),
+s AS (SELECT lineage_code, field, unnest(CAST(CASE WHEN json_valid(expression) THEN json_extract(expression, '$.sources') END AS VARCHAR[])) AS source FROM l)"""
+
+
+def part_lineage(spark, sf_dir):
+    key = F.col("p_partkey")
+    made = F.concat(F.lit('{"formula": "a*b", "sources": ["P'), F.floor(key / 3).cast("string"), F.lit('", "'), "p_brand", F.lit('"]}'))
+    return table(spark, sf_dir, "part").select(F.concat(F.lit("L"), key.cast("string")).alias("lineage_code"), F.concat(F.lit("P"), key.cast("string")).alias("field"), F.when(key % 7 == 3, "not json").otherwise(made).alias("expression"))
 
 
-@query(f"""WITH {LSQL}, s AS (SELECT lineage_code, field, unnest(CAST(CASE WHEN json_valid(expression) THEN json_extract(expression, '$.sources') END AS VARCHAR[])) AS source FROM l)
-SELECT lineage_code, field, source, source IN (SELECT field FROM l) AS derived FROM s""")
+@query(f"WITH {LSQL} SELECT lineage_code, field, source, source IN (SELECT field FROM l) AS derived FROM s")
 def lineage_trace(spark, sf_dir):
-    return ln.sources(spark.createDataFrame(LINEAGE, "lineage_code string, field string, expression string"))
+    return ln.sources(part_lineage(spark, sf_dir))
 
 
-@query(f"""WITH RECURSIVE {LSQL}, s AS (SELECT field, unnest(CAST(CASE WHEN json_valid(expression) THEN json_extract(expression, '$.sources') END AS VARCHAR[])) AS source FROM l),
-w AS (SELECT field, source, 1 AS depth FROM s UNION ALL SELECT w.field, s.source, depth + 1 FROM w JOIN s ON w.source = s.field WHERE depth < 10)
+@query(f"""WITH RECURSIVE {LSQL}, w AS (SELECT field, source, 1 AS depth FROM s UNION ALL SELECT w.field, s.source, depth + 1 FROM w JOIN s ON w.source = s.field WHERE depth < 10)
 SELECT field, source, min(depth) AS depth FROM w GROUP BY field, source""")
 def lineage_upstream(spark, sf_dir):
-    return ln.upstream(spark.createDataFrame(LINEAGE, "lineage_code string, field string, expression string"))
+    return ln.upstream(part_lineage(spark, sf_dir))

@@ -38,12 +38,17 @@ def column_index(reference: str) -> int:
     return n - 1
 
 
+def _string(item: ElementTree.Element) -> str:
+    """The text of a shared or inline string; how it is read (phonetic runs) is no part of it."""
+    return "".join(t.text or "" for part in item if part.tag in (f"{NS}t", f"{NS}r") for t in part.iter(f"{NS}t"))
+
+
 def sheet_cells(data: bytes) -> Iterator[tuple[str, int, int, str]]:
     """(sheet, row, column, text) of every cell of a workbook; rows stream, shared strings are read once."""
     with zipfile.ZipFile(io.BytesIO(data)) as book:
         shared = []
         if "xl/sharedStrings.xml" in book.namelist():
-            shared = ["".join(t.text or "" for t in si.iter(f"{NS}t")) for si in ElementTree.fromstring(book.read("xl/sharedStrings.xml"))]
+            shared = [_string(si) for si in ElementTree.fromstring(book.read("xl/sharedStrings.xml"))]
         targets = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(book.read("xl/_rels/workbook.xml.rels"))}
         for sheet in ElementTree.fromstring(book.read("xl/workbook.xml")).iter(f"{NS}sheet"):
             path = targets[sheet.get(f"{REL}id")].lstrip("/")
@@ -59,7 +64,7 @@ def sheet_cells(data: bytes) -> Iterator[tuple[str, int, int, str]]:
                         column = column_index(cell.get("r")) if cell.get("r") else column + 1
                         value = cell.find(f"{NS}v")
                         if cell.get("t") == "inlineStr":
-                            text = "".join(t.text or "" for t in cell.iter(f"{NS}t"))
+                            text = "".join(_string(x) for x in cell.iter(f"{NS}is"))
                         elif value is None or value.text is None:
                             continue
                         else:
@@ -202,15 +207,10 @@ def labelled_import(cells: DataFrame, stage: str, domain: str | None = None) ->
 
 
 def inventory(cells: DataFrame, sheet_prefix: str, columns: dict[str, str]) -> DataFrame:
-    """Rows of the sheets with a name prefix, columns renamed, distinct by name in each file: the first row counts."""
-    squeezed = F.regexp_replace("sheet", " ", "")
-    rows = cells.where(squeezed.startswith(sheet_prefix.replace(" ", ""))).groupBy("file", "row").pivot("attribute", list(columns)).agg(F.first("value"))
-    for old, new in columns.items():
-        rows = rows.withColumnRenamed(old, new)
-    name = F.trim("name")
-    rows = rows.withColumn("name", name).where((name != "") & (F.lower(name) != "nan"))
-    w = Window.partitionBy("file", "name").orderBy("row")
-    return rows.withColumn("n", F.row_number().over(w)).where("n = 1").drop("n")
+    """Rows of the sheets with a name prefix, columns renamed, distinct by name in each file: the first row counts, of the first sheet by name."""
+    rows = _named(cells, sheet_prefix, columns).where("name is not null").where(F.lower("name") != "nan")
+    w = Window.partitionBy("file", "name").orderBy("sheet", "row")
+    return rows.withColumn("n", F.row_number().over(w)).where("n = 1").drop("n", "sheet")
 
 
 def encoding_of(chunks: Iterator[bytes]) -> str | None:
@@ -273,15 +273,24 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
     return functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
+def unlike(names: list[str]) -> list[str]:
+    """Names of columns as Spark's CSV reader makes them: repeated ones, without case, get their place, empty ones are _c<place>."""
+    count: dict[str, int] = {}
+    for n in names:
+        count[n.lower()] = count.get(n.lower(), 0) + 1
+    return [f"_c{i}" if not n else f"{n}{i}" if count[n.lower()] > 1 else n for i, n in enumerate(names)]
+
+
 def _read_wide(spark: SparkSession, paths: list[str]) -> DataFrame:
     """GB18030 files: cells are parsed in tasks, a file a task, and come back as columns by one projection."""
 
-    def rows_of(data: bytes) -> Iterator[dict]:
-        return csv.DictReader(io.StringIO(data.decode("gb18030"), newline=""))
+    def rows_of(data: bytes) -> tuple[list[str], Iterator[list[str]]]:
+        rows = csv.reader(io.StringIO(data.decode("gb18030"), newline=""))
+        return unlike(next(rows, [])), rows
 
     def header(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            found = [(c, i) for data in frame["content"] for i, c in enumerate(rows_of(bytes(data)).fieldnames or [])]
+            found = [(c, i) for data in frame["content"] for i, c in enumerate(rows_of(bytes(data))[0])]
             yield pd.DataFrame(found, columns=["column", "at"])
 
     files = spark.read.format("binaryFile").load(paths).select("content")
@@ -290,9 +299,10 @@ def _read_wide(spark: SparkSession, paths: list[str]) -> DataFrame:
     def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for data in frame["content"]:
-                reader = rows_of(bytes(data))
-                while part := list(itertools.islice(reader, 10_000)):
-                    yield pd.DataFrame({c: pd.Series([r.get(c) or None for r in part], dtype=object) for c in columns})
+                names, reader = rows_of(bytes(data))
+                at = {c: i for i, c in enumerate(names)}
+                while part := [r for r in itertools.islice(reader, 10_000) if r]:
+                    yield pd.DataFrame({c: pd.Series([(r[at[c]] or None) if c in at and at[c] < len(r) else None for r in part], dtype=object) for c in columns})
 
     return files.mapInPandas(parse, ", ".join(f"`{c}` string" for c in columns))
 
