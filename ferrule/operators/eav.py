@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ferrule.functions import text as tx
+from ferrule.session import written
 
 
 def melt(rows: DataFrame, key: str) -> DataFrame:
@@ -27,6 +28,22 @@ def vote(cells: DataFrame) -> DataFrame:
     return counts.groupBy("attribute").agg(F.max_by("type", F.struct("n", -place)).alias("type"), F.sum("n").alias("values"))
 
 
+def vote_by_samples(cells: DataFrame, samples: int = 200) -> DataFrame:
+    """file, attribute, type, values: as vote(), over the first values by row of each sheet alone.
+
+    cells: file, sheet, row, attribute, raw (null where there is none). An attribute
+    without any value is text. Each task keeps the first values of a sheet's attribute
+    that it reads and passes only those on (a window group limit ahead of the shuffle).
+    """
+    first = Window.partitionBy("file", "sheet", "attribute").orderBy("row", "raw")
+    some = cells.where(F.trim("raw") != "").withColumn("__n", F.row_number().over(first)).where(F.col("__n") <= samples)
+    counts = some.groupBy("file", "attribute", tx.value_type(F.col("raw")).alias("type")).agg(F.count(F.lit(1)).alias("n"))
+    place = F.array_position(F.array(*[F.lit(t) for t in tx.TYPE_ORDER]), F.col("type"))
+    voted = counts.groupBy("file", "attribute").agg(F.max_by("type", F.struct("n", -place)).alias("type"), F.sum("n").alias("values"))
+    every = cells.select("file", "attribute").distinct()
+    return every.join(voted, ["file", "attribute"], "left").select("file", "attribute", F.coalesce("type", F.lit("text")).alias("type"), F.coalesce("values", F.lit(0)).cast("long").alias("values"))
+
+
 def pivot(cells: DataFrame, attributes: list[str]) -> DataFrame:
     """Attributes of each entity back in columns; the list of attributes spares a pass over the data."""
     return cells.where(F.col("attribute").isin(attributes)).groupBy("entity_id").pivot("attribute", attributes).agg(F.first("raw"))
@@ -82,8 +99,28 @@ def mapping_health(mapping: DataFrame, canon: DataFrame) -> DataFrame:
 
 
 def number_rows(rows: DataFrame, sheet_order: str, row: str) -> DataFrame:
-    """Row numbers over sheets in order: a prefix sum of sheet sizes plus the place inside."""
-    sizes = rows.groupBy(sheet_order).agg(F.count(F.lit(1)).alias("n"))
-    before = sizes.select(sheet_order, F.coalesce(F.sum("n").over(Window.orderBy(sheet_order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    inside = F.row_number().over(Window.partitionBy(sheet_order).orderBy(row))
-    return rows.withColumn("inside", inside).join(before, sheet_order).withColumn("row_number", F.col("before") + F.col("inside")).drop("before", "inside")
+    """rows with row_number, from 1, over sheets in order and rows in order; equal rows of a sheet in any order.
+
+    Rows are dealt by range and counted by range; the number is the count of the ranges
+    before and the place inside, so that neither all sheets nor one sheet is one task's.
+    """
+    parts = written(rows.repartitionByRange(sheet_order, row).withColumn("__part", F.spark_partition_id()), "rows")
+    counts = parts.groupBy(sheet_order, "__part").agg(F.count(F.lit(1)).alias("__n"))  # a row a sheet and range
+    before = Window.orderBy(F.col(sheet_order).asc_nulls_first(), "__part").rowsBetween(Window.unboundedPreceding, -1)
+    firsts = counts.select(F.col(sheet_order).alias("__of"), F.col("__part").alias("__p"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    inside = F.row_number().over(Window.partitionBy(sheet_order, "__part").orderBy(row))
+    numbered = parts.withColumn("__inside", inside).join(firsts, F.col(sheet_order).eqNullSafe(F.col("__of")) & (F.col("__part") == F.col("__p")))
+    return numbered.withColumn("row_number", F.col("__before") + F.col("__inside")).drop("__part", "__p", "__of", "__inside", "__before")
+
+
+def bulk_import(rows: DataFrame, sheet_order: str, row: str, start: int = 1) -> tuple[DataFrame, DataFrame]:
+    """(entities, values) of an import into ids that follow each other: entity_id is start plus the place over all sheets.
+
+    values: entity_id, attribute, value of all cells that hold one, as text, without any inference of types.
+    """
+    numbered = number_rows(rows, sheet_order, row).withColumn("entity_id", F.col("row_number") - 1 + start)
+    entities = numbered.select("entity_id", "row_number", F.concat_ws("!", F.col(sheet_order), F.col(row).cast("string")).alias("external_id"))
+    cells = numbered.drop("row_number", sheet_order, row)
+    others = [c for c in cells.columns if c != "entity_id"]
+    wide = cells.select("entity_id", *[tx.value_text(F.col(f"`{c}`")).alias(c) for c in others])
+    return entities, wide.unpivot("entity_id", others, "attribute", "value").where("value is not null")

@@ -8,6 +8,7 @@ from ferrule.functions import text as tx
 from ferrule.operators import dedup as dd
 from ferrule.operators import graph as gr
 from ferrule.operators import relations as rl
+from ferrule.operators.eav import number_rows
 
 from .bindings import local_objects, objects, relations, sql, table
 
@@ -142,11 +143,8 @@ def cascade_delete(spark, sf_dir):
 @query(sql("""WITH ids AS (SELECT row_number() OVER (ORDER BY domain, object_name) AS object_id, domain, object_name FROM local_objects), keep AS (SELECT object_name, min(domain) AS keep_domain FROM local_objects WHERE object_name LIKE '%1' GROUP BY object_name)
 SELECT coalesce(k.object_id, i.object_id) AS object_id, i.object_name AS name, i.domain AS entity FROM ids i LEFT JOIN (SELECT ids.* FROM ids JOIN keep ON ids.object_name = keep.object_name AND ids.domain = keep.keep_domain) k ON i.object_name = k.object_name"""))
 def import_redirect(spark, sf_dir):
-    from pyspark.sql import Window
-
     lo = local_objects(spark, sf_dir).select("domain", F.col("object_name").alias("name"))
-    # ids over the object list, which is one row for each brand and nation
-    ids = lo.withColumn("object_id", F.row_number().over(Window.orderBy("domain", "name")).cast("long"))
+    ids = number_rows(lo, "domain", "name").withColumnRenamed("row_number", "object_id")
     keep = lo.where("name like '%1'").groupBy("name").agg(F.min("domain").alias("keep_domain"))
     return dd.redirect(lo.withColumn("entity", F.col("domain")), ids, keep)
 

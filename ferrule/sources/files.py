@@ -73,8 +73,12 @@ def sheet_cells(data: bytes) -> Iterator[tuple[str, int, int, str]]:
                     row.clear()
 
 
-def sheet_rows(data: bytes, header: str) -> Iterator[tuple[str, int, int, str, str]]:
-    """(sheet, row, column, attribute, text) of the cells below each sheet's header that hold a value."""
+def sheet_rows(data: bytes, header: str, check: str | None = None) -> Iterator[tuple[str, int, int, str, str]]:
+    """(sheet, row, column, attribute, text) of the cells below each sheet's header that hold a value.
+
+    check: where the last header cell holds this text, and is in one of the first six rows, its column is left out.
+    """
+    dropped: dict[str, int] = {}
     names: dict[str, tuple[int, dict[int, str]]] = {}
     for sheet, cells in itertools.groupby(sheet_cells(data), key=lambda c: c[0]):
         for row, found in itertools.groupby(cells, key=lambda c: c[1]):
@@ -86,12 +90,15 @@ def sheet_rows(data: bytes, header: str) -> Iterator[tuple[str, int, int, str, s
                     names[sheet] = (0, {})  # its first row is blank: the sheet has no header
                     continue
                 names[sheet] = (row, {c: " ".join(t.split()) for c, t in texts.items()})
+                last = max((c for c, t in texts.items() if t), default=-1)
+                if check is not None and row <= 6 and check in texts.get(last, ""):
+                    dropped[sheet] = last
                 continue
             at, known = names[sheet]
             if not at:
                 continue
             for column, text in texts.items():
-                if text.strip().lower() not in NA_TOKENS:
+                if text.strip().lower() not in NA_TOKENS and column != dropped.get(sheet):
                     yield sheet, row, column, known.get(column) or f"col_{column}", text
 
 
