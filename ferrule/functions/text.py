@@ -125,3 +125,25 @@ def confidence(samples: Column, word: Column, floor: Column) -> Column:
 def first_match(text: Column, routes: list[tuple[str, str]]) -> Column:
     """The target of the first keyword in list order that text contains."""
     return F.coalesce(*[F.when(text.contains(k), F.lit(v)) for k, v in routes], F.lit(None).cast("string"))
+
+
+# Words before which a name is split into keywords.
+KEYWORD_HEADS = ["信息", "管理", "数据"]
+
+
+def keyword_tokens(name: Column, least: int = 2) -> Column:
+    """The words of a name, split at white space and before KEYWORD_HEADS, of at least so many characters."""
+    spaced = F.regexp_replace(F.coalesce(name, F.lit("")), "(" + "|".join(KEYWORD_HEADS) + ")", " $1")
+    return F.filter(F.split(spaced, r"\s+"), lambda t: F.length(t) >= least)
+
+
+def known(value: str | None, allowed: list[str], what: str) -> str | None:
+    """value, if it is null or allowed; anything else raises."""
+    if value is not None and value not in allowed:
+        raise ValueError(f"{what} must be one of {', '.join(allowed)}, not {value}")
+    return value
+
+
+def clamped(limit: int | None, most: int, default: int | None = None, least: int = 1) -> int:
+    """A limit between least and most; the default where it is absent."""
+    return max(least, min(most, most if limit is None and default is None else default if limit is None else limit))

@@ -9,45 +9,82 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ferrule.functions.text import char_grams, jaccard
+from ferrule.session import written
 
 
-def gram_pairs(left: DataFrame, right: DataFrame, same: bool) -> DataFrame:
+def gram_pairs(left: DataFrame, right: DataFrame, same: bool, least: float = 0.0) -> DataFrame:
     """(id, other, similarity) of rows that share an n-gram of name, by an inverted index.
 
     left and right: id, name. Equal names are collapsed before the index is joined, and
-    what is counted is the intersection, so no pair without a common gram is made.
+    what is counted is the intersection, so no pair without a common gram is made. With a
+    least similarity, names meet by their rarest grams alone: as many as they must share
+    one of (a prefix of size n - ceil(least n) + 1), so common grams join few rows.
     """
     a = left.select("name").distinct().withColumn("g", char_grams(F.col("name")))
     b = right.select(F.col("name").alias("other_name")).distinct().withColumn("h", char_grams(F.col("other_name")))
-    ga = a.select("name", F.size("g").alias("na"), F.explode("g").alias("gram"))
-    gb = b.select("other_name", F.size("h").alias("nb"), F.explode("h").alias("gram"))
-    both = ga.join(gb, "gram").groupBy("name", "other_name", "na", "nb").agg(F.count(F.lit(1)).alias("both"))
-    names = both.select("name", "other_name", F.round(F.col("both") / (F.col("na") + F.col("nb") - F.col("both")), 4).alias("similarity"))
+    if least > 0:
+        a, b = written(a, "grams"), written(b, "grams")
+        often = a.select(F.explode("g").alias("gram")).unionByName(b.select(F.explode("h").alias("gram"))).groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
+
+        def prefix(names: DataFrame, name: str, grams: str) -> DataFrame:
+            each = names.select(name, F.size(grams).alias("n"), F.explode(grams).alias("gram")).join(often, "gram")
+            ranked = each.withColumn("place", F.row_number().over(Window.partitionBy(name).orderBy("df", "gram")))  # the grams of one name
+            return ranked.where(F.col("place") <= F.col("n") - F.ceil(F.lit(least) * F.col("n") - 1e-9) + 1).select(name, "gram")
+
+        met = prefix(a, "name", "g").join(prefix(b, "other_name", "h"), "gram").select("name", "other_name").distinct()
+        if same:
+            met = met.where("name <> other_name")
+        names = met.join(a, "name").join(b, "other_name").select("name", "other_name", F.round(jaccard(F.col("g"), F.col("h")), 4).alias("similarity")).where(F.col("similarity") >= least)
+    else:
+        ga = a.select("name", F.size("g").alias("na"), F.explode("g").alias("gram"))
+        gb = b.select("other_name", F.size("h").alias("nb"), F.explode("h").alias("gram"))
+        both = ga.join(gb, "gram").groupBy("name", "other_name", "na", "nb").agg(F.count(F.lit(1)).alias("both"))
+        names = both.select("name", "other_name", F.round(F.col("both") / (F.col("na") + F.col("nb") - F.col("both")), 4).alias("similarity"))
     pairs = left.join(names, "name").join(right.select(F.col("id").alias("other"), F.col("name").alias("other_name")), "other_name")
     keep = F.col("id") < F.col("other") if same else F.col("id") != F.col("other")
     return pairs.where(keep).select("id", "other", "name", "other_name", "similarity")
 
 
-def duplicates(objects: DataFrame, decided: DataFrame, threshold: float) -> DataFrame:
-    """Candidate pairs: EXACT_CODE 1.0, EXACT_NAME 0.95, else SEMANTIC from the threshold on.
+def duplicate_classes(objects: DataFrame) -> DataFrame:
+    """id, code_class, name_class: the least id of the objects with the same code, and with the same name; its own where there is none."""
+    least = lambda key: objects.where(F.col(key).isNotNull()).groupBy(key).agg(F.min("id").alias(f"{key}_class"))
+    rows = objects.select("id", "code", "name").join(least("code"), "code", "left").join(least("name"), "name", "left")
+    return rows.select("id", F.coalesce("code_class", "id").alias("code_class"), F.coalesce("name_class", "id").alias("name_class"))
+
 
-    objects: id, code, name. decided: a, b pairs in either direction that are left out.
+def duplicates(objects: DataFrame, decided: DataFrame, threshold: float) -> DataFrame:
+    """Candidates (id, other, match_type, similarity), rows linear in objects and pairs of different names.
+
+    objects: id, code, name. An object is linked to the first of its code (EXACT_CODE,
+    1.0) and, if that is another object, to the first of its name (EXACT_NAME, 0.95);
+    copies are no pairs among each other, duplicate_classes() tells who belongs together.
+    Names that are alike from the threshold on (SEMANTIC) are linked by their first
+    objects, if these don't share a code. decided: a, b pairs in either direction; such
+    links are left out.
     """
-    code = objects.select("id", F.col("code").alias("k")).join(objects.select(F.col("id").alias("other"), F.col("code").alias("k")), "k").where("id < other").select("id", "other", F.lit("EXACT_CODE").alias("match_type"), F.lit(1.0).alias("similarity"), F.lit(1).alias("p"))
-    name = objects.select("id", F.col("name").alias("k")).join(objects.select(F.col("id").alias("other"), F.col("name").alias("k")), "k").where("id < other").select("id", "other", F.lit("EXACT_NAME").alias("match_type"), F.lit(0.95).alias("similarity"), F.lit(2).alias("p"))
-    near = gram_pairs(objects, objects, True).where(F.col("similarity") >= threshold).select("id", "other", F.lit("SEMANTIC").alias("match_type"), "similarity", F.lit(3).alias("p"))
-    best = code.unionByName(name).unionByName(near).groupBy("id", "other").agg(F.min_by(F.struct("match_type", "similarity"), "p").alias("b"))
+    classes = written(duplicate_classes(objects), "classes")
+    by_code = classes.where("code_class <> id").select(F.col("code_class").alias("id"), F.col("id").alias("other"), F.lit("EXACT_CODE").alias("match_type"), F.lit(1.0).alias("similarity"))
+    by_name = classes.where("name_class <> id and name_class <> code_class").select(F.col("name_class").alias("id"), F.col("id").alias("other"), F.lit("EXACT_NAME").alias("match_type"), F.lit(0.95).alias("similarity"))
+    first = classes.where("name_class = id").select("id", F.col("code_class").alias("c")).join(objects.select("id", "name"), "id")
+    near = gram_pairs(first.select("id", "name"), first.select("id", "name"), True, threshold)
+    code = first.select("id", "c")
+    near = near.join(code, "id").join(code.select(F.col("id").alias("other"), F.col("c").alias("d")), "other").where("c <> d").select("id", "other", F.lit("SEMANTIC").alias("match_type"), "similarity")
     pairs = decided.select(F.least("a", "b").alias("id"), F.greatest("a", "b").alias("other"))
-    return best.join(pairs, ["id", "other"], "left_anti").select("id", "other", "b.match_type", "b.similarity")
+    return by_code.unionByName(by_name).unionByName(near).join(pairs, ["id", "other"], "left_anti").select("id", "other", "match_type", "similarity")
+
+
+#: Codes that are never merged away.
+PROTECTED = ("OBJ_PROJECT", "OBJ_DEVICE", "OBJ_ASSET")
 
 
-def small_with_targets(objects: DataFrame, threshold: int, keep: int, least: float = 0.0) -> DataFrame:
+def small_with_targets(objects: DataFrame, threshold: int, keep: int, least: float = 0.0, protected: tuple[str, ...] = PROTECTED) -> DataFrame:
     """Small objects (cluster_size < threshold) with their keep most similar large ones in the same domain.
 
-    Similarity is the Jaccard measure of the sample sets; ties by target code.
+    Protected codes count as large whatever their size. Similarity is the Jaccard measure of the sample sets; ties by target code.
     """
-    small = objects.where(F.col("cluster_size") < threshold).select("domain", F.col("object_code").alias("small_code"), F.col("samples").alias("small_samples"))
-    large = objects.where(F.col("cluster_size") >= threshold).select("domain", F.col("object_code").alias("target_code"), F.col("samples").alias("target_samples"))
+    large_one = (F.col("cluster_size") >= threshold) | F.col("object_code").isin(*protected)
+    small = objects.where(~large_one).select("domain", F.col("object_code").alias("small_code"), F.col("samples").alias("small_samples"))
+    large = objects.where(large_one).select("domain", F.col("object_code").alias("target_code"), F.col("samples").alias("target_samples"))
     a = small.select("domain", "small_code", F.size("small_samples").alias("na"), F.explode("small_samples").alias("s"))
     b = large.select("domain", "target_code", F.size("target_samples").alias("nb"), F.explode("target_samples").alias("s"))
     both = a.join(b, ["domain", "s"]).groupBy("domain", "small_code", "target_code", "na", "nb").agg(F.count(F.lit(1)).alias("both"))
@@ -127,15 +164,17 @@ def cascade_delete(objects: DataFrame, children: list[DataFrame], gone: DataFram
     return tuple(t.join(ids, "object_id", "left_anti") for t in (objects, *children))
 
 
-def redirect(relations: DataFrame, objects: DataFrame, keep: DataFrame) -> DataFrame:
+def redirect(relations: DataFrame, objects: DataFrame, keep: DataFrame, renames: DataFrame | None = None) -> DataFrame:
     """Relations of dropped objects go to the kept object of the same name.
 
-    relations: domain, name, entity; objects: object_id, domain, name; keep: name, keep_domain.
+    relations: domain, name, entity; objects: object_id, domain, name; keep: name,
+    keep_domain; renames: name, new_name, which the result's names follow.
     """
     own = relations.join(objects, ["domain", "name"], "left")
     kept = keep.join(objects.select(F.col("object_id").alias("kept_id"), F.col("domain").alias("keep_domain"), "name"), ["name", "keep_domain"])
     joined = own.join(kept.select("name", "kept_id"), "name", "left")
-    return joined.select(F.coalesce("kept_id", "object_id").alias("object_id"), "name", "entity").where("object_id is not null")
+    out = joined.select(F.coalesce("kept_id", "object_id").alias("object_id"), "name", "entity").where("object_id is not null")
+    return out if renames is None else out.join(renames, "name", "left").select("object_id", F.coalesce("new_name", "name").alias("name"), "entity")
 
 
 def clean_names(objects: DataFrame, garbage, better: DataFrame, *children: DataFrame) -> DataFrame | tuple[DataFrame, ...]:

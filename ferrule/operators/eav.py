@@ -91,6 +91,26 @@ def normalized_view(cells: DataFrame, mapping: DataFrame) -> DataFrame:
     return joined.select("entity_id", "attribute", "raw", F.coalesce("canonical_text", "raw").alias("normalized"))
 
 
+def normalized_values(values: DataFrame, entities: DataFrame, attributes: DataFrame, mapping: DataFrame, canon: DataFrame) -> DataFrame:
+    """entity_id, dataset_id, attribute_id, attribute, raw, normalized: values with the canonical text of their mapping.
+
+    values: entity_id, attribute_id, raw; entities: entity_id, dataset_id; attributes:
+    attribute_id, attribute; mapping: dataset_id, attribute_id, from_text, canonical_id;
+    canon: canonical_id, canonical_text. Texts of values and mapping are compared without
+    case; of mappings that then agree the smallest canonical id counts.
+    """
+    rows = values.join(entities, "entity_id").join(attributes, "attribute_id").withColumn("__fold", F.lower("raw"))
+    one = mapping.groupBy("dataset_id", "attribute_id", F.lower("from_text").alias("__fold")).agg(F.min("canonical_id").alias("canonical_id"))
+    rows = rows.join(one, ["dataset_id", "attribute_id", "__fold"], "left").join(canon, "canonical_id", "left")
+    return rows.select("entity_id", "dataset_id", "attribute_id", "attribute", "raw", F.coalesce("canonical_text", "raw").alias("normalized"))
+
+
+def attribute_list(attributes: DataFrame, dataset: str | None = None, system: str = "__sheet__") -> DataFrame:
+    """Attributes (dataset, attribute, type, place) of all datasets or one, in order, without the system's own."""
+    rows = attributes.where(F.col("attribute") != system)
+    return (rows if dataset is None else rows.where(F.col("dataset") == dataset)).orderBy("dataset", "place", "attribute")
+
+
 def mapping_health(mapping: DataFrame, canon: DataFrame) -> DataFrame:
     """Counts of the semantic tables and of mappings without a canonical row."""
     orphans = mapping.join(canon.select("canonical_text"), "canonical_text", "left_anti").agg(F.count(F.lit(1)).alias("orphans"))

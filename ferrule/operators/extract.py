@@ -2,25 +2,36 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ferrule.functions.text import char_grams, sample_grams, sample_letters
-from ferrule.session import written
+from ferrule.session import workers_import, written
 
 from . import needles
 
 
-def keyword_extract(entities: DataFrame, keywords: DataFrame) -> DataFrame:
-    """(object_code, entity_name): every object whose keyword occurs in the name.
+def keyword_extract(entities: DataFrame, keywords: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, object_code, entity_name): every object whose keyword occurs in the name.
 
-    Entity names are distinct, the last row of a name wins. Names and keywords meet in the
-    needle index.
+    Entity names are distinct (by domain, say), the last row of a name wins. Names and
+    keywords meet in the needle index, each distinct name once.
     """
-    last = written(entities.groupBy("entity_name").agg(F.max_by("entity_code", "row").alias("entity_code")), "names")
+    last = written(entities.groupBy(*by, "entity_name").agg(F.max_by("entity_code", "row").alias("entity_code")), "names")
     hit = needles.contained(last.select(F.col("entity_name").alias("id"), F.col("entity_name").alias("text")), keywords.select(F.col("keyword").alias("needle")))
     hit = hit.join(keywords, F.col("needle") == F.col("keyword")).select("object_code", F.col("id").alias("entity_name")).distinct()
-    return hit.join(last, "entity_name").select("object_code", "entity_name", "entity_code", F.lit(0.8).alias("strength"))
+    return hit.join(last, "entity_name").select(*by, "object_code", "entity_name", "entity_code", F.lit(0.8).alias("strength"))
+
+
+def keyword_objects(entities: DataFrame, keywords: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, object_code, concept, logical, physical, total): the objects of keyword_extract() with their entities by layer, most first.
+
+    entities has a layer; a name counts in the layer of its last row.
+    """
+    rows = keyword_extract(entities.withColumn("entity_code", F.col("layer")), keywords, by)
+    count = [F.count_if(F.col("entity_code") == x).alias(x.lower()) for x in ("CONCEPT", "LOGICAL", "PHYSICAL")]
+    return rows.groupBy(*by, "object_code").agg(*count, F.count(F.lit(1)).alias("total")).orderBy(*by, F.desc("total"), "object_code")
 
 
 def rule_naming(clusters: DataFrame, keywords: DataFrame) -> DataFrame:
@@ -38,15 +49,28 @@ def rule_naming(clusters: DataFrame, keywords: DataFrame) -> DataFrame:
     return best.withColumn("r", F.row_number().over(owner)).where("r = 1").select("cluster_id", "object_code", "hits", F.lit(0.7).alias("confidence"))
 
 
-def content_naming(clusters: DataFrame, stop: list[str], least: int = 3) -> DataFrame:
-    """The most common 2- or 3-gram of a cluster's names, or a pending mark below `least` occurrences; ties by gram."""
-    grams = clusters.select("cluster_id", F.explode(char_grams(F.col("name"))).alias("gram")).where(~F.col("gram").isin(stop))
+#: Words that no object is named after.
+NAME_STOP = ["信息", "数据", "管理", "记录", "清单", "明细", "编码", "名称", "类型", "状态"]
+
+
+def content_naming(clusters: DataFrame, stop: list[str], least: int = 3, garbage=None, top: int | None = None) -> DataFrame:
+    """The most common 2- or 3-gram of a cluster's names, or a pending mark below `least` occurrences; ties by gram.
+
+    garbage: predicate of names (a column function) that no object gets; top: only so many
+    most common grams are looked at. The confidence of such a name is 0.5.
+    """
+    grams = clusters.select("cluster_id", F.explode(char_grams(F.col("name"))).alias("gram"))
     counts = grams.groupBy("cluster_id", "gram").agg(F.count(F.lit(1)).alias("freq"))
-    w = Window.partitionBy("cluster_id").orderBy(F.desc("freq"), "gram")
-    top = counts.withColumn("r", F.row_number().over(w)).where("r = 1")
-    ids = clusters.select("cluster_id").distinct().join(top, "cluster_id", "left")
+    if top is not None:
+        first = Window.partitionBy("cluster_id").orderBy(F.desc("freq"), "gram")
+        counts = counts.withColumn("r", F.row_number().over(first)).where(F.col("r") <= top).drop("r")
+    counts = counts.where(~F.col("gram").isin(stop))
+    if garbage is not None:
+        counts = counts.where(~garbage(F.col("gram")))
+    best = counts.groupBy("cluster_id").agg(F.min(F.struct((-F.col("freq")).alias("m"), "gram")).alias("b")).select("cluster_id", F.col("b.gram").alias("gram"), (-F.col("b.m")).alias("freq"))
+    ids = clusters.select("cluster_id").distinct().join(best, "cluster_id", "left")
     good = F.coalesce(F.col("freq"), F.lit(0)) >= least
-    return ids.select("cluster_id", F.when(good, F.col("gram")).otherwise(F.concat(F.lit("OBJ__PENDING_MERGE_"), F.col("cluster_id").cast("string"))).alias("name"), F.coalesce("freq", F.lit(0)).alias("freq"))
+    return ids.select("cluster_id", F.when(good, F.col("gram")).otherwise(F.concat(F.lit("OBJ__PENDING_MERGE_"), F.col("cluster_id").cast("string"))).alias("name"), F.coalesce("freq", F.lit(0)).alias("freq"), F.lit(0.5).alias("confidence"))
 
 
 def hierarchical_relations(members: DataFrame, concept_logical: DataFrame, logical_physical: DataFrame) -> DataFrame:
@@ -96,6 +120,13 @@ def occurrences(entities: DataFrame) -> DataFrame:
     return entities.groupBy("entity_name").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_set("source")), ",").alias("sources"))
 
 
+def lacking(objects: DataFrame, relations: DataFrame, required: list[str], least: int = 10) -> DataFrame:
+    """The required objects without any relation, or with a cluster of fewer than `least`."""
+    have = relations.select("object_code", F.lit(True).alias("__have")).distinct()
+    rows = objects.where(F.col("object_name").isin(required)).join(have, "object_code", "left")
+    return rows.where(F.col("__have").isNull() | (F.col("cluster_size") < least)).drop("__have")
+
+
 def supplement(objects: DataFrame, entities: DataFrame, business: DataFrame, keywords: DataFrame, first: int = 30) -> DataFrame:
     """Relations for objects without enough: an exact business name (.8), else a contained name (.65), else a keyword (.5).
 
@@ -155,7 +186,8 @@ def absorb(objects: DataFrame, garbage) -> DataFrame:
     objects: object_code, object_name, cluster_size, samples. Pending objects go into the
     named one with which their samples share most grams (else characters); garbage names
     into the largest that stays; of equal names the largest stays. Ties go to the
-    smaller code. A pending object that shares nothing stays.
+    smaller code. A pending object that shares nothing goes into the first named one, by
+    code. All go at once, for any number of objects; settle() does it one after another.
     """
     rows = objects.withColumn("pending", F.col("object_code").contains("_PENDING_MERGE_")).withColumn("bad", ~F.col("pending") & garbage)
     named = rows.where("not pending")
@@ -172,7 +204,8 @@ def absorb(objects: DataFrame, garbage) -> DataFrame:
     by_grams = best(sample_grams)
     by_letters = best(sample_letters).join(by_grams, "object_code", "left_anti")
     found = by_grams.unionByName(by_letters)
-    pending = waiting.select("object_code").join(found, "object_code", "left")
+    first = named.agg(F.min("object_code").alias("m"))
+    pending = waiting.select("object_code").join(found, "object_code", "left").withColumn("absorbed_by", F.coalesce("absorbed_by", first.scalar()))
     good = named.where("not bad")
     largest = good.agg(F.max_by("object_code", F.struct("cluster_size", "object_code")).alias("m"))
     bad = named.where("bad").select("object_code", largest.scalar().alias("absorbed_by"))
@@ -181,9 +214,68 @@ def absorb(objects: DataFrame, garbage) -> DataFrame:
     return pending.unionByName(bad).unionByName(twins)
 
 
-def by_domain(extract, entities: DataFrame, keywords: DataFrame) -> DataFrame:
-    """extract() over all domains in one job: names are qualified by their domain on the way."""
-    mark = F.concat("domain", F.lit("\x1f"), "entity_name")
-    rows = extract(entities.withColumn("entity_name", mark), keywords)
-    parts = F.split("entity_name", "\x1f", 2)
-    return rows.withColumns({"domain": parts[0], "entity_name": parts[1]})
+def _joined(a: list[str], b: list[str]) -> list[str]:
+    """The first 20 distinct samples of two lists."""
+    return list(dict.fromkeys([*a, *b]))[:20]
+
+
+def _settled(frame: pd.DataFrame) -> pd.DataFrame:
+    """settle() of one domain."""
+    rows = frame.sort_values(["position", "object_code"]).to_dict("records")
+    for r in rows:
+        r |= {"samples": list(r["samples"]), "synonyms": set(r["synonyms"]), "absorbed_by": None}
+
+    def merge(keeper: dict, gone: dict) -> None:
+        keeper["cluster_size"] += gone["cluster_size"]
+        keeper["samples"] = _joined(keeper["samples"], gone["samples"])
+        gone["absorbed_by"] = keeper["object_code"]
+
+    pieces = lambda r: {s[i : i + k] for s in r["samples"] for k in (2, 3) for i in range(len(s) - k + 1)}
+    letters = lambda r: set(" ".join(r["samples"]))
+    named = [r for r in rows if "_PENDING_MERGE_" not in r["object_code"]]
+    for r in rows if named else []:
+        if "_PENDING_MERGE_" not in r["object_code"]:
+            continue
+        for parts in (pieces, letters):
+            own = parts(r)
+            score = [len(own & parts(n)) for n in named]
+            if max(score) or parts is letters:  # the first of the best; the first of all where nothing is shared
+                merge(named[score.index(max(score))], r)
+                break
+    good = [r for r in named if not r["garbage"]] or named[:1]
+    for r in named:
+        if r["garbage"] and r is not good[0]:
+            merge(max(good, key=lambda n: n["cluster_size"]), r)
+    for i, a in enumerate(good):
+        if a["absorbed_by"] is not None:
+            continue
+        for b in good[i + 1 :]:  # an object that went to a larger one on the way is compared on, as the original does
+            alike = a["object_name"] == b["object_name"] or a["object_name"] in b["synonyms"] or b["object_name"] in a["synonyms"]
+            if b["absorbed_by"] is None and alike:
+                merge(*((a, b) if a["cluster_size"] >= b["cluster_size"] else (b, a)))
+    return pd.DataFrame([(r["domain"], r["object_code"], r["object_name"], r["absorbed_by"], r["cluster_size"], r["samples"]) for r in rows], columns=["domain", "object_code", "object_name", "absorbed_by", "cluster_size", "samples"])
+
+
+def settle(objects: DataFrame, garbage) -> DataFrame:
+    """domain, object_code, object_name, absorbed_by, cluster_size, samples after naming, one merge after another.
+
+    objects: domain, position, object_code, object_name, cluster_size, samples, synonyms;
+    garbage: predicate of names. In order of position, pending objects go into the named
+    one that shares most 2- and 3-grams of samples with them, as these have grown by then,
+    else most characters, else into the first; garbage names into the largest other one;
+    then of two objects of one name, or of which one's name is a synonym of the other's,
+    the smaller goes into the larger. Who absorbs grows in size and takes samples, up to
+    20. absorbed_by is null for objects that stay, and may itself have gone on.
+
+    A domain is one group: its objects are the clusters that target_clusters() allows,
+    20 and the required ones at most. For larger sets absorb() does it all at once.
+    """
+    empty = F.array().cast("array<string>")
+    rows = objects.select("domain", "position", "object_code", F.coalesce("object_name", F.lit("")).alias("object_name"), F.col("cluster_size").cast("long").alias("cluster_size"), F.coalesce("samples", empty).alias("samples"), F.coalesce("synonyms", empty).alias("synonyms"), garbage(F.col("object_name")).alias("garbage"))
+    workers_import(objects.sparkSession)
+    return rows.groupBy("domain").applyInPandas(_settled, "domain string, object_code string, object_name string, absorbed_by string, cluster_size long, samples array<string>")
+
+
+def by_domain(entities: DataFrame, keywords: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(objects, relations) of all domains in one job: keyword_objects() and keyword_extract() by domain."""
+    return keyword_objects(entities, keywords, ("domain",)), keyword_extract(entities, keywords, ("domain",))

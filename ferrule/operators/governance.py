@@ -77,3 +77,19 @@ def suffix_noise(names: DataFrame, name: str, suffixes: list[str] = FIELD_SUFFIX
     """Names that end with one of the suffixes and have at least two more characters; the first suffix in order."""
     hit = F.coalesce(*[F.when(F.col(name).endswith(s) & (F.length(name) > len(s) + 1), F.lit(s)) for s in suffixes])
     return names.withColumn("suffix", hit)
+
+
+def coverage(objects: DataFrame, **tables: DataFrame) -> DataFrame:
+    """One row: for each table (with object_id) how many objects occur in it, and their share of all in percent."""
+    out = objects.agg(F.count_distinct("object_id").alias("objects"))
+    for name, rows in tables.items():
+        own = rows.where("object_id is not null").select("object_id").distinct().join(objects.select("object_id"), "object_id", "left_semi")
+        out = out.join(own.agg(F.count(F.lit(1)).alias(name)), F.lit(True))  # one row each
+    return out.select("*", *[ratio(F.col(n), F.col("objects")).alias(f"{n}_rate") for n in tables])
+
+
+def layer_totals(locals_: DataFrame) -> DataFrame:
+    """Literal groups: by code, else name: the distinct names joined by a slash, members, domains and totals of the three layers."""
+    key = F.coalesce(F.nullif("object_code", F.lit("")), F.nullif("object_name", F.lit("")))
+    rows = locals_.withColumn("key", key).where("key is not null")
+    return rows.groupBy("key").agg(F.array_join(F.array_sort(F.collect_set("object_name")), "/").alias("group_name"), F.count(F.lit(1)).alias("members"), F.count_distinct("domain").alias("domains"), *[F.sum(c).alias(f"total_{c}") for c in ("concept", "logical", "physical")])

@@ -31,6 +31,11 @@ def chains_through(nodes: DataFrame, objects: DataFrame) -> DataFrame:
     return found.join(objects, "needle").select(F.col("id").alias("chain_id"), F.col("n_name").alias("object_name")).distinct()
 
 
+def with_objects(nodes: DataFrame, objects: DataFrame) -> DataFrame:
+    """nodes (or field lineages) with the code and name of their object, null where they have none or it is gone."""
+    return nodes.join(objects.select("object_id", "object_code", "object_name"), "object_id", "left")
+
+
 def relink(nodes: DataFrame, objects: DataFrame) -> DataFrame:
     """nodes (node_id, node_label, object_id) where those without an object get the first whose name their label contains.
 

@@ -55,6 +55,22 @@ def merge_targets(vectors: DataFrame, small: int) -> DataFrame:
     return scored.withColumn("r", F.row_number().over(w)).where("r = 1").drop("r")
 
 
+def merge_targets_by_samples(objects: DataFrame, small: int) -> DataFrame:
+    """For objects under the size, the large one with most samples in common, else the first large one by position.
+
+    objects: position, object_code, cluster_size, samples. Only objects with a common
+    sample meet; ties go to the earlier position. Without any large object there is no row.
+    """
+    few, many = objects.where(F.col("cluster_size") < small), objects.where(F.col("cluster_size") >= small)
+    a = few.select(F.col("object_code").alias("source"), F.explode(F.array_distinct("samples")).alias("s"))
+    b = many.select(F.col("object_code").alias("target"), "position", F.explode(F.array_distinct("samples")).alias("s"))
+    shared = a.join(b, "s").groupBy("source", "target", "position").agg(F.count(F.lit(1)).alias("overlap"))
+    best = shared.groupBy("source").agg(F.min(F.struct((-F.col("overlap")).alias("m"), "position", "target")).alias("b")).select("source", "b.target", (-F.col("b.m")).alias("overlap"))
+    first = many.agg(F.min_by("object_code", "position").alias("f"))
+    rows = few.select(F.col("object_code").alias("source")).join(best, "source", "left").withColumn("f", first.scalar())
+    return rows.select("source", F.coalesce("target", "f").alias("target"), F.coalesce("overlap", F.lit(0)).alias("overlap")).where("target is not null")
+
+
 def global_canon(cells: DataFrame, cluster: Column) -> DataFrame:
     """Canonical text of each cluster over all datasets, with each (dataset, attribute)'s own members.
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ferrule.functions.text import clamped, known
+
 LAYERS = ["CONCEPT", "LOGICAL", "PHYSICAL"]
 
 
@@ -76,12 +78,10 @@ def system_stats(objects: DataFrame, relations: DataFrame) -> DataFrame:
 def search(relations: DataFrame, text: str, layer: str | None = None, limit: int = 500) -> DataFrame:
     """Distinct entities whose name contains text, case ignored; sorted, then limited."""
     found = F.lower("entity_name").contains(text.lower())
-    if layer is not None:
-        if layer not in LAYERS:
-            raise ValueError(f"unknown layer {layer}")
+    if known(layer, LAYERS, "layer") is not None:
         found &= F.col("layer") == layer
     rows = relations.where(found).select("entity_name", "entity_code", "layer").distinct()
-    return rows.orderBy("layer", "entity_name", "entity_code").limit(min(limit, 500))
+    return rows.orderBy("layer", "entity_name", "entity_code").limit(clamped(limit, 500))
 
 
 def in_domains(objects: DataFrame, domains: str) -> DataFrame:

@@ -244,6 +244,17 @@ def alert_scan(values: DataFrame, rules: DataFrame, per_rule: int = 100) -> Data
     return hit.where(compare(F.col("operator"), number(F.col("raw")), F.col("bound"))).select("rule_id", "entity_id", "name", "level", number(F.col("raw")).alias("value"))
 
 
+def scanned_values(values: DataFrame, attributes: DataFrame, entities: DataFrame, rules: DataFrame, per_rule: int = 100) -> DataFrame:
+    """alert_scan() over three tables: values (entity_id, attribute_id, raw), attributes (attribute_id, name), entities (entity_id, label); alerts with the label.
+
+    Only values of attributes that a rule's field occurs in are joined; values without a number are no values.
+    """
+    fits = needles.contained(attributes.select(F.col("name").alias("id"), F.col("name").alias("text")), rules.select(F.col("field").alias("needle"))).select(F.col("id").alias("name")).distinct()
+    named = attributes.join(fits, "name", "left_semi")
+    rows = values.join(small(named.select("attribute_id", "name")), "attribute_id").where(F.col("raw").try_cast("double").isNotNull())
+    return alert_scan(rows.select("entity_id", "name", "raw"), rules, per_rule).join(entities.select("entity_id", "label"), "entity_id")
+
+
 def alert_summary(alerts: DataFrame) -> DataFrame:
     open_ = ~F.col("resolved")
     return alerts.groupBy("level").agg(F.count(F.lit(1)).alias("total"), F.count_if(open_).alias("unresolved"))

@@ -50,14 +50,21 @@ def names(spark, sf_dir):
     return part.select(F.col("p_partkey").alias("id"), F.concat(F.lit("P"), F.floor(F.col("p_partkey") / 2).cast("string")).alias("code"), F.col("p_name").alias("name"))
 
 
-@query(f"""WITH {NAMES}, p AS (SELECT x.id, y.id AS other, CASE WHEN x.code = y.code THEN 'EXACT_CODE' WHEN x.name = y.name THEN 'EXACT_NAME' ELSE 'SEMANTIC' END AS match_type,
- CASE WHEN x.code = y.code THEN 1.0 WHEN x.name = y.name THEN 0.95 ELSE {SIM} END AS similarity FROM g x JOIN g y ON x.id < y.id)
+@query(f"""WITH {NAMES}, k AS (SELECT *, min(id) OVER (PARTITION BY code) AS c, min(id) OVER (PARTITION BY name) AS n FROM g), p AS (
+ SELECT c AS id, id AS other, 'EXACT_CODE' AS match_type, 1.0 AS similarity FROM k WHERE c <> id UNION ALL SELECT n, id, 'EXACT_NAME', 0.95 FROM k WHERE n <> id AND n <> c
+ UNION ALL SELECT x.id, y.id, 'SEMANTIC', {SIM} FROM k x JOIN k y ON x.id < y.id AND x.id = x.n AND y.id = y.n AND x.c <> y.c)
 SELECT * FROM p WHERE similarity >= 0.6 AND NOT EXISTS (SELECT 1 FROM decided d WHERE d.a = p.id AND d.b = p.other)""")
 def duplicate_candidates(spark, sf_dir):
     decided = table(spark, sf_dir, "labels").where("quality = 1").select((F.col("doc_id") + 1).alias("a"), F.col("doc_id").alias("b"))
     return dd.duplicates(names(spark, sf_dir), decided, 0.6)
 
 
+@query(f"WITH {NAMES} SELECT id, min(id) OVER (PARTITION BY code) AS code_class, min(id) OVER (PARTITION BY name) AS name_class FROM names")
+def duplicate_members(spark, sf_dir):
+    """Which class of equal codes, and of equal names, each part is in."""
+    return dd.duplicate_classes(names(spark, sf_dir))
+
+
 @query("WITH n AS (SELECT DISTINCT p_name AS name FROM part), g AS (SELECT name, " + GRAMS.format("name") + f" AS g FROM n) SELECT x.name AS a, y.name AS b, {SIM} AS similarity FROM g x JOIN g y ON x.name < y.name WHERE len(list_intersect(x.g, y.g)) > 0")
 def keyword_jaccard(spark, sf_dir):
     n = table(spark, sf_dir, "part").select(F.col("p_name").alias("name")).distinct().withColumn("id", F.col("name"))

@@ -148,7 +148,8 @@ def name_explanation(spark, sf_dir):
     return rows.select("p_brand", tx.confidence(F.col("samples"), F.lit("ring"), floor).alias("confidence"))
 
 
-@query("""SELECT w AS token, count(*) AS n FROM (SELECT unnest(string_split(p_name, ' ')) AS w FROM part) WHERE length(w) >= 2 GROUP BY w ORDER BY n DESC, w LIMIT 10""")
+@query("""SELECT w AS token, count(*) AS n FROM (SELECT unnest(string_split(replace(replace(replace(p_name || p_type || '数据' || p_brand || '管理x', '信息', ' 信息'), '数据', ' 数据'), '管理', ' 管理'), ' ')) AS w FROM part) WHERE length(w) >= 2 GROUP BY w ORDER BY n DESC, w LIMIT 10""")
 def name_keywords(spark, sf_dir):
-    words = table(spark, sf_dir, "part").select(F.explode(F.split("p_name", " ")).alias("token")).where(F.length("token") >= 2)
+    name = F.concat("p_name", "p_type", F.lit("数据"), "p_brand", F.lit("管理x"))
+    words = table(spark, sf_dir, "part").select(F.explode(tx.keyword_tokens(name)).alias("token"))
     return words.groupBy("token").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "token").limit(10)

@@ -126,14 +126,14 @@ def chains_of_object(spark, sf_dir):
     return ln.chains_through(chains(spark, sf_dir), objects)
 
 
-@query("""WITH o AS (SELECT lower(n_name[1:4]) AS name, min(n_nationkey) AS rank, max(n_nationkey) AS own FROM nation GROUP BY 1),
+@query("""WITH o AS (SELECT chr(97 + CAST(n_nationkey AS INTEGER)) || chr(97 + CAST(n_nationkey * 7 % 26 AS INTEGER)) AS name, min(n_nationkey) AS rank, max(n_nationkey) AS own FROM nation GROUP BY 1),
 n AS (SELECT conv_id, turn, CASE WHEN turn % 5 = 4 THEN -1 END AS given, lower(coalesce(text, '')) AS label FROM conversations)
 SELECT conv_id, turn, coalesce(given, (SELECT arg_min(own, rank) FROM o WHERE contains(label, name))) AS object_id FROM n""")
 def relinked_nodes(spark, sf_dir):
     """Chain nodes linked to the first object whose name their label holds; every fifth turn has an object already."""
     c = table(spark, sf_dir, "conversations")
     nodes = c.select(F.struct("conv_id", "turn").alias("node_id"), F.lower("text").alias("node_label"), F.when(F.col("turn") % 5 == 4, -1).cast("int").alias("object_id"))
-    objects = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("object_id"), F.lower(F.substring("n_name", 1, 4)).alias("object_name"))
+    objects = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("object_id"), F.concat(F.char(97 + F.col("n_nationkey")), F.char(97 + F.col("n_nationkey") * 7 % 26)).alias("object_name"))
     return ln.relink(nodes, objects).select("node_id.conv_id", "node_id.turn", "object_id")
 
 

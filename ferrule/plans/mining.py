@@ -171,7 +171,7 @@ def rule_naming(spark, sf_dir):
 @query("""WITH c AS (SELECT CAST(regexp_extract(p_brand, '(\\d+)$', 1) AS INTEGER) AS cluster_id, p_name AS name FROM part),
 g AS (SELECT cluster_id, unnest([x FOR x IN list_distinct(list_concat([name[i:i+1] FOR i IN range(1, length(name))], [name[i:i+2] FOR i IN range(1, length(name) - 1)])) IF NOT contains(x, ' ')]) AS gram FROM c),
 f AS (SELECT cluster_id, gram, count(*) AS freq FROM g WHERE gram NOT IN ('in', 'er') GROUP BY ALL), t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY freq DESC, gram) AS r FROM f) WHERE r = 1)
-SELECT cluster_id, CASE WHEN freq >= 3 THEN gram ELSE 'OBJ__PENDING_MERGE_' || cluster_id END AS name, coalesce(freq, 0) AS freq FROM (SELECT DISTINCT cluster_id FROM c) LEFT JOIN t USING (cluster_id)""")
+SELECT cluster_id, CASE WHEN freq >= 3 THEN gram ELSE 'OBJ__PENDING_MERGE_' || cluster_id END AS name, coalesce(freq, 0) AS freq, 0.5 AS confidence FROM (SELECT DISTINCT cluster_id FROM c) LEFT JOIN t USING (cluster_id)""")
 def content_naming(spark, sf_dir):
     c = table(spark, sf_dir, "part").select(F.regexp_extract("p_brand", r"(\d+)$", 1).cast("int").alias("cluster_id"), F.col("p_name").alias("name"))
     return ex.content_naming(c, ["in", "er"])

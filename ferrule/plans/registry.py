@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import analytics, changing, dedup, eav, inventory, lifecycle, listing, maintenance, mining, rules, sources
+from . import analytics, changing, dedup, eav, inventory, lifecycle, listing, maintenance, mining, reports, rules, sources
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for module in (analytics, changing, dedup, eav, inventory, lifecycle, listing, maintenance, mining, rules, sources):
+for module in (analytics, changing, dedup, eav, inventory, lifecycle, listing, maintenance, mining, reports, rules, sources):
     QUERIES |= module.QUERIES
     ORACLES |= module.ORACLES

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
+from ferrule.session import shared_path
 from ferrule.sources import files
 from ferrule.streaming import workload as wl
 
-from .bindings import objects, relations, table
+from .bindings import objects, relations, sql, table
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -27,9 +25,8 @@ def query(oracle: str | None = None):
 
 
 def folder(spark, name: str) -> str:
-    """A new folder that driver and executors share: under the checkpoint folder where one is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}"
-    return f"{root.rstrip('/')}/ferrule-{name}-{uuid.uuid4().hex}"
+    """A new folder that driver and executors share."""
+    return shared_path(spark, name)
 
 
 ROUTES = [("exact", "/purchase", "TP"), ("prefix", "/e", "AP"), ("prefix", "/er", "TP"), ("prefix", "/view", "AP"), ("method", "POST", "TP"), ("method", "GET", "AP")]
@@ -73,13 +70,13 @@ def user_sessions(spark, sf_dir):
 
 @query(f"WITH {REQ} SELECT class, count(*) AS requests, round(sum(ms), 2) AS total_ms, round(avg(ms), 4) AS avg_ms FROM cls GROUP BY class")
 def stream_workload(spark, sf_dir):
-    return wl.run_to_memory(wl.stats(request_stream(spark, sf_dir)), f"w{uuid.uuid4().hex}", "complete", folder(spark, "stream"))
+    return wl.run_to_folder(wl.stats(request_stream(spark, sf_dir)), folder(spark, "stream"), "complete")
 
 
 @query(f"WITH {REQ} SELECT event_id, path, ms FROM cls WHERE class = 'AP' AND ms > 40")
 def stream_alerts(spark, sf_dir):
     fired = request_stream(spark, sf_dir).where("class = 'AP' and ms > 40").select("event_id", "path", "ms")
-    return wl.run_to_memory(fired, f"a{uuid.uuid4().hex}", "append", folder(spark, "stream"))
+    return wl.run_to_folder(fired, folder(spark, "stream"), "append")
 
 
 @query("SELECT CAST(s_suppkey AS VARCHAR) AS s_suppkey, s_name, CAST(s_nationkey AS VARCHAR) AS s_nationkey FROM supplier")
@@ -97,8 +94,12 @@ def json_source(spark, sf_dir):
     return files.extracted_objects(files.read_extractions(spark, path)).select("data_domain", "object_code", "object_name")
 
 
-@query("SELECT 'OBJ_' || n_name AS object_code, n_name AS object_name FROM nation")
+@query(sql("""SELECT object_code, object_name, count(layer) AS relations, round(coalesce(sum(strength), 0), 4) AS strength, coalesce(min(layer || '/' || entity_name), '') AS first
+ FROM objects LEFT JOIN (SELECT * FROM relations WHERE layer <> 'PHYSICAL') r USING (object_id) GROUP BY ALL"""))
 def json_export(spark, sf_dir):
     path = folder(spark, "export")
-    files.export_objects(objects(spark, sf_dir), relations(spark, sf_dir).where("layer = 'CONCEPT'"), path)
-    return spark.read.json(path).select("object_code", "object_name")
+    files.export_objects(objects(spark, sf_dir), relations(spark, sf_dir).where("layer <> 'PHYSICAL'"), path)
+    read = spark.read.schema("object_code string, object_name string, relations array<struct<layer:string,entity_name:string,strength:double>>").json(path)
+    rows = read.select("object_code", "object_name", F.explode_outer("relations").alias("r"))
+    first = F.min(F.concat_ws("/", "r.layer", "r.entity_name"))
+    return rows.groupBy("object_code", "object_name").agg(F.count("r").alias("relations"), F.round(F.coalesce(F.sum("r.strength"), F.lit(0.0)), 4).alias("strength"), F.coalesce(F.when(F.count("r") > 0, first), F.lit("")).alias("first"))

@@ -343,6 +343,52 @@ def list_domains(spark: SparkSession, root: str) -> DataFrame:
     return rows.groupBy("domain").agg(*[F.bool_or(F.col("file") == f"{i}.xlsx").alias(n) for i, n in ((1, "has_ba"), (2, "has_da"), (3, "has_aa"))])
 
 
+def named_domains(spark: SparkSession, root: str) -> DataFrame:
+    """list_domains() with name: `name` of the folder's domain.json, the folder's own name where there is none or it can't be read."""
+    found = spark.read.schema("name string").option("multiLine", True).option("pathGlobFilter", "domain.json").option("recursiveFileLookup", True).json(root)
+    named = found.select(F.element_at(F.split(F.input_file_name(), "/"), -2).alias("domain"), F.col("name").alias("__name")).groupBy("domain").agg(F.max("__name").alias("__name"))
+    rows = list_domains(spark, root).join(named, "domain", "left")
+    return rows.select("domain", F.coalesce(F.nullif(F.trim("__name"), F.lit("")), "domain").alias("name"), "has_ba", "has_da", "has_aa")
+
+
+def chosen_files(listing: DataFrame, domain: str, explicit: list[str] | None = None, configured: list[str] | None = None) -> DataFrame:
+    """The files of listing (path, relative to the root) that a domain's run reads, by name.
+
+    Explicit files that exist; else the workbooks in the domain's folder; else the
+    configured files of the root that exist, or all workbooks of the root where none is
+    configured.
+    """
+    name = F.element_at(F.split("path", "/"), -1)
+    book = F.col("path").endswith(".xlsx")
+    choices = [F.col("path").isin(explicit)] if explicit else []
+    choices += [book & F.col("path").rlike(f"^{re.escape(domain)}/[^/]+$"), F.col("path").isin(configured) if configured else book & ~F.col("path").contains("/")]
+    rank = F.coalesce(*[F.when(c, F.lit(i)) for i, c in enumerate(choices)])
+    rows = listing.select("path", name.alias("name"), rank.alias("rank")).where("rank is not null")
+    return rows.withColumn("least", rows.agg(F.min("rank").alias("r")).scalar()).where("rank = least").select("path", "name").orderBy("name", "path")
+
+
+def extraction_of(extractions: DataFrame, domain: str, aliases: dict[str, str] | None = None) -> DataFrame:
+    """The extraction of a domain by its own name, else by its alias (a legacy code); none where there is neither."""
+    codes = [domain, *([aliases[domain]] if aliases and domain in aliases else [])]
+    place = F.array_position(F.array(*[F.lit(c) for c in codes]), F.col("data_domain"))
+    rows = extractions.where(F.col("data_domain").isin(codes)).withColumn("__place", place)
+    return rows.withColumn("__first", rows.agg(F.min("__place").alias("p")).scalar()).where("__place = __first").drop("__place", "__first")
+
+
+def blank_nulls(rows: DataFrame) -> DataFrame:
+    """rows with null texts empty, as readers of the export expect them."""
+    return rows.select(*[F.coalesce(F.col(f"`{f.name}`"), F.lit("")).alias(f.name) if f.dataType.simpleString() == "string" else F.col(f"`{f.name}`") for f in rows.schema])
+
+
+def catalog(objects: DataFrame, relations: DataFrame, extractions: DataFrame, domain: str, aliases: dict[str, str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(objects, relations) of a domain: the tables' rows, or the extraction's where the tables have no object of it."""
+    own = objects.where(F.col("data_domain") == domain)
+    if not own.isEmpty():
+        return own, relations.where(F.col("data_domain") == domain)
+    one = extraction_of(extractions, domain, aliases)
+    return blank_nulls(extracted_objects(one)), blank_nulls(extracted_relations(one))
+
+
 def write_report(rows: DataFrame, path: str) -> None:
     """from_text, freq, canonical_text, similarity, cluster_size as CSV; commas in texts become wide ones."""
     text = lambda c: F.translate(c, ",", "，").alias(c)

@@ -49,11 +49,20 @@ def sessions(requests: DataFrame, gap: str = "30 minutes", late: str | None = No
     return s.select("user_id", F.col("w.start").alias("start"), "requests")
 
 
-def run_to_memory(stream: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
-    """All available input of a stream, as a table; for tests and reports of bounded size."""
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run_to_folder(stream: DataFrame, folder: str, mode: str) -> DataFrame:
+    """All available input of a stream, as a table in a shared folder; nothing passes through the driver.
+
+    Each batch is written under its number, which a repeated batch overwrites; in
+    complete mode the last batch is the result.
+    """
+    spark, kinds = stream.sparkSession, stream.schema
+
+    def save(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/rows/{'last' if mode == 'complete' else number}")
+
+    q = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).foreachBatch(save).start()
     q.awaitTermination()
-    return stream.sparkSession.table(name)
+    return spark.read.schema(kinds).option("recursiveFileLookup", True).parquet(f"{folder}/rows")
 
 
 def transitions_stream(events: DataFrame, order: list[str]) -> DataFrame:

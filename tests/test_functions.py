@@ -89,7 +89,7 @@ def test_stateful_stream_equals_batch(spark, tmp_path):
     schema = "event_id long, object_id long, stage string, entered int, notes string"
     spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
-    got = workload.run_to_memory(workload.transitions_stream(stream, ["a", "b", "c"]), "stateful", "append", str(tmp_path / "cp"))
+    got = workload.run_to_folder(workload.transitions_stream(stream, ["a", "b", "c"]), str(tmp_path / "out"), "append")
     want = lifecycle.transitions(spark.createDataFrame(rows, schema), ["a", "b", "c"])
     key = lambda df: sorted((r["event_id"], r["verdict"]) for r in df.collect())
     assert key(got) == key(want)

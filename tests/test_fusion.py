@@ -11,7 +11,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ferrule.operators import embed, fusion, vector
+from ferrule.functions import text as tx
+from ferrule.operators import embed, extract, fusion, vector
 from ferrule.session import shared_path
 
 
@@ -134,3 +135,85 @@ def test_sample_groups_of_nothing(spark):
     none = spark.createDataFrame([], "domain string, object_code string, object_name string, samples array<string>")
     groups, members = fusion.sample_groups(none)
     assert groups.count() == members.count() == 0
+
+
+def settle_loop(objects):
+    """The merges of one domain after naming, step by step over plain objects."""
+    live = [dict(zip(("pos", "code", "name", "size", "samples", "synonyms"), o)) for o in sorted(objects)]
+    gone, bare = {}, lambda n: n in ("ab", "abc")
+    normal = [o for o in live if "_PENDING_MERGE_" not in o["code"]]
+    grams = lambda o: {e[i : i + n] for e in o["samples"] for n in (2, 3) for i in range(len(e) - n + 1)}
+
+    def into(target, o):
+        target["size"] += o["size"]
+        for s in o["samples"]:
+            if s not in target["samples"]:
+                target["samples"] = [*target["samples"], s]
+        target["samples"] = target["samples"][:20]
+        gone[o["code"]] = target["code"]
+
+    for p in [o for o in live if "_PENDING_MERGE_" in o["code"]]:
+        if not normal:
+            break
+        target, top = None, 0
+        for n in normal:
+            both = len(grams(p) & grams(n))
+            if both > top:
+                target, top = n, both
+        if top == 0:
+            target, top = normal[0], 0
+            for n in normal:
+                both = sum(c in " ".join(n["samples"]) for c in set(" ".join(p["samples"])))
+                if both > top:
+                    target, top = n, both
+        into(target, p)
+    rest = [o for o in normal if not bare(o["name"])]
+    for o in [o for o in normal if bare(o["name"])]:
+        if not rest:
+            rest.append(o)
+            continue
+        target = rest[0]
+        for r in rest:
+            if r["size"] > target["size"]:
+                target = r
+        into(target, o)
+    removed = set()
+    for i in range(len(rest)):
+        if i in removed:
+            continue
+        for j in range(i + 1, len(rest)):
+            a, b = rest[i], rest[j]
+            if j in removed or not (a["name"] == b["name"] or a["name"] in b["synonyms"] or b["name"] in a["synonyms"]):
+                continue
+            if a["size"] >= b["size"]:
+                into(a, b)
+                removed.add(j)
+            else:
+                into(b, a)
+                removed.add(i)
+    return [(o["code"], gone.get(o["code"]), o["size"], o["samples"]) for o in live]
+
+
+def test_settle_against_a_loop(spark):
+    rnd = random.Random(6)
+    word = lambda: "".join(rnd.choice("abcdefxyz中") for _ in range(rnd.randint(1, 5)))
+    domains = {}
+    for d in range(40):
+        pending = 0.3 if d else 1.0  # the first has nothing but pending objects
+        domains[f"d{d}"] = [
+            (i, f"{'OBJ__PENDING_MERGE_' if rnd.random() < pending else 'OBJ_'}{i}", rnd.choice(["ab", "abc", "project", "device", "asset", "contract"] if d != 1 else ["ab"]), rnd.randint(1, 6), [w for w in dict.fromkeys(word() for _ in range(rnd.choice([0, 1, 3, 12])))], rnd.sample(["project", "device", "asset", "contract"], rnd.randint(0, 2)))
+            for i in range(rnd.randint(1, 12))
+        ]
+    rows = [(d, *o) for d, objects in domains.items() for o in objects]
+    df = spark.createDataFrame(rows, "domain string, position int, object_code string, object_name string, cluster_size long, samples array<string>, synonyms array<string>").repartition(3)
+    got = {}
+    for r in extract.settle(df, lambda n: tx.is_garbage(n, [])).collect():
+        got.setdefault(r["domain"], []).append((r["object_code"], r["absorbed_by"], r["cluster_size"], r["samples"]))
+    assert {d: sorted(x, key=str) for d, x in got.items()} == {d: sorted(settle_loop(o), key=str) for d, o in domains.items()}
+
+
+def test_pending_objects_without_overlap_go_to_the_first(spark):
+    rows = [("OBJ_B", "bb long name", 5, ["xyz"]), ("OBJ_A", "aa long name", 1, ["uvw"]), ("OBJ__PENDING_MERGE_1", "p", 1, ["123"])]
+    df = spark.createDataFrame(rows, "object_code string, object_name string, cluster_size long, samples array<string>")
+    got = {r["object_code"]: r["absorbed_by"] for r in extract.absorb(df, tx.is_garbage(F.col("object_name"), [])).collect()}
+    assert got == {"OBJ_A": None, "OBJ_B": None, "OBJ__PENDING_MERGE_1": "OBJ_A"}
