@@ -78,11 +78,13 @@ def logits(owner: np.ndarray, slot: np.ndarray, n: int, w: np.ndarray) -> np.nda
 def train(labelled: list[tuple[str, str, int]], rounds: int = 200, rate: float = 0.1, ridge: float = 1e-3) -> np.ndarray:
     """Weights (the last is the bias) fitted to (host, path, label) rows by Adam steps."""
     y = np.array([label for _, _, label in labelled], float)
-    w = np.zeros((1 << BITS) + 1)
+    every = np.zeros((1 << BITS) + 1)
     if not len(y) or y.min() == y.max():
-        return w
+        return every
     n = len(y)
     owner, slot = grams([h for h, _, _ in labelled], [p for _, p, _ in labelled])
+    known, slot = np.unique(slot, return_inverse=True)  # slots without a gram keep a weight of 0
+    w = np.zeros(len(known) + 1)
     scale = 1 / np.sqrt(np.maximum(np.bincount(owner, minlength=n), 1))
     first, second = np.zeros_like(w), np.zeros_like(w)
     for t in range(1, rounds + 1):
@@ -92,7 +94,8 @@ def train(labelled: list[tuple[str, str, int]], rounds: int = 200, rate: float =
         first += 0.1 * (g - first)
         second += 0.01 * (g * g - second)
         w -= rate * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.99**t)) + 1e-8)
-    return w
+    every[known], every[-1] = w[:-1], w[-1]
+    return every
 
 
 def rule_table(rules: list[tuple[str, str]]) -> dict[str, list[tuple[str, str, str]]]:
