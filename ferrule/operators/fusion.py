@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ferrule.session import workers_import, written
 
-from . import clustering, radius, vector
+from . import clustering, embed, radius, vector
 
 SAMPLES = 20
 
@@ -208,3 +208,29 @@ def sample_groups(objects: DataFrame, distance: float = 0.2, most: int = SAMPLES
     groups = best.join(square, "group_id", "left").join(domains, "group_id").select("group_id", "repr_name", "size", "samples", "domains", F.round(alike, 4).alias("avg_similarity"))
     members = owned.groupBy("group_id", "domain", "object_code", "object_name").agg(F.count(F.lit(1)).alias("sample_count"))
     return groups, members
+
+
+def global_dedupe(cells: DataFrame, threshold: float, store: str, make=embed.hashed_grams, model: str = "hashed-grams-256", per_pair: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(canon, mapping) of texts over all datasets: attributes of one lower-cased name are pooled.
+
+    cells: dataset, attribute, raw. The distinct texts of a pool are embedded and linked
+    where their cosine is at least the threshold; a component's canonical text is its most
+    frequent one (see vector.canonical()). per_pair: only so many most frequent texts of
+    each dataset's attribute take part. canon: dataset, attribute, canonical_text,
+    cluster_size (texts of that pair in the component), freq. mapping: dataset, attribute,
+    from_text, canonical_text.
+    """
+    counts = cells.where("raw is not null").groupBy("dataset", "attribute", "raw").agg(F.count(F.lit(1)).alias("freq"))
+    if per_pair is not None:
+        first = Window.partitionBy("dataset", "attribute").orderBy(F.desc("freq"), "raw")
+        counts = counts.withColumn("r", F.row_number().over(first)).where(F.col("r") <= per_pair).drop("r")
+    counts = written(counts.withColumn("pool", F.lower("attribute")), "counts")
+    texts = counts.select("pool", F.col("raw").alias("text")).distinct()
+    vectors = embed.embed(texts, store, make, model)[0].select(F.col("pool").alias("g"), F.col("text").alias("id"), vector.normalized(F.col("vector")).alias("v"))
+    linked = written(radius.radius_components(vectors, threshold).select(F.col("g").alias("pool"), F.col("id").alias("raw"), "component"), "linked")
+    total = counts.groupBy("pool", "raw").agg(F.sum("freq").alias("freq")).join(linked, ["pool", "raw"])
+    named = total.select(F.struct("pool", "component").alias("cluster"), F.col("raw").alias("text"), "freq")
+    canon = written(vector.canonical(named).select("cluster.pool", "cluster.component", "canonical_text"), "canon")
+    rows = counts.join(linked, ["pool", "raw"]).join(canon, ["pool", "component"])
+    sizes = rows.groupBy("dataset", "attribute", "canonical_text").agg(F.count(F.lit(1)).alias("cluster_size"), F.sum("freq").alias("freq"))
+    return sizes, rows.select("dataset", "attribute", F.col("raw").alias("from_text"), "canonical_text")

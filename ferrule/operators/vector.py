@@ -85,14 +85,9 @@ def intra_similarity(vectors: DataFrame, group: str) -> DataFrame:
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int, limit: int = 1000, slice_rows: int = 4096) -> DataFrame:
-    """The k largest cosines of each query; up to limit queries are broadcast, more are dealt in blocks of about limit."""
-    n = queries.count()
-    if n > limit:
-        scored = _block_nearest(vectors, queries, k, -(-n // limit), max(1, -(-vectors.count() // slice_rows)))
-    else:
-        q = F.broadcast(queries.select(F.col("id").alias("query_id"), normalized(F.col("v")).alias("q")))
-        pairs = vectors.select("id", normalized(F.col("v")).alias("v")).join(q, F.col("id") != F.col("query_id"))
-        scored = pairs.select("query_id", "id", F.round(dot(F.col("v"), F.col("q")), 6).alias("score"))
+    """The k largest cosines of each query; queries in blocks of about limit meet the vectors in slices, by matrix products."""
+    blocks, slices = max(1, -(-queries.count() // limit)), max(1, -(-vectors.count() // slice_rows))
+    scored = _block_nearest(vectors, queries, k, blocks, slices)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 

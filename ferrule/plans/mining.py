@@ -141,6 +141,25 @@ def joint_sample_groups(spark, sf_dir):
     return fu.sample_groups(local_objects(spark, sf_dir))[0].select("group_id", "repr_name", "size", "samples", F.array_join("domains", ",").alias("domains"), "avg_similarity")
 
 
+@query("""WITH c AS (SELECT 'a' AS dataset, 'Name' AS attribute, p_name AS raw FROM part UNION ALL SELECT 'b', 'NAME', p_name FROM part WHERE p_partkey % 3 = 0 UNION ALL SELECT 'b', 'type', p_type FROM part),
+k AS (SELECT lower(attribute) AS pool, dataset, attribute, raw, count(*) AS freq FROM c GROUP BY ALL) SELECT dataset, attribute, raw AS canonical_text, 1 AS cluster_size, freq FROM k""")
+def cross_dataset_same(spark, sf_dir):
+    """Texts pooled over datasets at a cosine that only equal ones reach."""
+    p = table(spark, sf_dir, "part")
+    one = lambda d, a, c, m: p.where(F.col("p_partkey") % m == 0).select(F.lit(d).alias("dataset"), F.lit(a).alias("attribute"), F.col(c).alias("raw"))
+    cells = one("a", "Name", "p_name", 1).unionByName(one("b", "NAME", "p_name", 3)).unionByName(one("b", "type", "p_type", 1))
+    return fu.global_dedupe(cells, 0.99999, shared_path(spark, "embeddings"))[0]
+
+
+@query()
+def cross_dataset_semantic(spark, sf_dir):
+    """Names of parts and types pooled over two datasets, alike from a cosine of 0.7 on."""
+    p = table(spark, sf_dir, "part")
+    one = lambda d, a, c: p.select(F.lit(d).alias("dataset"), F.lit(a).alias("attribute"), F.col(c).alias("raw"))
+    cells = one("a", "Name", "p_name").unionByName(one("b", "NAME", "p_type")).unionByName(one("b", "brand", "p_brand"))
+    return fu.global_dedupe(cells, 0.7, shared_path(spark, "embeddings"))[1]
+
+
 KEYWORDS = [("ring", "OBJ_RING"), ("rod", "OBJ_ROD"), ("blue", "OBJ_BLUE"), ("widget", "OBJ_WIDGET"), ("steel", "OBJ_ROD"), ("hot", "OBJ_HEAT")]
 WORDS = "k(keyword, object_code, position) AS (VALUES " + ", ".join(f"('{a}', '{b}', {i})" for i, (a, b) in enumerate(KEYWORDS)) + ")"
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import codecs
 import csv
 import io
 import functools
@@ -13,7 +12,6 @@ from collections.abc import Iterator
 from xml.etree import ElementTree
 from xml.sax.saxutils import escape, quoteattr
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -23,7 +21,6 @@ from ferrule.session import workers_import
 
 NS = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
-ENCODINGS = ("utf-8-sig", "utf-8", "gb18030")
 
 RELATION = "struct<object_code:string,entity_layer:string,entity_name:string,entity_code:string,relation_type:string,relation_strength:double,match_method:string,via_concept_entity:string,data_domain:string>"
 OBJECT = "struct<object_code:string,object_name:string,object_type:string,cluster_id:int,cluster_size:int,sample_entities:array<string>,synonyms:array<string>>"
@@ -220,66 +217,86 @@ def inventory(cells: DataFrame, sheet_prefix: str, columns: dict[str, str]) -> D
     return rows.withColumn("n", F.row_number().over(w)).where("n = 1").drop("n", "sheet")
 
 
-def encoding_of(chunks: Iterator[bytes]) -> str | None:
-    """The first encoding of ENCODINGS that reads all bytes, as Spark's reader names it; None if there is none."""
-    readers = [(n, codecs.getincrementaldecoder(n)()) for n in ENCODINGS]
-    for chunk in chunks:
-        left = []
-        for name, reader in readers:
-            try:
-                reader.decode(chunk)
-                left.append((name, reader))
-            except UnicodeDecodeError:
-                pass
-        readers = left
-    for name, reader in readers:
-        try:
-            reader.decode(b"", final=True)
-            return "UTF-8" if name.startswith("utf") else "GB18030"
-        except UnicodeDecodeError:
-            pass
-    return None
-
-
-def quoted_line_ends(data: bytes) -> bool:
-    """Whether a line ends between quotes."""
-    raw = np.frombuffer(data, np.uint8)
-    return bool((np.cumsum(raw == 0x22, dtype=np.int64)[raw == 0x0A] % 2).any())
-
-
 def csv_encodings(spark: SparkSession, path: str) -> DataFrame:
-    """path, encoding and broken (a quoted cell holds a line end) of each file, judged in tasks over all of its bytes."""
+    """path, encoding (UTF-8, GB18030 or null) and broken (a quoted cell holds a line end) of each file.
+
+    Files are read by lines, which Spark's reader splits into ranges, so a file of any
+    size is many tasks'. A line end is never part of a character in these encodings, and a
+    line with an odd number of quotes ends inside quotes or begins there.
+    """
 
     def judge(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def readable(line: bytes) -> bool:
+            try:
+                line.decode("gb18030")
+                return True
+            except UnicodeDecodeError:
+                return False
+
         for frame in frames:
-            parts = lambda data: (data[i : i + (1 << 20)] for i in range(0, len(data), 1 << 20))
-            yield pd.DataFrame({"path": frame["path"], "encoding": [encoding_of(parts(bytes(x))) for x in frame["content"]], "broken": [quoted_line_ends(bytes(x)) for x in frame["content"]]})
+            yield pd.DataFrame({"path": frame["path"], "wide": [readable(bytes(x)) for x in frame["line"]]})
 
     workers_import(spark)
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "[!._]*").load(path).select("path", "content")
-    return files.mapInPandas(judge, "path string, encoding string, broken boolean")
+    lines = _lines(spark, path)
+    quotes = F.length(F.col("value")) - F.length(F.translate("value", '"', ""))
+    plain = lines.groupBy("path").agg(F.bool_and(F.is_valid_utf8("value")).alias("utf8"), F.bool_or(quotes % 2 == 1).alias("broken"))
+    odd = lines.where(~F.is_valid_utf8("value")).select("path", F.col("value").cast("binary").alias("line"))
+    wide = odd.mapInPandas(judge, "path string, wide boolean").groupBy("path").agg(F.bool_and("wide").alias("wide"))
+    encoding = F.when(F.col("utf8"), "UTF-8").when(F.col("wide"), "GB18030")
+    return plain.join(wide, "path", "left").select("path", encoding.alias("encoding"), "broken")
+
+
+def _lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """path, value (its bytes, whatever the encoding), at and first (of the file's first range) of every line."""
+    read = spark.read.option("lineSep", "\n").option("pathGlobFilter", "[!._]*").text(path)
+    return read.select(F.col("_metadata.file_path").alias("path"), "value", F.monotonically_increasing_id().alias("at"), (F.col("_metadata.file_block_start") == 0).alias("first"))
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
     """CSV files with a header, all columns strings; each file is read in its own encoding.
 
-    UTF-8 files are read by Spark's reader, which splits them unless a quoted cell of
-    theirs holds a line end. Spark's readers don't admit GB18030
-    by default, so files in it are parsed whole in tasks. Columns are those of all files,
-    null where a file lacks one; a file that no encoding reads raises.
+    UTF-8 files are read by Spark's reader. Spark's readers don't admit GB18030 by
+    default, so files in it are parsed in tasks, by ranges of lines. A file whose quoted
+    cells hold line ends is one task's. Columns are those of all files, null where a file
+    lacks one; a file that no encoding reads raises.
     """
     found = csv_encodings(spark, path).collect()  # a name a file
     if not all(r["encoding"] for r in found):
         raise ValueError(f"no known encoding: {[r['path'] for r in found if not r['encoding']][:3]}")
-    of = lambda encoding, broken: [r["path"] for r in found if r["encoding"] == encoding and r["broken"] in broken]
+    of = lambda encoding, broken: [r["path"] for r in found if r["encoding"] == encoding and r["broken"] == broken]
     read = spark.read.option("header", True).option("inferSchema", False)
-    parts = [read.option("multiLine", lines).option("escape", '"').csv(paths) for lines in (False, True) if (paths := of("UTF-8", (lines,)))]
-    parts += [_read_wide(spark, paths) for paths in [of("GB18030", (False, True))] if paths]
+    parts = [read.option("multiLine", lines).option("escape", '"').csv(paths) for lines in (False, True) if (paths := of("UTF-8", lines))]
+    parts += [_read_wide_lines(spark, paths) for paths in [of("GB18030", False)] if paths] + [_read_wide(spark, paths) for paths in [of("GB18030", True)] if paths]
     if not parts:
         return spark.createDataFrame([], "value string")
     return functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
+def _cells(lines: list[str], columns: list[str], names: list[str]) -> pd.DataFrame:
+    at = {c: i for i, c in enumerate(names)}
+    rows = [r for r in csv.reader(lines) if r]
+    return pd.DataFrame({c: pd.Series([(r[at[c]] or None) if c in at and at[c] < len(r) else None for r in rows], dtype=object) for c in columns})
+
+
+def _read_wide_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """GB18030 files without line ends in cells, by ranges of lines; each line carries the header of its file."""
+    workers_import(spark)
+    lines = _lines(spark, paths)
+    heads = lines.where("first").groupBy("path").agg(F.min(F.struct("at", "value")).alias("h")).select("path", F.col("h.value").cast("binary").alias("head"), F.col("h.at").alias("skip"))
+    text = lambda b: bytes(b).decode("gb18030").rstrip("\r")
+    names = lambda b: unlike(next(csv.reader([text(b)]), []))
+    known = [names(r["head"]) for r in heads.orderBy("path").collect()]  # a header a file
+    columns = list(dict.fromkeys(c for own in known for c in own))
+
+    def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for head, part in frame.groupby(frame["head"].map(bytes), sort=False):
+                yield _cells([text(x) for x in part["line"]], columns, names(head))
+
+    rows = lines.join(heads, "path").where("at <> skip").select("head", F.col("value").cast("binary").alias("line"))
+    return rows.mapInPandas(parse, ", ".join(f"`{c}` string" for c in columns))
+
+
 def unlike(names: list[str]) -> list[str]:
     """Names of columns as Spark's CSV reader makes them: repeated ones, without case, get their place, empty ones are _c<place>."""
     count: dict[str, int] = {}
@@ -308,8 +325,9 @@ def _read_wide(spark: SparkSession, paths: list[str]) -> DataFrame:
             for data in frame["content"]:
                 names, reader = rows_of(bytes(data))
                 at = {c: i for i, c in enumerate(names)}
-                while part := [r for r in itertools.islice(reader, 10_000) if r]:
-                    yield pd.DataFrame({c: pd.Series([(r[at[c]] or None) if c in at and at[c] < len(r) else None for r in part], dtype=object) for c in columns})
+                while part := list(itertools.islice(reader, 10_000)):
+                    rows = [r for r in part if r]
+                    yield pd.DataFrame({c: pd.Series([(r[at[c]] or None) if c in at and at[c] < len(r) else None for r in rows], dtype=object) for c in columns})
 
     return files.mapInPandas(parse, ", ".join(f"`{c}` string" for c in columns))
 

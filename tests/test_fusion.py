@@ -217,3 +217,32 @@ def test_pending_objects_without_overlap_go_to_the_first(spark):
     df = spark.createDataFrame(rows, "object_code string, object_name string, cluster_size long, samples array<string>")
     got = {r["object_code"]: r["absorbed_by"] for r in extract.absorb(df, tx.is_garbage(F.col("object_name"), [])).collect()}
     assert got == {"OBJ_A": None, "OBJ_B": None, "OBJ__PENDING_MERGE_1": "OBJ_A"}
+
+
+def test_global_dedupe_against_brute_force(spark):
+    rnd = random.Random(9)
+    stems = ["steel pipe", "steel pipes", "copper wire", "copper wires", "glass"]
+    cells = [(rnd.choice("ab"), rnd.choice(["Name", "NAME", "other"]), rnd.choice(stems) + rnd.choice(["", "", " x"])) for _ in range(200)] + [("a", "Name", None)]
+    df = spark.createDataFrame(cells, "dataset string, attribute string, raw string")
+    canon, mapping = fusion.global_dedupe(df, 0.8, shared_path(spark, "store"))
+    encode, freq = embed.hashed_grams(256), Counter(c for c in cells if c[2] is not None)
+    want = {}
+    for pool in ("name", "other"):
+        texts = sorted({c[2] for c in freq if c[1].lower() == pool})
+        total = Counter()
+        for (_, a, t), n in freq.items():
+            if a.lower() == pool:
+                total[t] += n
+        v = encode(texts)
+        v = v / np.linalg.norm(v, axis=1, keepdims=True)
+        label = list(range(len(texts)))
+        for i, j in zip(*np.nonzero(v @ v.T >= 0.8)):
+            a, b = label[i], label[j]
+            label = [min(a, b) if x in (a, b) else x for x in label]
+        for c in set(label):
+            own = [t for t, x in zip(texts, label) if x == c]
+            want |= {(pool, t): min(own, key=lambda t: (-total[t], len(t), t)) for t in own}
+    assert len(set(want.values())) < len({t for _, t in want})
+    assert {(r["dataset"], r["attribute"], r["from_text"], r["canonical_text"]) for r in mapping.collect()} == {(d, a, t, want[a.lower(), t]) for d, a, t in freq}
+    sizes = Counter((d, a, want[a.lower(), t]) for d, a, t in freq)
+    assert {(r["dataset"], r["attribute"], r["canonical_text"]): r["cluster_size"] for r in canon.collect()} == sizes
