@@ -76,7 +76,7 @@ def validate_templates(rows: DataFrame, templates: DataFrame) -> DataFrame:
 
     rows: object_id, stage, snapshot map<string,string>; templates: stage, required array.
     """
-    joined = rows.join(F.broadcast(templates), "stage")  # a handful of templates, one a stage
+    joined = rows.join(templates, "stage")
     filled = F.map_keys(F.map_filter("snapshot", lambda k, v: v.isNotNull() & (v != "")))
     missing = F.array_sort(F.array_except("required", filled))
     n = F.size("required")
@@ -93,6 +93,6 @@ def batch_advance(current: DataFrame, requests: DataFrame, order: list[str]) ->
 
 def trigger_alerts(events: DataFrame, templates: DataFrame, functions: DataFrame) -> DataFrame:
     """Alerts of the functions that a stage's template triggers, where the threshold is passed."""
-    fired = events.join(F.broadcast(templates.select("stage", F.explode("triggers").alias("func_code"))), "stage")
-    fired = fired.join(F.broadcast(functions), "func_code")  # fixed small tables of rules
+    fired = events.join(templates.select("stage", F.explode("triggers").alias("func_code")), "stage")
+    fired = fired.join(functions, "func_code")
     return fired.where(F.col("value") > F.col("threshold")).select("event_id", "object_id", "stage", "func_code", "level", "value")

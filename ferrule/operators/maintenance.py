@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ferrule.session import written
+
 from . import vector
 
 STAGES = ["PLANNING", "DESIGN", "CONSTRUCTION", "OPERATION"]
@@ -34,6 +36,12 @@ def clean_sheets(cells: DataFrame, names: list[str], prefixes: list[str]) -> Dat
     return rows.join(last, ["file", "sheet"]).where(F.col("column") < F.col("last")).drop("last")
 
 
+def not_overwritten(cells: DataFrame, existing: DataFrame, legacy: list[str]) -> DataFrame:
+    """cells (domain, ...) without the legacy domains that exist already: an import never overwrites those."""
+    kept = existing.where(F.col("domain").isin(legacy)).select("domain").distinct()
+    return cells.join(kept, "domain", "left_anti")
+
+
 def overall(domains: DataFrame, stats: DataFrame) -> DataFrame:
     """Totals over the domains that were extracted, and how many there are of all."""
     joined = domains.join(stats, "domain", "left")
@@ -44,15 +52,14 @@ def overall(domains: DataFrame, stats: DataFrame) -> DataFrame:
 def merge_targets(vectors: DataFrame, small: int) -> DataFrame:
     """For groups of fewer than small vectors, the large group with the nearest centroid.
 
-    Groups are cluster labels: the centroids are one row a group, the pairs are small by large groups.
+    Centroids are one row a group; small ones meet large ones in blocks.
     """
     sizes = vectors.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
     c = vector.centroids(vectors, "label").join(sizes, "label")
-    a = c.where(F.col("n") < small).select(F.col("label").alias("source"), F.col("centroid").alias("x"))
-    b = c.where(F.col("n") >= small).select(F.col("label").alias("target"), F.col("centroid").alias("y"))
-    scored = a.join(F.broadcast(b), F.lit(True)).select("source", "target", F.round(vector.dot(F.col("x"), F.col("y")), 6).alias("similarity"))
-    w = Window.partitionBy("source").orderBy(F.desc("similarity"), "target")
-    return scored.withColumn("r", F.row_number().over(w)).where("r = 1").drop("r")
+    a = c.where(F.col("n") < small).select(F.col("label").cast("long").alias("id"), F.col("centroid").alias("v"))
+    b = c.where(F.col("n") >= small).select(F.col("label").cast("long").alias("id"), F.col("centroid").alias("v"))
+    found = vector.nearest(written(b, "centroids"), written(a, "centroids"), 1)
+    return found.select(F.col("query_id").alias("source"), F.col("id").alias("target"), F.col("score").alias("similarity"))
 
 
 def merge_targets_by_samples(objects: DataFrame, small: int) -> DataFrame:

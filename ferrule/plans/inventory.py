@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ferrule.operators import maintenance as mt
 from ferrule.sources import files
 
 from .bindings import table
@@ -116,3 +117,32 @@ def workbook_import(spark, sf_dir):
     read = files.labelled_import(files.read_workbooks(spark, written(spark, sf_dir), "strict"), "PLANNING")
     cells = read.select(F.concat_ws("|", "file", "sheet", F.col("row").cast("string")).alias("entity_id"), "attribute", F.trim("value").alias("raw"), "stage", "domain", F.substring("sheet", 1, 5).alias("sheet"))
     return cells.groupBy("stage", "domain", "sheet").agg(F.count(F.lit(1)).alias("cells"), F.count_distinct("raw").alias("texts"))
+
+
+@query(f"""WITH {BY_REGION}, v AS (SELECT file AS domain, 'DA-01' AS sheet, unnest([nullif(c_mktsegment, 'HOUSEHOLD'), n_name]) AS value FROM customer JOIN n ON c_nationkey = n_nationkey
+ UNION ALL SELECT file, 'DA-02', unnest([n_name, CASE WHEN s_suppkey % 9 <> 0 THEN s_name END]) FROM supplier JOIN n ON s_nationkey = n_nationkey UNION ALL SELECT file, 'BA-04', n_name FROM n WHERE file <> 'AFRICA')
+SELECT domain, sheet, count(*) AS cells FROM v WHERE value IS NOT NULL AND domain <> 'ASIA' GROUP BY ALL""")
+def cleaned_workbooks(spark, sf_dir):
+    """Workbooks without sheets of a prefix and without each sheet's last column; a legacy domain that exists is left alone."""
+    read = cells(spark, sf_dir)
+    clean = mt.clean_sheets(read, ["no such sheet"], ["DA-03"]).withColumn("domain", F.col("file"))
+    existing = table(spark, sf_dir, "region").where("r_name in ('ASIA', 'EUROPE')").select(F.col("r_name").alias("domain"))
+    return mt.not_overwritten(clean, existing, ["ASIA", "nowhere"]).groupBy("domain", F.substring("sheet", 1, 5).alias("sheet")).agg(F.count(F.lit(1)).alias("cells"))
+
+
+@query("SELECT r_name AS domain, CASE WHEN r_name < 'B' THEN 'the ' || r_name ELSE r_name END AS name, false AS has_ba, true AS has_da, false AS has_aa FROM region WHERE r_name IN (SELECT r_name FROM nation JOIN region ON n_regionkey = r_regionkey)")
+def domain_listing(spark, sf_dir):
+    """Folders with workbooks, which of the three they have, and the display names that some give themselves."""
+    path = written(spark, sf_dir)
+    names = table(spark, sf_dir, "region").where("r_name < 'B'").select(F.col("r_name").alias("region"), F.to_json(F.struct(F.concat(F.lit("the "), "r_name").alias("name"))).alias("body"))
+
+    def save(frame):
+        from pyarrow import fs
+
+        store, root = fs.FileSystem.from_uri(path)
+        with store.open_output_stream(f"{root}/{frame['region'].iloc[0]}/domain.json") as f:
+            f.write(frame["body"].iloc[0].encode())
+        return frame[["region"]]
+
+    names.groupBy("region").applyInPandas(save, "region string").count()
+    return files.named_domains(spark, path)

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ferrule.functions.text import NA_TOKENS, attribute_name
-from ferrule.session import workers_import
+from ferrule.session import small, workers_import
 
 NS = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
@@ -285,7 +285,8 @@ def _read_wide_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
     heads = lines.where("first").groupBy("path").agg(F.min(F.struct("at", "value")).alias("h")).select("path", F.col("h.value").cast("binary").alias("head"), F.col("h.at").alias("skip"))
     text = lambda b: bytes(b).decode("gb18030").rstrip("\r")
     names = lambda b: unlike(next(csv.reader([text(b)]), []))
-    known = [names(r["head"]) for r in heads.orderBy("path").collect()]  # a header a file
+    heads = small(heads)  # a row a file
+    known = [names(r["head"]) for r in heads.orderBy("path").collect()]
     columns = list(dict.fromkeys(c for own in known for c in own))
 
     def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ferrule.session import small, workers_import
+
 
 def classify(requests: DataFrame, routes: DataFrame) -> DataFrame:
     """requests with their class: exact route, then the first prefix, then the default of the method.
 
     routes: kind (exact, prefix, method), pattern, class, position; a small literal table.
     """
-    r = F.broadcast(routes)
+    r = small(routes)
     hit = ((F.col("kind") == "exact") & (F.col("path") == F.col("pattern"))) | ((F.col("kind") == "prefix") & F.startswith(F.col("path"), F.col("pattern"))) | ((F.col("kind") == "method") & (F.col("method") == F.col("pattern")))
     # one row a request in and out, equal ones too: the best route is found per distinct request by an aggregate of its matches
     order = F.when(F.col("kind") == "exact", 0).when(F.col("kind") == "prefix", 1).otherwise(2)
@@ -66,25 +70,21 @@ def run_to_folder(stream: DataFrame, folder: str, mode: str) -> DataFrame:
 
 
 def transitions_stream(events: DataFrame, order: list[str]) -> DataFrame:
-    """Stage transitions of a stream, checked against the last stage kept for each object."""
-    import pandas as pd
-
-    from ferrule.session import workers_import
+    """Stage transitions of a stream, checked against the last stage kept for each object.
 
+    The events of an object in one micro-batch are put in order over all their frames
+    first, so that a frame's border is no step back.
+    """
     workers_import(events.sparkSession)
     rank = {s: i for i, s in enumerate(order, 1)}
 
     def check(key, frames, state):
-        before = state.get[0] if state.exists else None
-        for frame in frames:
-            rows = []
-            for r in frame.sort_values(["entered", "event_id"]).itertuples():
-                now = rank.get(r.stage, 0)
-                verdict = "UNKNOWN_STAGE" if not now else "OK" if not before else "SKIPPED" if now > before + 1 else "BACK_WITHOUT_NOTES" if now < before and not (r.notes or "").strip() else "OK"
-                rows.append((r.event_id, int(key[0]), r.stage, verdict))
-                before = now
-            yield pd.DataFrame(rows, columns=["event_id", "object_id", "stage", "verdict"])
-        if before is not None:
-            state.update((before,))
+        rows = pd.concat(list(frames)).sort_values(["entered", "event_id"], ignore_index=True)
+        now = rows["stage"].map(rank).fillna(0).astype(int).to_numpy()
+        before = np.concatenate([[state.get[0] if state.exists else 0], now[:-1]])
+        bare = rows["notes"].fillna("").str.strip().eq("").to_numpy()
+        verdict = np.select([now == 0, before == 0, now > before + 1, (now < before) & bare], ["UNKNOWN_STAGE", "OK", "SKIPPED", "BACK_WITHOUT_NOTES"], "OK")
+        state.update((int(now[-1]),))
+        yield pd.DataFrame({"event_id": rows["event_id"], "object_id": int(key[0]), "stage": rows["stage"], "verdict": verdict})
 
     return events.groupBy("object_id").applyInPandasWithState(check, "event_id long, object_id long, stage string, verdict string", "before int", "append", "NoTimeout")

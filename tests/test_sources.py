@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import json
+
+import pytest
 from pyspark.sql import functions as F
 
+from ferrule.functions import text
 from ferrule.functions import text as tx
 from ferrule.operators import dedup as dd
 from ferrule.operators import rules as ru
@@ -72,3 +76,44 @@ def test_overlap_of_samples(spark):
     row = spark.createDataFrame([(["合同信息"], ["合同台账"], ["x1"], ["1y"])], "a array<string>, b array<string>, c array<string>, d array<string>")
     got = row.select(tx.gram_overlap(F.col("a"), F.col("b")), tx.gram_overlap(F.col("c"), F.col("d"))).first()
     assert tuple(got) == (1, 1)
+
+
+def test_chosen_files(spark):
+    listing = spark.createDataFrame([(p,) for p in ("d/2.xlsx", "d/1.xlsx", "d/x.csv", "e/1.xlsx", "b.xlsx", "a.xlsx", "d/sub/9.xlsx")], "path string")
+    pick = lambda *a: [r["path"] for r in files.chosen_files(listing, *a).collect()]
+    assert pick("d") == ["d/1.xlsx", "d/2.xlsx"] and pick("d", ["b.xlsx", "none.xlsx"]) == ["b.xlsx"]
+    assert pick("d", ["none.xlsx"]) == ["d/1.xlsx", "d/2.xlsx"] and pick("z", None, ["b.xlsx", "gone.xlsx"]) == ["b.xlsx"] and pick("z") == ["a.xlsx", "b.xlsx"]
+
+
+def test_extractions_by_alias_and_catalog(spark, tmp_path):
+    for name, code in (("extraction_gongying.json", "O1"), ("extraction_audit.json", None)):
+        (tmp_path / name).write_text(json.dumps({"data_domain": name[11:-5], "objects": [{"object_code": code, "object_name": "n"}], "relations": [{"object_code": code, "entity_layer": "concept", "entity_name": "e"}]}))
+    found = files.read_extractions(spark, str(tmp_path))
+    of = lambda d: [r["data_domain"] for r in files.extraction_of(found, d, {"供应链": "gongying"}).collect()]
+    assert of("供应链") == ["gongying"] and of("audit") == ["audit"] and of("none") == []
+    objects = spark.createDataFrame([("audit", "T1", "from the table")], "data_domain string, object_code string, object_name string")
+    relations = spark.createDataFrame([("audit", "T1", "x")], "data_domain string, object_code string, entity_name string")
+    have = lambda d: [[r["object_code"] for r in t.collect()] for t in files.catalog(objects, relations, found, d, {"供应链": "gongying"})]
+    assert have("audit") == [["T1"], ["T1"]] and have("供应链") == [["O1"], ["O1"]] and have("none") == [[], []]
+    assert files.catalog(objects.limit(0), relations, found, "audit")[0].first()["object_code"] == ""
+
+
+def test_arguments_of_requests():
+    assert text.known(None, ["A"], "layer") is None and text.known("A", ["A"], "layer") == "A"
+    with pytest.raises(ValueError):
+        text.known("b", ["A"], "layer")
+    assert [text.clamped(*a) for a in ((None, 200), (None, 200, 50), (999, 200), (0, 50), (7, 50))] == [200, 50, 200, 1, 7]
+
+
+def test_large_wide_file_in_ranges(spark, tmp_path):
+    """A GB18030 file read by many ranges, with another header beside it."""
+    body = "名,值\r\n" + "".join(f'"中,{i}",{i}\r\n' for i in range(3000))
+    (tmp_path / "a.csv").write_bytes(body.encode("gb18030"))
+    (tmp_path / "b.csv").write_bytes("值,别\n1,中\n".encode("gb18030"))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        got = files.read_csv(spark, str(tmp_path))
+        assert got.rdd.getNumPartitions() > 3 and set(got.columns) == {"名", "值", "别"}
+        assert sorted((r["名"] or "", r["值"], r["别"] or "") for r in got.collect()) == sorted([(f"中,{i}", str(i), "") for i in range(3000)] + [("", "1", "中")])
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
