@@ -238,7 +238,7 @@ def csv_encodings(spark: SparkSession, path: str) -> DataFrame:
 
     workers_import(spark)
     lines = _lines(spark, path)
-    quotes = F.length(F.col("value")) - F.length(F.translate("value", '"', ""))
+    quotes = F.octet_length("value") - F.octet_length(F.replace("value", F.lit('"'), F.lit("")))
     plain = lines.groupBy("path").agg(F.bool_and(F.is_valid_utf8("value")).alias("utf8"), F.bool_or(quotes % 2 == 1).alias("broken"))
     odd = lines.where(~F.is_valid_utf8("value")).select("path", F.col("value").cast("binary").alias("line"))
     wide = odd.mapInPandas(judge, "path string, wide boolean").groupBy("path").agg(F.bool_and("wide").alias("wide"))
