@@ -4,8 +4,10 @@ import math
 from collections import Counter, defaultdict
 
 import pytest
+import xxhash
+from pyspark.sql import functions as F
 
-from ferrule.llm import decontaminate, jaccard_join, mixing
+from ferrule.llm import common, decontaminate, jaccard_join, mixing
 
 from .helpers import awkward, awkward_docs, no_docs, prose, words
 
@@ -142,6 +144,58 @@ def test_mix(spark):
     assert Counter((r["doc_id"], len(words(r["text"]))) for r in texts) == Counter((r["doc_id"], r["taken"]) for r in got if r["taken"])
 
 
+def swap_or_not(x, n, seed):
+    """mixing.permute() of one number, with Python's integers."""
+    h = lambda *parts: xxh(parts) % n
+
+    def xxh(parts):
+        state = 42
+        for p in parts:
+            raw = p.encode() if isinstance(p, str) else p[0].to_bytes(p[1], "little", signed=True)
+            state = xxhash.xxh64_intdigest(raw, state)
+        return state - (state >> 63 << 64)
+
+    for r in range(1, mixing.ROUNDS + 1):
+        other = (h(seed, (r, 4), "key") - x) % n
+        x = x if xxh((seed, (r, 4), (max(x, other), 8))) % 2 == 0 else other
+    return x
+
+
+def test_taken_against_a_plain_mix(spark):
+    """The whole mix in plain Python: order of documents, slots, draws and the words that they give."""
+    block, weights, rows = 8, [3.0, 1.0, 2.0], awkward_docs()
+    mixed, _ = mixing.mix(awkward(spark).repartition(5), weights, block=block)
+    got = sorted((r["doc_id"] if r["doc_id"] is not None else -1, r["key"], r["taken"]) for r in mixed.collect())
+    keys = {(r["doc_id"], r["text"]): r["k"] for r in awkward(spark).select("doc_id", "text", common.row_key(awkward(spark)).alias("k")).collect()}
+    run_of = {k: r["run"] for r in spark.createDataFrame([(k,) for k in keys.values()], "key long").select("key", F.pmod(F.xxhash64("key"), F.lit(64)).alias("run")).collect() for k in [r["key"]]}
+    docs = {}
+    for r in rows:
+        k = keys[r[0], r[1]]
+        docs.setdefault(r[3], []).append((run_of[k], (r[0] is not None, r[0] or 0), k, len(words(r[1]))))
+    sizes = {s: sum(d[3] for d in own) for s, own in docs.items()}
+    target = brute_targets(sizes, weights)
+    names = sorted((s for s in sizes if s is not None), key=lambda s: s.encode()) + [None] * (None in sizes)
+    blocks = {s: -(-sizes[s] // block) for s in names}
+    draws = {s: round(target[s] * blocks[s] / sizes[s]) if sizes[s] else 0 for s in names}
+    total, before, use = sum(draws.values()), 0, Counter()
+    for s in names:
+        slots = sorted(swap_or_not(before + d, total, (11, 4)) for d in range(draws[s]))
+        before += draws[s]
+        for j, _ in enumerate(slots):  # in the order of their slots
+            lap, x = divmod(j, blocks[s])
+            state = 42
+            for raw in ((11).to_bytes(4, "little"), (s if s is not None else "\0null").encode(), lap.to_bytes(8, "little")):
+                state = xxhash.xxh64_intdigest(raw, state)
+            use[s, swap_or_not(x, blocks[s], (state - (state >> 63 << 64), 8))] += 1
+    want = []
+    for s, own in docs.items():
+        at = 0
+        for _, (known, doc), k, n in sorted(own):
+            want.append((doc if known else -1, k, sum(use[s, (at + i) // block] for i in range(n))))
+            at += n
+    assert got == sorted(want)
+
+
 def test_identical_rows_take_their_own_words(spark):
     rows = [(7, "a b c d e f g h i j k l", None, "s")] * 3 + [(i, "q r s t u", None, "s") for i in range(5)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
@@ -172,8 +226,6 @@ def test_shards_hold_the_words_that_the_mix_takes(spark):
 
 def test_steps_that_keep_rows_keep_columns_of_any_name(spark):
     """Names that the operators use inside come back as they were."""
-    from pyspark.sql import functions as F
-
     names = ["taken", "key", "items", "hits", "n_words", "label", "class_id", "row"]
     docs = awkward(spark).withColumns({n: F.lit(n) for n in names})
     bench = spark.createDataFrame([(1, "one two three")], "item_id long, text string")
@@ -191,8 +243,6 @@ def test_shard_counts_vary_like_draws(spark):
 
 
 def test_permutation_is_one(spark):
-    from pyspark.sql import functions as F
-
     for n in (1, 2, 7, 1000):
         rows = spark.range(n).select(mixing.permute(F.col("id"), F.lit(n), 5).alias("p")).collect()
         assert sorted(r["p"] for r in rows) == list(range(n))

@@ -104,6 +104,26 @@ def test_quality(spark):
     assert quality.score(docs.limit(0), model).count() == 0
 
 
+def test_scores_against_loops_over_pairs(spark):
+    """score() of whole texts, empty and long ones too: bias, weights and every pair of features, one by one."""
+    rng = np.random.default_rng(5)
+    model = {"b": -0.3, "w": rng.normal(0, 0.3, quality.SLOTS), "v": rng.normal(0, 0.2, (quality.SLOTS, quality.FACTORS))}
+    texts = ["", None, "One two TWO!! 3 three", "Und " * 30, "é ü\nx  y", " ".join(f"w{i}" for i in range(120)), "a " * 500_000]
+    docs = spark.createDataFrame([(i, t, 7.0) for i, t in enumerate(texts)], "doc_id long, text string, quality_score double").repartition(3)
+    got = {r["doc_id"]: r["quality_score"] for r in quality.score(docs, model).collect()}
+    w, v = model["w"].astype(np.float32).astype(float), model["v"].astype(np.float32).astype(float)
+    for i, t in enumerate(texts):
+        raw = np.frombuffer((t or "").encode(), np.uint8)
+        _, col, value = quality.features(raw, np.array([0, len(raw)]))
+        z = model["b"]
+        for a, x in zip(col, value):
+            z += w[a] * x
+        for j in range(len(col)):
+            for k in range(j):
+                z += float(v[col[j]] @ v[col[k]]) * value[j] * value[k]
+        assert abs(got[i] - 1 / (1 + np.exp(-z))) < 1e-5
+
+
 def test_pair_sum_is_the_pair_sum():
     rng = np.random.default_rng(0)
     doc, col, value, v = np.repeat([0, 1], 5), np.tile(np.arange(5), 2), rng.normal(size=10), rng.normal(size=(5, 3))
