@@ -24,8 +24,8 @@ from .vector import dot, normalized
 LOCAL = 3000
 #: Vectors of a block in the search for nearest clusters.
 BLOCK = 4096
-#: A round that merges less than this share of the clusters left is the last one; the rest is finished by group.
-LEAST = 0.02
+#: A round that merges less than this share of the clusters left is the last one for groups of up to so many clusters, which are then finished in one task each.
+LEAST, FINISH = 0.02, 20_000
 
 
 def _cut(df: DataFrame) -> DataFrame:
@@ -205,7 +205,7 @@ def merges(vectors: DataFrame, distance: float | None = None, local: int | None
         clusters = _after(clusters, best, merged)
         step += 1
         if merged.count() < LEAST * before:
-            local = 1 << 62  # long chains: rounds no longer pay
+            local = max(local, FINISH)  # long chains: rounds no longer pay
     return functools.reduce(DataFrame.unionByName, edges)
 
 

@@ -193,16 +193,16 @@ def absorb(objects: DataFrame, garbage) -> DataFrame:
     named = rows.where("not pending")
     waiting = rows.where("pending")
 
-    def best(parts) -> DataFrame:
+    def best(parts, who: DataFrame) -> DataFrame:
         """The named object with most parts in common; only objects that share a part meet."""
-        left = waiting.select("object_code", F.explode(parts(F.col("samples"))).alias("part"))
+        left = who.select("object_code", F.explode(parts(F.col("samples"))).alias("part"))
         right = named.select(F.col("object_code").alias("target"), F.explode(parts(F.col("samples"))).alias("part"))
         score = left.join(right, "part").groupBy("object_code", "target").agg(F.count(F.lit(1)).alias("score"))
         w = Window.partitionBy("object_code").orderBy(F.desc("score"), "target")
         return score.withColumn("r", F.row_number().over(w)).where("r = 1").select("object_code", F.col("target").alias("absorbed_by"))
 
-    by_grams = best(sample_grams)
-    by_letters = best(sample_letters).join(by_grams, "object_code", "left_anti")
+    by_grams = written(best(sample_grams, waiting), "absorbed")
+    by_letters = best(sample_letters, waiting.join(by_grams, "object_code", "left_anti"))
     found = by_grams.unionByName(by_letters)
     first = named.agg(F.min("object_code").alias("m"))
     pending = waiting.select("object_code").join(found, "object_code", "left").withColumn("absorbed_by", F.coalesce("absorbed_by", first.scalar()))
