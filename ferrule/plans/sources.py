@@ -103,3 +103,15 @@ def json_export(spark, sf_dir):
     rows = read.select("object_code", "object_name", F.explode_outer("relations").alias("r"))
     first = F.min(F.concat_ws("/", "r.layer", "r.entity_name"))
     return rows.groupBy("object_code", "object_name").agg(F.count("r").alias("relations"), F.round(F.coalesce(F.sum("r.strength"), F.lit(0.0)), 4).alias("strength"), F.coalesce(F.when(F.count("r") > 0, first), F.lit("")).alias("first"))
+
+
+@query(sql("""SELECT domain AS data_domain, object_code, CASE WHEN domain = 'ASIA' THEN lower(object_name) ELSE object_name END AS object_name FROM objects WHERE domain IN ('ASIA', 'EUROPE')"""))
+def catalog_objects(spark, sf_dir):
+    """Objects of two domains: one from the tables, the other, which these lack, from its extraction, found by an old code."""
+    o, path = objects(spark, sf_dir).withColumnRenamed("domain", "data_domain"), folder(spark, "json")
+    code = F.when(F.col("data_domain") == "ASIA", "as").otherwise(F.col("data_domain")).alias("data_domain")
+    o.groupBy(code).agg(F.collect_list(F.struct("object_code", F.lower("object_name").alias("object_name"))).alias("objects")).repartition(5, "data_domain").write.option("maxRecordsPerFile", 1).json(path)
+    found, tables = files.read_extractions(spark, path), o.where("data_domain <> 'ASIA'")
+    none = spark.createDataFrame([], "data_domain string, object_code string, entity_name string")
+    of = lambda d: files.catalog(tables, none, found, d, {"ASIA": "as"})[0].select(F.lit(d).alias("data_domain"), "object_code", "object_name")
+    return of("EUROPE").unionByName(of("ASIA"))

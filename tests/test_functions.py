@@ -84,14 +84,18 @@ def test_transition_rules(spark):
     assert [r["verdict"] for r in lifecycle.transitions(e, ["a", "b", "c"]).orderBy("event_id").collect()] == ["OK", "SKIPPED", "BACK_WITHOUT_NOTES", "OK", "OK", "UNKNOWN_STAGE"]
 
 
-def test_stateful_stream_equals_batch(spark, tmp_path):
+@pytest.mark.parametrize("frame", [10_000, 2])
+def test_stateful_stream_equals_batch(spark, tmp_path, frame):
+    """Also where the events of an object, out of order, come in several frames."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", frame)
     rows = [(i, i % 3, "abc"[(i * 7) % 3], i, "n" if i % 4 == 0 else "") for i in range(30)]
     schema = "event_id long, object_id long, stage string, entered int, notes string"
-    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in"))
+    spark.createDataFrame(rows[::-1], schema).coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
     got = workload.run_to_folder(workload.transitions_stream(stream, ["a", "b", "c"]), str(tmp_path / "out"), "append")
     want = lifecycle.transitions(spark.createDataFrame(rows, schema), ["a", "b", "c"])
     key = lambda df: sorted((r["event_id"], r["verdict"]) for r in df.collect())
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert key(got) == key(want)
 
 
