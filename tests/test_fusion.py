@@ -219,6 +219,20 @@ def test_pending_objects_without_overlap_go_to_the_first(spark):
     assert got == {"OBJ_A": None, "OBJ_B": None, "OBJ__PENDING_MERGE_1": "OBJ_A"}
 
 
+def test_absorbed_objects_of_equal_samples(spark):
+    """Copies of samples cost no pairs of copies: 3,000 pending and 30,000 named objects have few sets of grams."""
+    n = 33_000
+    pending = F.col("id") % 11 == 0
+    samples = F.array(F.concat(F.lit("ring "), (F.col("id") % 7).cast("string")), F.concat(F.lit("Brand#"), (F.col("id") % 5).cast("string")))
+    df = spark.range(n).select(F.concat(F.when(pending, "OBJ__PENDING_MERGE_").otherwise("OBJ_"), F.format_string("%05d", "id")).alias("object_code"), F.concat(F.lit("long name "), "id").alias("object_name"), F.lit(1).alias("cluster_size"), samples.alias("samples"))
+    got = {r["object_code"]: r["absorbed_by"] for r in extract.absorb(df, F.lit(False)).collect()}
+    first = {}
+    for i in range(n):
+        if i % 11:
+            first.setdefault((i % 7, i % 5), f"OBJ_{i:05d}")
+    assert all(got[f"OBJ__PENDING_MERGE_{i:05d}"] == first[i % 7, i % 5] for i in range(0, n, 11))
+
+
 def test_global_dedupe_against_brute_force(spark):
     rnd = random.Random(9)
     stems = ["steel pipe", "steel pipes", "copper wire", "copper wires", "glass"]
