@@ -74,6 +74,15 @@ def test_required_objects_take_their_next_best(spark):
     assert got == {"R0": 1, "R1": 3, "R2": 2, "R3": -1}
 
 
+def test_required_objects_without_next_best(spark):
+    """Both definitions have their best cluster in -2; as in the query's SQL, the later one gets none, not the cluster -1."""
+    objects = spark.createDataFrame([], "object_code string, object_name string, cluster_id int, cluster_size long")
+    clusters = spark.createDataFrame([(i, 20, ["a plate", "a gizmo"]) for i in (-2, -1, 5)], "cluster_id int, size long, samples array<string>")
+    required = spark.createDataFrame([(0, "R1", "plate"), (1, "R2", "gizmo"), (2, "R3", "none")], "position int, object_code string, object_name string")
+    got = {r["object_code"]: (r["cluster_id"], r["cluster_size"]) for r in extract.with_required(objects, clusters, required, next_best=False).collect()}
+    assert got == {"R1": (-2, 20), "R2": (-1, 0), "R3": (-1, 0)}
+
+
 @pytest.mark.parametrize("size", [2, 4])
 def test_needles_against_a_loop(spark, size):
     rnd = random.Random(size)
