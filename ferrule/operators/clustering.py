@@ -31,7 +31,7 @@ LEAST, FINISH = 0.02, 20_000
 def _cut(df: DataFrame) -> DataFrame:
     """df written and read again: a checkpoint would keep the constraints and partitionings of each self-join,
     which double from round to round."""
-    return written(df, "clusters")
+    return written(df, "clusters")  # ids are few bytes in files: joins by id say that nothing is broadcast
 
 
 def chain(ids: np.ndarray, sums: np.ndarray, n: np.ndarray, distance: float | None = None) -> list[tuple[int, int, float]]:
@@ -122,16 +122,16 @@ def _finisher(start: int, distance: float | None):
 def _merged(clusters: DataFrame, best: DataFrame) -> DataFrame:
     """g, a, b, s, n, h of the clusters that are each other's nearest, merged."""
     back = best.select("g", F.col("id").alias("near"), F.col("near").alias("id"))
-    pairs = best.join(back, ["g", "id", "near"]).where("id < near").select("g", F.col("id").alias("a"), F.col("near").alias("b"), "d")
+    pairs = best.join(back.hint("merge"), ["g", "id", "near"]).where("id < near").select("g", F.col("id").alias("a"), F.col("near").alias("b"), "d")
     a = clusters.select("g", F.col("id").alias("a"), F.col("s").alias("sa"), F.col("n").alias("na"), F.col("h").alias("ha"))
     b = clusters.select("g", F.col("id").alias("b"), F.col("s").alias("sb"), F.col("n").alias("nb"), F.col("h").alias("hb"))
-    return _cut(pairs.join(a, ["g", "a"]).join(b, ["g", "b"]).select("g", "a", "b", F.zip_with("sa", "sb", lambda x, y: x + y).alias("s"), (F.col("na") + F.col("nb")).alias("n"), F.greatest("d", "ha", "hb").alias("h")))
+    return _cut(pairs.join(a.hint("merge"), ["g", "a"]).join(b.hint("merge"), ["g", "b"]).select("g", "a", "b", F.zip_with("sa", "sb", lambda x, y: x + y).alias("s"), (F.col("na") + F.col("nb")).alias("n"), F.greatest("d", "ha", "hb").alias("h")))
 
 
 def _after(clusters: DataFrame, best: DataFrame, merged: DataFrame) -> DataFrame:
     """The clusters after a round; those without any nearest are final and go."""
     gone = merged.select("g", F.col("a").alias("id")).unionByName(merged.select("g", F.col("b").alias("id")))
-    rest = clusters.join(best.select("g", "id"), ["g", "id"], "left_semi").join(gone, ["g", "id"], "left_anti")
+    rest = clusters.join(best.select("g", "id").hint("merge"), ["g", "id"], "left_semi").join(gone.hint("merge"), ["g", "id"], "left_anti")
     return _cut(rest.select("g", "id", "s", "n", "h").unionByName(merged.select("g", F.col("a").alias("id"), "s", "n", "h")))
 
 
@@ -152,7 +152,7 @@ def _merges_within(clusters: DataFrame, distance: float, local: int, kind: str)
     mean = F.transform("s", lambda x: x / F.col("n")).alias("v")
     while True:
         means = _cut(clusters.select("g", "id", mean))
-        linked = radius.spanning_edges(radius.groups(means, r, BLOCK), 1 - distance - radius.SLACK)
+        linked = radius.spanning_edges(radius.groups(means, r, radius.block_of(means.count(), BLOCK)), 1 - distance - radius.SLACK)
         clusters = _cut(clusters.join(radius.components(means, linked), ["g", "id"]))
         sizes = _cut(clusters.groupBy("g", "component").agg(F.count(F.lit(1)).alias("c")))
         lonely = clusters.join(sizes.where((F.col("c") <= local) & (F.col("c") > 1)), ["g", "component"], "left_semi")
@@ -161,7 +161,7 @@ def _merges_within(clusters: DataFrame, distance: float, local: int, kind: str)
         if clusters.isEmpty():
             return edges
         means = _cut(clusters.select("g", "id", mean))
-        best = _cut(radius.nearest_within(radius.groups(means, r, BLOCK), 1 - distance))
+        best = _cut(radius.nearest_within(radius.groups(means, r, radius.block_of(means.count(), BLOCK)), 1 - distance))
         merged = _merged(clusters, best)
         if merged.isEmpty():
             return edges
@@ -220,16 +220,16 @@ def numbered(reps: DataFrame) -> DataFrame:
 
 def labels(vectors: DataFrame, tree: DataFrame) -> DataFrame:
     """(g, id, cluster) of vectors (g, id) by the merges in tree, numbered by each cluster's least id."""
-    now = vectors.select("g", "id").join(tree.select("g", F.col("b").alias("id"), "a"), ["g", "id"], "left").select("g", "id", F.coalesce("a", "id").alias("root"))
+    now = vectors.select("g", "id").join(tree.select("g", F.col("b").alias("id"), "a").hint("merge"), ["g", "id"], "left").select("g", "id", F.coalesce("a", "id").alias("root"))
     now = _cut(now)
     while True:
         far = now.where("root <> id").select("g", F.col("id").alias("root"), F.col("root").alias("far"))
-        new = _cut(now.join(far, ["g", "root"], "left").select("g", "id", F.coalesce("far", "root").alias("root"), F.col("far").isNotNull().alias("moved")))
+        new = _cut(now.join(far.hint("merge"), ["g", "root"], "left").select("g", "id", F.coalesce("far", "root").alias("root"), F.col("far").isNotNull().alias("moved")))
         now = new.drop("moved")
         if new.where("moved").isEmpty():
             break
     number = numbered(now.where("root = id").select("g", "id"))
-    return now.join(number.select("g", F.col("id").alias("root"), "cluster"), ["g", "root"]).select("g", "id", "cluster")
+    return now.join(number.select("g", F.col("id").alias("root"), "cluster").hint("merge"), ["g", "root"]).select("g", "id", "cluster")
 
 
 def cut_tree(vectors: DataFrame, tree: DataFrame, k: Column) -> DataFrame:

@@ -22,14 +22,19 @@ from pyspark.sql import functions as F
 
 from ferrule.session import workers_import, written
 
-#: Vectors of a block, and pivots at most: with 64 coordinates they are half a megabyte.
-BLOCK, PIVOTS = 2048, 1024
+#: Vectors of a block: at least, at most (with 64 coordinates 8 MB), and the blocks that all vectors make in between; pivots at most.
+BLOCK, LARGEST, BLOCKS, PIVOTS = 2048, 16384, 24, 1024
 SLACK = 1e-9
 
 
-def pivots_of(vectors: DataFrame, block: int = BLOCK) -> np.ndarray:
-    """A bounded choice of vectors, by hash of their ids: about one a block."""
-    k = max(1, min(PIVOTS, -(-vectors.count() // block)))
+def block_of(n: int, least: int = BLOCK) -> int:
+    """How many of n vectors a block has: where pivots rule nothing out each vector goes to every block, so their number hardly grows."""
+    return max(least, min(LARGEST, -(-n // BLOCKS)))
+
+
+def pivots_of(vectors: DataFrame, n: int, block: int) -> np.ndarray:
+    """A bounded choice of the n vectors, by hash of their ids: about one a block."""
+    k = max(1, min(PIVOTS, -(-n // block)))
     rows = vectors.select("id", "v").orderBy(F.xxhash64("id"), "id").limit(k).collect()
     return np.array([r["v"] for r in rows], float) if rows else np.zeros((0, 0))
 
@@ -84,14 +89,19 @@ def block_pairs(placed: DataFrame, keys: list[str], block: int = BLOCK) -> DataF
     return rows.select(*keys, "id", F.inline(dealt))
 
 
-def groups(vectors: DataFrame, r: float, block: int = BLOCK) -> DataFrame:
-    """g, cell, ring, h, w, here, id, v: rows of the groups in which all pairs of one g within r meet."""
-    vectors = vectors.select("g", "id", "v")
-    pivots = pivots_of(vectors, block)
+def groups(vectors: DataFrame, r: float, block: int | None = None) -> DataFrame:
+    """g, cell, ring, h, w, here, id, v: rows of the groups in which all pairs of one g within r meet.
+
+    The places of the vectors are few bytes in files and many rows, so that side of the
+    join is never broadcast.
+    """
+    vectors, n = vectors.select("g", "id", "v"), vectors.count()
+    block = block or block_of(n)
+    pivots = pivots_of(vectors, n, block)
     if not len(pivots):
         return vectors.selectExpr("g", "0 as cell", "0 as ring", "0 as h", "0 as w", "true as here", "id", "v")
     placed = written(visits(vectors, pivots, r), "visits")
-    return block_pairs(placed, ["g", "cell", "ring"], block).join(vectors, ["g", "id"])
+    return block_pairs(placed, ["g", "cell", "ring"], block).join(vectors.hint("merge"), ["g", "id"])
 
 
 KEYS = ["g", "cell", "ring", "h", "w"]
@@ -191,21 +201,22 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """g, id, component of nodes (g, id) by edges (g, a, b): the least id reachable.
 
     Minimum labels with pointer jumping, each round a written table, until nothing moves.
+    Labels grow with the nodes and are not broadcast.
     """
     both = written(edges.select("g", "a", "b").unionByName(edges.select("g", F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     labels = written(nodes.select("g", "id", F.col("id").alias("component")), "labels")
     while True:
-        near = both.join(labels.select("g", F.col("id").alias("b"), "component"), ["g", "b"]).select("g", F.col("a").alias("id"), "component")
+        near = both.join(labels.select("g", F.col("id").alias("b"), "component").hint("merge"), ["g", "b"]).select("g", F.col("a").alias("id"), "component")
         least = near.unionByName(labels).groupBy("g", "id").agg(F.min("component").alias("next"))
-        was = least.join(labels.withColumnRenamed("component", "was"), ["g", "id"])
+        was = least.join(labels.withColumnRenamed("component", "was").hint("merge"), ["g", "id"])
         jump = labels.select("g", F.col("id").alias("next"), F.col("component").alias("far"))
-        new = written(was.join(jump, ["g", "next"]).select("g", "id", F.least("next", "far").alias("component"), "was"), "labels")
+        new = written(was.join(jump.hint("merge"), ["g", "next"]).select("g", "id", F.least("next", "far").alias("component"), "was"), "labels")
         if new.where("component <> was").isEmpty():
             return new.drop("was")
         labels = new.drop("was")
 
 
-def radius_components(vectors: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
+def radius_components(vectors: DataFrame, threshold: float, block: int | None = None) -> DataFrame:
     """g, id, component of unit vectors (g, id, v): linked where their cosine is at least the threshold, directly or by others.
 
     Equal vectors hang on the least id of theirs and only that one is compared, so a

@@ -26,7 +26,7 @@ def normalized(a: Column) -> Column:
     return F.element_at(F.transform(F.array(norm(a) + 1e-12), over), 1)
 
 
-def similar_pairs(vectors: DataFrame, threshold: float, block: int = radius.BLOCK) -> DataFrame:
+def similar_pairs(vectors: DataFrame, threshold: float, block: int | None = None) -> DataFrame:
     """(a, b, similarity), a < b, of cosine similarity at least threshold; vectors: id, v.
 
     Vectors meet in the rings of pivots that may hold them both, and a group of blocks is

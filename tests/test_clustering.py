@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pytest
 
@@ -149,3 +151,12 @@ def test_linkage_by_components_equals_brute_force(spark, monkeypatch, local):
     df = spark.createDataFrame([(i % 2, i, [float(x) for x in u]) for i, u in enumerate(v)], "label int, id long, v array<double>")
     rows = clustering.agglomerate(df, "label", distance=0.12, local=local).collect()
     assert parts(rows) == brute({g: [(i, v[i]) for i in range(g, 90, 2)] for g in (0, 1)}, distance=0.12)
+
+
+def test_places_of_vectors_are_not_broadcast(spark):
+    """Many rows that are few bytes in files: the join that gives them their vectors, and the labels of components, shuffle."""
+    rnd = np.random.default_rng(4)
+    df = spark.createDataFrame([(0, i, rnd.normal(size=4).tolist()) for i in range(300)], "g int, id long, v array<double>")
+    plan = radius.groups(df, 0.5, block=20)._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"SortMergeJoin \[g#\d+, id#\d+L?\]", plan)
+    assert [radius.block_of(n) for n in (0, 1000, 240_000, 10**7)] == [2048, 2048, 10_000, 16_384] and radius.block_of(300, 20) == 20
