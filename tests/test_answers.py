@@ -74,6 +74,37 @@ def test_required_objects_take_their_next_best(spark):
     assert got == {"R0": 1, "R1": 3, "R2": 2, "R3": -1}
 
 
+def test_duplicates_keep_every_link(spark):
+    """All undecided pairs of objects, counted by hand; first objects of two names may share a code or be decided."""
+    rnd = random.Random(5)
+    names = ["steel pipe", "steel pipes", "steel pip", "glass", None]
+    rows = [(i, rnd.choice(["c1", "c2", "c3", f"d{i}", None]), rnd.choice(names)) for i in range(60)]
+    rows += [(100, "k", "red lamp"), (101, "k", "red lamps"), (102, "l", "red lamps")]
+    decided = {(i, i + rnd.randint(1, 9)) for i in range(0, 50, 2)}
+    grams = lambda t: {t[i : i + k] for k in (2, 3) for i in range(len(t) - k + 1) if " " not in t[i : i + k]}
+    first = {}
+    for i, c, n in rows:
+        first.setdefault(("c", c), i), first.setdefault(("n", n), i)
+    want: dict = {}
+    for x in rows:
+        for y in rows:
+            if x[0] >= y[0] or (x[0], y[0]) in decided:
+                continue
+            if x[1] is not None and x[1] == y[1] or x[2] is not None and x[2] == y[2]:
+                kind, key = ("EXACT_CODE", ("c", x[1])) if x[1] is not None and x[1] == y[1] else ("EXACT_NAME", ("n", x[2]))
+                keys = [(first[key], i, kind) for i in (x[0], y[0]) if i != first[key]]
+            elif x[2] is not None and y[2] is not None and len(grams(x[2]) & grams(y[2])) / len(grams(x[2]) | grams(y[2])) >= 0.6:
+                keys = [(*sorted([first["n", x[2]], first["n", y[2]]]), "SEMANTIC")]
+            else:
+                continue
+            for k in keys:
+                want[k] = want.get(k, 0) + 1
+    df = spark.createDataFrame(rows, "id long, code string, name string")
+    got = dedup.duplicates(df, spark.createDataFrame([(b, a) for a, b in decided], "a long, b long"), 0.6).collect()
+    assert {(r["id"], r["other"], r["match_type"]): r["links"] for r in got} == want and len(got) == len(want)
+    assert want[100, 101, "SEMANTIC"] == 1
+
+
 def test_required_objects_without_next_best(spark):
     """Both definitions have their best cluster in -2; as in the query's SQL, the later one gets none, not the cluster -1."""
     objects = spark.createDataFrame([], "object_code string, object_name string, cluster_id int, cluster_size long")
