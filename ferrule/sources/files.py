@@ -52,7 +52,11 @@ def sheet_cells(data: bytes) -> Iterator[tuple[str, int, int, str]]:
             path = path if path.startswith("xl/") else f"xl/{path}"
             number = 0
             with book.open(path) as stream:
-                for _, row in ElementTree.iterparse(stream):
+                rows_of = None
+                for event, row in ElementTree.iterparse(stream, ("start", "end")):
+                    if event == "start":
+                        rows_of = row if row.tag == f"{NS}sheetData" else rows_of
+                        continue
                     if row.tag != f"{NS}row":
                         continue
                     number = int(row.get("r") or number + 1)
@@ -68,6 +72,8 @@ def sheet_cells(data: bytes) -> Iterator[tuple[str, int, int, str]]:
                             text = shared[int(value.text)] if cell.get("t") == "s" else value.text
                         yield sheet.get("name"), number, column, text
                     row.clear()
+                    if rows_of is not None:
+                        rows_of.clear()  # rows that were read
 
 
 def sheet_rows(data: bytes, header: str, check: str | None = None) -> Iterator[tuple[str, int, int, str, str]]:
@@ -119,37 +125,51 @@ def read_workbooks(spark: SparkSession, path: str, header: str = "first") -> Dat
     return files.mapInPandas(cells, "file string, sheet string, row long, column int, attribute string, value string")
 
 
+def _save_book(target, sheets: Iterator[tuple[str, Iterator[list]]]) -> None:
+    """A workbook of inline strings into a binary stream, a row at a time; None leaves a cell out."""
+    names = []
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for i, (name, rows) in enumerate(sheets, 1):
+            names.append(name)
+            with z.open(f"xl/worksheets/sheet{i}.xml", "w", force_zip64=True) as part:
+                part.write(f'<worksheet xmlns="{NS[1:-1]}"><sheetData>'.encode())
+                for row in rows:
+                    part.write(("<row>" + "".join("<c/>" if v is None else f'<c t="inlineStr"><is><t>{escape(str(v))}</t></is></c>' for v in row) + "</row>").encode())
+                part.write(b"</sheetData></worksheet>")
+        listed = "".join(f"<sheet name={quoteattr(n)} sheetId=\"{i}\" r:id=\"rId{i}\"/>" for i, n in enumerate(names, 1))
+        z.writestr("xl/workbook.xml", f'<workbook xmlns="{NS[1:-1]}" xmlns:r="{REL[1:-1]}"><sheets>{listed}</sheets></workbook>')
+        links = "".join(f'<Relationship Id="rId{i}" Target="worksheets/sheet{i}.xml"/>' for i in range(1, len(names) + 1))
+        z.writestr("xl/_rels/workbook.xml.rels", f'<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">{links}</Relationships>')
+
+
 def workbook_bytes(sheets: dict[str, list[list]]) -> bytes:
     """A workbook of inline strings; None leaves a cell out."""
     out = io.BytesIO()
-    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-        names = "".join(f"<sheet name={quoteattr(n)} sheetId=\"{i}\" r:id=\"rId{i}\"/>" for i, n in enumerate(sheets, 1))
-        z.writestr("xl/workbook.xml", f'<workbook xmlns="{NS[1:-1]}" xmlns:r="{REL[1:-1]}"><sheets>{names}</sheets></workbook>')
-        links = "".join(f'<Relationship Id="rId{i}" Target="worksheets/sheet{i}.xml"/>' for i in range(1, len(sheets) + 1))
-        z.writestr("xl/_rels/workbook.xml.rels", f'<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">{links}</Relationships>')
-        for i, rows in enumerate(sheets.values(), 1):
-            body = "".join("<row>" + "".join("<c/>" if v is None else f'<c t="inlineStr"><is><t>{escape(str(v))}</t></is></c>' for v in row) + "</row>" for row in rows)
-            z.writestr(f"xl/worksheets/sheet{i}.xml", f'<worksheet xmlns="{NS[1:-1]}"><sheetData>{body}</sheetData></worksheet>')
+    _save_book(out, ((n, iter(rows)) for n, rows in sheets.items()))
     return out.getvalue()
 
 
 def write_workbooks(rows: DataFrame, folder: str) -> int:
-    """One workbook for each name in `file`; rows: file, sheet, row, cells (array<string>, the header being row 0). Returns the number of files."""
+    """One workbook for each name in `file`; rows: file, sheet, row, cells (array<string>, the header being row 0). Returns the number of files.
+
+    A file is one task's, which gets its rows in order and writes them as they come.
+    """
 
-    def save(frame: pd.DataFrame) -> pd.DataFrame:
+    def save(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyarrow import fs
 
-        frame = frame.sort_values(["sheet", "row"])
-        sheets = {s: [list(c) for c in part["cells"]] for s, part in frame.groupby("sheet", sort=True)}
         store, root = fs.FileSystem.from_uri(folder)
-        path = f"{root}/{frame['file'].iloc[0]}"
-        store.create_dir(path.rsplit("/", 1)[0], recursive=True)
-        with store.open_output_stream(path) as f:
-            f.write(workbook_bytes(sheets))
-        return pd.DataFrame({"file": [path]})
+        each = ((r.file, r.sheet, list(r.cells)) for frame in frames for r in frame.itertuples(index=False))
+        for file, own in itertools.groupby(each, key=lambda r: r[0]):
+            path = f"{root}/{file}"
+            store.create_dir(path.rsplit("/", 1)[0], recursive=True)
+            with store.open_output_stream(path) as f:
+                _save_book(f, ((sheet, (r[2] for r in part)) for sheet, part in itertools.groupby(own, key=lambda r: r[1])))
+            yield pd.DataFrame({"file": [path]})
 
     workers_import(rows.sparkSession)
-    return rows.groupBy("file").applyInPandas(save, "file string").count()
+    ordered = rows.select("file", "sheet", "row", "cells").repartition("file").sortWithinPartitions("file", "sheet", "row")
+    return ordered.mapInPandas(save, "file string").count()
 
 
 def _named(cells: DataFrame, sheet_prefix: str, columns: dict[str, str]) -> DataFrame:

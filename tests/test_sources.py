@@ -117,3 +117,15 @@ def test_large_wide_file_in_ranges(spark, tmp_path):
         assert sorted((r["名"] or "", r["值"], r["别"] or "") for r in got.collect()) == sorted([(f"中,{i}", str(i), "") for i in range(3000)] + [("", "1", "中")])
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_sheets_are_read_row_by_row():
+    """Rows that were read leave the tree: 30,000 rows are never held together."""
+    import tracemalloc
+
+    data = files.workbook_bytes({"a": [[str(i), None, "x"] for i in range(30_000)]})
+    tracemalloc.start()
+    assert sum(1 for _ in files.sheet_cells(data)) == 60_000
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 1_500_000
