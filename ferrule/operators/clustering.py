@@ -21,11 +21,11 @@ from . import radius
 from .vector import dot, normalized
 
 #: Groups up to so many clusters are finished in one task, in memory linear in their number.
-LOCAL = 3000
-#: Vectors of a block in the search for nearest clusters.
-BLOCK = 4096
+LOCAL = 8000
+#: Vectors of a block in the search for nearest clusters: at least, at most, and the blocks that a group makes in between.
+BLOCK, LARGEST, BLOCKS = 4096, 16384, 8
 #: A round that merges less than this share of the clusters left is the last one for groups of up to so many clusters, which are then finished in one task each.
-LEAST, FINISH = 0.02, 20_000
+LEAST, FINISH = 0.2, 20_000
 
 
 def _cut(df: DataFrame) -> DataFrame:
@@ -69,7 +69,7 @@ def chain(ids: np.ndarray, sums: np.ndarray, n: np.ndarray, distance: float | No
 
 def _nearest(clusters: DataFrame, sizes: DataFrame, kind: str) -> DataFrame:
     """(g, id, d, near) of each cluster's nearest in its group, the least id on a tie; each pair of blocks is one group."""
-    blocks = F.ceil(F.col("c") / F.lit(BLOCK))
+    blocks = F.ceil(F.col("c") / F.greatest(F.lit(BLOCK), F.least(F.lit(LARGEST), F.ceil(F.col("c") / BLOCKS))))  # each vector goes to every block
     rows = clusters.join(sizes, "g").withColumn("block", F.pmod(F.xxhash64("id"), blocks))
     dealt = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))).select("g", "id", F.transform("s", lambda x: x / F.col("n")).alias("m"), "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
 
@@ -249,17 +249,36 @@ def target_clusters(n: Column, target: int | None) -> Column:
     return F.greatest(F.lit(1), F.least(wanted, tenth, F.lit(20)))
 
 
-def agglomerate(vectors: DataFrame, group: str, target: int | None = 15, distance: float | None = None, local: int | None = None) -> DataFrame:
-    """(group, id, cluster) by average linkage inside each group, of any size: to a number of clusters, or below a distance."""
+def tree_of(vectors: DataFrame, group: str, local: int | None = None) -> DataFrame:
+    """merges() of all vectors of each group in one table, for agglomerate() and split_oversized()."""
+    return _cut(merges(vectors.select(F.col(group).alias("g"), "id", "v"), local=local))
+
+
+def agglomerate(vectors: DataFrame, group: str, target: int | None = 15, distance: float | None = None, local: int | None = None, tree: DataFrame | None = None) -> DataFrame:
+    """(group, id, cluster) by average linkage inside each group, of any size: to a number of clusters, or below a distance.
+
+    tree: that of tree_of(), if it is at hand and there is no distance.
+    """
     rows = vectors.select(F.col(group).alias("g"), "id", "v")
-    tree = merges(rows, distance, local)
+    tree = merges(rows, distance, local) if tree is None else tree
     if distance is None:
         tree = cut_tree(rows, tree, target_clusters(F.col("n"), target))
     return labels(rows, tree).withColumnRenamed("g", group)
 
 
-def split_oversized(clusters: DataFrame, vectors: DataFrame, group: str, share: float = 0.4, levels: int = 3, local: int | None = None) -> DataFrame:
-    """Clusters above a share of their group are split again, at most `levels` times; new numbers follow the largest."""
+def _within(tree: DataFrame, rows: DataFrame) -> DataFrame:
+    """The merges of tree inside each set of rows (g, key, id), by the sets' keys."""
+    a, b = (rows.select("g", F.col("id").alias(x), F.col("key").alias(f"k{x}")) for x in "ab")
+    return _cut(tree.join(a.hint("merge"), ["g", "a"]).join(b.hint("merge"), ["g", "b"]).where("ka = kb").select(F.col("ka").alias("g"), "a", "b", "h", "step"))
+
+
+def split_oversized(clusters: DataFrame, vectors: DataFrame, group: str, share: float = 0.4, levels: int = 3, local: int | None = None, tree: DataFrame | None = None) -> DataFrame:
+    """Clusters above a share of their group are split again, at most `levels` times; new numbers follow the largest.
+
+    tree: that of tree_of(), if the clusters are cut from it. Average linkage merges the
+    members of one of its clusters in the same order by themselves as among all others, so
+    their part of it is their own tree, and nothing is clustered again.
+    """
     now = _cut(clusters.select(F.col(group).alias("g"), "id", "cluster"))
     totals = now.groupBy("g").agg(F.count(F.lit(1)).alias("total"))
     for _ in range(levels):
@@ -268,10 +287,15 @@ def split_oversized(clusters: DataFrame, vectors: DataFrame, group: str, share:
         big = _cut(sizes.join(totals, "g").join(top, "g").where((F.col("size") > share * F.col("total")) & (F.col("total") >= 3)).withColumn("key", F.monotonically_increasing_id()))
         if big.isEmpty():
             break
-        rows = now.join(big.select("g", "cluster", "key"), ["g", "cluster"]).select(F.col("key").alias("g"), "id")
-        rows = _cut(rows.join(vectors.select("id", "v"), "id"))
+        rows = _cut(now.join(big.select("g", "cluster", "key"), ["g", "cluster"]).select("g", F.col("key"), "id"))
+        if tree is None:
+            own = rows.select(F.col("key").alias("g"), "id").join(vectors.select("id", "v").hint("merge"), "id")
+            inner = merges(own, local=local)
+        else:
+            inner = _within(tree, rows)
+        rows = rows.select(F.col("key").alias("g"), "id")
         k = F.greatest(F.lit(3), F.least(F.lit(5), F.floor(F.col("n") / 50)))
-        part = labels(rows, cut_tree(rows, merges(rows, local=local), k)).select(F.col("g").alias("key"), "id", F.col("cluster").alias("part"))
+        part = labels(rows, cut_tree(rows, inner, k)).select(F.col("g").alias("key"), "id", F.col("cluster").alias("part"))
         part = _cut(part)
         more = part.groupBy("key").agg(F.max("part").alias("more"))
         before = Window.partitionBy("g").orderBy("cluster").rowsBetween(Window.unboundedPreceding, -1)

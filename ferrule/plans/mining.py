@@ -102,7 +102,8 @@ def agglomerative(spark, sf_dir):
 @query()
 def split_oversized(spark, sf_dir):
     v = vectors(spark, sf_dir)
-    return cl.split_oversized(cl.agglomerate(v, "label", 2), v, "label")
+    tree = cl.tree_of(v, "label")
+    return cl.split_oversized(cl.agglomerate(v, "label", 2, tree=tree), v, "label", tree=tree)
 
 
 @query()

@@ -160,3 +160,27 @@ def test_places_of_vectors_are_not_broadcast(spark):
     plan = radius.groups(df, 0.5, block=20)._jdf.queryExecution().executedPlan().toString()
     assert re.search(r"SortMergeJoin \[g#\d+, id#\d+L?\]", plan)
     assert [radius.block_of(n) for n in (0, 1000, 240_000, 10**7)] == [2048, 2048, 10_000, 16_384] and radius.block_of(300, 20) == 20
+
+
+def test_splits_are_cut_from_the_tree(cloud, monkeypatch):
+    """Splitting by the tree of all vectors gives what clustering each cluster again gives, and clusters nothing again."""
+    _, df = cloud
+    tree = clustering.tree_of(df, "label", local=40)
+    first = clustering.agglomerate(df, "label", 2, tree=tree)
+    show = lambda out: sorted((r["label"], r["id"], r["cluster"]) for r in out.collect())
+    again = show(clustering.split_oversized(first, df, "label"))
+    monkeypatch.setattr(clustering, "merges", None)
+    assert show(clustering.split_oversized(first, df, "label", tree=tree)) == again
+    assert len({r[:1] + r[2:] for r in again}) > first.select("label", "cluster").distinct().count()
+
+
+def test_large_groups_make_few_blocks(spark, monkeypatch):
+    """A group is dealt to few blocks, not to one for each BLOCK vectors, and rounds end early."""
+    monkeypatch.setattr(clustering, "BLOCK", 10)
+    rnd = np.random.default_rng(5)
+    df = spark.createDataFrame([(0, i, rnd.normal(size=4).tolist(), 1) for i in range(400)], "g int, id long, s array<double>, n long")
+    sizes = df.groupBy("g").agg({"id": "count"}).toDF("g", "c")
+    seen = []
+    monkeypatch.setattr(type(df), "groupBy", lambda self, *k, f=type(df).groupBy: (k == ("g", "lo", "hi") and seen.append(self.count()), f(self, *k))[1])
+    clustering._nearest(df, sizes, "int")
+    assert seen == [400 * clustering.BLOCKS] and clustering.LEAST >= 0.1
