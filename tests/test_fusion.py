@@ -5,6 +5,7 @@ from __future__ import annotations
 import itertools
 import math
 import random
+import re
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -260,3 +261,27 @@ def test_global_dedupe_against_brute_force(spark):
     assert {(r["dataset"], r["attribute"], r["from_text"], r["canonical_text"]) for r in mapping.collect()} == {(d, a, t, want[a.lower(), t]) for d, a, t in freq}
     sizes = Counter((d, a, want[a.lower(), t]) for d, a, t in freq)
     assert {(r["dataset"], r["attribute"], r["canonical_text"]): r["cluster_size"] for r in canon.collect()} == sizes
+
+
+def test_bridged_relations_carry_business_objects_only(spark):
+    """Against loops, with entities of several business objects, known keys and nulls; no row is multiplied by objects before the end."""
+    rnd = random.Random(3)
+    pick = lambda n, *sides: [tuple(None if rnd.random() < 0.05 else f"{s}{rnd.randrange(k)}" for s, k in sides) for _ in range(n)]
+    matches = [(f"o{i}", f"b{j}", round(rnd.random(), 4)) for i in range(4) for j in range(5) if rnd.random() < 0.7] + [("o0", None, 0.9), (None, "b1", 0.3)]
+    biz, cl, lp = pick(40, ("b", 6), ("c", 15)), pick(40, ("c", 15), ("l", 12)), pick(40, ("l", 12), ("p", 10))
+    known = [(o, x, e) for o in ("o0", "o1", None) for x, e in (("CONCEPT", "c1"), ("LOGICAL", "l2"), ("PHYSICAL", "p3"), ("CONCEPT", "p4"), ("PHYSICAL", None))]
+    c = {(o, s, e) for o, b, s in matches for x, e in biz if b is not None and b == x}
+    l = {(o, s, e) for o, s, x in c for y, e in cl if x is not None and x == y}
+    p = {(o, s, e) for o, s, x in l for y, e in lp if x is not None and x == y}
+    want = {}
+    for layer, f, rows in (("CONCEPT", 0.75, c), ("LOGICAL", 0.55, l), ("PHYSICAL", 0.45, p)):
+        for o, s, e in rows:
+            if None in (o, e) or (o, layer, e) not in known:
+                want[o, layer, e] = max(want.get((o, layer, e), 0), round(s * f, 4))
+    make = lambda rows, names: spark.createDataFrame(rows, ", ".join(f"{n} string" for n in names.split()))
+    frames = make(biz, "business concept"), make(cl, "concept logical"), make(lp, "logical physical"), make(known, "object_code layer entity_name")
+    out = extract.bridged_relations(spark.createDataFrame(matches, "object_code string, business string, score double"), *frames)
+    got = [tuple(r) for r in out.collect()]
+    assert len(got) == len(want) and {r[:3]: r[3] for r in got} == pytest.approx(want, abs=1.01e-4)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"hashpartitioning\(object_code#\d+, (layer#\d+, )?(concept|logical|physical)", plan)
