@@ -19,6 +19,17 @@ def bucket(buckets: int) -> Column:
     return F.pmod(F.xxhash64(*KEY), F.lit(buckets)).cast("int")
 
 
+def packed(text: Column) -> Column:
+    """A hash in half the bytes, if it is lower-case hex, else as it is; unpacked() gives the text again."""
+    raw = F.unhex(text)
+    return F.when(F.lower(F.hex(raw)) == text, F.concat(F.unhex(F.lit("01")), raw)).otherwise(F.concat(F.unhex(F.lit("00")), F.encode(text, "UTF-8")))
+
+
+def unpacked(data: Column) -> Column:
+    rest = F.substring(data, 2, 1 << 30)
+    return F.when(F.substring(data, 1, 1) == F.unhex(F.lit("01")), F.lower(F.hex(rest))).otherwise(F.decode(rest, "UTF-8"))
+
+
 def import_rows(store: Store, rows: DataFrame, cells: DataFrame, force: bool = False, buckets: int = BUCKETS) -> dict[str, int]:
     """Merge rows and their cells into the tables entities and values of a store; returns inserted, updated, skipped.
 
@@ -26,29 +37,35 @@ def import_rows(store: Store, rows: DataFrame, cells: DataFrame, force: bool = F
     key and hash is skipped (with force it is updated); one of another hash has its
     values replaced. Rows that are gone at the source stay. Only buckets with a new or
     changed row are read whole and written again, and where there is none nothing is
-    written. What happens to each row is counted as it is written down. A store keeps the
-    number of buckets that its first import set.
+    written. What happens to each row is counted on the way; only new and changed rows are
+    written down, and hashes are shuffled packed. A store keeps the number of buckets that
+    its first import set.
     """
     version = store.version()
-    old = store.table("entities", ENTITIES, version=version)
+    first = "entities" not in store.manifest(version)["tables"]
     buckets = store.manifest(version)["settings"].get("buckets", buckets)
-    new = written(rows.select(*[F.col(c).cast(t) for c, t in (x.split(" ") for x in ENTITIES.split(", "))]), "rows")
+    short = lambda df: df.select(*KEY, "external_id", packed(F.col("row_hash")).alias("row_hash"))
+    new = short(rows.select(*[F.col(c).cast(t).alias(c) for c, t in (x.split(" ") for x in ENTITIES.split(", "))]))
     same = F.lit(False) if force else F.col("__old") == F.col("row_hash")
     action = F.when(F.col("__had").isNull(), "INSERT").when(same, "SKIP").otherwise("UPDATE")
-    joined = new.join(old.select(*KEY, F.col("row_hash").alias("__old"), F.lit(True).alias("__had")), KEY, "left").select(*new.columns, action.alias("action"), bucket(buckets).alias("bucket"))
+    if first:
+        met = new.select("*", F.lit(None).alias("__had"), F.lit(None).cast("binary").alias("__old"))
+    else:
+        old = short(store.table("entities", ENTITIES, version=version))
+        met = new.join(old.select(*KEY, F.col("row_hash").alias("__old"), F.lit(True).alias("__had")), KEY, "left")
+    joined = met.select(*new.columns, action.alias("action"), bucket(buckets).alias("bucket"))
     counts = Observation()
     seen = joined.observe(counts, *[F.count_if(F.col("action") == a).alias(n) for a, n in (("INSERT", "inserted"), ("UPDATE", "updated"), ("SKIP", "skipped"))])
-    judged = written(seen, "actions")
+    changed = written(seen.where("action <> 'SKIP'"), "actions")
     stats = {n: int(counts.get[n]) for n in ("inserted", "updated", "skipped")}
-    changed = judged.where("action <> 'SKIP'")
     touched = sorted(r["bucket"] for r in changed.select("bucket").distinct().collect())  # at most `buckets` numbers
     if not touched:
         return stats
     parts = [str(b) for b in touched]
-    entities = store.table("entities", ENTITIES, parts, version).join(changed.select(*KEY), KEY, "left_anti").unionByName(changed.select(*new.columns))
+    entities = short(store.table("entities", ENTITIES, parts, version)).join(changed.select(*KEY), KEY, "left_anti").unionByName(changed.select(*new.columns))
     own = cells.select(*[F.col(c).cast(t) for c, t in (x.split(" ") for x in VALUES.split(", "))]).join(changed.select(*KEY), KEY, "left_semi")
     values = store.table("values", VALUES, parts, version).join(changed.select(*KEY), KEY, "left_anti").unionByName(own)
-    changes = [store.write("entities", entities, bucket(buckets)), store.write("values", values, bucket(buckets))]
+    changes = [store.write("entities", entities, bucket(buckets), [*KEY, "external_id", unpacked(F.col("row_hash")).alias("row_hash")]), store.write("values", values, bucket(buckets))]
     # a bucket whose last value went has no folder any more
     changes = [(n, s, {**dict.fromkeys(parts), **p}) for n, s, p in changes]
     store.publish(changes, version, buckets=buckets)

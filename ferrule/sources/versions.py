@@ -50,15 +50,20 @@ class Store:
         folders = [f"{self.root}/{f}" for f in sorted(wanted.values())]
         return self.spark.read.schema(kinds).parquet(*folders) if folders else self.spark.createDataFrame([], kinds)
 
-    def write(self, name: str, rows: DataFrame, part: Column | None = None) -> tuple[str, str, dict[str, str]]:
-        """Rows in new folders that nobody reads yet: one, or one for each value of part (a number)."""
-        folder = f"{name}/{uuid.uuid4().hex}"
+    def write(self, name: str, rows: DataFrame, part: Column | None = None, columns: list[Column | str] | None = None) -> tuple[str, str, dict[str, str]]:
+        """Rows in new folders that nobody reads yet: one, or one for each value of part (a number).
+
+        columns: what is written of the rows, made after they are dealt to their parts.
+        """
+        folder, columns = f"{name}/{uuid.uuid4().hex}", columns or rows.columns
+        schema = rows.select(*columns).schema.json()
         if part is None:
-            rows.write.parquet(f"{self.root}/{folder}")
-            return name, rows.schema.json(), {"": folder}
-        rows.withColumn("__part", part).repartition("__part").write.partitionBy("__part").parquet(f"{self.root}/{folder}")
+            rows.select(*columns).write.option("compression", "zstd").parquet(f"{self.root}/{folder}")
+            return name, schema, {"": folder}
+        dealt = rows.withColumn("__part", part).repartition("__part").select(*columns, "__part")
+        dealt.write.partitionBy("__part").option("compression", "zstd").parquet(f"{self.root}/{folder}")
         found = {n.rsplit("=", 1)[1]: n.rsplit("/", 1)[1] for n in self._names(f"{folder}/__part=*")}
-        return name, rows.schema.json(), {p: f"{folder}/{n}" for p, n in found.items()}
+        return name, schema, {p: f"{folder}/{n}" for p, n in found.items()}
 
     def publish(self, changes: list[tuple[str, str, dict[str, str | None]]], based_on: int, **settings) -> int:
         """The next manifest: in each table the given parts replaced (None: gone). Returns its number."""

@@ -59,6 +59,24 @@ def test_an_import_rewrites_only_what_changed(spark):
     assert store.vacuum() == 0 or store.table("values").count() == 39
 
 
+def test_an_import_writes_down_only_what_changed(spark, monkeypatch):
+    """Rows that are skipped are counted, not written; hashes keep their text, hex or not."""
+    hashes = ["00ff", "00FF", "abc", "0abc", "", "h1", "é", "a9993e364706816aba3e25717850c26c9cd0d89d", None, "\x01ab", "\x00"]
+    df = spark.createDataFrame([(h,) for h in hashes], "h string")
+    got = df.select("h", imports.packed(F.col("h")).alias("p")).select("h", F.hex("p"), imports.unpacked(F.col("p"))).collect()
+    assert [r[2] for r in got] == [r[0] for r in got] == hashes and len({r[1] for r in got}) == len(hashes)
+    store, seen = Store(spark, shared_path(spark, "t")), []
+    monkeypatch.setattr(imports, "written", lambda df, name="table", f=imports.written: (seen.append((name, (out := f(df, name)).count())), out)[1])
+    state = {k: (hashes[k % 8], {"a": "1"}) for k in range(40)}
+    for want in ({"inserted": 40, "updated": 0, "skipped": 0}, {"inserted": 0, "updated": 0, "skipped": 40}):
+        assert imports.import_rows(store, *rows_of(spark, state), buckets=4) == want
+    assert imports.import_rows(store, *rows_of(spark, {}), buckets=4) == {"inserted": 0, "updated": 0, "skipped": 0}
+    state[3] = ("other", {"a": "2"})
+    assert imports.import_rows(store, *rows_of(spark, state))["updated"] == 1
+    assert seen == [("actions", 40), ("actions", 0), ("actions", 0), ("actions", 1)] and store.version() == 2
+    assert held(store)[0] == {k: h for k, (h, _) in state.items()}
+
+
 def test_a_failed_refresh_is_never_seen(spark):
     store = Store(spark, shared_path(spark, "t"))
     objects = spark.createDataFrame([("A", "a"), ("A", "z"), ("B", "b")], "object_code string, object_name string")
