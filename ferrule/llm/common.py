@@ -10,7 +10,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -57,6 +57,19 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def cut_counted(df: DataFrame, **counts: Column) -> tuple[DataFrame, dict[str, int]]:
+    """cut(df), and aggregates of all its rows (null: 0) that are taken while it is written, without a job of their own."""
+    seen = Observation()
+    out = cut(df.observe(seen, *[c.alias(n) for n, c in counts.items()]))
+    return out, {n: seen.get.get(n) or 0 for n in counts}
+
+
+def cut_measured(df: DataFrame) -> tuple[DataFrame, int]:
+    """cut(df), and about the bytes of all its rows; see small_join."""
+    out, seen = cut_counted(df, size=F.sum(_row_bytes(df)))
+    return out, seen["size"]
+
+
 def row_key(df: DataFrame, text: str = "text", key: str = "doc_id") -> Column:
     """A reproducible 64-bit key of a row; rows that agree in id and text share it."""
     return F.xxhash64(F.col(key), F.col(text))
@@ -107,20 +120,25 @@ def without(df: DataFrame, names: list[str]) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in gone])
 
 
+def _row_bytes(df: DataFrame) -> Column:
+    """About the bytes of a row."""
+    return functools.reduce(lambda a, b: a + b, [_width(F.col(f"`{f.name}`"), f.dataType) for f in df.schema], F.lit(16)).cast("long")
+
+
 def bytes_of(df: DataFrame) -> int:
     """About the bytes of all rows; one pass over df."""
-    each = functools.reduce(lambda a, b: a + b, [_width(F.col(f"`{f.name}`"), f.dataType) for f in df.schema], F.lit(16))
-    return df.agg(F.sum(each.cast("long"))).first()[0] or 0
+    return df.agg(F.sum(_row_bytes(df))).first()[0] or 0
 
 
-def small_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "left", limit: int | None = None) -> DataFrame:
+def small_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "left", limit: int | None = None, size: int | None = None) -> DataFrame:
     """Join left with a small, cut right side, nulls equal.
 
-    right is measured: up to limit bytes (BROADCAST_BYTES) it is broadcast, beyond that
-    both sides are shuffled by the key, and adaptive execution splits left's hot keys.
+    right is measured, unless its size is given: up to limit bytes (BROADCAST_BYTES) it is
+    broadcast, beyond that both sides are shuffled by the key, and adaptive execution
+    splits left's hot keys.
     """
     named = right.select(*[F.col(f"`{c}`").alias(f"__r_{c}") if c in on else F.col(f"`{c}`") for c in right.columns])
-    if bytes_of(right) <= (BROADCAST_BYTES if limit is None else limit):
+    if (bytes_of(right) if size is None else size) <= (BROADCAST_BYTES if limit is None else limit):
         named = F.broadcast(named)
     cond = [left[c].eqNullSafe(named[f"__r_{c}"]) for c in on]
     return left.join(named, cond, how).drop(*[f"__r_{c}" for c in on])

@@ -14,16 +14,17 @@ def components(edges: DataFrame) -> DataFrame:
     Each round takes the least label around a node, then the label of that label; both
     are written to the checkpoint folder. Aggregates are partial, and the join by
     neighbour is one whose hot keys adaptive execution splits. Rounds go on until no label
-    changes.
+    changes; a round counts its changes as it is written.
     """
     both = common.cut(edges.where("a <> b").select("a", "b").unionByName(edges.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = common.cut(both.groupBy(F.col("a").alias("node")).agg(F.min(F.least("a", "b")).alias("label")))
     while True:
-        seen = both.join(labels.select(F.col("node").alias("b"), "label"), "b").select(F.col("a").alias("node"), "label")
-        least = seen.unionByName(labels).groupBy("node").agg(F.min("label").alias("next"))
+        seen = both.join(labels.select(F.col("node").alias("b"), "label"), "b").select(F.col("a").alias("node"), "label", F.lit(None).cast(labels.schema["label"].dataType).alias("was"))
+        own = labels.select("node", "label", F.col("label").alias("was"))
+        least = seen.unionByName(own).groupBy("node").agg(F.min("label").alias("next"), F.min("was").alias("was"))
         jump = labels.select(F.col("node").alias("next"), F.col("label").alias("jumped"))
-        least = least.join(jump, "next", "left").select("node", F.least("next", F.coalesce("jumped", "next")).alias("label"))
-        least = common.cut(least)
-        if least.join(labels.withColumnRenamed("label", "was"), "node").where("label <> was").isEmpty():
-            return least
-        labels = least
+        least = least.join(jump, "next", "left").select("node", F.least("next", F.coalesce("jumped", "next")).alias("label"), "was")
+        least, seen = common.cut_counted(least, changed=F.count_if(F.col("label") != F.col("was")))
+        labels = least.drop("was")
+        if not seen["changed"]:
+            return labels

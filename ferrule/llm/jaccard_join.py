@@ -142,26 +142,31 @@ def coherent(frontier: DataFrame) -> DataFrame:
     return frontier.groupBy("path").agg(*ones).where(2 * mean - 1 >= COHERENT).select("path")
 
 
-def leaves(sketches: DataFrame, runs: int) -> tuple[DataFrame, DataFrame]:
-    """(small, large): (path, sig) of buckets of 2 to SMALL sets, and of larger ones that are coherent or left after DEPTH splits."""
+def leaves(sketches: DataFrame, runs: int) -> tuple[DataFrame, DataFrame | None]:
+    """(small, large): (path, sig) of buckets of 2 to SMALL sets, and of larger ones that are coherent or left after DEPTH splits (None: there are none)."""
     frontier = sketches.select("sig", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(runs).cast("long"))).alias("path"))
     small, large = [], []
     for depth in range(DEPTH):
         rows = common.cut(split(frontier, sketches))
-        sizes = common.cut(rows.groupBy("path").agg(F.count(F.lit(1)).alias("m")).where("m > 1"))
+        sizes, seen = common.cut_counted(rows.groupBy("path").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), large=F.count_if(F.col("m") > SMALL))
         small.append(rows.join(sizes.where(F.col("m") <= SMALL).select("path"), "path", "left_semi"))
-        hot = common.cut(common.small_join(rows, sizes.where(F.col("m") > SMALL).select("path"), ["path"], "inner"))
+        if not seen["large"]:
+            break
+        hot = common.cut(common.small_join(rows, sizes.where(F.col("m") > SMALL).select("path"), ["path"], "inner", size=24 * seen["large"]))
         if depth == DEPTH - 1:
             large.append(hot)
             break
-        done = common.cut(coherent(hot).withColumn("done", F.lit(True)))
-        hot = common.cut(common.small_join(hot, done, ["path"], "left"))
+        done, size = common.cut_measured(coherent(hot).withColumn("done", F.lit(True)))
+        hot, seen = common.cut_counted(common.small_join(hot, done, ["path"], "left", size=size), open=F.count_if(F.col("done").isNull()))
         large.append(hot.where("done"))
         frontier = hot.where("done is null").select("path", "sig")
-        if frontier.isEmpty():
+        if not seen["open"]:
             break
     union = lambda parts: reduce(DataFrame.unionByName, [x.select("path", "sig") for x in parts])
-    return union(small), common.cut(union(large))
+    if not large:
+        return union(small), None
+    large, seen = common.cut_counted(union(large), n=F.count(F.lit(1)))
+    return union(small), large if seen["n"] else None
 
 
 def groups(large: DataFrame) -> DataFrame:
@@ -172,8 +177,8 @@ def groups(large: DataFrame) -> DataFrame:
     """
     own = common.cut(large.groupBy("sig").agg(F.sort_array(F.collect_set("path")).alias("paths")).withColumn("hub", F.element_at("paths", 1)))
     links = own.select(F.col("hub").alias("a"), F.explode("paths").alias("b")).where("a <> b").distinct()
-    label = common.cut(components(links).select(F.col("node").alias("hub"), "label"))
-    return common.small_join(own.select("sig", "hub"), label, ["hub"], "left").select("sig", F.xxhash64(F.coalesce("label", "hub")).alias("gid"))
+    label, size = common.cut_measured(components(links).select(F.col("node").alias("hub"), "label"))
+    return common.small_join(own.select("sig", "hub"), label, ["hub"], "left", size=size).select("sig", F.xxhash64(F.coalesce("label", "hub")).alias("gid"))
 
 
 def candidates(small: DataFrame, reps: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -197,9 +202,10 @@ def alike(pairs: DataFrame, sketches: DataFrame, threshold: float = THRESHOLD) -
 
 
 def with_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """wanted (key, sig, slots array<long>, ...) with the whole set of its text, one row a slot."""
+    """wanted (key, sig, slots array<long>, ...), written down, with the whole set of its text, one row a slot."""
+    wanted, size = common.cut_measured(wanted)
     texts = docs.select(common.row_key(docs).alias("key"), "text")
-    rows = common.small_join(texts, wanted, ["key"], "inner").select("sig", "slots", "copies", "text")
+    rows = common.small_join(texts, wanted, ["key"], "inner", size=size).select("sig", "slots", "copies", "text")
 
     @common.frees
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -311,10 +317,9 @@ def compare_blocks(members: DataFrame, threshold: float) -> DataFrame:
     short, once for each pair of blocks its block is in. Rows are (sig, other, links):
     an edge where other is there, a count where links is.
     """
-    least = members.groupBy("slot").agg(F.min("sig").alias("sig"))
-    core = common.cut(members.join(least, ["slot", "sig"], "left_semi").select("slot", F.col("set").alias("core")).dropDuplicates(["slot"]))
-    sizes = common.cut(members.groupBy("slot").agg(F.count(F.lit(1)).alias("m")))
-    rows = common.small_join(common.small_join(members, core, ["slot"], "inner"), sizes, ["slot"], "inner")
+    least = members.groupBy("slot").agg(F.min("sig").alias("sig"), F.count(F.lit(1)).alias("m"))
+    core, size = common.cut_measured(members.join(least.select("slot", "sig", "m"), ["slot", "sig"]).select("slot", F.col("set").alias("core"), "m").dropDuplicates(["slot"]))
+    rows = common.small_join(members, core, ["slot"], "inner", size=size)
 
     @common.frees
     def differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -373,24 +378,30 @@ def join(docs: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD, reca
     reps = rows.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("least"), F.min("key").alias("key"), F.count(F.lit(1)).alias("copies"), F.max("n").alias("n"), F.first("sk").alias("sk"), F.first("code").alias("code"))
     reps = common.cut(reps)
     small, large = leaves(reps.select("sig", "sk", "code"), runs_for(recall, threshold))
-    member = common.cut(groups(large))
-    known = common.cut(common.small_join(reps.select("sig", "n", "key", "copies"), member, ["sig"], "left"))
+    if large is None:
+        known = reps.select("sig", "n", "key", "copies", F.lit(None).cast("long").alias("gid"))
+    else:
+        member, size = common.cut_measured(groups(large))
+        known = common.cut(common.small_join(reps.select("sig", "n", "key", "copies"), member, ["sig"], "left", size=size))
     pairs = common.cut(alike(candidates(small, known, threshold), reps, threshold))
     slots = pairs.select("path", F.explode(F.array("a", "b")).alias("sig")).groupBy("sig").agg(F.collect_set("path").alias("slots"))
-    wanted = common.cut(known.join(slots, "sig").select("sig", "key", "copies", "slots"))
+    wanted = known.join(slots, "sig").select("sig", "key", "copies", "slots")
     edges = common.cut(verify(with_sets(docs, wanted, width), threshold).distinct())
-    grouped = common.cut(known.where("gid is not null").select("sig", "key", "copies", F.array("gid").alias("slots")))
-    blocks = common.cut(compare_blocks(common.cut(with_sets(docs, grouped, width).dropDuplicates(["slot", "sig"])), threshold))
-    links = edges.select(F.col("a").alias("sig"), F.col("cb").alias("links")).unionByName(edges.select(F.col("b").alias("sig"), F.col("ca").alias("links"))).unionByName(blocks.where("links is not null").select("sig", "links"))
+    links = edges.select(F.col("a").alias("sig"), F.col("cb").alias("links")).unionByName(edges.select(F.col("b").alias("sig"), F.col("ca").alias("links")))
+    joined = edges.select("a", "b")
+    if large is not None:
+        grouped = known.where("gid is not null").select("sig", "key", "copies", F.array("gid").alias("slots"))
+        blocks = common.cut(compare_blocks(common.cut(with_sets(docs, grouped, width).dropDuplicates(["slot", "sig"])), threshold))
+        links = links.unionByName(blocks.where("links is not null").select("sig", "links"))
+        joined = joined.unionByName(blocks.where("other is not null").select(F.col("sig").alias("a"), F.col("other").alias("b")))
     links = links.groupBy("sig").agg(F.sum("links").alias("links"))
-    joined = edges.select("a", "b").unionByName(blocks.where("other is not null").select(F.col("sig").alias("a"), F.col("other").alias("b")))
     label = components(joined)
     classed = reps.select("sig", "least", "copies").join(label.select(F.col("node").alias("sig"), "label"), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
     ids = classed.groupBy("label").agg(F.min("least").alias("class_id"))
     classed = classed.join(ids, "label").join(links, "sig", "left").select("sig", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     # only texts with links or copies are joined back: the others are their own class
-    special = common.cut(classed.where("n_links > 0"))
-    out = common.small_join(rows.select("doc_id", "key", "sig", "n"), special, ["sig"], "left")
+    special, size = common.cut_measured(classed.where("n_links > 0"))
+    out = common.small_join(rows.select("doc_id", "key", "sig", "n"), special, ["sig"], "left", size=size)
     return out.select("doc_id", "key", F.when(F.col("n_links").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.col("n").alias("n_shingles"))
 
 
@@ -404,9 +415,9 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     first = common.cut(first)
     seen = classes.groupBy("doc_id", F.col("key").alias("__k")).agg(F.count(F.lit(1)).alias("n"))
     same = (F.col("__k") == F.col("__f")) & F.col("doc_id").eqNullSafe(F.col("__i"))
-    gone = seen.join(first.select(F.col("doc_id").alias("__i"), F.col("__k").alias("__f")), same, "left_anti")
+    gone, size = common.cut_measured(seen.join(first.select(F.col("doc_id").alias("__i"), F.col("__k").alias("__f")), same, "left_anti").select("doc_id", "__k"))
     again = common.cut(seen.where("n > 1").join(first.select(F.col("doc_id").alias("__i"), F.col("__k").alias("__f")), same, "left_semi").select("doc_id", "__k"))
-    rows = common.small_join(docs.withColumn("__k", common.row_key(docs)), common.cut(gone.select("doc_id", "__k")), ["doc_id", "__k"], "left_anti")
+    rows = common.small_join(docs.withColumn("__k", common.row_key(docs)), gone, ["doc_id", "__k"], "left_anti", size=size)
     if not again.isEmpty():
         twice = common.small_join(rows, again, ["doc_id", "__k"], "left_semi").dropDuplicates(["doc_id", "__k"])
         rows = common.small_join(rows, again, ["doc_id", "__k"], "left_anti").unionByName(twice)

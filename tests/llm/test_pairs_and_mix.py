@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import math
+import uuid
 from collections import Counter, defaultdict
 
 import pytest
@@ -8,6 +9,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from ferrule.llm import common, decontaminate, jaccard_join, mixing
+from ferrule.llm.components import components
 
 from .helpers import awkward, awkward_docs, no_docs, prose, words
 
@@ -59,6 +61,37 @@ def test_large_group_of_near_copies(spark, monkeypatch):
     assert Counter((r["doc_id"], r["class_id"], r["n_links"]) for r in got) == brute_classes(rows)
 
 
+def jobs_of(spark, action):
+    """(jobs that an action starts, its result)."""
+    group, before = uuid.uuid4().hex, spark.sparkContext.getLocalProperty("spark.jobGroup.id")
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        out = action()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", before)
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group)), out
+
+
+def test_what_is_written_is_counted_on_the_way(spark):
+    df = spark.range(100).select("id", F.expr("if(id % 2 = 0, null, repeat('x', 10))").alias("t")).repartition(3)
+    want = common.bytes_of(df)
+    alone, _ = jobs_of(spark, lambda: common.cut(df))
+    jobs, (out, size) = jobs_of(spark, lambda: common.cut_measured(df))
+    assert jobs == alone and out.count() == 100 and size == want
+    assert common.cut_measured(df.where("id < 0"))[1] == 0
+    assert common.cut_counted(df, odd=F.count_if(F.col("t").isNotNull()), none=F.sum(F.lit(None).cast("long")))[1] == {"odd": 50, "none": 0}
+
+
+def test_components_look_for_changes_without_jobs_of_their_own(spark, monkeypatch):
+    edges = spark.createDataFrame([(k, k + 1) for k in range(40) if k != 20] + [(7, 7)], "a long, b long").coalesce(2)
+    # jobs of cut() go to groups of their own, what components() starts besides stays in its group
+    monkeypatch.setattr(common, "cut", lambda df, cut=common.cut: jobs_of(spark, lambda: cut(df))[1])
+    jobs, label = jobs_of(spark, lambda: components(edges))
+    assert not jobs
+    assert {r["node"]: r["label"] for r in label.collect()} == {k: 0 if k <= 20 else 21 for k in range(41)}
+
+
 def test_recall_over_the_documents_table(spark):
     """Links and classes of a whole table, found by an inverted index over shingles."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
