@@ -62,9 +62,11 @@ def import_rows(store: Store, rows: DataFrame, cells: DataFrame, force: bool = F
     if not touched:
         return stats
     parts = [str(b) for b in touched]
-    entities = short(store.table("entities", ENTITIES, parts, version)).join(changed.select(*KEY), KEY, "left_anti").unionByName(changed.select(*new.columns))
-    own = cells.select(*[F.col(c).cast(t) for c, t in (x.split(" ") for x in VALUES.split(", "))]).join(changed.select(*KEY), KEY, "left_semi")
-    values = store.table("values", VALUES, parts, version).join(changed.select(*KEY), KEY, "left_anti").unionByName(own)
+    entities = changed.select(*new.columns)
+    values = cells.select(*[F.col(c).cast(t) for c, t in (x.split(" ") for x in VALUES.split(", "))]).join(changed.select(*KEY), KEY, "left_semi")
+    if not first:
+        kept = lambda name, schema: store.table(name, schema, parts, version).join(changed.select(*KEY), KEY, "left_anti")
+        entities, values = short(kept("entities", ENTITIES)).unionByName(entities), kept("values", VALUES).unionByName(values)
     changes = [store.write("entities", entities, bucket(buckets), [*KEY, "external_id", unpacked(F.col("row_hash")).alias("row_hash")]), store.write("values", values, bucket(buckets))]
     # a bucket whose last value went has no folder any more
     changes = [(n, s, {**dict.fromkeys(parts), **p}) for n, s, p in changes]

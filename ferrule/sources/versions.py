@@ -53,15 +53,15 @@ class Store:
     def write(self, name: str, rows: DataFrame, part: Column | None = None, columns: list[Column | str] | None = None) -> tuple[str, str, dict[str, str]]:
         """Rows in new folders that nobody reads yet: one, or one for each value of part (a number).
 
-        columns: what is written of the rows, made after they are dealt to their parts.
+        Every task writes its own file of each part that it has rows of; rows are not
+        shuffled for that. columns: what is written of the rows.
         """
         folder, columns = f"{name}/{uuid.uuid4().hex}", columns or rows.columns
         schema = rows.select(*columns).schema.json()
         if part is None:
             rows.select(*columns).write.option("compression", "zstd").parquet(f"{self.root}/{folder}")
             return name, schema, {"": folder}
-        dealt = rows.withColumn("__part", part).repartition("__part").select(*columns, "__part")
-        dealt.write.partitionBy("__part").option("compression", "zstd").parquet(f"{self.root}/{folder}")
+        rows.withColumn("__part", part).select(*columns, "__part").write.partitionBy("__part").option("compression", "zstd").parquet(f"{self.root}/{folder}")
         found = {n.rsplit("=", 1)[1]: n.rsplit("/", 1)[1] for n in self._names(f"{folder}/__part=*")}
         return name, schema, {p: f"{folder}/{n}" for p, n in found.items()}
 

@@ -59,6 +59,23 @@ def test_an_import_rewrites_only_what_changed(spark):
     assert store.vacuum() == 0 or store.table("values").count() == 39
 
 
+def test_parts_are_written_without_a_shuffle(spark):
+    store = Store(spark, shared_path(spark, "t"))
+    rows = spark.range(0, 1000, 1, 3).select(F.lit("d").alias("dataset"), F.col("id").alias("row_number"))
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("parts", "parts")
+    try:
+        change = store.write("rows", rows, imports.bucket(4))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    jobs = tracker.getJobIdsForGroup("parts")
+    assert len(jobs) == 1 and [len(tracker.getJobInfo(j).stageIds) for j in jobs] == [1]
+    store.publish([change], 0)
+    assert sorted(change[2]) == ["0", "1", "2", "3"] and store.table("rows").distinct().count() == store.table("rows").count() == 1000
+    assert store.table("rows", parts=["2"]).where(imports.bucket(4) != 2).isEmpty()
+
+
 def test_an_import_writes_down_only_what_changed(spark, monkeypatch):
     """Rows that are skipped are counted, not written; hashes keep their text, hex or not."""
     hashes = ["00ff", "00FF", "abc", "0abc", "", "h1", "é", "a9993e364706816aba3e25717850c26c9cd0d89d", None, "\x01ab", "\x00"]
