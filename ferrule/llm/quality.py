@@ -33,7 +33,7 @@ from . import common
 
 WORD_BITS = 15
 #: Bytes of text whose features a worker holds at a time.
-SLICE = 1 << 20
+SLICE = 1 << 18
 STEPS = 10
 FACTORS = 8
 TRAIN_ROWS = 4_000

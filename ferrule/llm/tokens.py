@@ -29,7 +29,7 @@ from . import common, dac, storage, units
 #: Ids of a segment of a file.
 SEGMENT = 1 << 20
 #: Bytes of text encoded at a time.
-SLICE = 2 << 20
+SLICE = 1 << 18
 
 
 def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, parts: int | None = None) -> DataFrame:
