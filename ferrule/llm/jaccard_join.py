@@ -43,7 +43,7 @@ BLOCK = 1024
 #: A large bucket of at least this mean similarity is split no further.
 COHERENT = 0.5
 #: Bytes of text a worker cuts into n-grams at a time.
-SLICE = 1 << 18
+SLICE = 1 << 20
 #: Candidates whose sketches agree in this much less than the threshold are not verified:
 #: four standard deviations of 64 bins, so that about 1 in 10,000 pairs at the threshold goes.
 SKETCH_MARGIN = 0.2
