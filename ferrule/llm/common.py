@@ -20,6 +20,8 @@ from ferrule.session import workers_import
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of a side that may be broadcast; larger sides are joined by shuffle.
 BROADCAST_BYTES = 32 << 20
+#: Bytes of a written table, measured, that one task reads at least; see packed.
+PACK_BYTES = 4 << 20
 #: Bytes of an Arrow batch: what a task holds beside the slice that it works on.
 BATCH_BYTES = 8 << 20
 
@@ -64,10 +66,19 @@ def cut_counted(df: DataFrame, **counts: Column) -> tuple[DataFrame, dict[str, i
     return out, {n: seen.get.get(n) or 0 for n in counts}
 
 
-def cut_measured(df: DataFrame) -> tuple[DataFrame, int]:
-    """cut(df), and about the bytes of all its rows; see small_join."""
-    out, seen = cut_counted(df, size=F.sum(_row_bytes(df)))
-    return out, seen["size"]
+def packed(df: DataFrame, size: int) -> DataFrame:
+    """A cut df of about size bytes in partitions of PACK_BYTES, if it has more than that takes.
+
+    The driver keeps a record of every task; a small table written by many tasks is read by few.
+    """
+    return df.coalesce(max(1, -(-size // PACK_BYTES)))
+
+
+def cut_measured(df: DataFrame, **counts: Column) -> tuple[DataFrame, int] | tuple[DataFrame, int, dict[str, int]]:
+    """cut(df), packed, and about the bytes of all its rows, see small_join; with counts also these, see cut_counted."""
+    out, seen = cut_counted(df, __size=F.sum(_row_bytes(df)), **counts)
+    size = seen.pop("__size")
+    return (packed(out, size), size, seen) if counts else (packed(out, size), size)
 
 
 def row_key(df: DataFrame, text: str = "text", key: str = "doc_id") -> Column:

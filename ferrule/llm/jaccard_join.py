@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from . import bytewise as bw
 from . import common
-from .components import components
+from .components import components, measured_components
 
 WIDTH, THRESHOLD, RECALL = 5, 0.8, 0.9995
 BINS, SPLIT, SMALL, DEPTH = 64, 2.0, 40, 3
@@ -120,9 +120,8 @@ def sketched(docs: DataFrame, width: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.row_key(docs).alias("key"), "text").mapInArrow(task, "doc_id long, key long, sig binary, n int, sk array<int>, code long")
 
 
-def split(frontier: DataFrame, sketches: DataFrame) -> DataFrame:
-    """The buckets after one more choice: path, sig, code for each chosen token of each (path, sig)."""
-    rows = frontier.join(sketches.select("sig", "sk", "code"), "sig")
+def split(rows: DataFrame) -> DataFrame:
+    """The buckets after one more choice: path, sig, code for each chosen token of each (path, sig, sk, code)."""
     full = F.size(F.filter("sk", lambda v: v.isNotNull()))
     limit = F.lit(float(1 << 32)) * SPLIT / full
     tokens = F.transform("sk", lambda v, i: F.struct(v.alias("v"), i.alias("i"), F.pmod(F.xxhash64("path", i), F.lit(1 << 32)).alias("h")))
@@ -144,29 +143,32 @@ def coherent(frontier: DataFrame) -> DataFrame:
 
 def leaves(sketches: DataFrame, runs: int) -> tuple[DataFrame, DataFrame | None]:
     """(small, large): (path, sig) of buckets of 2 to SMALL sets, and of larger ones that are coherent or left after DEPTH splits (None: there are none)."""
-    frontier = sketches.select("sig", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(runs).cast("long"))).alias("path"))
-    small, large = [], []
+    sketches = sketches.select("sig", "sk", "code")
+    frontier = sketches.withColumn("path", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(runs).cast("long"))))
+    small, large, in_large = [], [], 0
     for depth in range(DEPTH):
-        rows = common.cut(split(frontier, sketches))
+        rows = common.cut(split(frontier))
         sizes, seen = common.cut_counted(rows.groupBy("path").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), large=F.count_if(F.col("m") > SMALL))
         small.append(rows.join(sizes.where(F.col("m") <= SMALL).select("path"), "path", "left_semi"))
         if not seen["large"]:
             break
-        hot = common.cut(common.small_join(rows, sizes.where(F.col("m") > SMALL).select("path"), ["path"], "inner", size=24 * seen["large"]))
+        hot = common.small_join(rows, sizes.where(F.col("m") > SMALL).select("path"), ["path"], "inner", size=24 * seen["large"])
         if depth == DEPTH - 1:
+            hot, seen = common.cut_counted(hot, n=F.count(F.lit(1)))
             large.append(hot)
+            in_large += seen["n"]
             break
+        hot = common.cut(hot)
         done, size = common.cut_measured(coherent(hot).withColumn("done", F.lit(True)))
-        hot, seen = common.cut_counted(common.small_join(hot, done, ["path"], "left", size=size), open=F.count_if(F.col("done").isNull()))
-        large.append(hot.where("done"))
-        frontier = hot.where("done is null").select("path", "sig")
+        hot, seen = common.cut_counted(common.small_join(hot, done, ["path"], "left", size=size), open=F.count_if(F.col("done").isNull()), done=F.count_if(F.col("done")))
+        if seen["done"]:
+            large.append(hot.where("done"))
+            in_large += seen["done"]
+        frontier = hot.where("done is null").select("path", "sig").join(sketches, "sig")
         if not seen["open"]:
             break
     union = lambda parts: reduce(DataFrame.unionByName, [x.select("path", "sig") for x in parts])
-    if not large:
-        return union(small), None
-    large, seen = common.cut_counted(union(large), n=F.count(F.lit(1)))
-    return union(small), large if seen["n"] else None
+    return union(small), union(large) if in_large else None
 
 
 def groups(large: DataFrame) -> DataFrame:
@@ -175,10 +177,10 @@ def groups(large: DataFrame) -> DataFrame:
     Only buckets are joined: each set links its buckets to the least of them, and equal
     links of many sets are one.
     """
-    own = common.cut(large.groupBy("sig").agg(F.sort_array(F.collect_set("path")).alias("paths")).withColumn("hub", F.element_at("paths", 1)))
+    own, _ = common.cut_measured(large.groupBy("sig").agg(F.sort_array(F.collect_set("path")).alias("paths")).withColumn("hub", F.element_at("paths", 1)))
     links = own.select(F.col("hub").alias("a"), F.explode("paths").alias("b")).where("a <> b").distinct()
-    label, size = common.cut_measured(components(links).select(F.col("node").alias("hub"), "label"))
-    return common.small_join(own.select("sig", "hub"), label, ["hub"], "left", size=size).select("sig", F.xxhash64(F.coalesce("label", "hub")).alias("gid"))
+    label, size = measured_components(links)
+    return common.small_join(own.select("sig", "hub"), label.withColumnRenamed("node", "hub"), ["hub"], "left", size=size).select("sig", F.xxhash64(F.coalesce("label", "hub")).alias("gid"))
 
 
 def candidates(small: DataFrame, reps: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -383,23 +385,25 @@ def join(docs: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD, reca
     else:
         member, size = common.cut_measured(groups(large))
         known = common.cut(common.small_join(reps.select("sig", "n", "key", "copies"), member, ["sig"], "left", size=size))
-    pairs = common.cut(alike(candidates(small, known, threshold), reps, threshold))
+    pairs, _ = common.cut_measured(alike(candidates(small, known, threshold), reps, threshold))
     slots = pairs.select("path", F.explode(F.array("a", "b")).alias("sig")).groupBy("sig").agg(F.collect_set("path").alias("slots"))
     wanted = known.join(slots, "sig").select("sig", "key", "copies", "slots")
-    edges = common.cut(verify(with_sets(docs, wanted, width), threshold).distinct())
-    links = edges.select(F.col("a").alias("sig"), F.col("cb").alias("links")).unionByName(edges.select(F.col("b").alias("sig"), F.col("ca").alias("links")))
+    edges, _ = common.cut_measured(verify(with_sets(docs, wanted, width), threshold).distinct())
+    ends = F.array(F.struct(F.col("a").alias("sig"), F.col("cb").alias("links")), F.struct(F.col("b").alias("sig"), F.col("ca").alias("links")))
+    links = edges.select(F.explode(ends).alias("e")).select("e.sig", "e.links")
     joined = edges.select("a", "b")
     if large is not None:
         grouped = known.where("gid is not null").select("sig", "key", "copies", F.array("gid").alias("slots"))
-        blocks = common.cut(compare_blocks(common.cut(with_sets(docs, grouped, width).dropDuplicates(["slot", "sig"])), threshold))
+        blocks, _ = common.cut_measured(compare_blocks(common.cut(with_sets(docs, grouped, width).dropDuplicates(["slot", "sig"])), threshold))
         links = links.unionByName(blocks.where("links is not null").select("sig", "links"))
         joined = joined.unionByName(blocks.where("other is not null").select(F.col("sig").alias("a"), F.col("other").alias("b")))
     links = links.groupBy("sig").agg(F.sum("links").alias("links"))
-    label = components(joined)
-    classed = reps.select("sig", "least", "copies").join(label.select(F.col("node").alias("sig"), "label"), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
+    label, size = measured_components(joined)
+    classed = common.small_join(reps.select("sig", "least", "copies"), label.withColumnRenamed("node", "sig"), ["sig"], "left", size=size)
+    # only texts with links or copies are joined back: the others are their own class
+    classed, _ = common.cut_measured(classed.where("label is not null or copies > 1").withColumn("label", F.coalesce("label", "sig")))
     ids = classed.groupBy("label").agg(F.min("least").alias("class_id"))
     classed = classed.join(ids, "label").join(links, "sig", "left").select("sig", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    # only texts with links or copies are joined back: the others are their own class
     special, size = common.cut_measured(classed.where("n_links > 0"))
     out = common.small_join(rows.select("doc_id", "key", "sig", "n"), special, ["sig"], "left", size=size)
     return out.select("doc_id", "key", F.when(F.col("n_links").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.col("n").alias("n_shingles"))

@@ -92,6 +92,50 @@ def test_components_look_for_changes_without_jobs_of_their_own(spark, monkeypatc
     assert {r["node"]: r["label"] for r in label.collect()} == {k: 0 if k <= 20 else 21 for k in range(41)}
 
 
+def tasks_of(spark, action):
+    """(tasks that an action starts, its result)."""
+    group, before = uuid.uuid4().hex, spark.sparkContext.getLocalProperty("spark.jobGroup.id")
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        out = action()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", before)
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    seen = spark.sparkContext.statusTracker()
+    stages = {s for j in seen.getJobIdsForGroup(group) for s in seen.getJobInfo(j).stageIds}
+    return sum(i.numCompletedTasks for i in map(seen.getStageInfo, stages) if i), out
+
+
+@pytest.fixture
+def many_partitions(spark):
+    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "53")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield 53
+    for k, v in old.items():
+        spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("limit", [1 << 23, 0])
+def test_components_of_few_edges_take_few_tasks(spark, many_partitions, monkeypatch, limit):
+    monkeypatch.setattr("ferrule.llm.components.LABEL_BYTES", limit)
+    edges = spark.createDataFrame([(k, k + 1) for k in range(40) if k != 20] + [(7, 7)], "a long, b long").coalesce(2)
+    tasks, label = tasks_of(spark, lambda: components(edges))
+    assert {r["node"]: r["label"] for r in label.collect()} == {k: 0 if k <= 20 else 21 for k in range(41)}
+    assert tasks < 2 * many_partitions or not limit, tasks
+
+
+def test_small_tables_are_read_by_few_tasks(spark, many_partitions, monkeypatch):
+    df = spark.range(1000).repartition(many_partitions, "id")
+    out, size, seen = common.cut_measured(df, even=F.count_if(F.col("id") % 2 == 0))
+    assert size == 1000 * 24 and seen == {"even": 500} and out.rdd.getNumPartitions() == 1
+    monkeypatch.setattr(common, "PACK_BYTES", 1000)
+    out, _ = common.cut_measured(df)
+    assert out.rdd.getNumPartitions() == 24 and out.distinct().count() == 1000
+    monkeypatch.setattr(common, "PACK_BYTES", 1)
+    assert common.cut_measured(df)[0].rdd.getNumPartitions() == many_partitions
+
+
 def test_recall_over_the_documents_table(spark):
     """Links and classes of a whole table, found by an inverted index over shingles."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
